@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULE: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None, rounded: Sequence[str] = (), digits: int = 6):
@@ -30,6 +31,7 @@ def register(name: str, sql: str | None = None, rounded: Sequence[str] = (), dig
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
+        MODULE[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             text = sql.strip().rstrip(";")
             if rounded:

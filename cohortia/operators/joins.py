@@ -234,3 +234,8 @@ def group_sample_weights(samples: DataFrame) -> DataFrame:
     sizes = samples.groupBy("group_id").agg(F.count(F.lit(1)).alias("__n"))
     biggest = sizes.agg(F.max("__n")).scalar()
     return samples.join(sizes.withColumn("sample_weight", biggest.cast("double") / F.col("__n")).drop("__n"), "group_id").select(*samples.columns, "sample_weight")
+
+
+def pivot_wide_values(values: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """One column per requested id; for a handful of ids only."""
+    return values.groupBy("sample_id").agg(*[F.sum(F.when(F.col("feature_id") == i, F.col("value"))).alias(i) for i in ids])

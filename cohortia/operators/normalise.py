@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.operators.ordered import quantiles
+from cohortia.session import cut_lineage
 
 
 def _per_sample(assay: DataFrame, agg: Column) -> DataFrame:
@@ -88,11 +89,10 @@ def tmm_factors(assay: DataFrame, m_trim: float = 0.3, a_trim: float = 0.05) ->
     pos = assay.where("value > 0").select("sample_id", "feature_id", "value")
     lib = assay.groupBy("sample_id").agg(F.sum("value").alias("lib"))
     scaled = pos.join(lib, "sample_id").withColumn("__s", F.col("value") / F.col("lib"))
-    uq = quantiles(scaled, ["sample_id"], "__s", {"uq": 0.75})
-    mean_uq = uq.agg(F.avg("uq")).scalar()
-    ref_id = uq.withColumn("__d", F.abs(F.col("uq") - mean_uq)).agg(F.min_by("sample_id", F.struct("__d", "sample_id"))).scalar()
-    with_ref = scaled.withColumn("__ref", ref_id)
-    ref = with_ref.where("sample_id = __ref").select("feature_id", F.col("value").alias("r"), F.col("lib").alias("nr"))
+    uq = cut_lineage(quantiles(scaled, ["sample_id"], "__s", {"uq": 0.75}).join(lib, "sample_id"))  # one row per sample
+    gap = F.round(F.abs(F.col("uq") - uq.agg(F.avg("uq")).scalar()), 12)
+    ref_id = uq.withColumn("__d", gap).agg(F.min_by("sample_id", F.struct("__d", "sample_id"))).first()[0]
+    ref = scaled.where(F.col("sample_id") == F.lit(ref_id)).select("feature_id", F.col("value").alias("r"), F.col("lib").alias("nr"))
     cells = scaled.join(ref, "feature_id").withColumns({
         "m": F.log2(F.col("value") / F.col("lib")) - F.log2(F.col("r") / F.col("nr")),
         "a": (F.log2(F.col("value") / F.col("lib")) + F.log2(F.col("r") / F.col("nr"))) / 2,
@@ -104,7 +104,7 @@ def tmm_factors(assay: DataFrame, m_trim: float = 0.3, a_trim: float = 0.05) ->
     lo_m, lo_a = F.floor(F.col("n") * m_trim) + 1, F.floor(F.col("n") * a_trim) + 1
     kept = ranked.where((F.col("rm") >= lo_m) & (F.col("rm") <= F.col("n") + 1 - lo_m) & (F.col("ra") >= lo_a) & (F.col("ra") <= F.col("n") + 1 - lo_a))
     raw = kept.groupBy("sample_id").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf"))
-    raw = lib.join(raw, "sample_id", "left").withColumn("lf", F.coalesce("lf", F.lit(0.0)))
+    raw = cut_lineage(lib.join(raw, "sample_id", "left").withColumn("lf", F.coalesce("lf", F.lit(0.0))))
     centre = raw.agg(F.avg("lf")).scalar()
     return raw.select("sample_id", "lib", F.pow(F.lit(2.0), F.col("lf") - centre).alias("factor"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cohortia.operators.joins import pivot_wide_values
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
     """A delimited file with a header. Without a schema every column is read as text."""
@@ -136,4 +138,4 @@ def matrix_to_vectors(assay: DataFrame, index: DataFrame, fill: float = 0.0) ->
 
 def pivot_wide(assay: DataFrame, feature_ids: Sequence[str]) -> DataFrame:
     """One column per requested feature; for a handful of features only."""
-    return assay.groupBy("sample_id").agg(*[F.sum(F.when(F.col("feature_id") == f, F.col("value"))).alias(f) for f in feature_ids])
+    return pivot_wide_values(assay, feature_ids)
