@@ -28,27 +28,20 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -
     return a.join(b, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def bucketed(df: DataFrame, order: str, rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``__bucket``, an order-preserving bucket of ``order``, and say how many there are.
+def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int | None = None) -> list[float]:
+    """Inner cut points of ``order``, empty when one bucket is enough.
 
-    One pass counts the rows and sketches the cut points (at most a few thousand numbers
-    reach the driver). Equal values share a bucket. Small inputs get a single bucket.
+    One pass counts the rows and sketches the cut points; at most a few thousand numbers
+    reach the driver. Loops over an unchanged axis compute them once and pass them on.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     n = df.count()
     buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
     if buckets <= 1:
-        return df.withColumn("__bucket", F.lit(0.0)), 1
+        return []
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(SKETCH_ACCURACY, 10 * buckets)
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, accuracy)).first()[0]
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return df.withColumn("__bucket", F.lit(0.0)), 1
-    splits = [float("-inf"), *cuts, float("inf")]
-    shaped = df.withColumn("__key", F.col(order).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket", handleInvalid="keep").transform(shaped)
-    return out.drop("__key"), len(splits) - 1
+    return sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), probs, accuracy)).first()[0] or []))
 
 
 def running_totals(
@@ -58,22 +51,24 @@ def running_totals(
     sums: dict[str, str],
     ascending: bool = True,
     rows_per_bucket: int | None = None,
+    splits: list[float] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> column) along ``order`` within ``by``.
 
     ``df`` must be unique on (by, order): aggregate to distinct values first. Beyond
-    ``rows_per_bucket`` rows the order axis is cut into buckets: sums run inside a bucket,
-    bucket totals run across buckets, and the two are added.
+    ``rows_per_bucket`` rows the order axis is cut into buckets (equal values share one): sums
+    run inside a bucket, bucket totals run across buckets, and the two are added.
     """
     by = list(by)
-    df, buckets = bucketed(df, order, rows_per_bucket)
+    if splits is None:
+        splits = bucket_splits(df, order, rows_per_bucket)
     key = F.col(order).asc() if ascending else F.col(order).desc()
-    if buckets == 1:
+    if not splits:
         w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(
-            *[c for c in df.columns if c != "__bucket"],
-            *[F.sum(c).over(w).alias(o) for o, c in sums.items()],
-        )
+        return df.select(*df.columns, *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
+    cols = df.columns
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__key", outputCol="__bucket", handleInvalid="keep")
+    df = cut.transform(df.withColumn("__key", F.col(order).cast("double"))).drop("__key")
     inner = Window.partitionBy(*by, "__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     bkey = F.col("__bucket").asc() if ascending else F.col("__bucket").desc()
     before = Window.partitionBy(*by).orderBy(bkey).rowsBetween(Window.unboundedPreceding, -1)
@@ -85,10 +80,7 @@ def running_totals(
     )
     local = df.select(*df.columns, *[F.sum(c).over(inner).alias(f"__l_{o}") for o, c in sums.items()])
     joined = _same(local, offsets, [*by, "__bucket"])
-    return joined.select(
-        *[c for c in df.columns if c != "__bucket"],
-        *[(F.col(f"__l_{o}") + F.col(f"__o_{o}")).alias(o) for o in sums],
-    )
+    return joined.select(*cols, *[(F.col(f"__l_{o}") + F.col(f"__o_{o}")).alias(o) for o in sums])
 
 
 def quantiles(
