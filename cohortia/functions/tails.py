@@ -13,11 +13,22 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY, _EPS, _STEPS = 1e-300, 1e-15, 500
 
 
+def _each(f, x):
+    a = np.asarray(x, dtype=float)
+    return np.array([f(v) for v in a.ravel()]).reshape(a.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
+
+
 def _nonzero(v):
     return np.where(np.abs(v) < _TINY, _TINY, v)
 

@@ -80,7 +80,7 @@ class CoxProblem:
         self.data.unpersist()
 
     def _hazard(self, scored: DataFrame, m: int) -> DataFrame:
-        """(time, H array, c array, loss array) written once per evaluation."""
+        """(time, hz, c, l arrays): cumulative hazards, tie corrections and loss terms, written once per evaluation."""
         e = lambda j: F.exp(F.col("s")[j])
         cells = scored.groupBy("time").agg(
             F.sum("event").alias("d"), *[F.sum(e(j)).alias(f"e{j}") for j in range(m)],
@@ -97,9 +97,9 @@ class CoxProblem:
             steps = at.select("time", *[F.when(has, F.col(f"x{j}.h")).otherwise(0.0).alias(f"h{j}") for j in range(m)],
                               *[F.when(has, F.col(f"x{j}.c")).otherwise(0.0).alias(f"c{j}") for j in range(m)],
                               *[F.when(has, F.col(f"x{j}.l") - F.col(f"v{j}")).otherwise(0.0).alias(f"l{j}") for j in range(m)])
-        cum = running_totals(steps, [], "time", {f"H{j}": f"h{j}" for j in range(m)}, splits=self.splits)
+        cum = running_totals(steps, [], "time", {f"ch{j}": f"h{j}" for j in range(m)}, splits=self.splits)
         arr = lambda k: F.array(*[F.col(f"{k}{j}") for j in range(m)])
-        return cut_lineage(cum.select("time", arr("H").alias("H"), arr("c").alias("c"), arr("l").alias("l")))
+        return cut_lineage(cum.select("time", arr("ch").alias("hz"), arr("c").alias("c"), arr("l").alias("l")))
 
     def evaluate(self, B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log partial likelihood (m,) and gradient (p, m) at coefficient columns B."""
@@ -107,14 +107,14 @@ class CoxProblem:
         scored = self.data.withColumn("s", _linear(B)("vec"))
         table = self._hazard(scored, m)
         loss = table.agg(*[F.sum(F.col("l")[j]).alias(str(j)) for j in range(m)]).first()
-        joined = scored.join(table, "time").select("vec", "event", "s", "H", "c")
+        joined = scored.join(table, "time").select("vec", "event", "s", "hz", "c")
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc = np.zeros((B.shape[0], m))
             for b in batches:
                 if len(b):
                     X, ev = np.stack(b["vec"].to_numpy()), b["event"].to_numpy(float)[:, None]
-                    S, H, c = (np.stack(b[k].to_numpy()) for k in ("s", "H", "c"))
+                    S, H, c = (np.stack(b[k].to_numpy()) for k in ("s", "hz", "c"))
                     acc += X.T @ (ev - np.exp(S) * (H - ev * c))
             yield pd.DataFrame({"g": [acc.ravel()]})
 
@@ -231,8 +231,8 @@ def boosted_cox(data: DataFrame, stages: int = 200, rate: float = 0.05, depth: i
     for _ in range(stages):
         cells = cur.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.exp("score")).alias("e"))
         at = running_totals(cells, [], "time", {"s0": "e"}, ascending=False, splits=splits).withColumn("h", F.col("d") / F.col("s0"))
-        H = running_totals(at, [], "time", {"H": "h"}, splits=splits).select("time", "H")
-        res = cur.join(H, "time").withColumn("residual", F.col("event") - F.exp("score") * F.col("H")).drop("H")
+        H = running_totals(at, [], "time", {"cumulative": "h"}, splits=splits).select("time", "cumulative")
+        res = cur.join(H, "time").withColumn("residual", F.col("event") - F.exp("score") * F.col("cumulative")).drop("cumulative")
         tree = DecisionTreeRegressor(maxDepth=depth, labelCol="residual", seed=seed).fit(res)
         cur = cut_lineage(tree.transform(cur).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction"))
     base.unpersist()

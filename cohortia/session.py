@@ -29,13 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without that setting falls back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cohortia.scratch.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="cohortia-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set("cohortia.scratch.dir", path)
     return path
 
 
