@@ -183,11 +183,11 @@ def _(spark, d):
     return J.merge_split_weights(A.split_weights(spark, d))
 
 
-@register("merge_risk_scores", f"""WITH p AS (SELECT model, split, dataset AS sample_id, max(score) AS score FROM ({A.PREDS}) GROUP BY 1, 2, 3)
+@register("merge_risk_scores", f"""WITH p AS (SELECT split AS model, dataset AS split, CAST(label AS VARCHAR) AS sample_id, max(score) AS score FROM ({A.PREDS}) GROUP BY 1, 2, 3)
  SELECT k.model, k.sample_id, s.split, score FROM (SELECT DISTINCT model, sample_id FROM p) AS k JOIN (SELECT DISTINCT model, split FROM p) AS s ON k.model = s.model
  LEFT JOIN p ON p.model = k.model AND p.sample_id = k.sample_id AND p.split = s.split""")
 def _(spark, d):
-    p = A.predictions(spark, d).groupBy("model", "split", F.col("dataset").alias("sample_id")).agg(F.max("score").alias("score"))
+    p = A.predictions(spark, d).groupBy(F.col("split").alias("model"), F.col("dataset").alias("split"), F.col("label").cast("string").alias("sample_id")).agg(F.max("score").alias("score"))
     return J.merge_risk_scores(p)
 
 

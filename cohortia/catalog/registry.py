@@ -19,11 +19,13 @@ def register(name: str, sql: str | None = None, rounded: Sequence[str] = (), dig
     add floating-point numbers in different orders.
     """
 
+    scale = 10.0**digits
+
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
             return df.select(*[
-                (F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if c in rounded else F.col(c)
+                (F.round(F.col(c).cast("double") * scale) / scale + F.lit(0.0)).alias(c) if c in rounded else F.col(c)
                 for c in df.columns
             ])
 
@@ -35,7 +37,7 @@ def register(name: str, sql: str | None = None, rounded: Sequence[str] = (), dig
         if sql is not None:
             text = sql.strip().rstrip(";")
             if rounded:
-                repl = ", ".join(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"' for c in rounded)
+                repl = ", ".join(f'round(CAST("{c}" AS DOUBLE) * 1e{digits}) / 1e{digits} + 0.0 AS "{c}"' for c in rounded)
                 text = f"SELECT * REPLACE ({repl}) FROM ({text}) AS checked"
             ORACLES[name] = text
         return fn

@@ -46,10 +46,10 @@ def _holdout(rows: DataFrame, by: Sequence[str], test: float, key: Column) -> Da
 
 def train_test_split(samples: DataFrame, fractions: dict[str, float], strata: str | None = None, seed: int = 42) -> DataFrame:
     """Assign every sample to a part; parts take consecutive shares of the seeded order, per stratum if given."""
-    by = [strata] if strata else ["__all"]
-    rows = samples if strata else samples.withColumn("__all", F.lit(0))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = seeded_rank(rows, by, seeded_key(seed, F.lit(0), "sample_id")).join(sizes, by)
+    by = [strata] if strata else []
+    sizes = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = seeded_rank(samples, by, seeded_key(seed, F.lit(0), "sample_id"))
+    ranked = ranked.join(sizes, by) if by else ranked.withColumn("__n", sizes.scalar())
     names, cum, edges = list(fractions), 0.0, []
     for nm in names[:-1]:
         cum += fractions[nm]

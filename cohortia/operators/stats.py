@@ -80,11 +80,10 @@ def permutation_test(samples: DataFrame, score: str, n: int = 1000, within: str
         rows = average_ranks(rows, [], "v", "rk").withColumn("v", F.col("rk")).drop("rk")
     elif statistic != "mean_diff":
         raise ValueError(f"unknown statistic {statistic}")
-    if not grp:
-        rows, grp = rows.withColumn("__all", F.lit(0)), ["__all"]
     n1 = rows.groupBy(*grp).agg(F.sum("label").alias("__n1"))
     perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    perms = seeded_rank(perms, ["perm", *grp], seeded_key(seed, "perm", "sample_id")).join(n1, grp)
+    perms = seeded_rank(perms, ["perm", *grp], seeded_key(seed, "perm", "sample_id"))
+    perms = perms.join(n1, grp) if grp else perms.withColumn("__n1", n1.scalar())
     drawn = perms.select("perm", "v", (F.col("rank") <= F.col("__n1")).cast("int").alias("y"))
     both = drawn.unionByName(rows.select(F.lit(0).alias("perm"), "v", F.col("label").alias("y")))
     s1, c1 = F.sum(F.col("v") * F.col("y")), F.sum("y")

@@ -72,14 +72,14 @@ def features(spark, d) -> DataFrame:
 
 
 SAMPLES = """SELECT 'S' || s_suppkey AS sample_id, 'G' || s_nationkey AS group_id, s_acctbal AS balance,
- CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END AS label FROM supplier"""
+ CASE WHEN s_acctbal > 4000 THEN 1 ELSE 0 END AS label FROM supplier"""
 
 
 def samples(spark, d) -> DataFrame:
     """Suppliers as samples; class 1 holds the larger balances, nations are replicate groups."""
     return table(spark, d, "supplier").select(
         _tag("S", "s_suppkey").alias("sample_id"), _tag("G", "s_nationkey").alias("group_id"),
-        F.col("s_acctbal").alias("balance"), F.when(F.col("s_acctbal") > 5000, 1).otherwise(0).alias("label"),
+        F.col("s_acctbal").alias("balance"), F.when(F.col("s_acctbal") > 4000, 1).otherwise(0).alias("label"),
     )
 
 

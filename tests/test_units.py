@@ -223,7 +223,7 @@ def test_rfe_keeps_protected_features(spark):
     X = rng.normal(size=(80, 6))
     y = (X[:, 0] - X[:, 1] > 0).astype(int)
     df = spark.createDataFrame([(str(i), [float(v) for v in X[i]], int(y[i])) for i in range(80)], "sample_id string, vec array<double>, label int")
-    log = Sel.rfe(df, list("abcdef"), 3, 1, 99, L.linear_svm(1.0), ["f"])
+    log = Sel.rfe(df, list("abcdef"), 3, 1, 99, L.linear_svm(1.0, max_iter=10), ["f"])
     assert {r.feature_id for r in log.where("kept").collect()} == {"a", "b", "f"}
 
 
