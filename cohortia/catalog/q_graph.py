@@ -9,6 +9,7 @@ from cohortia.operators import normalise as N
 from cohortia.operators import pathway as P
 from cohortia.operators import vectors as V
 from cohortia.operators.encode import standardise
+from cohortia.session import cut_lineage
 from cohortia.sources import adapters as A
 from cohortia.sources import readers as R
 
@@ -137,9 +138,9 @@ def _(spark, d):
     return C.k_medoids(A.distances(spark, d), 5)
 
 
-def _dist_vectors(spark, d):
+def _dist_vectors(dist):
     """Rows of the distance matrix as vectors, the way a clustering of a matrix reads it."""
-    a = A.distances(spark, d).select(F.col("id_a").alias("sample_id"), F.col("id_b").alias("feature_id"), F.col("d").alias("value"))
+    a = dist.select(F.col("id_a").alias("sample_id"), F.col("id_b").alias("feature_id"), F.col("d").alias("value"))
     return R.matrix_to_vectors(a, R.feature_index(a))
 
 
@@ -155,14 +156,16 @@ def _(spark, d):
 
 @register("representatives")
 def _(spark, d):
-    v = _dist_vectors(spark, d)
+    dist = cut_lineage(A.distances(spark, d))
+    v = cut_lineage(_dist_vectors(dist))
     labels, centres, _ = C.kmeans(v, 5)
-    return C.representatives(v, labels, centres, A.distances(spark, d))
+    return C.representatives(v, labels, centres, dist)
 
 
 @register("cluster_count_sweep")
 def _(spark, d):
-    return C.cluster_count_sweep(_dist_vectors(spark, d), A.distances(spark, d), range(3, 7), 0.45)
+    dist = cut_lineage(A.distances(spark, d))
+    return C.cluster_count_sweep(_dist_vectors(dist), dist, range(3, 7), 0.45)
 
 
 @register("hierarchical_clusters")
@@ -172,7 +175,7 @@ def _(spark, d):
 
 @register("spectral_clusters")
 def _(spark, d):
-    k = C.distance_kernel(A.distances(spark, d)).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("similarity").alias("weight"))
+    k = C.distance_kernel(cut_lineage(A.distances(spark, d))).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("similarity").alias("weight"))
     return C.spectral_clusters(k, 6)
 
 

@@ -104,7 +104,7 @@ class CoxProblem:
     def evaluate(self, B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log partial likelihood (m,) and gradient (p, m) at coefficient columns B."""
         m = B.shape[1]
-        scored = self.data.withColumn("s", _linear(B)("vec"))
+        scored = self.data.withColumn("s", _linear(B)("vec")).persist()
         table = self._hazard(scored, m)
         loss = table.agg(*[F.sum(F.col("l")[j]).alias(str(j)) for j in range(m)]).first()
         joined = scored.join(table, "time").select("vec", "event", "s", "hz", "c")
@@ -122,6 +122,7 @@ class CoxProblem:
         g = np.zeros(B.shape[0] * m)
         for r in sums:
             g[r["i"]] = r["v"]
+        scored.unpersist()
         return np.array([loss[str(j)] or 0.0 for j in range(m)]) / self.n, -g.reshape(B.shape[0], m) / self.n
 
 
@@ -252,7 +253,7 @@ def _ranker_gradient(scored: DataFrame, top: int) -> DataFrame:
     A comparable pair (i dies before j) costs max(0, 1 - (s_i - s_j))^2. Both sides need sums over
     partners whose score crosses the margin, which are dominance sums: no pair is formed.
     """
-    pts = scored.groupBy("key", "event", "s").agg(F.count(F.lit(1)).alias("n"))
+    pts = cut_lineage(scored.groupBy("key", "event", "s").agg(F.count(F.lit(1)).alias("n")))
     zero = F.lit(0.0)
     # Partners j of an event i: larger key, s_j > s_i - 1. Counted as all larger keys minus s_j <= s_i - 1.
     data = pts.select("key", F.col("s").alias("y"), F.col("n").cast("double").alias("n"), (F.col("n") * F.col("s")).alias("ns"), (F.col("n") * F.col("s") * F.col("s")).alias("nss"))

@@ -364,19 +364,18 @@ def latent_sensitivity(scores: DataFrame, loadings: DataFrame, block: int = 512)
     """Per (sample, feature): norm over components of score x loading.
 
     scores(sample_id, component, value) and loadings(component, feature_id, loading). Both sides
-    become one array per key in component order; features travel in blocks, so a sample meets
-    each block once and no per-component product of samples and features is formed.
+    become one array of squares per key in component order (a latent has few components);
+    features travel in blocks, so a sample meets each block once, and the sum over components
+    is unrolled into generated code.
     """
-    comps = loadings.select("component").union(scores.select("component")).distinct().agg(F.array_sort(F.collect_set("component")).alias("c"))
-    order = comps.select("c").scalar()
-    dense = lambda m, cs: F.transform(cs, lambda c: F.coalesce(F.try_element_at(m, c), F.lit(0.0)))
-    s = scores.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("m")).withColumn("cs", order)
-    s = s.select("sample_id", dense(F.col("m"), F.col("cs")).alias("s"))
-    f = loadings.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(F.struct("component", "loading"))).alias("m")).withColumn("cs", order)
-    f = f.select("feature_id", dense(F.col("m"), F.col("cs")).alias("l"))
+    comps = sorted(r[0] for r in loadings.select("component").intersect(scores.select("component")).collect())
+    square = lambda c, v: F.coalesce(F.sum(F.when(F.col("component") == c, F.col(v) * F.col(v))), F.lit(0.0))
+    empty = F.array().cast("array<double>")
+    s = scores.groupBy("sample_id").agg((F.array(*[square(c, "value") for c in comps]) if comps else F.first(empty)).alias("s"))
+    f = loadings.groupBy("feature_id").agg((F.array(*[square(c, "loading") for c in comps]) if comps else F.first(empty)).alias("l"))
     n_blocks = max(1, -(-loadings.agg(F.count_distinct("feature_id")).first()[0] // block))
     blocks = f.withColumn("b", F.pmod(F.xxhash64("feature_id"), F.lit(n_blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("feature_id", "l")).alias("fs"))
     pairs = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "b")
     cells = pairs.select("sample_id", "s", F.explode("fs").alias("x"))
-    norm = F.sqrt(F.aggregate(F.zip_with("s", "x.l", lambda a, b: a * a * b * b), F.lit(0.0), lambda acc, v: acc + v))
+    norm = F.sqrt(sum((F.col("s")[i] * F.col("x.l")[i] for i in range(len(comps))), F.lit(0.0)))
     return cells.select("sample_id", F.col("x.feature_id").alias("feature_id"), norm.alias("value"))

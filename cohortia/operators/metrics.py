@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.operators.ordered import dominance_totals, running_totals
+from cohortia.operators.ordered import dominance_pairs, running_totals
+from cohortia.session import cut_lineage
 
 BY = ("model", "split")
 
@@ -107,13 +108,12 @@ def comparable_pairs(samples: DataFrame, by: Sequence[str] = ("cohort",)) -> Dat
 def c_index(samples: DataFrame, score: str = "score", by: Sequence[str] = ("cohort",), rows_per_bucket: int | None = None) -> DataFrame:
     """Harrell's C: a higher score should mean an earlier event; score ties count one half.
 
-    Exact without forming pairs, see ``dominance_totals``.
+    Exact without forming pairs, see ``dominance_pairs``.
     """
     by = list(by)
-    pts = _survival_ranks(samples, by, score)
-    dom = dominance_totals(pts.select(*by, "key", "score", "n"), by, "key", "score", {"c": "n"}, rows_per_bucket=rows_per_bucket)
-    conc = pts.where("event = 1").join(dom, [*by, "key", "score"]).groupBy(*by).agg(
-        F.sum(F.col("n") * F.col("c_lt")).alias("concordant"), F.sum(F.col("n") * F.col("c_eq")).alias("tied"))
+    pts = cut_lineage(_survival_ranks(samples, by, score))  # read by several passes below
+    asks = pts.withColumn("events", F.when(F.col("event") == 1, F.col("n")).otherwise(0))
+    conc = dominance_pairs(asks, by, "key", "score", "n", "events", rows_per_bucket).withColumnsRenamed({"lt": "concordant", "eq": "tied"})
     pairs = comparable_pairs(samples.where(F.col(score).isNotNull()), by).groupBy(*by).agg(F.sum("n_pairs").alias("comparable"))
     out = pairs.join(conc, by, "left") if by else pairs.withColumn("concordant", conc.select("concordant").scalar()).withColumn("tied", conc.select("tied").scalar())
     return out.withColumn("c_index", F.when(F.col("comparable") > 0, (F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable")))

@@ -203,28 +203,14 @@ def dominance_totals(
     a shared prefix count the partners there.
     """
     by = list(by)
-    base, bits = 16, 4
-    top = points.agg(F.max(x)).first()[0]
-    levels = 1
-    while top is not None and (int(top) >> (bits * levels)) > 0:
-        levels += 1
-    lev = points.withColumn("__lv", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
-    shifted = F.expr(f"shiftright(cast({x} as bigint), __lv * {bits})")
-    lev = lev.withColumn("__d", F.pmod(shifted, F.lit(base))).withColumn(
-        "__px", F.expr(f"shiftright(cast({x} as bigint), (__lv + 1) * {bits})")
-    )
-    grp = [*by, "__lv", "__px"]
-    aggs = [
-        F.sum(F.when(F.col("__d") > d, F.col(c)).otherwise(0)).alias(f"__{o}_{d}")
-        for o, c in values.items() for d in range(base - 1)
-    ]
-    cells = lev.groupBy(*grp, y).agg(*aggs)
-    cols = [f"__{o}_{d}" for o in values for d in range(base - 1)]
+    lev, grp = _digits(points, by, x)
+    cols = [f"__{o}_{d}" for o in values for d in range(_BASE - 1)]
+    cells = lev.groupBy(*grp, y).agg(*_above(values))
     cum = running_totals(cells, grp, y, {f"{c}_cum": c for c in cols}, rows_per_bucket=rows_per_bucket)
     packed = cum.select(
         *grp, y,
-        *[F.array(*[F.col(f"__{o}_{d}_cum") - F.col(f"__{o}_{d}") for d in range(base - 1)], F.lit(0)).alias(f"__lt_{o}") for o in values],
-        *[F.array(*[F.col(f"__{o}_{d}") for d in range(base - 1)], F.lit(0)).alias(f"__eq_{o}") for o in values],
+        *[F.array(*[F.col(f"__{o}_{d}_cum") - F.col(f"__{o}_{d}") for d in range(_BASE - 1)], F.lit(0)).alias(f"__lt_{o}") for o in values],
+        *[F.array(*[F.col(f"__{o}_{d}") for d in range(_BASE - 1)], F.lit(0)).alias(f"__eq_{o}") for o in values],
     )
     hit = _same(lev.select(*grp, y, x, "__d"), packed, [*grp, y])
     idx = (F.col("__d") + 1).cast("int")
@@ -232,3 +218,53 @@ def dominance_totals(
         *[F.sum(F.element_at(f"__lt_{o}", idx)).alias(f"{o}_lt") for o in values],
         *[F.sum(F.element_at(f"__eq_{o}", idx)).alias(f"{o}_eq") for o in values],
     )
+
+
+_BASE, _BITS = 16, 4
+
+
+def _digits(points: DataFrame, by: Sequence[str], x: str) -> tuple[DataFrame, list[str]]:
+    """Each point once per base-16 digit of ``x``: its digit ``__d`` and the prefix above it."""
+    top = points.agg(F.max(x)).first()[0]
+    levels = 1
+    while top is not None and (int(top) >> (_BITS * levels)) > 0:
+        levels += 1
+    lev = points.withColumn("__lv", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
+    shifted = F.expr(f"shiftright(cast({x} as bigint), __lv * {_BITS})")
+    lev = lev.withColumn("__d", F.pmod(shifted, F.lit(_BASE))).withColumn(
+        "__px", F.expr(f"shiftright(cast({x} as bigint), (__lv + 1) * {_BITS})")
+    )
+    return lev, [*by, "__lv", "__px"]
+
+
+def _above(values: dict[str, str]) -> list[Column]:
+    """Per digit d the sum of every value whose digit is larger."""
+    return [
+        F.sum(F.when(F.col("__d") > d, F.col(c)).otherwise(0)).alias(f"__{o}_{d}")
+        for o, c in values.items() for d in range(_BASE - 1)
+    ]
+
+
+def dominance_pairs(
+    points: DataFrame,
+    by: Sequence[str],
+    x: str,
+    y: str,
+    weight: str,
+    asker: str,
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
+    """Per ``by``: sums of asker x weight over ordered pairs with larger partner ``x``.
+
+    ``lt`` counts partners with a smaller ``y``, ``eq`` those with an equal one. The same digit
+    scheme as ``dominance_totals``, but the asking weights ride along per digit, so the sums
+    close inside the cells and no point is joined back.
+    """
+    by = list(by)
+    lev, grp = _digits(points, by, x)
+    ask = [F.sum(F.when(F.col("__d") == d, F.col(asker)).otherwise(0)).alias(f"__q_{d}") for d in range(_BASE - 1)]
+    cells = lev.groupBy(*grp, y).agg(*_above({"w": weight}), *ask)
+    cum = running_totals(cells, grp, y, {f"__c_{d}": f"__w_{d}" for d in range(_BASE - 1)}, rows_per_bucket=rows_per_bucket)
+    lt = sum((F.col(f"__q_{d}") * (F.col(f"__c_{d}") - F.col(f"__w_{d}")) for d in range(_BASE - 1)), F.lit(0))
+    eq = sum((F.col(f"__q_{d}") * F.col(f"__w_{d}") for d in range(_BASE - 1)), F.lit(0))
+    return cum.groupBy(*by).agg(F.sum(lt).alias("lt"), F.sum(eq).alias("eq"))
