@@ -14,7 +14,7 @@ from cohortia.sources import adapters as A
 from cohortia.sources import readers as R
 
 _SIM = f"v AS ({A.VECS}), p AS (SELECT a.sample_id AS id_a, b.sample_id AS id_b, list_cosine_similarity(a.vec, b.vec) AS similarity FROM v AS a JOIN v AS b ON a.sample_id <> b.sample_id)"
-_NN = _SIM + ", k AS (SELECT id_a, id_b, similarity, row_number() OVER (PARTITION BY id_a ORDER BY round(similarity, 12) DESC, id_b) AS rank FROM p QUALIFY rank <= 10)"
+_NN = _SIM + ", k AS (SELECT id_a, id_b, similarity, CAST(row_number() OVER (PARTITION BY id_a ORDER BY round(similarity, 12) DESC, id_b) AS INTEGER) AS rank FROM p QUALIFY rank <= 10)"
 
 
 @register("cosine", "SELECT label, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)) AS similarity FROM embeddings", rounded=["similarity"])
@@ -269,7 +269,7 @@ def _(spark, d):
     return P.process_score(_scores(spark, d), A.process_members(spark, d))
 
 
-@register("pathway_importance", f"SELECT feature_id, importance, row_number() OVER (ORDER BY round(importance, 9) DESC, feature_id) AS rank FROM (SELECT feature_id, avg(value) AS importance FROM ({_SC}) GROUP BY 1)", rounded=["importance"])
+@register("pathway_importance", f"SELECT feature_id, importance, CAST(row_number() OVER (ORDER BY round(importance, 9) DESC, feature_id) AS INTEGER) AS rank FROM (SELECT feature_id, avg(value) AS importance FROM ({_SC}) GROUP BY 1)", rounded=["importance"])
 def _(spark, d):
     return P.pathway_importance(_scores(spark, d))
 

@@ -319,7 +319,7 @@ def _(spark, d):
     return J.top_features(_importance(spark, d), "importance", 20)
 
 
-@register("top_per_group", f"SELECT i.*, brand, row_number() OVER (PARTITION BY brand ORDER BY importance DESC, i.feature_id) AS rank FROM ({_IMP}) AS i JOIN ({A.FEATURES}) AS f ON i.feature_id = f.feature_id QUALIFY rank <= 5")
+@register("top_per_group", f"SELECT i.*, brand, CAST(row_number() OVER (PARTITION BY brand ORDER BY importance DESC, i.feature_id) AS INTEGER) AS rank FROM ({_IMP}) AS i JOIN ({A.FEATURES}) AS f ON i.feature_id = f.feature_id QUALIFY rank <= 5")
 def _(spark, d):
     return J.top_per_group(_importance(spark, d).join(A.features(spark, d).select("feature_id", "brand"), "feature_id"), "brand", "importance", 5, "feature_id")
 
