@@ -24,8 +24,12 @@ _FLAGSHIP = _MOM.format(src=_NORM, samples=A.SAMPLES, **_ZERO) + _WELCH
 _COLS = ["mean1", "mean0", "diff", "t", "df", "d"]
 
 
+def _measured(spark, d):
+    return A.table(spark, d, "lineitem").select("l_suppkey").distinct().select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sample_id"))
+
+
 def _welch_norm(spark, d):
-    return T.welch_t(N.normalize_total_log1p(A.assay(spark, d)), A.samples(spark, d), zero_fill=True)
+    return T.welch_t(N.normalize_total_log1p(A.assay(spark, d)), A.samples(spark, d), zero_fill=True, measured=_measured(spark, d))
 
 
 @register("flagship", f"SELECT feature_id, abs(d) AS effect, diff, t FROM ({_FLAGSHIP}) ORDER BY round(abs(d), 9) DESC, feature_id LIMIT 20", rounded=["diff", "t", "effect"])
@@ -130,7 +134,7 @@ def _log_brand(spark, d):
 @register("limma_ordinary_t", _MOM.format(src=_NORM, samples=A.SAMPLES, **_ZERO) + """ SELECT feature_id, mean1 - mean0 AS log_fc, CASE WHEN s2 > 1e-12 THEN (mean1 - mean0) / sqrt(s2) / sqrt(1 / n1 + 1 / n0) END AS t_ordinary
  FROM (SELECT *, (var1 * (n1 - 1) + var0 * (n0 - 1)) / (n1 + n0 - 2) AS s2 FROM v)""", rounded=["log_fc", "t_ordinary"], digits=5)
 def _(spark, d):
-    t = T.limma_moderated_t(N.normalize_total_log1p(A.assay(spark, d)), A.samples(spark, d), zero_fill=True)
+    t = T.limma_moderated_t(N.normalize_total_log1p(A.assay(spark, d)), A.samples(spark, d), zero_fill=True, measured=_measured(spark, d))
     return t.select("feature_id", "log_fc", "t_ordinary")
 
 

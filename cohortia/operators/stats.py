@@ -13,11 +13,12 @@ from cohortia.operators.ordered import average_ranks, quantiles, seeded_key, see
 from cohortia.session import cut_lineage
 
 
-def group_moments(values: DataFrame, samples: DataFrame, group: str = "label", zero_fill: bool = False) -> DataFrame:
+def group_moments(values: DataFrame, samples: DataFrame, group: str = "label", zero_fill: bool = False, measured: DataFrame | None = None) -> DataFrame:
     """Per feature: n, mean and sample variance in group 1 and group 0.
 
     With ``zero_fill`` an absent cell is a measured zero: the moments of the present cells are
-    merged with those of the zeros, so the long assay is never completed.
+    merged with those of the zeros, so the long assay is never completed. ``measured`` names the
+    samples of the assay (column sample_id) where that is cheaper than finding them in ``values``.
     """
     g = samples.select("sample_id", F.col(group).cast("int").alias("g")).where(F.col("g").isin(0, 1))
     rows = values.where(F.col("value").isNotNull()).select("sample_id", "feature_id", "value").join(g, "sample_id")
@@ -27,7 +28,8 @@ def group_moments(values: DataFrame, samples: DataFrame, group: str = "label", z
         aggs += [F.count(v).alias(f"c{k}"), F.avg(v).alias(f"a{k}"), F.var_pop(v).alias(f"v{k}")]
     per = rows.groupBy("feature_id").agg(*aggs)
     if zero_fill:
-        sizes = g.join(values.select("sample_id").distinct(), "sample_id", "left_semi").agg(
+        known = (values if measured is None else measured).select("sample_id").distinct()
+        sizes = g.join(known, "sample_id", "left_semi").agg(
             F.struct(F.count_if(F.col("g") == 1).alias("n1"), F.count_if(F.col("g") == 0).alias("n0"))).scalar()
         per = per.withColumn("z", sizes)
     out = {}
@@ -39,12 +41,14 @@ def group_moments(values: DataFrame, samples: DataFrame, group: str = "label", z
     return per.select("feature_id", *[e.alias(k) for k, e in out.items()])
 
 
-def welch_t(values: DataFrame, samples: DataFrame, group: str = "label", alpha: float = 0.05, zero_fill: bool = False) -> DataFrame:
+def welch_t(
+    values: DataFrame, samples: DataFrame, group: str = "label", alpha: float = 0.05, zero_fill: bool = False, measured: DataFrame | None = None,
+) -> DataFrame:
     """Welch's t per feature, group 1 against group 0, with Cohen's d on the mean variance.
 
     The significant column and p come from a vectorised tail function over one row per feature.
     """
-    m = group_moments(values, samples, group, zero_fill)
+    m = group_moments(values, samples, group, zero_fill, measured)
     se1, se0 = F.col("var1") / F.col("n1"), F.col("var0") / F.col("n0")
     se2 = se1 + se0
     pooled = F.sqrt((F.col("var1") + F.col("var0")) / 2)
@@ -227,9 +231,9 @@ def _variance_prior(per: DataFrame, trend: bool, robust: bool) -> tuple[float, l
     return d0, [m[0], m[1] or 1.0, *coef]
 
 
-def limma_moderated_t(assay: DataFrame, samples: DataFrame, group: str = "label", trend: bool = True, robust: bool = True, zero_fill: bool = False) -> DataFrame:
+def limma_moderated_t(assay: DataFrame, samples: DataFrame, group: str = "label", trend: bool = True, robust: bool = True, zero_fill: bool = False, measured: DataFrame | None = None) -> DataFrame:
     """Two-group moderated t: per-feature variances shrink to a common prior (Smyth 2004; Phipson et al. 2016)."""
-    m = group_moments(assay, samples, group, zero_fill)
+    m = group_moments(assay, samples, group, zero_fill, measured)
     df = F.col("n1") + F.col("n0") - 2
     s2 = (F.coalesce("var1", F.lit(0.0)) * (F.col("n1") - 1) + F.coalesce("var0", F.lit(0.0)) * (F.col("n0") - 1)) / df
     per = m.where("n1 > 0 and n0 > 0").select(

@@ -28,3 +28,14 @@ def test_runs(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert len(df.columns) > 0
     assert df.count() > 0
+
+
+CUT = ["c_index", "roc_auc", "pr_auc", "feature_ranking", "kaplan_meier", "logrank", "spearman_by_feature", "martingale_residuals"]
+
+
+@pytest.mark.parametrize("name", CUT)
+def test_against_sql_with_many_buckets(spark, sf, con, name, monkeypatch):
+    from cohortia.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 40)
+    assert compare(QUERIES[name](spark, sf), con, SQL[name]).startswith("ok")
