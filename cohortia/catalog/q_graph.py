@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from cohortia.catalog.registry import register
 from cohortia.operators import cluster as C
 from cohortia.operators import graph as G
-from cohortia.operators import normalise as N
 from cohortia.operators import pathway as P
 from cohortia.operators import vectors as V
 from cohortia.operators.encode import standardise

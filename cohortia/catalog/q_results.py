@@ -154,9 +154,10 @@ def _(spark, d):
 
 
 @register("stratified_frequency_select", f"""WITH s AS (SELECT sample_id, label AS stratum FROM ({A.SAMPLES}) WHERE sample_id IN (SELECT sample_id FROM ({A.ASSAY}))), n AS (SELECT stratum, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5)
- SELECT s.stratum, feature_id, any_value(n) AS n, count(*) FILTER (WHERE top) / any_value(n) AS share, count(*) FILTER (WHERE top) / any_value(n) >= 0.2 AS selected FROM ({_FLAG}) AS f JOIN s ON f.sample_id = s.sample_id JOIN n ON n.stratum = s.stratum GROUP BY 1, 2""", rounded=["share"])
+ SELECT p.*, share * g.importance AS importance FROM (SELECT s.stratum, feature_id, any_value(n) AS n, count(*) FILTER (WHERE top) / any_value(n) AS share, count(*) FILTER (WHERE top) / any_value(n) >= 0.2 AS selected FROM ({_FLAG}) AS f JOIN s ON f.sample_id = s.sample_id JOIN n ON n.stratum = s.stratum GROUP BY 1, 2) AS p
+ JOIN ({_GI}) AS g ON p.feature_id = g.feature_id""", rounded=["share", "importance"])
 def _(spark, d):
-    return R.stratified_frequency_select(A.assay(spark, d), A.samples(spark, d), "label", 0.2)
+    return R.stratified_frequency_select(A.assay(spark, d), A.samples(spark, d), "label", 0.2, global_importance=_global(spark, d))
 
 
 @register("cumulative_variance", """SELECT component, variance, sum(variance) OVER (ORDER BY component) / sum(variance) OVER () AS cumulative, sum(variance) OVER (ORDER BY component) / sum(variance) OVER () >= 0.9 AS reached

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortia.operators import metrics as M
-from cohortia.operators.ordered import seeded_key
 from cohortia.session import shared_dir
 
 PARALLEL_FITS = 4

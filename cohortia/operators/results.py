@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.tails import t_pvalue
 from cohortia.operators.joins import paired_by_dataset, pivot_wide_values
-from cohortia.operators.ordered import average_ranks, quantiles, running_totals
+from cohortia.operators.ordered import quantiles, running_totals
 
 
 def score_summary(scores: DataFrame, by: Sequence[str] = ("model", "dataset", "stage", "metric")) -> DataFrame:
@@ -166,13 +166,18 @@ def frequency_select(importance: DataFrame, global_importance: DataFrame, thresh
         "feature_id", "share", (F.col("share") >= threshold).alias("selected"), (F.col("importance") * F.col("share")).alias("importance"))
 
 
-def stratified_frequency_select(importance: DataFrame, samples: DataFrame, stratum: str, threshold: float = 0.7, min_n: int = 5) -> DataFrame:
-    """The same share inside each stratum of at least ``min_n`` samples."""
+def stratified_frequency_select(
+    importance: DataFrame, samples: DataFrame, stratum: str, threshold: float = 0.7, min_n: int = 5, global_importance: DataFrame | None = None,
+) -> DataFrame:
+    """The same share inside each stratum of at least ``min_n`` samples, with importance = global x share if given."""
     s = samples.select("sample_id", F.col(stratum).alias("stratum")).where(F.col("stratum").isNotNull()).join(importance.select("sample_id").distinct(), "sample_id", "left_semi")
     sizes = s.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
     flagged = sample_top_quartile(normalise_within_sample(importance))
     per = flagged.join(s, "sample_id").groupBy("stratum", "feature_id").agg(F.count_if("top").alias("k"))
-    return per.join(sizes, "stratum").withColumn("share", F.col("k") / F.col("n")).select("stratum", "feature_id", "n", "share", (F.col("share") >= threshold).alias("selected"))
+    out = per.join(sizes, "stratum").withColumn("share", F.col("k") / F.col("n")).select("stratum", "feature_id", "n", "share", (F.col("share") >= threshold).alias("selected"))
+    if global_importance is None:
+        return out
+    return out.join(global_importance, "feature_id").withColumn("importance", F.col("importance") * F.col("share"))
 
 
 def cumulative_variance(components: DataFrame, target: float = 0.90) -> DataFrame:

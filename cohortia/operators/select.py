@@ -97,3 +97,13 @@ def model_selector(learner: L.Learner, threshold: float = 1e-10, max_features: i
         return sorted(order) or list(range(len(feature_ids)))
 
     return choose
+
+
+def rfe_selector(n: int, step: float = 0.05, tune_step_at: int = 1300, learner: L.Learner | None = None, protected: Sequence[str] = ()) -> L.Selector:
+    """Selector for ``nested_cv``: recursive elimination on training vectors."""
+
+    def choose(train: DataFrame, feature_ids: Sequence[str]) -> list[int]:
+        kept = {r["feature_id"] for r in rfe(train, feature_ids, n, step, tune_step_at, learner, protected).where("kept").collect()}
+        return [i for i, f in enumerate(feature_ids) if f in kept]
+
+    return choose

@@ -63,15 +63,17 @@ def block_pairs(
 ) -> DataFrame:
     """Run ``reduce`` on every (left tile, right block) pair.
 
-    Rows are hashed into blocks of about ``block_rows``, sized so a block of vectors stays near
-    64 MB. Every left block is replicated once per right block and the other way round; the
+    Rows are hashed into blocks of about ``block_rows``, sized so a block of vectors stays below
+    about 64 MB and the block pairs occupy every core. Every left block is replicated once per right block and the other way round; the
     replication factor is rows / block_rows, and each task holds one block of either side.
     ``reduce(ids_a, ids_b, values, extra_b)`` sees a tile of similarities and returns rows.
     """
     dim_row = left.select(F.size("vec").alias("n")).limit(1).first()
     dim = max(1, dim_row["n"] if dim_row else 1)
-    rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim))
-    na, nb = max(1, math.ceil(left.count() / rows)), max(1, math.ceil(right.count() / rows))
+    nl, nr = left.count(), right.count()
+    spread = math.isqrt(left.sparkSession.sparkContext.defaultParallelism) + 1
+    rows = block_rows or max(1024, min(BLOCK_BYTES // (8 * dim), math.ceil(max(nl, nr) / spread)))
+    na, nb = max(1, math.ceil(nl / rows)), max(1, math.ceil(nr / rows))
     ex = F.col(extra).cast("string") if extra else F.lit("")
 
     def side(df: DataFrame, own: int, other: int) -> DataFrame:

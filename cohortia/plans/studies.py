@@ -8,13 +8,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.operators import cluster, hazard, learn, metrics, results, splits, stats, vectors
+from cohortia.operators import clinical, cluster, encode, hazard, learn, metrics, results, splits, stats, vectors
 from cohortia.operators.joins import merge_risk_scores, selection_stability
 from cohortia.session import cut_lineage
 from cohortia.sources.bundle import CohortBundle
 from cohortia.sources.readers import feature_index, matrix_to_vectors
 
 
+def encode_covariates(bundle: CohortBundle, columns: Sequence[str], ordinal: Mapping[str, Sequence[str]] | None = None) -> CohortBundle:
+    """Add clinical covariates to the assay as never-penalised features (penalty factor 0).
+
+    Numbers enter as they are, columns with a fixed order as their position, other text one-hot.
+    A missing column, or a name the assay already has, is an error.
+    """
+    ordinal = ordinal or {}
+    absent = [c for c in columns if c not in bundle.samples.columns]
+    if absent:
+        raise ValueError(f"sample table lacks {absent}")
+    wide = bundle.samples.select("sample_id", *columns)
+    text = {f.name for f in wide.schema.fields if f.dataType.simpleString() == "string"}
+    for c in columns:
+        if c in ordinal:
+            wide = encode.ordinal_encode(wide, c, ordinal[c])
+        elif c in text:
+            wide = encode.one_hot(wide, c)
+    names = [c for c in wide.columns if c != "sample_id"]
+    if not bundle.features.where(F.col("feature_id").isin(names)).isEmpty():
+        raise ValueError("a covariate has the name of an assay feature")
+    cells = wide.select("sample_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["sample_id"], names, "feature_id", "value")
+    cells = cells.where(F.col("value").isNotNull()).withColumn("modality", F.lit("clinical"))
+    features = bundle.features if "penalty_factor" in bundle.features.columns else bundle.features.withColumn("penalty_factor", F.lit(1))
+    new = bundle.assay.sparkSession.createDataFrame([(n, 0) for n in names], "feature_id string, penalty_factor int")
+    return CohortBundle(bundle.assay.unionByName(cells.select(*bundle.assay.columns)), bundle.samples, clinical.type_defaults(features, new), bundle.meta)
+
+
+def penalty_factors(bundle: CohortBundle, feature_ids: Sequence[str]) -> list[float] | None:
+    """Penalty factors in feature order, or none when the bundle has no such column; feature-sized."""
+    if "penalty_factor" not in bundle.features.columns:
+        return None
+    table = {r["feature_id"]: float(r["penalty_factor"]) for r in bundle.features.select("feature_id", "penalty_factor").collect()}
+    return [table.get(f, 1.0) for f in feature_ids]
+
+
 def bundle_vectors(bundle: CohortBundle, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Sample vectors joined with outcome columns, and the feature order (feature-sized list)."""
     index = feature_index(bundle.assay)
@@ -60,6 +95,7 @@ def survival_study(
     """Penalised Cox over hold-out splits: path on train, penalty by inner C-index, risk scores on test."""
     vecs, ids = bundle_vectors(bundle, ["time", "event", *(["group_id"] if by_group else [])])
     vecs = cut_lineage(vecs)
+    factors = factors if factors is not None else penalty_factors(bundle, ids)
     spark = vecs.sparkSession
     cols = ["sample_id", "event", *(["group_id"] if by_group else [])]
     draw = splits.survival_sample_from_group if by_group else splits.survival_stratified_shuffle

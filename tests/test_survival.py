@@ -140,3 +140,10 @@ def test_ranker_orders_patients(data):
 def test_kaplan_meier_reaches_zero(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 0), ("a", 3.0, 1)], "cohort string, time double, event int")
     assert [(r.time, round(r.survival, 6)) for r in S.kaplan_meier(df).orderBy("time").collect()] == [(1.0, 0.666667), (2.0, 0.666667), (3.0, 0.0)]
+
+
+def test_boosted_scores_order_patients(data):
+    X, t, e, df = data
+    got = {r.sample_id: r.score for r in H.boosted_cox(df, 3, 0.3, 2).collect()}
+    conc, tied, comp = c_brute(t, e, np.array([got[str(i)] for i in range(len(t))]))
+    assert len(got) == len(t) and (conc + tied / 2) / comp > 0.6
