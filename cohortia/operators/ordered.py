@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 10_000
 
@@ -28,17 +28,18 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -
     return a.join(b, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int | None = None) -> list[float]:
-    """Inner cut points of ``order``, empty when one bucket is enough.
+def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int | None = None, by: Sequence[str] = ()) -> list[float]:
+    """Inner cut points of ``order``, empty when no group of ``by`` exceeds one bucket.
 
-    One pass counts the rows and sketches the cut points; at most a few thousand numbers
-    reach the driver. Loops over an unchanged axis compute them once and pass them on.
+    One pass counts the rows per group, and only if a group is large another sketches the cut
+    points; at most a few thousand numbers reach the driver. Loops over an unchanged axis
+    compute them once and pass them on.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    n = df.count()
-    buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket))
-    if buckets <= 1:
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n"), F.sum("__n")).first()
+    if (sizes[0] or 0) <= rows_per_bucket:
         return []
+    buckets = min(MAX_BUCKETS, -(-sizes[1] // rows_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(SKETCH_ACCURACY, 10 * buckets)
     return sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), probs, accuracy)).first()[0] or []))
@@ -55,13 +56,13 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> column) along ``order`` within ``by``.
 
-    ``df`` must be unique on (by, order): aggregate to distinct values first. Beyond
-    ``rows_per_bucket`` rows the order axis is cut into buckets (equal values share one): sums
-    run inside a bucket, bucket totals run across buckets, and the two are added.
+    ``df`` must be unique on (by, order): aggregate to distinct values first. When a group has
+    more than ``rows_per_bucket`` rows the order axis is cut into buckets (equal values share
+    one): sums run inside a bucket, bucket totals run across buckets, and the two are added.
     """
     by = list(by)
     if splits is None:
-        splits = bucket_splits(df, order, rows_per_bucket)
+        splits = bucket_splits(df, order, rows_per_bucket, by)
     key = F.col(order).asc() if ascending else F.col(order).desc()
     if not splits:
         w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
@@ -198,7 +199,7 @@ def dominance_totals(
 
     ``points`` is unique on (by, x, y) and ``x`` is a non-negative integer rank. For every
     output ``o`` two columns appear: ``o_lt`` (strictly smaller y) and ``o_eq`` (equal y).
-    No pair is ever formed: two different x values first differ in exactly one base-16
+    No pair is ever formed: two different x values first differ in exactly one base-4
     digit, so each point is sent once per digit position and running sums along ``y`` inside
     a shared prefix count the partners there.
     """
@@ -220,11 +221,11 @@ def dominance_totals(
     )
 
 
-_BASE, _BITS = 16, 4
+_BASE, _BITS = 4, 2
 
 
 def _digits(points: DataFrame, by: Sequence[str], x: str) -> tuple[DataFrame, list[str]]:
-    """Each point once per base-16 digit of ``x``: its digit ``__d`` and the prefix above it."""
+    """Each point once per base-4 digit of ``x``: its digit ``__d`` and the prefix above it."""
     top = points.agg(F.max(x)).first()[0]
     levels = 1
     while top is not None and (int(top) >> (_BITS * levels)) > 0:
