@@ -207,7 +207,9 @@ def dominance_totals(
     lev, grp = _digits(points, by, x)
     cols = [f"__{o}_{d}" for o in values for d in range(_BASE - 1)]
     cells = lev.groupBy(*grp, y).agg(*_above(values))
-    cum = running_totals(cells, grp, y, {f"{c}_cum": c for c in cols}, rows_per_bucket=rows_per_bucket)
+    # A cell group never holds more rows than its ``by`` group has points.
+    splits = bucket_splits(points, y, rows_per_bucket, by)
+    cum = running_totals(cells, grp, y, {f"{c}_cum": c for c in cols}, splits=splits)
     packed = cum.select(
         *grp, y,
         *[F.array(*[F.col(f"__{o}_{d}_cum") - F.col(f"__{o}_{d}") for d in range(_BASE - 1)], F.lit(0)).alias(f"__lt_{o}") for o in values],
@@ -265,7 +267,8 @@ def dominance_pairs(
     lev, grp = _digits(points, by, x)
     ask = [F.sum(F.when(F.col("__d") == d, F.col(asker)).otherwise(0)).alias(f"__q_{d}") for d in range(_BASE - 1)]
     cells = lev.groupBy(*grp, y).agg(*_above({"w": weight}), *ask)
-    cum = running_totals(cells, grp, y, {f"__c_{d}": f"__w_{d}" for d in range(_BASE - 1)}, rows_per_bucket=rows_per_bucket)
+    splits = bucket_splits(points, y, rows_per_bucket, by)
+    cum = running_totals(cells, grp, y, {f"__c_{d}": f"__w_{d}" for d in range(_BASE - 1)}, splits=splits)
     lt = sum((F.col(f"__q_{d}") * (F.col(f"__c_{d}") - F.col(f"__w_{d}")) for d in range(_BASE - 1)), F.lit(0))
     eq = sum((F.col(f"__q_{d}") * F.col(f"__w_{d}") for d in range(_BASE - 1)), F.lit(0))
     return cum.groupBy(*by).agg(F.sum(lt).alias("lt"), F.sum(eq).alias("eq"))
