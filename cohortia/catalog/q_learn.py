@@ -202,12 +202,12 @@ def _(spark, d):
     return L.nested_cv(cut_lineage(vecs), ids, L.logreg, {"C": [0.1]}, cut_lineage(outer), 2, selector=S.k_best_selector(10)).split_scores
 
 
-@register("encode_covariates", f"""WITH s AS (SELECT sample_id, balance, CASE WHEN balance < 3000 THEN 'low' WHEN balance < 7000 THEN 'mid' ELSE 'very high' END AS grp, CASE WHEN label = 1 THEN 'ii' ELSE 'NA' END AS stage FROM ({A.SAMPLES}))
+@register("encode_covariates", f"""WITH s AS (SELECT sample_id, balance, CASE WHEN balance < 3000 THEN 'low' WHEN balance < 4000 THEN 'mid' ELSE 'very high' END AS grp, CASE WHEN label = 1 THEN 'ii' ELSE 'NA' END AS stage FROM ({A.SAMPLES}))
  SELECT sample_id, feature_id, sum(value) AS value, 'rna' AS modality FROM ({A.BRAND_ASSAY}) GROUP BY 1, 2 UNION ALL SELECT sample_id, 'balance', balance, 'clinical' FROM s UNION ALL SELECT sample_id, 'stage', CASE WHEN stage = 'ii' THEN 3.0 ELSE 4.0 END, 'clinical' FROM s
  UNION ALL SELECT sample_id, 'grp_' || replace(g, ' ', '_'), CASE WHEN grp = g THEN 1.0 ELSE 0.0 END, 'clinical' FROM s, (SELECT unnest(['low', 'mid', 'very high']) AS g)""")
 def _(spark, d):
     b = _bundle(spark, d)
-    s = b.samples.withColumns({"grp": F.when(F.col("balance") < 3000, "low").when(F.col("balance") < 7000, "mid").otherwise("very high"), "stage": F.when(F.col("label") == 1, "ii").otherwise("NA")})
+    s = b.samples.withColumns({"grp": F.when(F.col("balance") < 3000, "low").when(F.col("balance") < 4000, "mid").otherwise("very high"), "stage": F.when(F.col("label") == 1, "ii").otherwise("NA")})
     out = studies.encode_covariates(CohortBundle(b.assay, s, b.features, b.meta), ["balance", "grp", "stage"], {"stage": E.TUMOR_STAGES})
     return out.assay
 
