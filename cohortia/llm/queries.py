@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
 
-from . import pieces, quality, shards, tokenfile
+from . import pieces, quality, shards, substrings, tokenfile, toxicity
 from .tables import cut, read
 
 
@@ -37,6 +37,44 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(manifest)
 
 
+@register("op5_ftrl_toxicity")
+def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents from a model fitted outside the held-out third."""
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+firsts AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, p
+  FROM (SELECT win.doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts ON win.g = firsts.g WHERE m < win.doc_id)
+),
+words AS (SELECT doc_id, ws[p] AS word, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+@register("op7_repeated_passages", REPEATS_SQL)
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word passages that a document of smaller id also has, removed from all texts."""
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @register("op8_pieces")
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact merge-type encoding of every text, and its decoding."""
