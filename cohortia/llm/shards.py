@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_PART = 20_000
+ROWS_PER_PART = 2_000
 #: Row hashes are this many bits; a fraction is compared as rank * 2**FRACTION_BITS // source size.
 HASH_BITS, FRACTION_BITS = 60, 40
 
