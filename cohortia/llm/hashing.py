@@ -31,6 +31,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of ``x`` and how often each occurs, by one sort in little memory."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return x[at], np.diff(at, append=len(x))
+
+
 class Alphabet(NamedTuple):
     """Which bytes separate words and the value each other byte adds to a word's hash."""
 

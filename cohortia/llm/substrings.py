@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .hashing import alphabet, chunks, hash_words, text_buffers, window_hashes
+from .hashing import alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
 from .tables import cut, filesystem, fresh_dir
 
 WINDOW = 50
 SEGMENT_ROWS = 8192
 #: Windows of a segment that are sketched at once; more come as further lists of that segment.
-SEGMENT_WINDOWS = 4_000_000
+SEGMENT_WINDOWS = 2_000_000
 SKETCH_ROWS, COUNTERS, BLOCK_BITS = 2, 4, 20
 #: Bytes that one word takes at the least on average; only sizes the sketch.
 WORD_BYTES = 6
@@ -98,9 +98,9 @@ def _sketch(size: int, width: int) -> Callable:
         out = {"row": [], "block": [], "seg": [], "once": [], "more": []}
         for row in range(SKETCH_ROWS):
             slot = np.concatenate([s[row] for s in slots])
-            slot, times = np.unique(np.unique(slot << _U(_DOC_BITS) | doc) >> _U(_DOC_BITS), return_counts=True)
-            slot = slot.astype(np.int64)
-            blocks = np.unique(slot >> BLOCK_BITS)
+            slot, times = distinct(distinct(slot << _U(_DOC_BITS) | doc)[0] >> _U(_DOC_BITS))
+            slot = slot.view(np.int64)
+            blocks = distinct(slot >> BLOCK_BITS)[0]
             for block, a, b in zip(blocks, np.searchsorted(slot, blocks << BLOCK_BITS), np.searchsorted(slot, (blocks + 1) << BLOCK_BITS)):
                 own, twice = slot[a:b] - (block << BLOCK_BITS), times[a:b] > 1
                 for key, value in (("row", row), ("block", int(block)), ("seg", seg), ("once", encode_gaps(own[~twice])), ("more", encode_gaps(own[twice]))):
@@ -148,7 +148,7 @@ def _merge(table: pa.Table) -> pa.Table:
         own.setdefault(seg, []).extend((one, two))
     segs, hot = [], []
     for seg, found in own.items():
-        at = np.unique(np.concatenate(found))
+        at = distinct(np.concatenate(found))[0]
         at = at[counts[at] > 1]
         if len(at):
             segs.append(seg)
@@ -169,7 +169,7 @@ class _Member:
     """Membership in a sorted array, most misses decided by a small bitmap."""
 
     def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
+        self.values = distinct(values)[0]
         self.bits = max(10, min(24, int(len(self.values) * 12).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.values & _U((1 << self.bits) - 1)).astype(np.int64)] = True

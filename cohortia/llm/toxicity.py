@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Alphabet, Words, alphabet, chunks, hash_words, mix, text_buffers
+from .hashing import Alphabet, Words, alphabet, chunks, distinct, hash_words, mix, text_buffers
 
 FEATURE_BITS = 20
 #: From this score on a document counts as toxic.
@@ -92,7 +92,7 @@ def _document_places(column: pa.Array) -> Iterator[np.ndarray]:
     abc = _letters()
     for a, b in chunks(offsets):
         text, place = features(hash_words(data, offsets[a : b + 1], abc))
-        keys = np.unique(text.astype(np.int64) << FEATURE_BITS | place)
+        keys = distinct(text.astype(np.int64) << FEATURE_BITS | place)[0]
         cuts = np.searchsorted(keys, np.arange(b - a + 1, dtype=np.int64) << FEATURE_BITS)
         places = (keys & ((1 << FEATURE_BITS) - 1)).astype(np.int32)
         yield from (places[cuts[d] : cuts[d + 1]] for d in range(b - a))
@@ -164,7 +164,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             for a, b in chunks(offsets):
                 text, place = features(hash_words(data, offsets[a : b + 1], abc))
                 hit = used[place]
-                keys = np.unique(text[hit].astype(np.int64) << FEATURE_BITS | place[hit])
+                keys = distinct(text[hit].astype(np.int64) << FEATURE_BITS | place[hit])[0]
                 at = keys & ((1 << FEATURE_BITS) - 1)
                 total[a:b] += np.bincount(keys >> FEATURE_BITS, dense[at], b - a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
