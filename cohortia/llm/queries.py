@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
 
-from . import pieces, quality, shards, substrings, tokenfile, toxicity
+from . import minhash, pieces, quality, shards, substrings, tokenfile, toxicity
 from .tables import cut, read
 
 
@@ -18,6 +18,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LINKS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN ws
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w
+),
+one AS (SELECT doc_id, unnest(g) AS s FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM one x JOIN one y ON x.s = y.s AND x.doc_id < y.doc_id
+  JOIN sets sx ON sx.doc_id = x.doc_id JOIN sets sy ON sy.doc_id = y.doc_id
+  WHERE 100 * least(len(sx.g), len(sy.g)) >= 80 * greatest(len(sx.g), len(sy.g))
+  GROUP BY x.doc_id, y.doc_id, len(sx.g), len(sy.g) HAVING 100 * count(*) >= 80 * (len(sx.g) + len(sy.g) - count(*))
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT sets.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least_id AS component_id, least_id = sets.doc_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) r ON r.a = sets.doc_id
+"""
+
+
+@register("op1_tensored_minhash", LINKS_SQL)
+def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates over word pairs; one document of each component is kept."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 @register("op3_stratified_shards")
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards that each show the mixture of sources; counts at most one apart."""
