@@ -47,12 +47,12 @@ class Alphabet(NamedTuple):
     value: np.ndarray
 
 
-def alphabet(lower: bool = False, letters: bool = False) -> Alphabet:
-    """White space is 0x20 and 0x09-0x0D; ``letters`` separates at every ASCII non-letter instead."""
+def alphabet(lower: bool = False, letters: bool = False, digits: bool = False) -> Alphabet:
+    """White space is 0x20 and 0x09-0x0D; ``letters`` separates at every other ASCII byte but letters (and ``digits``)."""
     code = np.arange(256)
     fold = np.where((code >= 65) & (code <= 90), code + 32, code) if lower else code
     if letters:
-        sep = (code < 128) & ~(((code | 32) >= 97) & ((code | 32) <= 122))
+        sep = (code < 128) & ~(((code | 32) >= 97) & ((code | 32) <= 122)) & ~(digits & (code >= 48) & (code <= 57))
     else:
         sep = (code == 32) | ((code >= 9) & (code <= 13))
     value = mix((fold.astype(_U) + _U(1)) * _U(_STEP))
@@ -130,6 +130,26 @@ def window_hashes(words: Words, size: int, bases: int = 1) -> tuple[np.ndarray,
     return text, at, out
 
 
+class Members:
+    """Membership in a fixed set of hashes, most misses decided by a small bitmap."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = distinct(np.asarray(values, _U))[0]
+        self.bits = max(10, min(24, int(len(self.values) * 12).bit_length()))
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[(self.values & _U((1 << self.bits) - 1)).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place of each x among the sorted ``values``, -1 where it is not among them."""
+        out = np.full(len(x), -1, np.int64)
+        maybe = np.flatnonzero(self.seen[(x & _U((1 << self.bits) - 1)).astype(np.int64)])
+        if len(maybe) and len(self.values):
+            at = np.searchsorted(self.values, x[maybe])
+            at[at == len(self.values)] = 0
+            out[maybe] = np.where(self.values[at] == x[maybe], at, -1)
+        return out
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
