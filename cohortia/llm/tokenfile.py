@@ -14,6 +14,7 @@ before renaming it, so a task that is run again simply writes its file again.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -31,7 +32,7 @@ BLOCK_IDS = 1 << 15
 #: Bytes of text that go to one file, and what a document counts at least.
 FILE_BYTES, UNIT_BYTES = 24 << 20, 1 << 16
 #: Words that a worker remembers, and the longest of them.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 700_000, 48
 
 
 def id_bits(vocabulary: int) -> int:
@@ -57,7 +58,7 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class Writer:
-    """Streams documents into one file; memory holds one block of ids and a few numbers a document."""
+    """Streams documents into one file; memory holds a few blocks of ids and some numbers a document."""
 
     def __init__(self, out, bits: int):
         self.out, self.bits = out, bits
@@ -66,12 +67,14 @@ class Writer:
         self.offsets, self.n_ids = [len(MAGIC)], 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray, end_id: int | None = None) -> None:
+        """One more document; ``end_id`` is appended to its ids if given."""
+        parts = [ids] if end_id is None else [ids, np.array([end_id], ids.dtype)]
         self.doc_ids.append(doc_id)
-        self.sizes.append(len(ids))
-        self.ids.append(ids)
-        self.held += len(ids)
-        if self.held >= BLOCK_IDS:
+        self.sizes.append(sum(map(len, parts)))
+        self.ids += parts
+        self.held += self.sizes[-1]
+        if self.held >= 8 * BLOCK_IDS:
             self._flush(self.held // BLOCK_IDS * BLOCK_IDS)
 
     def _flush(self, count: int) -> None:
@@ -139,34 +142,66 @@ class Reader:
 
 
 class WordEncoder:
-    """Encodes white-space separated strings once per worker.
+    """Encodes each white-space separated string once while it is remembered, many in one call.
 
-    Valid for tokenizers whose pre-tokenizer drops ASCII white space and never joins what it
-    separates; ``load_tokenizer`` proves that on the loaded file's settings.
+    Valid for tokenizers whose pre-tokenizer drops white space and keeps runs of letters apart from
+    punctuation; ``load_tokenizer`` proves that on the loaded file's settings. So a word and the
+    punctuation after it are looked up by themselves, and ASCII texts in lower case where the
+    tokenizer lowers them anyway. Unseen strings are encoded in a row with a NUL between them, whose id
+    marks where each ends.
     """
 
-    words = re.compile("[^ \\t\\n\\r\\f\\v]+")
+    words = re.compile("[A-Za-z]+(?=[.,!?;:#$%&*)])|[^ \\t\\n\\r\\f\\v]+")
 
     def __init__(self, description: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(description)["normalizer"])
+        mark = self._ids("\0")
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.memory: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = self.words.findall(text)
-        memory = self.memory
-        new = list({w for w in words if w not in memory})
-        extra = {}
-        if new:
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (memory if len(word) <= LONGEST else extra)[word] = np.array(got.ids, np.uint32).tobytes()
-        if extra:
-            return np.frombuffer(b"".join([memory[w] if w in memory else extra[w] for w in words]), np.uint32)
-        return np.frombuffer(b"".join([memory[w] for w in words]), np.uint32)
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        alone = [w for w in words if self.mark is None or "\0" in w]
+        for w in alone:
+            yield w, self._ids(w).tobytes()
+        if alone:
+            words = list(set(words).difference(alone))
+        width = self.kind.itemsize
+        for a in range(0, len(words), 200):
+            part = words[a : a + 200]
+            ids = self._ids(" \0 ".join(part))
+            marks = np.flatnonzero(ids == self.mark) * width
+            data = ids.tobytes()
+            yield from zip(part, [data[x:y] for x, y in zip([0, *(marks + width).tolist()], [*marks.tolist(), len(data)])])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        lists = [self.words.findall(t.lower() if self.lowers and t.isascii() else t) for t in texts]
+        wanted = set().union(*lists)
+        if len(self.memory) > MEMORY:  # what was not used since the last turn is forgotten
+            self.older, self.memory = self.memory, {}
+        memory, older = self.memory, self.older
+        new = []
+        for w in wanted.difference(memory):
+            known = older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                memory[w] = known
+        memory.update(self._encode(new))
+        out = [np.frombuffer(b"".join(map(memory.__getitem__, words)), self.kind) for words in lists]
+        for w in new:
+            if len(w) > LONGEST:
+                del memory[w]
+        return out
 
 
 def load_tokenizer(path: str) -> tuple[str, int]:
@@ -182,11 +217,13 @@ def load_tokenizer(path: str) -> tuple[str, int]:
     spec = json.loads(description)
     steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
     split = next((s for s in steps if s["type"] == "Split"), None)
-    drops = split is not None and split["behavior"] == "Removed" and split["invert"] and "[^\\s" in split["pattern"]["Regex"]
+    parts = split["pattern"].get("Regex", "").split("|") if split else []
+    drops = bool(parts) and split["behavior"] == "Removed" and split["invert"] and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(parts)
+    drops = drops and all(p.startswith("'") or p.startswith("[") for p in parts)
     prefix = any(s.get("add_prefix_space") for s in steps)
     strips = any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
     if not drops or prefix or strips or spec.get("truncation") or spec.get("padding"):
-        raise ValueError("only tokenizers that drop white space before merging can be used")
+        raise ValueError("only tokenizers that part words from white space and punctuation before merging can be used")
     tokenizer = Tokenizer.from_str(description)
     return description, max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
 
@@ -241,7 +278,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, writer = _encoder(description), None, None
-        ending = np.array([end_id], np.uint32)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -253,8 +289,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
                     trial = f"{base}/.{name}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(trial)
                     writer = Writer(out, bits)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part.column("text"))):
-                    writer.add(doc_id, np.concatenate([encode(text), ending]))
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts(part.column("text")))):
+                    writer.add(doc_id, ids, end_id)
         if writer is not None:
             head = writer.close()
             out.close()
