@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
 
-from . import minhash, pieces, quality, shards, substrings, tokenfile, toxicity
+from . import decontaminate, minhash, pieces, quality, shards, substrings, tokenfile, toxicity, webpages
 from .tables import cut, read
 
 
@@ -46,6 +46,12 @@ def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@register("op2_consensus_pages")
+def op2_consensus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page, by the paths its host agrees on."""
+    return webpages.extract_text(read(spark, sf_dir, "pages"))
+
+
 @register("op3_stratified_shards")
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards that each show the mixture of sources; counts at most one apart."""
@@ -114,3 +120,9 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of fences learnt per language and source."""
     counts = cut(quality.base_counts(read(spark, sf_dir, "documents")))
     return quality.adaptive_filter(counts)
+
+
+@register("op10_benchmark_leaks")
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, one row per document and item."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
