@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
 
-from . import decontaminate, minhash, pieces, quality, shards, substrings, tokenfile, toxicity, webpages
+from . import decontaminate, licences, minhash, pieces, quality, shards, substrings, tokenfile, toxicity, webpages
 from .tables import cut, read
 
 
@@ -84,6 +84,12 @@ def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op6_licence_scan")
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licensed lines, paragraphs and texts of all documents, with their Dice coefficients."""
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
 REPEATS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),

@@ -146,6 +146,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     return Weights(np.frombuffer(bytes(got[0].places), np.int32), np.frombuffer(bytes(got[0]["values"]), np.float64), got[0].bias)
 
 
+class _Scorer:
+    """Scores of a column of texts under given weights."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, bias: float):
+        self.dense, self.bias, self.abc = np.zeros(1 << FEATURE_BITS), bias, _letters()
+        self.dense[places] = values
+        self.used = self.dense != 0
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        data, offsets = text_buffers(column)
+        total = np.full(len(column), self.bias)
+        for a, b in chunks(offsets):
+            text, place = features(hash_words(data, offsets[a : b + 1], self.abc))
+            hit = self.used[place]
+            keys = distinct(text[hit].astype(np.int64) << FEATURE_BITS | place[hit])[0]
+            total[a:b] += np.bincount(keys >> FEATURE_BITS, self.dense[keys & ((1 << FEATURE_BITS) - 1)], b - a)
+        return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id and score (0 to 1) of every row; a null or empty text has the score of the bias alone.
 
@@ -154,19 +173,20 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
     places, values, bias = weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << FEATURE_BITS)
-        dense[places] = values
-        used = dense != 0
-        abc = _letters()
+        scorer = _Scorer(places, values, bias)
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            total = np.full(batch.num_rows, bias)
-            for a, b in chunks(offsets):
-                text, place = features(hash_words(data, offsets[a : b + 1], abc))
-                hit = used[place]
-                keys = distinct(text[hit].astype(np.int64) << FEATURE_BITS | place[hit])[0]
-                at = keys & ((1 << FEATURE_BITS) - 1)
-                total[a:b] += np.bincount(keys >> FEATURE_BITS, dense[at], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all its columns, without the rows whose text scores ``threshold`` or more."""
+    places, values, bias = weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(places, values, bias)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
