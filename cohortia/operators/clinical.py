@@ -83,7 +83,7 @@ def split_measure_families(wide: DataFrame, id_col: str, prefixes: Sequence[str]
 
 def complete_features(assay: DataFrame, n_samples: int | None = None) -> DataFrame:
     """Keep features with a non-null value in every sample."""
-    present = F.count(F.when(~F.isnan("value"), 1))
+    present = F.count(F.when(F.col("value").isNotNull() & ~F.isnan("value"), 1))
     counts = assay.groupBy("feature_id").agg(present.alias("__n"))
     want = F.lit(n_samples) if n_samples is not None else assay.select("sample_id").distinct().agg(F.count(F.lit(1))).scalar()
     return assay.join(counts.where(F.col("__n") >= want).select("feature_id"), "feature_id", "left_semi").select(*assay.columns)

@@ -71,13 +71,15 @@ def concat_modalities(assays: Mapping[str, DataFrame], sep: str = ":") -> DataFr
 
 
 def late_integration(preds: DataFrame, model_weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Weighted mean score per (split, sample) over the models that scored it."""
+    """Weighted mean score per (split, sample) over the models that scored it; a null score has no weight."""
     w = F.lit(1.0)
     for m, v in (model_weights or {}).items():
         w = F.when(F.col("model") == m, F.lit(float(v))).otherwise(w)
-    return preds.withColumn("__w", w).groupBy("split", "sample_id").agg(
-        (F.sum(F.col("score") * F.col("__w")) / F.sum("__w")).alias("score"),
-        F.count(F.lit(1)).alias("n_models"))
+    scored = preds.withColumn("__w", F.when(F.col("score").isNotNull(), w))
+    total = F.sum("__w")
+    return scored.groupBy("split", "sample_id").agg(
+        F.when(total != 0, F.sum(F.col("score") * F.col("__w")) / total).alias("score"),
+        F.count("score").alias("n_models"))
 
 
 def _outer_by_split(df: DataFrame, key: str, value: str, by: Sequence[str]) -> DataFrame:

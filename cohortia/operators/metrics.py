@@ -95,10 +95,11 @@ def _survival_ranks(samples: DataFrame, by: Sequence[str], score: str) -> DataFr
 def comparable_pairs(samples: DataFrame, by: Sequence[str] = ("cohort",)) -> DataFrame:
     """Per (by, event time): events there and the partners each of them is comparable with.
 
-    Partners are rows with a later time, or censored at the same time. Only counts leave the
-    operator; the pairs themselves would be quadratic.
+    Partners are rows with a later time, or censored at the same time; rows without a time or an
+    event flag take no part. Only counts leave the operator; the pairs themselves would be quadratic.
     """
     by = list(by)
+    samples = samples.where(F.col("time").isNotNull() & F.col("event").isNotNull())
     cells = samples.groupBy(*by, "time").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("bigint")).alias("n_events"))
     at = running_totals(cells, by, "time", {"ge": "n"}, ascending=False)
     return at.where("n_events > 0").select(*by, "time", "n_events", (F.col("ge") - F.col("n_events")).alias("n_partners"),
@@ -108,7 +109,8 @@ def comparable_pairs(samples: DataFrame, by: Sequence[str] = ("cohort",)) -> Dat
 def c_index(samples: DataFrame, score: str = "score", by: Sequence[str] = ("cohort",), rows_per_bucket: int | None = None) -> DataFrame:
     """Harrell's C: a higher score should mean an earlier event; score ties count one half.
 
-    Exact without forming pairs, see ``dominance_pairs``.
+    Exact without forming pairs, see ``dominance_pairs``. Rows with a null time, event or score
+    count on neither side.
     """
     by = list(by)
     pts = cut_lineage(_survival_ranks(samples, by, score))  # read by several passes below

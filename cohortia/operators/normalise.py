@@ -13,15 +13,20 @@ def _per_sample(assay: DataFrame, agg: Column) -> DataFrame:
     return assay.groupBy("sample_id").agg(agg)
 
 
+def _share(value: Column, total: str) -> Column:
+    """Part of a sample's total; every part of an all-zero sample is zero."""
+    return F.when(F.col(total) != 0, value / F.col(total)).when(value.isNotNull(), 0.0)
+
+
 def normalize_total_log1p(assay: DataFrame, target: float = 1e4) -> DataFrame:
-    """Scale every sample to ``target`` total, then ln(1 + x)."""
+    """Scale every sample to ``target`` total, then ln(1 + x). A sample of zeros stays zero."""
     tot = _per_sample(assay, F.sum("value").alias("__t"))
-    return assay.join(tot, "sample_id").withColumn("value", F.log1p(F.col("value") / F.col("__t") * target)).select(*assay.columns)
+    return assay.join(tot, "sample_id").withColumn("value", F.log1p(_share(F.col("value"), "__t") * target)).select(*assay.columns)
 
 
 def relative_abundance(assay: DataFrame) -> DataFrame:
     tot = _per_sample(assay, F.sum("value").alias("__t"))
-    return assay.join(tot, "sample_id").withColumn("value", F.col("value") / F.col("__t")).select(*assay.columns)
+    return assay.join(tot, "sample_id").withColumn("value", _share(F.col("value"), "__t")).select(*assay.columns)
 
 
 def clr(assay: DataFrame, pseudocount: float = 1.0) -> DataFrame:
@@ -43,7 +48,7 @@ def tpm(assay: DataFrame, lengths: DataFrame) -> DataFrame:
     """Value per feature length, rescaled to one million per sample."""
     rate = assay.join(lengths.select("feature_id", "length"), "feature_id").withColumn("__r", F.col("value") / F.col("length"))
     tot = _per_sample(rate, F.sum("__r").alias("__t"))
-    return rate.join(tot, "sample_id").withColumn("value", F.col("__r") / F.col("__t") * 1e6).select(*assay.columns)
+    return rate.join(tot, "sample_id").withColumn("value", _share(F.col("__r"), "__t") * 1e6).select(*assay.columns)
 
 
 def aggregate_features(assay: DataFrame, mapping: DataFrame) -> DataFrame:

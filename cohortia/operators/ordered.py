@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 10_000
 
 
@@ -28,18 +27,17 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -
     return a.join(b, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int | None = None, by: Sequence[str] = ()) -> list[float]:
-    """Inner cut points of ``order``, empty when no group of ``by`` exceeds one bucket.
+def bucket_splits(df: DataFrame, order: str, rows_per_bucket: int | None = None) -> list[float]:
+    """Cut points of ``order`` that part all rows into buckets of about ``rows_per_bucket``.
 
-    One pass counts the rows per group, and only if a group is large another sketches the cut
-    points; at most a few thousand numbers reach the driver. Loops over an unchanged axis
-    compute them once and pass them on.
+    The number of buckets follows the rows without a limit; fewer rows than one bucket holds need
+    no cut. One pass counts, another sketches the cut points; only these numbers reach
+    the driver. Loops over an unchanged axis compute them once and pass them on.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n"), F.sum("__n")).first()
-    if (sizes[0] or 0) <= rows_per_bucket:
+    buckets = -(-df.count() // rows_per_bucket)
+    if buckets < 2:
         return []
-    buckets = min(MAX_BUCKETS, -(-sizes[1] // rows_per_bucket))
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(SKETCH_ACCURACY, 10 * buckets)
     return sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), probs, accuracy)).first()[0] or []))
@@ -56,13 +54,13 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> column) along ``order`` within ``by``.
 
-    ``df`` must be unique on (by, order): aggregate to distinct values first. When a group has
-    more than ``rows_per_bucket`` rows the order axis is cut into buckets (equal values share
-    one): sums run inside a bucket, bucket totals run across buckets, and the two are added.
+    ``df`` must be unique on (by, order): aggregate to distinct values first. The order axis is cut
+    into buckets (equal values share one): sums run inside a bucket, bucket totals run across
+    buckets, and the two are added. Without a cut point there is one bucket and nothing to add.
     """
     by = list(by)
     if splits is None:
-        splits = bucket_splits(df, order, rows_per_bucket, by)
+        splits = bucket_splits(df, order, rows_per_bucket)
     key = F.col(order).asc() if ascending else F.col(order).desc()
     if not splits:
         w = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
@@ -94,9 +92,8 @@ def quantiles(
     """Exact linearly interpolated quantiles (output name -> probability) per group.
 
     A mergeable sketch brackets every wanted rank, then only the values inside the
-    brackets are sorted; values below are merely counted. A group thus sends at most about
-    ``max(accuracy, 16 n / accuracy)`` distinct values through one window. The bracket is
-    verified, so a wrong sketch fails the job instead of changing a result.
+    brackets are sorted, in parts; values below are merely counted. The bracket is verified, so
+    a wrong sketch fails the job instead of changing a result.
     """
     by = list(by)
     names, ps = list(probs), [float(p) for p in probs.values()]
@@ -124,10 +121,19 @@ def quantiles(
     picked = picked.where(F.col("__v") <= F.col("__r.hi")).withColumn(
         "__k", F.when(F.col("__v") >= F.col("__r.lo"), F.col("__v"))
     )
-    counts = picked.groupBy(*by, "__i", "__k").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
-    w = Window.partitionBy(*by, "__i").orderBy(F.col("__k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    # The bracket is cut into parts of the value axis, so no task sorts more than about a bucket of it.
+    parts = F.ceil(F.col("__n") * (2 * slack / ROWS_PER_BUCKET))
+    inside = (F.col("__k") - F.col("__r.lo")) / (F.col("__r.hi") - F.col("__r.lo")) * parts
+    part = F.when(F.col("__k").isNull(), -1).when(whole | (parts <= 1) | (F.col("__r.hi") <= F.col("__r.lo")), 0).otherwise(F.least(F.floor(inside), parts - 1))
+    counts = picked.withColumn("__p", part.cast("long")).groupBy(*by, "__i", "__p", "__k").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    before = Window.partitionBy(*by, "__i").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "__i", "__p").agg(F.sum("__c").alias("__t"))
+    totals = totals.select(*by, "__i", "__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    w = Window.partitionBy(*by, "__i", "__p").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    local = counts.withColumn("__l", F.sum("__c").over(w))
+    joined = _same(local, totals, [*by, "__i", "__p"])
     p = F.element_at(F.array(*[F.lit(x) for x in ps]), F.col("__i") + 1)
-    ranked = counts.withColumn("__cum", F.sum("__c").over(w)).withColumn("__h", (F.col("__n") - 1) * p)
+    ranked = joined.withColumn("__cum", F.col("__l") + F.col("__o")).withColumn("__h", (F.col("__n") - 1) * p)
     lo, hi = F.floor("__h") + 1, F.ceil("__h") + 1
     sel = ranked.groupBy(*by, "__i").agg(
         F.min(F.when(F.col("__cum") >= lo, F.col("__k"))).alias("__a"),
@@ -144,6 +150,25 @@ def quantiles(
     return sel.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(nm) for i, nm in enumerate(names)])
 
 
+def weighted_quantiles(
+    counts: DataFrame, by: Sequence[str], value: str, weight: str, probs: dict[str, float], rows_per_bucket: int | None = None
+) -> DataFrame:
+    """Quantiles like ``quantiles`` of values that occur ``weight`` times; unique on (by, value)."""
+    by = list(by)
+    rows = counts.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*by, F.col(value).cast("double").alias("__v"), F.col(weight).cast("long").alias("__w"))
+    cum = running_totals(rows, by, "__v", {"__cum": "__w"}, rows_per_bucket=rows_per_bucket)
+    n = rows.groupBy(*by).agg(F.sum("__w").alias("__n"))
+    full = _same(cum, n, by) if by else cum.withColumn("__n", n.select("__n").scalar())
+    at = {}
+    for k, p in enumerate(probs.values()):
+        h = (F.col("__n") - 1) * float(p)
+        at[f"__a{k}"] = F.min(F.when(F.col("__cum") >= F.floor(h) + 1, F.col("__v")))
+        at[f"__z{k}"] = F.min(F.when(F.col("__cum") >= F.ceil(h) + 1, F.col("__v")))
+    got = full.groupBy(*by, "__n").agg(*[e.alias(c) for c, e in at.items()])
+    frac = lambda p: (F.col("__n") - 1) * float(p) - F.floor((F.col("__n") - 1) * float(p))
+    return got.select(*by, *[(F.col(f"__a{k}") + frac(p) * (F.col(f"__z{k}") - F.col(f"__a{k}"))).alias(nm) for k, (nm, p) in enumerate(probs.items())])
+
+
 def seeded_key(seed: object, *parts: object) -> Column:
     """md5 of ``seed|part|part...``, the library's reproducible random order."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
@@ -153,11 +178,11 @@ def seeded_key(seed: object, *parts: object) -> Column:
 def seeded_rank(df: DataFrame, by: Sequence[str], key: Column, out: str = "rank") -> DataFrame:
     """1-based position of each row in md5 order within ``by``.
 
-    The first two hex digits split every group into 256 even parts, so the position is the
+    The first four hex digits split every group into 65,536 even parts, so the position is the
     count of rows in earlier parts plus the position inside the own part.
     """
     by = list(by)
-    df = df.withColumn("__h", key).withColumn("__p", F.substring("__h", 1, 2))
+    df = df.withColumn("__h", key).withColumn("__p", F.substring("__h", 1, 4))
     local = df.withColumn("__l", F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__h")))
     before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -207,8 +232,7 @@ def dominance_totals(
     lev, grp = _digits(points, by, x)
     cols = [f"__{o}_{d}" for o in values for d in range(_BASE - 1)]
     cells = lev.groupBy(*grp, y).agg(*_above(values))
-    # A cell group never holds more rows than its ``by`` group has points.
-    splits = bucket_splits(points, y, rows_per_bucket, by)
+    splits = bucket_splits(points, y, rows_per_bucket)
     cum = running_totals(cells, grp, y, {f"{c}_cum": c for c in cols}, splits=splits)
     packed = cum.select(
         *grp, y,
@@ -267,7 +291,7 @@ def dominance_pairs(
     lev, grp = _digits(points, by, x)
     ask = [F.sum(F.when(F.col("__d") == d, F.col(asker)).otherwise(0)).alias(f"__q_{d}") for d in range(_BASE - 1)]
     cells = lev.groupBy(*grp, y).agg(*_above({"w": weight}), *ask)
-    splits = bucket_splits(points, y, rows_per_bucket, by)
+    splits = bucket_splits(points, y, rows_per_bucket)
     cum = running_totals(cells, grp, y, {f"__c_{d}": f"__w_{d}" for d in range(_BASE - 1)}, splits=splits)
     lt = sum((F.col(f"__q_{d}") * (F.col(f"__c_{d}") - F.col(f"__w_{d}")) for d in range(_BASE - 1)), F.lit(0))
     eq = sum((F.col(f"__q_{d}") * F.col(f"__w_{d}") for d in range(_BASE - 1)), F.lit(0))

@@ -101,7 +101,9 @@ def permutation_test(samples: DataFrame, score: str, n: int = 1000, within: str
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("sample_id", "feature_id", F.col("value").alias("x")).join(b.select("sample_id", "feature_id", F.col("value").alias("y")), ["sample_id", "feature_id"])
+    """Cells that both sides measured; a null on either side leaves the pair out."""
+    x, y = (d.where(F.col("value").isNotNull()).select("sample_id", "feature_id", F.col("value").alias(c)) for d, c in ((a, "x"), (b, "y")))
+    return x.join(y, ["sample_id", "feature_id"])
 
 
 def _corr(x, y):

@@ -127,13 +127,18 @@ def feature_index(assay: DataFrame) -> DataFrame:
 def matrix_to_vectors(assay: DataFrame, index: DataFrame, fill: float = 0.0) -> DataFrame:
     """One dense array per sample in feature-index order; absent cells take ``fill``.
 
-    A sample's cells are bounded by the number of features.
+    Linear in the features: a sample's cells, bounded by their number, are sorted once. A cell
+    given twice fails the job.
     """
     n = index.agg(F.count(F.lit(1))).scalar().cast("int")
-    cells = assay.join(index, "feature_id").groupBy("sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("index", "value"))).alias("m"))
-    cells = cells.withColumn("n", n)
-    return cells.select("sample_id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(fill))).alias("vec"))
+    cells = assay.join(index, "feature_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("c"))
+    # One pass over the sorted cells: the gap before each cell, then the cell.
+    before = "coalesce(get(c, i - 1).index, -1)"
+    runs = F.expr(f"flatten(transform(c, (x, i) -> concat(array_repeat({float(fill)}D, x.index - {before} - 1), array(coalesce(cast(x.value as double), {float(fill)}D)))))")
+    rest = F.expr(f"array_repeat({float(fill)}D, n - 1 - element_at(c, -1).index)")
+    vec = F.concat(runs, rest)
+    checked = F.when(F.size("vec") == F.col("n"), F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("a cell occurs twice in sample "), F.col("sample_id").cast("string"))).cast("array<double>"))
+    return cells.withColumn("n", n).withColumn("vec", vec).select("sample_id", checked.alias("vec"))
 
 
 def pivot_wide(assay: DataFrame, feature_ids: Sequence[str]) -> DataFrame:
