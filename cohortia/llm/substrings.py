@@ -5,7 +5,7 @@ turns the windows of a segment (a run of rows of one input file) into sorted lis
 they hit in each row of a count-min sketch; lists are grouped by block of counters and summed, a
 counter rises once per document. The sum overestimates, so a window of two documents is never
 missed. Each segment gets back those of its counters that reached two. Pass two hashes the windows
-again and lets only those through whose counters all did; these are grouped exactly, by 128-bit
+again and lets only those through whose counters all did; these are grouped exactly, by 96-bit
 hashes, for the smallest doc_id. Pass three removes what they cover.
 
 The sketch grows with the input (COUNTERS per window and row), no task ever holds more than one
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .hashing import alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
+from .hashing import Members, alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
 from .tables import cut, filesystem, fresh_dir
 
 WINDOW = 50
@@ -41,20 +41,29 @@ _U = np.uint64
 _DOC_BITS = 24
 
 
-def encode_gaps(sorted_values: np.ndarray) -> bytes:
-    """Ascending distinct integers as gaps of one byte each; 255 means go on adding."""
-    if not len(sorted_values):
+def encode_sorted(values: np.ndarray) -> bytes:
+    """Ascending distinct integers: their low bytes, and the high parts as a bit string of steps.
+
+    Takes about log2(mean gap) + 2 bits a value, rounded up to whole low bytes.
+    """
+    n = len(values)
+    if not n:
         return b""
-    gaps = np.diff(sorted_values, prepend=0).astype(np.int64)
-    more = gaps // 255
-    out = np.full(int((more + 1).sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = gaps % 255
-    return out.tobytes()
+    gap = (int(values[-1]) + 1) / n
+    width = 0 if gap < 8 else 1 if gap < 2048 else 2
+    high = (values >> (8 * width)) + np.arange(n)
+    bits = np.zeros(int(high[-1]) + 1, np.uint8)
+    bits[high] = 1
+    low = (values & ((1 << 8 * width) - 1)).astype(f"<u{width}").tobytes() if width else b""
+    return n.to_bytes(4, "little") + bytes([width]) + low + np.packbits(bits).tobytes()
 
 
-def decode_gaps(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+def decode_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=5 + n * width))) - np.arange(n)
+    return (high << (8 * width)) + np.frombuffer(data, f"<u{width}", n, 5) if width else high
 
 
 def _segmented(docs: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def _sketch(size: int, width: int) -> Callable:
             blocks = distinct(slot >> BLOCK_BITS)[0]
             for block, a, b in zip(blocks, np.searchsorted(slot, blocks << BLOCK_BITS), np.searchsorted(slot, (blocks + 1) << BLOCK_BITS)):
                 own, twice = slot[a:b] - (block << BLOCK_BITS), times[a:b] > 1
-                for key, value in (("row", row), ("block", int(block)), ("seg", seg), ("once", encode_gaps(own[~twice])), ("more", encode_gaps(own[twice]))):
+                for key, value in (("row", row), ("block", int(block)), ("seg", seg), ("once", encode_sorted(own[~twice])), ("more", encode_sorted(own[twice]))):
                     out[key].append(value)
                 if len(out["row"]) >= 256:
                     yield _lists_batch(out)
@@ -142,7 +151,7 @@ def _merge(table: pa.Table) -> pa.Table:
     counts = np.zeros(1 << BLOCK_BITS, np.int32)
     own: dict[int, list[np.ndarray]] = {}
     for seg, once, more in zip(table.column("seg").to_pylist(), table.column("once").to_pylist(), table.column("more").to_pylist()):
-        one, two = decode_gaps(once), decode_gaps(more)
+        one, two = decode_sorted(once), decode_sorted(more)
         counts[one] += 1
         counts[two] += 2
         own.setdefault(seg, []).extend((one, two))
@@ -152,7 +161,7 @@ def _merge(table: pa.Table) -> pa.Table:
         at = at[counts[at] > 1]
         if len(at):
             segs.append(seg)
-            hot.append(encode_gaps(at))
+            hot.append(encode_sorted(at))
     n = len(segs)
     return pa.table({"row": pa.array([table.column("row")[0].as_py()] * n, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int64()), "seg": pa.array(segs, pa.int64()), "hot": pa.array(hot, pa.binary())})
 
@@ -165,36 +174,21 @@ def _known(directory: str, seg: int) -> pa.Table | None:
     return ds.dataset(base, filesystem=system, format="parquet").to_table()
 
 
-class _Member:
-    """Membership in a sorted array, most misses decided by a small bitmap."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = distinct(values)[0]
-        self.bits = max(10, min(24, int(len(self.values) * 12).bit_length()))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[(self.values & _U((1 << self.bits) - 1)).astype(np.int64)] = True
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x in ``values``, -1 where it is not among them."""
-        out = np.full(len(x), -1, np.int64)
-        maybe = np.flatnonzero(self.seen[(x & _U((1 << self.bits) - 1)).astype(np.int64)])
-        if len(maybe) and len(self.values):
-            at = np.searchsorted(self.values, x[maybe])
-            at[at == len(self.values)] = 0
-            out[maybe] = np.where(self.values[at] == x[maybe], at, -1)
-        return out
-
-
-def _hot_slots(directory: str, seg: int) -> list[_Member]:
+def _hot_slots(directory: str, seg: int) -> list[Members]:
     table, found = _known(directory, seg), [[] for _ in range(SKETCH_ROWS)]
     if table is not None:
         for row, block, hot in zip(table.column("row").to_pylist(), table.column("block").to_pylist(), table.column("hot").to_pylist()):
-            found[row].append(decode_gaps(hot) + (block << BLOCK_BITS))
-    return [_Member(np.concatenate(f).astype(_U) if f else np.zeros(0, _U)) for f in found]
+            found[row].append(decode_sorted(hot) + (block << BLOCK_BITS))
+    return [Members(np.concatenate(f).astype(_U) if f else np.zeros(0, _U)) for f in found]
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper half of a hash, as Spark's int."""
+    return (h >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def _candidates(size: int, width: int, directory: str) -> Callable:
-    """Distinct candidate windows of each segment with their smallest and largest doc_id."""
+    """Distinct candidate windows of each segment: smallest doc_id, and whether there are several."""
 
     def rows(seg: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc = (np.concatenate([f[k] for f in found]) for k in range(3))
@@ -202,9 +196,9 @@ def _candidates(size: int, width: int, directory: str) -> Callable:
         h1, h2, doc = h1[order], h2[order], doc[order]
         new = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         last = np.r_[new[1:], len(h1)] - 1
-        columns = [h1[new].view(np.int64), h2[new].view(np.int64), np.full(len(new), seg), doc[new], doc[last]]
+        columns = [h1[new].view(np.int64), _short(h2[new]), np.full(len(new), seg), doc[new], doc[new] < doc[last]]
         for a in range(0, len(new), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], ["h1", "h2", "seg", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], ["h1", "h2", "seg", "low", "several"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, found = None, [], []
@@ -242,10 +236,10 @@ def _cover(size: int, directory: str, keep_text: bool) -> Callable:
                 else:
                     known = known.sort_by("h1")
                     h1, h2, first = (known.column(c).to_numpy() for c in ("h1", "h2", "first"))
-                    member = _Member(h1.view(_U))
+                    member = Members(h1.view(_U))
                     order = np.argsort(h1.view(_U), kind="stable")
                     order = order[np.searchsorted(h1.view(_U)[order], member.values)]
-                    table = h2[order].view(_U), first[order]
+                    table = h2[order], first[order]
             ids = part.column("doc_id")
             named = ~ids.is_null().to_numpy(zero_copy_only=False)
             id_values = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -259,7 +253,7 @@ def _cover(size: int, directory: str, keep_text: bool) -> Callable:
                     place = member.find(hashes[0])
                     hit = np.flatnonzero(place >= 0)
                     p, d = place[hit], text[hit] + a
-                    hit = hit[(table[0][p] == hashes[1][hit]) & (table[1][p] < id_values[d]) & named[d]]
+                    hit = hit[(table[0][p] == _short(hashes[1][hit])) & (table[1][p] < id_values[d]) & named[d]]
                     np.add.at(gone, at[hit], 1)
                     np.subtract.at(gone, at[hit] + size, 1)
                 gone = np.cumsum(gone[:-1]) > 0
@@ -320,10 +314,10 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False)
     hot = lists.groupBy("row", "block").applyInArrow(_merge, "row int, block long, seg long, hot binary")
     sketch_dir = fresh_dir(spark, "hot-counters")
     hot.repartition("seg").write.partitionBy("seg").parquet(sketch_dir)
-    found = scan.mapInArrow(_candidates(size, width, sketch_dir), "h1 long, h2 long, seg long, low long, high long")
+    found = scan.mapInArrow(_candidates(size, width, sketch_dir), "h1 long, h2 int, seg long, low long, several boolean")
     # One row per segment and window: the group of a window is no larger than the number of segments.
     first = F.min("low").over(Window.partitionBy("h1", "h2"))
-    earlier = found.withColumn("first", first).where(F.col("first") < F.col("high")).select("seg", "h1", "h2", "first")
+    earlier = found.withColumn("first", first).where((F.col("first") < F.col("low")) | F.col("several")).select("seg", "h1", "h2", "first")
     cover_dir = fresh_dir(spark, "repeats")
     earlier.repartition("seg").write.partitionBy("seg").parquet(cover_dir)
     fields = [f for f in rows.schema.fields if f.name not in ("text", "__seg")]

@@ -67,8 +67,11 @@ def test_odd_rows(make, odd_rows):
     assert substrings.remove_repeats(make([])).count() == 0
 
 
-def test_gap_code():
+@pytest.mark.parametrize("top", [3, 60, 5000, 10**6, 10**9])
+def test_sorted_code(top):
     import numpy as np
 
-    for values in ([], [0], [1, 2, 254, 255, 256, 511, 100_000]):
-        assert substrings.decode_gaps(substrings.encode_gaps(np.array(values, np.int64))).tolist() == values
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 2, 50, 3000):
+        values = np.unique(rng.integers(0, top, n))
+        assert substrings.decode_sorted(substrings.encode_sorted(values)).tolist() == values.tolist()
