@@ -80,8 +80,8 @@ def _(spark, d):
     return E.impute(c, ["days_to_death"], ["race"])
 
 
-@register("standardise", f"""SELECT sample_id, feature_id, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END AS value, modality
- FROM ({A.ASSAY}) WINDOW w AS (PARTITION BY feature_id)""", rounded=["value"])
+@register("standardise", f"""SELECT sample_id, feature_id, z AS value, 'rna' AS modality FROM (SELECT *, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 1e-9 THEN stddev_pop(value) OVER w ELSE 1 END AS z
+ FROM ({A.grid_sql(A.ASSAY)}) WINDOW w AS (PARTITION BY feature_id)) WHERE value <> 0""", rounded=["value"])
 def _(spark, d):
     return E.standardise(A.assay(spark, d))
 
@@ -101,7 +101,7 @@ def _(spark, d):
     return N.relative_abundance(A.assay(spark, d))
 
 
-@register("clr", f"SELECT sample_id, feature_id, ln(value + 1) - avg(ln(value + 1)) OVER (PARTITION BY sample_id) AS value, modality FROM ({A.ASSAY})", rounded=["value"])
+@register("clr", f"SELECT sample_id, feature_id, z AS value, 'rna' AS modality FROM (SELECT *, ln(value + 1) - avg(ln(value + 1)) OVER (PARTITION BY sample_id) AS z FROM ({A.grid_sql(A.ASSAY)})) WHERE value <> 0", rounded=["value"])
 def _(spark, d):
     return N.clr(A.assay(spark, d))
 
@@ -122,7 +122,7 @@ def _(spark, d):
 
 
 @register("feature_distribution", f"""SELECT feature_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS median,
- quantile_cont(value, 0.75) AS q75 FROM ({A.ASSAY}) GROUP BY 1""", rounded=["mean", "std", "q25", "median", "q75"])
+ quantile_cont(value, 0.75) AS q75 FROM ({A.grid_sql(A.ASSAY)}) GROUP BY 1""", rounded=["mean", "std", "q25", "median", "q75"])
 def _(spark, d):
     return N.feature_distribution(A.assay(spark, d))
 
@@ -142,7 +142,7 @@ def _(spark, d):
 
 
 _TMM = f"""WITH a AS (SELECT sample_id, feature_id, sum(value) AS value FROM ({A.BRAND_ASSAY}) GROUP BY 1, 2), l AS (SELECT sample_id, sum(value) AS lib FROM a GROUP BY 1),
- u AS (SELECT a.sample_id, quantile_cont(value / lib, 0.75) AS uq FROM a JOIN l ON a.sample_id = l.sample_id GROUP BY 1),
+ u AS (SELECT g.sample_id, quantile_cont(value / lib, 0.75) AS uq FROM ({A.grid_sql("SELECT * FROM a")}) AS g JOIN l ON g.sample_id = l.sample_id GROUP BY 1),
  r AS (SELECT sample_id FROM u ORDER BY round(abs(uq - (SELECT avg(uq) FROM u)), 12), sample_id LIMIT 1),
  f AS (SELECT feature_id, value AS r, lib AS nr FROM a JOIN l ON a.sample_id = l.sample_id WHERE a.sample_id = (SELECT sample_id FROM r)),
  c AS (SELECT a.sample_id, log2(value / lib) - log2(r / nr) AS m, (log2(value / lib) + log2(r / nr)) / 2 AS a, (lib - value) / lib / value + (nr - r) / nr / r AS v FROM a JOIN l ON a.sample_id = l.sample_id JOIN f ON f.feature_id = a.feature_id),
@@ -158,7 +158,7 @@ def _(spark, d):
 
 
 @register("log_cpm", f"""SELECT a.sample_id, a.feature_id, log2((value + e / m) / (e + 2 * e / m) * 1e6) AS value FROM
- (SELECT sample_id, feature_id, sum(value) AS value FROM ({A.BRAND_ASSAY}) GROUP BY 1, 2) AS a JOIN (SELECT sample_id, lib * factor AS e, avg(lib * factor) OVER () AS m FROM ({_TMM})) AS f ON a.sample_id = f.sample_id""", rounded=["value"])
+ ({A.grid_sql(f"SELECT sample_id, feature_id, sum(value) AS value FROM ({A.BRAND_ASSAY}) GROUP BY 1, 2")}) AS a JOIN (SELECT sample_id, lib * factor AS e, avg(lib * factor) OVER () AS m FROM ({_TMM})) AS f ON a.sample_id = f.sample_id""", rounded=["value"])
 def _(spark, d):
     a = _brand_counts(spark, d)
     return N.log_cpm(a, N.tmm_factors(a))

@@ -7,7 +7,7 @@ from cohortia.operators import cluster as C
 from cohortia.operators import graph as G
 from cohortia.operators import pathway as P
 from cohortia.operators import vectors as V
-from cohortia.operators.encode import standardise
+from cohortia.operators.encode import standardise, standardised_zero
 from cohortia.session import cut_lineage
 from cohortia.sources import adapters as A
 from cohortia.sources import readers as R
@@ -244,12 +244,13 @@ def _(spark, d):
     return P.pathway_coverage(A.features(spark, d), both)
 
 
-_Z = f"SELECT sample_id, feature_id, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END AS value FROM ({A.ASSAY}) WINDOW w AS (PARTITION BY feature_id)"
+_Z = f"SELECT sample_id, feature_id, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 1e-9 THEN stddev_pop(value) OVER w ELSE 1 END AS value FROM ({A.grid_sql(A.ASSAY)}) WINDOW w AS (PARTITION BY feature_id)"
 _SC = f"SELECT sample_id, pathway_id AS feature_id, avg(value) AS value FROM ({_Z}) AS z JOIN ({A.MEMBERS}) AS m ON z.feature_id = m.feature_id GROUP BY 1, 2"
 
 
 def _scores(spark, d):
-    return P.pathway_score(standardise(A.assay(spark, d)), A.members(spark, d))
+    a = A.assay(spark, d)
+    return P.pathway_score(standardise(a), A.members(spark, d), absent=standardised_zero(a))
 
 
 @register("pathway_score", _SC, rounded=["value"])
@@ -260,7 +261,8 @@ def _(spark, d):
 @register("pathway_score_weighted", f"SELECT z.sample_id, brand AS feature_id, greatest(sum(w * value) / sum(abs(w)), 0.0) AS value FROM ({_Z}) AS z JOIN (SELECT feature_id, brand, length / 10.0 AS w FROM ({A.FEATURES})) AS f ON z.feature_id = f.feature_id GROUP BY 1, 2", rounded=["value"])
 def _(spark, d):
     w = A.features(spark, d).select("feature_id", F.col("brand").alias("pathway_id"), (F.col("length") / 10.0).alias("weight"))
-    return P.pathway_score(standardise(A.assay(spark, d)), A.members(spark, d), w, relu=True)
+    a = A.assay(spark, d)
+    return P.pathway_score(standardise(a), A.members(spark, d), w, relu=True, absent=standardised_zero(a))
 
 
 @register("process_score", f"SELECT sample_id, process_id AS feature_id, avg(value) AS value FROM ({_SC}) AS s JOIN ({A.PROCESS}) AS p ON s.feature_id = p.pathway_id GROUP BY 1, 2", rounded=["value"])

@@ -113,7 +113,7 @@ def _(spark, d):
     return C.recode_categories(A.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"FURNITURE": "HOUSEHOLD"}, ["BUILDING"])
 
 
-@register("variance_filter", f"SELECT * FROM ({A.ASSAY}) WHERE feature_id IN (SELECT feature_id FROM ({A.ASSAY}) GROUP BY 1 HAVING var_samp(value) >= 250)")
+@register("variance_filter", f"SELECT * FROM ({A.ASSAY}) WHERE feature_id IN (SELECT feature_id FROM ({A.grid_sql(A.ASSAY)}) GROUP BY 1 HAVING var_samp(value) >= 250)")
 def _(spark, d):
     return J.variance_filter(A.assay(spark, d), 250)
 
@@ -271,13 +271,13 @@ def _(spark, d):
     return C.distinct_first(A.clinical(spark, d), ["bcr_patient_barcode"], [F.col("visit")])
 
 
-@register("feature_median", f"SELECT feature_id, quantile_cont(value, 0.5) AS median FROM ({A.ASSAY}) GROUP BY 1", rounded=["median"])
+@register("feature_median", f"SELECT feature_id, quantile_cont(value, 0.5) AS median FROM ({A.grid_sql(A.ASSAY)}) GROUP BY 1", rounded=["median"])
 def _(spark, d):
     return J.feature_median(A.assay(spark, d))
 
 
 _COLLAPSE = f"""WITH a AS (SELECT a.sample_id, a.feature_id, symbol, value FROM ({A.ASSAY}) AS a JOIN ({A.FEATURES}) AS f ON a.feature_id = f.feature_id),
- m AS (SELECT symbol, feature_id, quantile_cont(value, 0.5) AS md FROM a GROUP BY 1, 2),
+ m AS (SELECT symbol, feature_id, quantile_cont(coalesce(a.value, 0.0), 0.5) AS md FROM (SELECT DISTINCT symbol, feature_id FROM a) AS f CROSS JOIN (SELECT DISTINCT sample_id FROM a) AS s LEFT JOIN a USING (symbol, feature_id, sample_id) GROUP BY 1, 2),
  k AS (SELECT feature_id FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY md DESC, feature_id) = 1)
  SELECT sample_id, symbol AS feature_id, value FROM a WHERE feature_id IN (SELECT feature_id FROM k)"""
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.absent import moments
 from cohortia.operators.ordered import quantiles
 
 # Fixed value lists.
@@ -78,12 +79,25 @@ def impute(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str
     return df.withColumns(new)
 
 
+def _scale(assay: DataFrame, ddof: int) -> DataFrame:
+    """feature_id, __m and __s: mean and std over all samples, absent cells as zeros; zero std counts as 1."""
+    std = F.sqrt(F.col("m2") / F.when(F.col("n") > ddof, F.col("n") - ddof))
+    return moments(assay).select("feature_id", F.col("mean").alias("__m"), F.when(std > 1e-12 * F.abs("mean"), std).otherwise(1.0).alias("__s"))
+
+
 def standardise(assay: DataFrame, fit_on: DataFrame | None = None, ddof: int = 0) -> DataFrame:
-    """(value - mean) / std per feature, moments from ``fit_on`` (training rows); zero std counts as 1."""
-    std = F.stddev_pop("value") if ddof == 0 else F.stddev_samp("value")
-    stats = (fit_on if fit_on is not None else assay).groupBy("feature_id").agg(F.avg("value").alias("__m"), std.alias("__s"))
-    scale = F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)
-    return assay.join(stats, "feature_id").withColumn("value", (F.col("value") - F.col("__m")) / scale).select(*assay.columns)
+    """(value - mean) / std per feature, moments from ``fit_on`` (training rows).
+
+    Absent cells are zeros and enter the moments; only the given cells are written. What an
+    absent cell would become, one number per feature, is told by ``standardised_zero``.
+    """
+    stats = _scale(fit_on if fit_on is not None else assay, ddof)
+    return assay.join(stats, "feature_id").withColumn("value", (F.col("value") - F.col("__m")) / F.col("__s")).select(*assay.columns)
+
+
+def standardised_zero(assay: DataFrame, fit_on: DataFrame | None = None, ddof: int = 0) -> DataFrame:
+    """feature_id and the standardised value of its absent cells."""
+    return _scale(fit_on if fit_on is not None else assay, ddof).select("feature_id", (-F.col("__m") / F.col("__s")).alias("value"))
 
 
 def label_encode(df: DataFrame, col: str, out: str = "code") -> DataFrame:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.operators.ordered import first_row, quantiles
+from cohortia.operators.absent import moments, n_distinct, quantiles_with_zeros
+from cohortia.operators.ordered import first_row, weighted_quantiles
 
 
 def annotate_genes(assay: DataFrame, annotation: DataFrame, biotype: str | None = "protein_coding") -> DataFrame:
@@ -19,16 +20,25 @@ def annotate_genes(assay: DataFrame, annotation: DataFrame, biotype: str | None
 
 
 def feature_median(assay: DataFrame) -> DataFrame:
-    return quantiles(assay, ["feature_id"], "value", {"median": 0.5})
+    """Exact median per feature over all samples; absent cells are zeros."""
+    return quantiles_with_zeros(assay, {"median": 0.5})
 
 
 def collapse_duplicate_genes(annotated: DataFrame) -> DataFrame:
-    """Per symbol keep the feature with the highest median; the smaller id wins a tie."""
-    med = feature_median(annotated)
-    names = annotated.select("feature_id", "symbol").distinct()
-    best = names.join(med, "feature_id").groupBy("symbol").agg(
-        F.min_by("feature_id", F.struct(-F.col("median"), F.col("feature_id"))).alias("feature_id"))
-    return annotated.join(best, ["symbol", "feature_id"], "left_semi").select("sample_id", F.col("symbol").alias("feature_id"), "value")
+    """Per symbol keep the feature with the highest median; the smaller id wins a tie.
+
+    Absent cells are zeros. Medians are taken only where a symbol has several features.
+    """
+    names = annotated.groupBy("symbol").agg(F.collect_set("feature_id").alias("ids"))  # a symbol has few features
+    several = names.where(F.size("ids") > 1).select("symbol", F.explode("ids").alias("feature_id"))
+    per = annotated.join(several, ["symbol", "feature_id"], "left_semi").groupBy("feature_id", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    zeros = per.groupBy("feature_id").agg(F.sum("n").alias("c")).select("feature_id", F.lit(0.0).alias("value"), (n_distinct(annotated) - F.col("c")).alias("n"))
+    counts = per.where(F.col("value").isNotNull()).unionByName(zeros).groupBy("feature_id", "value").agg(F.sum("n").alias("n"))
+    med = weighted_quantiles(counts, ["feature_id"], "value", "n", {"median": 0.5})
+    best = several.join(med, "feature_id", "left").groupBy("symbol").agg(
+        F.min_by("feature_id", F.struct(-F.coalesce("median", F.lit(float("-inf"))), F.col("feature_id"))).alias("best"))
+    kept = annotated.join(best, "symbol", "left").where(F.col("best").isNull() | (F.col("best") == F.col("feature_id")))
+    return kept.select("sample_id", F.col("symbol").alias("feature_id"), "value")
 
 
 def common_ids(*dfs: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -137,7 +147,8 @@ def pathway_size_filter(members: DataFrame, lo: int = 5, hi: int = 200) -> DataF
 
 
 def variance_filter(assay: DataFrame, min_var: float = 0.3) -> DataFrame:
-    keep = assay.groupBy("feature_id").agg(F.var_samp("value").alias("__v")).where(F.col("__v") >= min_var)
+    """Features whose variance over all samples, absent cells as zeros, reaches ``min_var``."""
+    keep = moments(assay).where((F.col("n") > 1) & (F.col("m2") / (F.col("n") - 1) >= min_var))
     return assay.join(keep.select("feature_id"), "feature_id", "left_semi").select(*assay.columns)
 
 

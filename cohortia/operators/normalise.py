@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.operators.ordered import quantiles
+from cohortia.operators.absent import complete_grid, moments, n_distinct, quantiles_with_zeros, value_counts
+from cohortia.operators.ordered import quantiles, weighted_quantiles
 from cohortia.session import cut_lineage
 
 
@@ -30,9 +33,11 @@ def relative_abundance(assay: DataFrame) -> DataFrame:
 
 
 def clr(assay: DataFrame, pseudocount: float = 1.0) -> DataFrame:
-    """Centred log ratio over the features present in a sample."""
+    """Centred log ratio over all features, absent cells as zeros; only the given cells are written."""
     logged = assay.withColumn("value", F.log(F.col("value") + pseudocount))
-    mean = _per_sample(logged, F.avg("value").alias("__m"))
+    sums = logged.groupBy("sample_id").agg(F.sum("value").alias("__t"), F.count(F.lit(1)).alias("__c"), F.count("value").alias("__k"))
+    absent = n_distinct(assay, "feature_id") - F.col("__c")
+    mean = sums.select("sample_id", ((F.col("__t") + absent * math.log(pseudocount)) / (absent + F.col("__k"))).alias("__m"))
     return logged.join(mean, "sample_id").withColumn("value", F.col("value") - F.col("__m")).select(*assay.columns)
 
 
@@ -57,10 +62,12 @@ def aggregate_features(assay: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def feature_distribution(assay: DataFrame) -> DataFrame:
-    """Univariate summary per feature with exact quartiles."""
-    moments = assay.groupBy("feature_id").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return moments.join(quantiles(assay, ["feature_id"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}), "feature_id")
+    """Univariate summary per feature over all samples with exact quartiles; absent cells are zeros."""
+    counts = value_counts(assay)
+    ends = counts.groupBy("feature_id").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    std = F.sqrt(F.col("m2") / F.when(F.col("n") > 1, F.col("n") - 1)).alias("std")
+    summary = moments(assay).select("feature_id", "n", "mean", std).join(ends, "feature_id")
+    return summary.join(weighted_quantiles(counts, ["feature_id"], "value", "n", {"q25": 0.25, "median": 0.5, "q75": 0.75}), "feature_id")
 
 
 def filter_by_expr(assay: DataFrame, groups: DataFrame | None = None, min_count: float = 10, min_total: float = 15) -> DataFrame:
@@ -88,13 +95,15 @@ def filter_by_expr(assay: DataFrame, groups: DataFrame | None = None, min_count:
 def tmm_factors(assay: DataFrame, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFrame:
     """(sample_id, lib, factor): trimmed mean of M values (Robinson & Oshlack 2010).
 
-    The reference sample has its upper quartile closest to the mean one. Ranks for the trims
-    run inside one sample, whose cells are bounded by the number of features.
+    The reference sample has its upper quartile, over all features that any sample has, closest to the
+    mean one. Ranks for the trims run inside one sample, whose cells are bounded by the number of
+    features.
     """
     pos = assay.where("value > 0").select("sample_id", "feature_id", "value")
     lib = assay.groupBy("sample_id").agg(F.sum("value").alias("lib"))
     scaled = pos.join(lib, "sample_id").withColumn("__s", F.col("value") / F.col("lib"))
-    uq = cut_lineage(quantiles(scaled, ["sample_id"], "__s", {"uq": 0.75}).join(lib, "sample_id"))  # one row per sample
+    shares = scaled.select("sample_id", "feature_id", F.col("__s").alias("value"))
+    uq = cut_lineage(quantiles_with_zeros(shares, {"uq": 0.75}, "sample_id", "feature_id").join(lib, "sample_id"))  # one row per sample
     gap = F.round(F.abs(F.col("uq") - uq.agg(F.avg("uq")).scalar()), 12)
     ref_id = uq.withColumn("__d", gap).agg(F.min_by("sample_id", F.struct("__d", "sample_id"))).first()[0]
     ref = scaled.where(F.col("sample_id") == F.lit(ref_id)).select("feature_id", F.col("value").alias("r"), F.col("lib").alias("nr"))
@@ -115,9 +124,12 @@ def tmm_factors(assay: DataFrame, m_trim: float = 0.3, a_trim: float = 0.05) ->
 
 
 def log_cpm(assay: DataFrame, factors: DataFrame, prior: float = 1.0) -> DataFrame:
-    """log2 counts per million with a prior scaled to each library; lib = total x factor."""
+    """log2 counts per million with a prior scaled to each library; lib = total x factor.
+
+    An absent cell is a zero count and gets the prior of its sample, so the result holds every cell.
+    """
     eff = factors.select("sample_id", (F.col("lib") * F.col("factor")).alias("__l"))
     mean = eff.agg(F.avg("__l")).scalar()
     p = F.lit(prior) * F.col("__l") / F.col("__mean")
-    out = assay.join(eff.withColumn("__mean", mean), "sample_id")
-    return out.withColumn("value", F.log2((F.col("value") + p) / (F.col("__l") + 2 * p) * 1e6)).select(*assay.columns)
+    out = complete_grid(assay).join(eff.withColumn("__mean", mean), "sample_id")
+    return out.select("sample_id", "feature_id", F.log2((F.col("value") + p) / (F.col("__l") + 2 * p) * 1e6).alias("value"))

@@ -22,15 +22,33 @@ def pathway_coverage(features: DataFrame, members: DataFrame) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("n") == 0).alias("n_uncovered"), F.avg("n").alias("mean_pathways")).withColumn("median_pathways", med)
 
 
-def pathway_score(assay: DataFrame, members: DataFrame, weights: DataFrame | None = None, relu: bool = False) -> DataFrame:
-    """Mean (or weighted mean) member value per (sample, pathway), long as feature_id = pathway_id."""
+def pathway_score(assay: DataFrame, members: DataFrame, weights: DataFrame | None = None, relu: bool = False, absent: DataFrame | None = None) -> DataFrame:
+    """Mean (or weighted mean) member value per (sample, pathway), long as feature_id = pathway_id.
+
+    A null value has no weight. ``absent`` gives what an absent cell of a feature stands for
+    (feature_id, value), such as ``standardised_zero``: then every sample has a score for every
+    pathway with a member in the assay. Without it only measured cells count.
+    """
     m = members.select("feature_id", "pathway_id").distinct()
     if weights is not None:
         m = m.join(weights.select("feature_id", "pathway_id", F.col("weight").alias("w")), ["feature_id", "pathway_id"])
     else:
         m = m.withColumn("w", F.lit(1.0))
     j = assay.select("sample_id", "feature_id", "value").join(m, "feature_id")
-    out = j.groupBy("sample_id", F.col("pathway_id")).agg((F.sum(F.col("w") * F.col("value")) / F.sum(F.abs("w"))).alias("value"))
+    size = F.when(F.col("value").isNotNull(), F.abs("w"))
+    if absent is None:
+        sums = j.groupBy("sample_id", "pathway_id").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum(size).alias("n"))
+    else:
+        base = absent.select("feature_id", F.col("value").alias("base"))
+        # Every cell starts at its absent value; given cells move the sums, null ones leave them.
+        whole = m.join(base, "feature_id").groupBy("pathway_id").agg(F.sum(F.col("w") * F.col("base")).alias("s0"), F.sum(F.abs("w")).alias("n0"))
+        moved = j.join(base, "feature_id").groupBy("sample_id", "pathway_id").agg(
+            F.sum(F.col("w") * (F.coalesce("value", F.lit(0.0)) - F.col("base"))).alias("s1"), F.sum(F.when(F.col("value").isNull(), F.abs("w")).otherwise(0.0)).alias("n1"))
+        listed = whole.agg(F.collect_list(F.struct("pathway_id", "s0", "n0"))).scalar()  # one entry per pathway
+        grid = assay.select("sample_id").distinct().select("sample_id", F.inline(listed))
+        sums = grid.join(moved, ["sample_id", "pathway_id"], "left").select(
+            "sample_id", "pathway_id", (F.col("s0") + F.coalesce("s1", F.lit(0.0))).alias("s"), (F.col("n0") - F.coalesce("n1", F.lit(0.0))).alias("n"))
+    out = sums.select("sample_id", "pathway_id", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("value"))
     v = F.greatest(F.col("value"), F.lit(0.0)) if relu else F.col("value")
     return out.select("sample_id", F.col("pathway_id").alias("feature_id"), v.alias("value"))
 

@@ -83,6 +83,12 @@ def samples(spark, d) -> DataFrame:
     )
 
 
+def grid_sql(src: str, sample: str = "sample_id", feature: str = "feature_id") -> str:
+    """Every cell of an assay, absent ones as zeros."""
+    return f"""SELECT s.{sample}, f.{feature}, coalesce(c.value, 0.0) AS value FROM (SELECT DISTINCT {sample} FROM ({src})) AS s CROSS JOIN (SELECT DISTINCT {feature} FROM ({src})) AS f
+ LEFT JOIN ({src}) AS c ON c.{sample} = s.{sample} AND c.{feature} = f.{feature}"""
+
+
 MEMBERS = "SELECT p_brand AS pathway_id, 'F' || p_partkey AS feature_id FROM part"
 
 
