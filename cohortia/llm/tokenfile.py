@@ -13,6 +13,7 @@ before renaming it, so a task that is run again simply writes its file again.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,15 +23,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import filesystem, fresh_dir, texts
+from .hashing import chunks, text_buffers
+from .tables import filesystem, fresh_dir
 
 MAGIC = b"IDBITS01"
 BLOCK_IDS = 1 << 15
 #: Bytes of text that go to one file, and what a document counts at least.
 FILE_BYTES, UNIT_BYTES = 24 << 20, 1 << 16
+#: Bytes of text that are encoded in one call.
+CALL_BYTES = 8 << 20
 #: Words that a worker remembers, and the longest of them.
 MEMORY, LONGEST = 700_000, 48
 
@@ -144,22 +149,23 @@ class Reader:
 class WordEncoder:
     """Encodes each white-space separated string once while it is remembered, many in one call.
 
-    Valid for tokenizers whose pre-tokenizer drops white space and keeps runs of letters apart from
-    punctuation; ``load_tokenizer`` proves that on the loaded file's settings. So a word and the
-    punctuation after it are looked up by themselves, and ASCII texts in lower case where the
-    tokenizer lowers them anyway. Unseen strings are encoded in a row with a NUL between them, whose id
-    marks where each ends.
+    Arrow splits the texts and numbers their distinct strings, so Python sees each string once per
+    call and numpy lays the ids out. Valid for tokenizers whose pre-tokenizer drops white space and
+    keeps runs of letters apart from punctuation; ``load_tokenizer`` proves that on the loaded file's
+    settings. So a space may be put between a letter and the punctuation after it, and ASCII letters
+    may be lowered first where the tokenizer lowers them anyway. Unseen strings are encoded
+    in a row with a NUL between them, whose id marks where each ends.
     """
 
-    words = re.compile("[A-Za-z]+(?=[.,!?;:#$%&*)])|[^ \\t\\n\\r\\f\\v]+")
-
     def __init__(self, description: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
+        spec = json.loads(description)
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
-        self.lowers = '"Lowercase"' in json.dumps(json.loads(description)["normalizer"])
         mark = self._ids("\0")
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.memory: dict[str, bytes] = {}
@@ -168,41 +174,64 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        alone = [w for w in words if self.mark is None or "\0" in w]
-        for w in alone:
-            yield w, self._ids(w).tobytes()
-        if alone:
-            words = list(set(words).difference(alone))
-        width = self.kind.itemsize
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out, width = [], self.kind.itemsize
         for a in range(0, len(words), 200):
             part = words[a : a + 200]
-            ids = self._ids(" \0 ".join(part))
+            text = " \0 ".join(part)
+            if self.mark is None or text.count("\0") != len(part) - 1:
+                out += [self._ids(w).tobytes() for w in part]
+                continue
+            ids = self._ids(text)
             marks = np.flatnonzero(ids == self.mark) * width
             data = ids.tobytes()
-            yield from zip(part, [data[x:y] for x, y in zip([0, *(marks + width).tolist()], [*marks.tolist(), len(data)])])
+            out += [data[x:y] for x, y in zip([0, *(marks + width).tolist()], [*marks.tolist(), len(data)])]
+        return out
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        lists = [self.words.findall(t.lower() if self.lowers and t.isascii() else t) for t in texts]
-        wanted = set().union(*lists)
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct strings, as bytes."""
         if len(self.memory) > MEMORY:  # what was not used since the last turn is forgotten
             self.older, self.memory = self.memory, {}
-        memory, older = self.memory, self.older
-        new = []
-        for w in wanted.difference(memory):
-            known = older.get(w)
-            if known is None:
-                new.append(w)
+        memory, older, new = self.memory, self.older, []
+        out = list(map(memory.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            word = words[k]
+            ids = older.get(word)
+            if ids is None:
+                new.append(k)
             else:
-                memory[w] = known
-        memory.update(self._encode(new))
-        out = [np.frombuffer(b"".join(map(memory.__getitem__, words)), self.kind) for words in lists]
-        for w in new:
-            if len(w) > LONGEST:
-                del memory[w]
+                out[k] = memory[word] = ids
+        for k, ids in zip(new, self._encode([words[k] for k in new])):
+            out[k] = ids
+            if len(words[k]) <= LONGEST:
+                memory[words[k]] = ids
         return out
 
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column's texts in a row, and where each text's begin (one more at the end)."""
+        if self.lowers:
+            low = pc.ascii_lower(column)
+            # Special strings only count as they are written; what lowering might make one stays.
+            column = pc.if_else(pc.match_substring_regex(low, self.special.lower()), column, low) if self.special else low
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(column, "([A-Za-z])([.,!?;:#$%&*)])", "\\1 \\2"))
+        flat = words.flatten().dictionary_encode()
+        collecting = gc.isenabled()
+        gc.disable()  # the memory is large and holds no cycles
+        try:
+            known = self._known(flat.dictionary.to_pylist())
+        finally:
+            if collecting:
+                gc.enable()
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        data = np.frombuffer(b"".join(known), self.kind)
+        index = flat.indices.to_numpy(zero_copy_only=False)
+        each = size[index] if len(index) else np.zeros(0, np.int64)
+        ends = np.cumsum(each)
+        begin = (np.cumsum(size) - size)[index] if len(index) else each
+        ids = data[np.repeat(begin - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        at = words.offsets.to_numpy() - words.offsets[0].as_py() if len(words) else np.zeros(1, np.int64)
+        return ids, np.concatenate([[0], ends])[at]
+
 
 def load_tokenizer(path: str) -> tuple[str, int]:
     """The description of a tokenizer file and the size of its id space; read on the driver.
@@ -273,24 +302,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
         weighted = rows.select("doc_id", F.explode(F.sequence(F.lit(0), (size / UNIT_BYTES).cast("int"))).alias("__unit")).where(F.col("doc_id").isNotNull())
         got = weighted.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(1000, 20 * files))).first()[0]
         cuts = sorted(set(got or []))
-    dealt = rows.withColumn("__file", F.coalesce(_range_of(F.col("doc_id"), cuts), F.lit(0)))
+    dealt = rows.withColumn("__file", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range_of(F.col("doc_id"), cuts)))
     dealt = dealt.repartitionById(len(cuts) + 1, "__file").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, writer = _encoder(description), None, None
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                if writer is None and part.num_rows:
-                    number = part.column("file")[0].as_py()
+            column = batch.column("text").fill_null("")
+            _, offsets = text_buffers(column)
+            for a, b in chunks(offsets, CALL_BYTES):
+                if writer is None:
+                    number = batch.column("file")[0].as_py()
                     system, base = filesystem(directory)
                     system.create_dir(base, recursive=True)
                     name = f"ids-{number:06d}.bin"
                     trial = f"{base}/.{name}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(trial)
                     writer = Writer(out, bits)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts(part.column("text")))):
-                    writer.add(doc_id, ids, end_id)
+                ids, at = encode(column.slice(a, b - a))
+                for k, doc_id in enumerate(batch.column("doc_id").slice(a, b - a).to_pylist()):
+                    writer.add(doc_id, ids[at[k] : at[k + 1]], end_id)
         if writer is not None:
             head = writer.close()
             out.close()
@@ -300,7 +331,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
                 "n_ids": pa.array([head["n_ids"]], pa.int64()), "n_docs": pa.array([head["n_docs"]], pa.int64()),
             })
 
-    written = dealt.select(F.col("__file").alias("file"), "doc_id", F.col("text").cast("binary").alias("text"))
+    written = dealt.select(F.col("__file").alias("file"), "doc_id", F.col("text").cast("string").alias("text"))
     made = sorted(written.mapInArrow(write, "file int, path string, n_ids long, n_docs long").collect())
     if sum(r.n_docs for r in made) != n:
         raise RuntimeError("the files do not hold every document")

@@ -10,7 +10,7 @@ import pytest
 from cohortia.llm import pieces, tokenfile
 from cohortia.llm.queries import tokenizer_path
 
-ODD = [*"aAbe.,!'#3 \n\t\r\x0b\x85é́ßİΣ漢\x00<|>", "▁", "​", "�", "ﬁ", "😀", "the", "tion", " The", "   ", "'s", "<s>", "</s>", "<0x41>", "<|endoftext|>", "ΟΔΟΣ"]
+ODD = [*"aAbe.,!'#3 \n\t\r\x0b\x85é́ßİΣ漢\x00<|>", "▁", "​", "�", "ﬁ", "😀", "the", "tion", " The", "   ", "'s", "<s>", "</s>", "<0x41>", "<|endoftext|>", "<|ENDOFTEXT|>", "ΟΔΟΣ"]
 
 
 def random_texts(n, seed):
@@ -63,8 +63,9 @@ def test_word_encoder_is_the_library():
     encode, whole = tokenfile.WordEncoder(tokenfile.load_tokenizer(path)[0]), Tokenizer.from_file(path)
     for a in range(0, 4000, 500):
         part = random_texts(500, a)
-        for text, ids in zip(part, encode(part)):
-            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        ids, at = encode(pa.array(part))
+        for k, text in enumerate(part):
+            assert ids[at[k] : at[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_tokenizers_that_join_words_are_refused():
