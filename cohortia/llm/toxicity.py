@@ -109,8 +109,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(open_rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = known.where("toxic = 1").orderBy(*order).limit(min(MAX_TOXIC, max_rows))
-    sample = toxic.union(known.where("toxic <> 1").orderBy(*order).limit(max_rows - min(MAX_TOXIC, max_rows // 2)))
+    most = min(MAX_TOXIC, max_rows // 2)
+    sample = known.where("toxic = 1").orderBy(*order).limit(most).union(known.where("toxic <> 1").orderBy(*order).limit(max_rows - most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(F.broadcast(sample), "doc_id")  # at most max_rows narrow rows
 
