@@ -150,7 +150,7 @@ def _(spark, d):
 
 @register("kmeans_elbow")
 def _(spark, d):
-    return C.kmeans_elbow(A.vectors(spark, d), range(1, 7))
+    return C.kmeans_elbow(A.vectors(spark, d))
 
 
 @register("representatives")
@@ -164,7 +164,7 @@ def _(spark, d):
 @register("cluster_count_sweep")
 def _(spark, d):
     dist = cut_lineage(A.distances(spark, d))
-    return C.cluster_count_sweep(_dist_vectors(dist), dist, range(3, 7), 0.45)
+    return C.cluster_count_sweep(_dist_vectors(dist), dist, cutoff=0.45)
 
 
 @register("hierarchical_clusters")
@@ -236,11 +236,11 @@ def _(spark, d):
     return P.membership_matrix(A.assay(spark, d), A.members(spark, d))
 
 
-@register("pathway_coverage", f"""WITH n AS (SELECT f.feature_id, count(pathway_id) AS n FROM ({A.FEATURES}) AS f LEFT JOIN (SELECT DISTINCT feature_id, pathway_id FROM ({A.MEMBERS}) AS m WHERE pathway_id <> 'Brand#1' UNION SELECT feature_id, process_id FROM ({A.MEMBERS}) AS m JOIN ({A.PROCESS}) AS p ON m.pathway_id = p.pathway_id) AS m ON m.feature_id = f.feature_id GROUP BY 1)
+@register("pathway_coverage", f"""WITH n AS (SELECT f.feature_id, count(pathway_id) AS n FROM ({A.FEATURES}) AS f LEFT JOIN (SELECT DISTINCT feature_id, pathway_id FROM ({A.MEMBERS}) AS m UNION SELECT feature_id, process_id FROM ({A.MEMBERS}) AS m JOIN ({A.PROCESS}) AS p ON m.pathway_id = p.pathway_id) AS m ON m.feature_id = f.feature_id GROUP BY 1)
  SELECT count(*) AS n_features, count(*) FILTER (WHERE n = 0) AS n_uncovered, avg(n) AS mean_pathways, quantile_cont(n, 0.5) AS median_pathways FROM n""", rounded=["mean_pathways", "median_pathways"])
 def _(spark, d):
     m = A.members(spark, d)
-    both = m.where("pathway_id <> 'Brand#1'").unionByName(m.join(A.process_members(spark, d), "pathway_id").select(F.col("process_id").alias("pathway_id"), "feature_id"))
+    both = m.unionByName(m.join(A.process_members(spark, d), "pathway_id").select(F.col("process_id").alias("pathway_id"), "feature_id"))
     return P.pathway_coverage(A.features(spark, d), both)
 
 

@@ -46,7 +46,7 @@ for _name, _learner in {
 def _(spark, d):
     vecs = A.vectors(spark, d)
     parts = P.train_test_split(vecs, {"train": 0.75, "test": 0.25}, "label")
-    return L.fit(L.multinomial(1.0, 30), parts.where("part = 'train'")).transform(parts.where("part = 'test'")).select("sample_id", "label", "pred")
+    return L.fit(L.multinomial(1.0), parts.where("part = 'train'")).transform(parts.where("part = 'test'")).select("sample_id", "label", "pred")
 
 
 @register("grid_search")
@@ -80,7 +80,7 @@ def _(spark, d):
 @register("rfe")
 def _(spark, d):
     vecs, ids = _vecs(spark, d)
-    return S.rfe(vecs, ids, 10, 0.4, 12, L.linear_svm(0.1, max_iter=20), ids[:2])
+    return S.rfe(vecs, ids, 10, 0.4, 12, L.linear_svm(0.1), ids[:2])
 
 
 @register("select_limma")
@@ -104,7 +104,7 @@ def _(spark, d):
 
 def _modalities(spark, d):
     a = A.brand_assay(spark, d)
-    return {m: a.where(F.col("modality") == m) for m in ("A", "R")}
+    return {m: a.where(F.col("modality") == m) for m in ("A", "N", "R")}
 
 
 @register("joint_latent")
@@ -137,7 +137,7 @@ def _(spark, d):
     v = A.vectors(spark, d).withColumn("label", (F.col("label") >= 5).cast("int"))
     edges = cut_lineage(G.knn_graph(v, 10))
     train = P.train_test_split(v, {"train": 0.75, "test": 0.25}, "label").where("part = 'train'")
-    return G.graph_features_classify(edges, v, 2, L.logreg(1.0, max_iter=30), train)[0]
+    return G.graph_features_classify(edges, v, 2, L.logreg(1.0), train)[0]
 
 
 # --- survival learners -------------------------------------------------------------------
@@ -160,18 +160,18 @@ _FEATS = ["quantity", "discount", "tax", "lines", "price"]
 
 @register("cox_elastic_net")
 def _(spark, d):
-    p = H.cox_elastic_net(_patients(spark, d), [0, 1, 1, 1, 1], (0.5, 0.9), 5, 0.05, 12)
+    p = H.cox_elastic_net(_patients(spark, d), [0, 1, 1, 1, 1], (0.5, 0.9), 10, 0.05)
     return p.table(spark, _FEATS)
 
 
 @register("cox_ridge")
 def _(spark, d):
-    return H.cox_ridge(_patients(spark, d), 0.01, "efron", 10).table(spark, _FEATS)
+    return H.cox_ridge(_patients(spark, d), 0.01, "efron").table(spark, _FEATS)
 
 
 @register("boosted_cox")
 def _(spark, d):
-    return H.boosted_cox(_patients(spark, d), 3, 0.1, 3)
+    return H.boosted_cox(_patients(spark, d), 20, 0.1, 3)
 
 
 @register("survival_forest")
@@ -182,13 +182,13 @@ def _(spark, d):
 @register("survival_ranker")
 def _(spark, d):
     x = _patients(spark, d)
-    return H.risk_scores(x, H.survival_ranker(x, 1.0, 1.0, 3)).select("sample_id", "time", "event", "score")
+    return H.risk_scores(x, H.survival_ranker(x, 1.0, 1.0)).select("sample_id", "time", "event", "score")
 
 
 @register("survival_regression")
 def _(spark, d):
     x = _patients(spark, d)
-    return H.risk_scores(x, H.survival_ranker(x, 1.0, 0.0, 10)).select("sample_id", "time", "event", "score")
+    return H.risk_scores(x, H.survival_ranker(x, 1.0, 0.0)).select("sample_id", "time", "event", "score")
 
 
 # --- studies -----------------------------------------------------------------------------
@@ -222,7 +222,7 @@ def _(spark, d):
     x = _patients(spark, d)
     long = x.select("sample_id", F.posexplode("vec").alias("i", "value")).select("sample_id", F.element_at(F.array(*[F.lit(f) for f in _FEATS]), F.col("i") + 1).alias("feature_id"), "value", F.lit("clinical").alias("modality"))
     b = CohortBundle(long, x.select("sample_id", "group_id", "time", "event"), long.select("feature_id").distinct())
-    return studies.survival_study(b, (0.5,), 3, 1, inner_k=2, max_iter=4)["feature_ranking"]
+    return studies.survival_study(b, (0.5,), 10, 2, inner_k=2)["feature_ranking"]
 
 
 @register("model_comparison", f"""WITH s AS (SELECT * FROM ({A.SCORES}) WHERE metric = 'roc_auc'), r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0 AS rank,

@@ -312,16 +312,16 @@ def _(spark, d):
 _SURV = f"SELECT sample_id, event, group_id FROM ({A.SURVIVAL})"
 
 
-@register("survival_stratified_shuffle", f"""SELECT sample_id, event, CAST(r AS INTEGER) AS split, CASE WHEN k <= floor(n * 0.25 + 0.5) THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY r, event ORDER BY md5('777|' || r || '|' || sample_id)) AS k, count(*) OVER (PARTITION BY r, event) AS n FROM ({_SURV}), (SELECT unnest(range(4)) AS r))""")
+@register("survival_stratified_shuffle", f"""SELECT sample_id, event, CAST(r AS INTEGER) AS split, CASE WHEN k <= floor(n * 0.25 + 0.5) THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY r, event ORDER BY md5('777|' || r || '|' || sample_id)) AS k, count(*) OVER (PARTITION BY r, event) AS n FROM ({_SURV}), (SELECT unnest(range(100)) AS r))""")
 def _(spark, d):
-    return S.survival_stratified_shuffle(A.survival(spark, d).select("sample_id", "event"), 4)
+    return S.survival_stratified_shuffle(A.survival(spark, d).select("sample_id", "event"))
 
 
-@register("survival_sample_from_group", f"""WITH x AS (SELECT *, (CAST('0x' || substr(md5('777|draw|' || r || '|' || sample_id), 1, 12) AS BIGINT) + 1) / 281474976710657.0 AS u FROM ({_SURV}), (SELECT unnest(range(4)) AS r)),
+@register("survival_sample_from_group", f"""WITH x AS (SELECT *, (CAST('0x' || substr(md5('777|draw|' || r || '|' || sample_id), 1, 12) AS BIGINT) + 1) / 281474976710657.0 AS u FROM ({_SURV}), (SELECT unnest(range(100)) AS r)),
  o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY r, group_id ORDER BY -ln(u), sample_id) = 1)
  SELECT sample_id, event, group_id, CAST(r AS INTEGER) AS split, CASE WHEN k <= floor(n * 0.25 + 0.5) THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY r, event ORDER BY md5('777|' || r || '|' || sample_id)) AS k, count(*) OVER (PARTITION BY r, event) AS n FROM o)""")
 def _(spark, d):
-    return S.survival_sample_from_group(A.survival(spark, d).select("sample_id", "event", "group_id"), 4)
+    return S.survival_sample_from_group(A.survival(spark, d).select("sample_id", "event", "group_id"))
 
 
 @register("repeated_survival_stratified_kfold", f"SELECT sample_id, event, CAST(r AS INTEGER) AS repeat, CAST((row_number() OVER (PARTITION BY r, event ORDER BY md5('777|' || r || '|' || sample_id)) - 1) % 4 AS INTEGER) AS fold FROM ({_SURV}), (SELECT unnest(range(5)) AS r)")

@@ -1,5 +1,7 @@
 """Statistics and tests, including the flagship query."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
@@ -48,14 +50,22 @@ def _(spark, d):
     return T.sort_tests(_welch_norm(spark, d))
 
 
-@register("group_mean_difference", _MOM.format(src=f"SELECT * FROM ({A.BRAND_ASSAY}) WHERE modality = 'A'", samples=A.SAMPLES, **_PRESENT) + " SELECT feature_id, mean1, mean0, mean1 - mean0 AS diff, abs(mean1 - mean0) AS abs_diff FROM v", rounded=["mean1", "mean0", "diff", "abs_diff"])
+_MODAL = f"SELECT sample_id, modality || ':' || feature_id AS feature_id, value FROM ({A.BRAND_ASSAY})"
+
+
+def _modal(spark, d):
+    """Every modality's features under names of their own."""
+    return A.brand_assay(spark, d).select("sample_id", F.concat_ws(":", "modality", "feature_id").alias("feature_id"), "value")
+
+
+@register("group_mean_difference", _MOM.format(src=_MODAL, samples=A.SAMPLES, **_PRESENT) + " SELECT feature_id, mean1, mean0, mean1 - mean0 AS diff, abs(mean1 - mean0) AS abs_diff FROM v", rounded=["mean1", "mean0", "diff", "abs_diff"])
 def _(spark, d):
-    return T.group_mean_difference(A.brand_assay(spark, d).where("modality = 'A'"), A.samples(spark, d))
+    return T.group_mean_difference(_modal(spark, d), A.samples(spark, d))
 
 
 _CUST = "SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS label, c_acctbal AS v, c_nationkey AS grp FROM customer"
-_PERM = """WITH c AS (SELECT *{value} FROM ({cust})), k AS (SELECT grp, sum(label) AS n1 FROM c GROUP BY 1), p AS (SELECT r, x, CASE WHEN row_number() OVER (PARTITION BY r, c.grp ORDER BY md5('777|' || r || '|' || sample_id)) <= n1 THEN 1 ELSE 0 END AS y FROM c JOIN k ON c.grp = k.grp, (SELECT unnest(range(1, 101)) AS r)),
- b AS (SELECT r, x, y FROM p UNION ALL SELECT 0, x, label FROM c), s AS (SELECT r, {stat} AS st FROM b GROUP BY 1) SELECT (SELECT st FROM s WHERE r = 0) AS "true", avg(st) FILTER (WHERE r > 0) AS mean_permuted, (count(*) FILTER (WHERE r > 0 AND st >= (SELECT st FROM s WHERE r = 0) - 1e-12) + 1) / 101.0 AS p FROM s"""
+_PERM = """WITH c AS (SELECT *{value} FROM ({cust})), k AS (SELECT grp, sum(label) AS n1 FROM c GROUP BY 1), p AS (SELECT r, x, CASE WHEN row_number() OVER (PARTITION BY r, c.grp ORDER BY md5('777|' || r || '|' || sample_id)) <= n1 THEN 1 ELSE 0 END AS y FROM c JOIN k ON c.grp = k.grp, (SELECT unnest(range(1, 1001)) AS r)),
+ b AS (SELECT r, x, y FROM p UNION ALL SELECT 0, x, label FROM c), s AS (SELECT r, {stat} AS st FROM b GROUP BY 1) SELECT (SELECT st FROM s WHERE r = 0) AS "true", avg(st) FILTER (WHERE r > 0) AS mean_permuted, (count(*) FILTER (WHERE r > 0 AND st >= (SELECT st FROM s WHERE r = 0) - 1e-12) + 1) / 1001.0 AS p FROM s"""
 
 
 def _customers(spark, d):
@@ -64,15 +74,15 @@ def _customers(spark, d):
 
 @register("permutation_test", _PERM.format(value=", v AS x", cust=_CUST, stat="sum(x * y) / sum(y) - sum(x * (1 - y)) / sum(1 - y)"), rounded=["true", "mean_permuted", "p"])
 def _(spark, d):
-    return T.permutation_test(_customers(spark, d), "v", 100, "grp")
+    return T.permutation_test(_customers(spark, d), "v", 1000, "grp")
 
 
 @register("permutation_test_auc", _PERM.format(value=", rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS x", cust=_CUST.replace("c_nationkey AS grp", "0 AS grp"), stat="(sum(x * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y))"), rounded=["true", "mean_permuted", "p"])
 def _(spark, d):
-    return T.permutation_test(_customers(spark, d), "v", 100, None, statistic="auc")
+    return T.permutation_test(_customers(spark, d), "v", 1000, None, statistic="auc")
 
 
-_AB = f"SELECT a.sample_id, a.feature_id, a.value AS x, b.value AS y FROM ({A.BRAND_ASSAY}) AS a JOIN ({A.BRAND_ASSAY}) AS b ON a.sample_id = b.sample_id AND a.feature_id = b.feature_id WHERE a.modality = 'A' AND b.modality = 'R'"
+_AB = f"SELECT a.sample_id, a.modality || b.modality || ':' || a.feature_id AS feature_id, a.value AS x, b.value AS y FROM ({A.BRAND_ASSAY}) AS a JOIN ({A.BRAND_ASSAY}) AS b ON a.sample_id = b.sample_id AND a.feature_id = b.feature_id WHERE a.modality < b.modality"
 
 
 def _ab(spark, d):
@@ -80,15 +90,24 @@ def _ab(spark, d):
     return a.where("modality = 'A'"), a.where("modality = 'R'")
 
 
+def _all_pairs(spark, d):
+    """Both sides of every pair of modalities, the pair in the feature name."""
+    a = A.brand_assay(spark, d)
+    name = lambda side, pair: side.select("sample_id", F.concat(F.lit(pair + ":"), "feature_id").alias("feature_id"), "value")
+    parts = {m: a.where(F.col("modality") == m) for m in "ANR"}
+    left, right = zip(*[(name(parts[p[0]], p), name(parts[p[1]], p)) for p in ("AN", "AR", "NR")])
+    return reduce(lambda x, y: x.unionByName(y), left), reduce(lambda x, y: x.unionByName(y), right)
+
+
 @register("pearson_by_feature", f"SELECT feature_id, count(*) AS n, corr(x, y) AS r FROM ({_AB}) GROUP BY 1", rounded=["r"])
 def _(spark, d):
-    return T.pearson_by_feature(*_ab(spark, d))
+    return T.pearson_by_feature(*_all_pairs(spark, d))
 
 
 @register("spearman_by_feature", f"""SELECT feature_id, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT feature_id, rank() OVER (PARTITION BY feature_id ORDER BY x) + (count(*) OVER (PARTITION BY feature_id, x) - 1) / 2.0 AS rx,
  rank() OVER (PARTITION BY feature_id ORDER BY y) + (count(*) OVER (PARTITION BY feature_id, y) - 1) / 2.0 AS ry FROM ({_AB})) GROUP BY 1""", rounded=["rho"])
 def _(spark, d):
-    return T.spearman_by_feature(*_ab(spark, d))
+    return T.spearman_by_feature(*_all_pairs(spark, d))
 
 
 @register("feature_cross_correlation", f"""SELECT a.feature_id AS feature_a, b.feature_id AS feature_b, count(*) AS n, corr(a.value, b.value) AS r FROM ({A.BRAND_ASSAY}) AS a JOIN ({A.BRAND_ASSAY}) AS b ON a.sample_id = b.sample_id
@@ -98,7 +117,7 @@ def _(spark, d):
     return T.feature_cross_correlation(a, b, ["Brand#1", "Brand#2", "Brand#3"], ["Brand#4", "Brand#5"])
 
 
-_CA = f"SELECT a.feature_id, value, balance, CASE WHEN balance < 3000 THEN 'low' WHEN balance < 7000 THEN 'mid' ELSE 'high' END AS grp FROM ({A.BRAND_ASSAY}) AS a JOIN ({A.SAMPLES}) AS s ON a.sample_id = s.sample_id WHERE modality = 'A'"
+_CA = f"SELECT a.modality || ':' || a.feature_id AS feature_id, value, balance, CASE WHEN balance < 3000 THEN 'low' WHEN balance < 7000 THEN 'mid' ELSE 'high' END AS grp FROM ({A.BRAND_ASSAY}) AS a JOIN ({A.SAMPLES}) AS s ON a.sample_id = s.sample_id"
 
 
 @register("clinical_association", f"""WITH j AS ({_CA}), c AS (SELECT feature_id, grp, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM j GROUP BY 1, 2), s AS (SELECT feature_id, sum(c) AS n, count(*) AS k, sum(c * m) / sum(c) AS gm, sum(c * v) AS wi, sum(c * m * m) AS q FROM c GROUP BY 1)
@@ -106,7 +125,7 @@ _CA = f"SELECT a.feature_id, value, balance, CASE WHEN balance < 3000 THEN 'low'
  UNION ALL SELECT feature_id, 'grp', 'F', CAST(n AS BIGINT), CASE WHEN k > 1 AND n > k AND wi > 0 THEN (q - n * gm * gm) / (k - 1) / (wi / (n - k)) END FROM s""", rounded=["stat"], digits=5)
 def _(spark, d):
     s = A.samples(spark, d).withColumn("grp", F.when(F.col("balance") < 3000, "low").when(F.col("balance") < 7000, "mid").otherwise("high"))
-    return T.clinical_association(_ab(spark, d)[0], s, ["balance"], ["grp"]).drop("p")
+    return T.clinical_association(_modal(spark, d), s, ["balance"], ["grp"]).drop("p")
 
 
 @register("latent_entropy", "WITH c AS (SELECT count(*) AS c FROM embeddings GROUP BY label), p AS (SELECT c / (SELECT sum(c) FROM c) AS p FROM c) SELECT count(*) AS k, -sum(p * ln(p)) AS entropy, -sum(p * ln(p)) / ln(count(*)) AS evenness FROM p", rounded=["entropy", "evenness"])
@@ -114,9 +133,10 @@ def _(spark, d):
     return T.latent_entropy(A.table(spark, d, "embeddings"))
 
 
-@register("mse", f"SELECT 'A' AS modality, avg((x - y) * (x - y)) AS mse, count(*) AS n FROM ({_AB})", rounded=["mse"])
+@register("mse", f"SELECT substr(feature_id, 1, 2) AS modality, avg((x - y) * (x - y)) AS mse, count(*) AS n FROM ({_AB}) GROUP BY 1", rounded=["mse"])
 def _(spark, d):
-    return T.mse(*_ab(spark, d))
+    a, b = _all_pairs(spark, d)
+    return T.mse(a.withColumn("modality", F.substring("feature_id", 1, 2)), b)
 
 
 @register("adjusted_rand", """WITH j AS (SELECT source AS a, lang AS b, count(*) AS n FROM documents GROUP BY 1, 2), i AS (SELECT sum(n * (n - 1) / 2.0) AS i FROM j), a AS (SELECT sum(n * (n - 1) / 2.0) AS s FROM (SELECT sum(n) AS n FROM j GROUP BY a)),

@@ -73,11 +73,12 @@ _COLS = [("read_count_", "l_quantity"), ("reads_per_million_miRNA_mapped_", "l_e
 @register("split_measure_families", "SELECT l_orderkey AS mirna_id, 'L' || k AS sample_id, max(CASE WHEN l_linenumber = k THEN v END) AS value, family FROM ("
           "SELECT l_orderkey, l_linenumber, l_quantity AS v, 'read_count_' AS family FROM lineitem UNION ALL "
           "SELECT l_orderkey, l_linenumber, l_extendedprice, 'reads_per_million_miRNA_mapped_' FROM lineitem) AS s, "
-          "(SELECT unnest([1, 2, 3, 4]) AS k) AS ks GROUP BY 1, 2, 4")
+          "(SELECT DISTINCT l_linenumber AS k FROM lineitem) AS ks GROUP BY 1, 2, 4")
 def _(spark, d):
     li = A.table(spark, d, "lineitem")
+    lines = sorted(r[0] for r in li.select("l_linenumber").distinct().collect())  # an order has few lines
     wide = li.groupBy(F.col("l_orderkey").alias("mirna_id")).agg(*[
-        F.max(F.when(F.col("l_linenumber") == k, F.col(c))).alias(f"{p}L{k}") for p, c in _COLS for k in (1, 2, 3, 4)])
+        F.max(F.when(F.col("l_linenumber") == k, F.col(c))).alias(f"{p}L{k}") for p, c in _COLS for k in lines])
     parts = C.split_measure_families(wide, "mirna_id", [p for p, _ in _COLS])
     return J.union_cohorts(*[df.withColumn("family", F.lit(p)) for p, df in parts.items()])
 
@@ -140,10 +141,10 @@ def _(spark, d):
     return J.annotate_genes(A.assay(spark, d), A.features(spark, d), "STANDARD")
 
 
-@register("align_samples", f"SELECT * FROM ({A.ASSAY}) WHERE sample_id IN (SELECT sample_id FROM ({A.ASSAY_MOD}) WHERE modality = 'A' AND value > 40) AND sample_id IN (SELECT sample_id FROM ({A.SAMPLES}) WHERE label = 1)")
+@register("align_samples", " UNION ALL ".join(f"SELECT * FROM ({A.ASSAY_MOD}) WHERE modality = '{m}'" + "".join(f" AND sample_id IN (SELECT sample_id FROM ({A.ASSAY_MOD}) WHERE modality = '{o}')" for o in "ANR" if o != m) + f" AND sample_id IN (SELECT sample_id FROM ({A.SAMPLES}))" for m in "ANR"))
 def _(spark, d):
-    other = A.assay_by_modality(spark, d).where("modality = 'A' and value > 40")
-    return J.align_samples(A.assay(spark, d), other, A.samples(spark, d).where("label = 1"))[0]
+    a = A.assay_by_modality(spark, d)
+    return J.union_cohorts(*J.align_samples(*[a.where(F.col("modality") == m) for m in "ANR"], A.samples(spark, d))[:3])
 
 
 @register("attach_patient_outcome", f"SELECT sample_barcode AS sample_id, visit, c_mktsegment AS segment FROM ({A.CLINICAL}) JOIN customer ON substr(sample_barcode, 1, 12) = 'P-' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')")
@@ -191,9 +192,9 @@ def _(spark, d):
     return J.merge_risk_scores(p)
 
 
-@register("attach_weights", f"SELECT f.*, weight FROM ({A.FEATURES}) AS f JOIN (SELECT feature_id, weight FROM ({A.SPLIT_WEIGHTS}) WHERE model = 'A' AND split = 1) AS w ON f.feature_id = w.feature_id")
+@register("attach_weights", f"SELECT f.*, weight FROM ({A.FEATURES}) AS f JOIN (SELECT feature_id, max(weight) AS weight FROM ({A.SPLIT_WEIGHTS}) GROUP BY 1) AS w ON f.feature_id = w.feature_id")
 def _(spark, d):
-    return J.attach_weights(A.features(spark, d), A.split_weights(spark, d).where("model = 'A' and split = 1").select("feature_id", "weight"))
+    return J.attach_weights(A.features(spark, d), A.split_weights(spark, d).groupBy("feature_id").agg(F.max("weight").alias("weight")))
 
 
 @register("attach_annotations", f"""SELECT r.*, coalesce(symbol, '') AS symbol, coalesce(brand, '') AS brand FROM (SELECT p_name AS feature_id, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'unknown', 0) AS r
@@ -206,9 +207,9 @@ def _(spark, d):
     return J.attach_annotations(counts.union(extra), ann, ["symbol", "brand", "p_partkey"], [F.col("brand"), F.col("p_partkey")]).drop("p_partkey")
 
 
-@register("pathway_members_in_assay", f"SELECT * FROM ({A.MEMBERS}) WHERE feature_id IN (SELECT feature_id FROM ({A.ASSAY}) WHERE value > 50)")
+@register("pathway_members_in_assay", f"SELECT * FROM ({A.MEMBERS}) WHERE feature_id IN (SELECT feature_id FROM ({A.ASSAY}))")
 def _(spark, d):
-    return J.pathway_members_in_assay(A.members(spark, d), A.assay(spark, d).where("value > 50"))
+    return J.pathway_members_in_assay(A.members(spark, d), A.assay(spark, d))
 
 
 @register("hierarchy_join", f"SELECT feature_id, m.pathway_id, process_id FROM ({A.MEMBERS}) AS m JOIN ({A.PROCESS}) AS p ON m.pathway_id = p.pathway_id")

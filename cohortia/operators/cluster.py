@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.operators.vectors import euclidean
 from cohortia.session import cut_lineage
 
+PARALLEL_FITS = 4
+
 
 def nearest_reference_distance(dist: DataFrame, reps: DataFrame | None = None, exclude_self: bool = True) -> DataFrame:
     """(id, d): least distance of each item to any other item, or to the representatives (column ``id``)."""
@@ -64,16 +68,23 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> tuple
     return model.transform(data).select("id", "cluster"), centres, float(model.summary.trainingCost)
 
 
+def _side_by_side(spark: SparkSession, job: Callable, items: Sequence) -> list:
+    """Independent fits submitted together, so that their small stages share the cluster."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(inheritable_thread_target(spark)(job), list(items))
+
+
 def kmeans_elbow(vecs: DataFrame, ks: Sequence[int] = range(1, 31), seed: int = 42) -> DataFrame:
     """Inertia per k; k = 1 is the total squared deviation from the mean."""
     data = vecs.select("sample_id", "vec").persist()
-    rows = []
-    for k in ks:
+
+    def one(k: int) -> tuple[int, float]:
         if k == 1:
-            one = data.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("ss")).agg(F.sum("ss")).first()[0]
-            rows.append((1, float(one)))
-        else:
-            rows.append((int(k), kmeans(data, k, seed)[2]))
+            whole = data.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("ss")).agg(F.sum("ss"))
+            return 1, float(whole.first()[0])
+        return int(k), kmeans(data, k, seed)[2]
+
+    rows = _side_by_side(vecs.sparkSession, one, ks)
     data.unpersist()
     return vecs.sparkSession.createDataFrame(rows, "k int, inertia double")
 
@@ -87,11 +98,12 @@ def representatives(vecs: DataFrame, labels: DataFrame, centres: DataFrame, dist
 def cluster_count_sweep(vecs: DataFrame, dist: DataFrame, ks: Sequence[int] = range(3, 100), cutoff: float = 0.30, seed: int = 42) -> DataFrame:
     """For each k: how many items lie farther than ``cutoff`` from every representative."""
     data, table = vecs.select("sample_id", "vec").persist(), dist.persist()
-    rows = []
-    for k in ks:
+
+    def one(k: int) -> tuple[int, int]:
         labels, centres, _ = kmeans(data, k, seed)
-        r = divergent_count(table, nearest_to_centroid(data, labels, centres), cutoff).first()
-        rows.append((int(k), int(r["n_divergent"])))
+        return int(k), int(divergent_count(table, nearest_to_centroid(data, labels, centres), cutoff).first()["n_divergent"])
+
+    rows = _side_by_side(vecs.sparkSession, one, ks)
     data.unpersist(), table.unpersist()
     return vecs.sparkSession.createDataFrame(rows, "k int, n_divergent bigint")
 
@@ -185,4 +197,6 @@ def k_medoids(dist: DataFrame, k: int, max_iter: int = 1000, seed: int = 42) ->
         if nxt == current:
             break
         current = nxt
+    else:
+        raise RuntimeError(f"the medoids still move after {max_iter} rounds")
     return medoid_assign(table, spark.createDataFrame([(m,) for m in current], "id string"))

@@ -24,8 +24,6 @@ from cohortia.operators.ordered import bucket_splits, dominance_totals, running_
 from cohortia.operators.survival import martingale_residuals
 from cohortia.session import cut_lineage
 
-CLIP = 200.0
-DIRECT_TIES = 1000
 CUT_EVERY = 10
 
 
@@ -36,7 +34,7 @@ def _linear(B: np.ndarray):
     def score(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.clip(np.stack(v.to_numpy()) @ B, -CLIP, CLIP)))
+        return pd.Series(list(np.stack(v.to_numpy()) @ B))
 
     return score
 
@@ -51,14 +49,11 @@ def _efron(s0: pd.Series, t0: pd.Series, d: pd.Series) -> pd.DataFrame:
     h, ls = np.zeros(len(s)), np.zeros(len(s))
     one = n == 1
     h[one], ls[one] = 1 / s[one], np.log(s[one])
-    for i in np.nonzero((n > 1) & (n <= DIRECT_TIES))[0]:
-        den = s[i] - np.arange(n[i]) / n[i] * t[i]
-        h[i], ls[i] = (1 / den).sum(), np.log(den).sum()
-    big = n > DIRECT_TIES
-    if big.any():  # the same sums in closed form
-        a = s[big] * n[big] / t[big]
-        h[big] = n[big] / t[big] * (digamma(a + 1) - digamma(a - n[big] + 1))
-        ls[big] = n[big] * np.log(t[big] / n[big]) + _lgamma(a + 1) - _lgamma(a - n[big] + 1)
+    ties = n > 1
+    if ties.any():  # both sums in closed form, whatever the number of ties
+        a = s[ties] * n[ties] / t[ties]
+        h[ties] = n[ties] / t[ties] * (digamma(a + 1) - digamma(a - n[ties] + 1))
+        ls[ties] = n[ties] * np.log(t[ties] / n[ties]) + _lgamma(a + 1) - _lgamma(a - n[ties] + 1)
     c = np.divide(s * h - n, t, out=np.zeros(len(s)), where=t > 0)
     return pd.DataFrame({"h": h, "c": np.where(n > 0, c, 0.0), "l": ls})
 
@@ -80,7 +75,8 @@ class CoxProblem:
         self.data.unpersist()
 
     def _hazard(self, scored: DataFrame, m: int) -> DataFrame:
-        """(time, hz, c, l arrays): cumulative hazards, tie corrections and loss terms, written once per evaluation."""
+        """(time, hz, c, l arrays): cumulative hazards, tie corrections and loss terms, kept for one evaluation."""
+        # Scores are taken relative to the largest of their column: the likelihood does not change, and nothing overflows.
         e = lambda j: F.exp(F.col("s")[j])
         cells = scored.groupBy("time").agg(
             F.sum("event").alias("d"), *[F.sum(e(j)).alias(f"e{j}") for j in range(m)],
@@ -89,9 +85,9 @@ class CoxProblem:
         at = running_totals(cells, [], "time", {f"s0_{j}": f"e{j}" for j in range(m)}, ascending=False, splits=self.splits)
         has = F.col("d") > 0
         if self.ties == "breslow":
-            steps = at.select("time", *[F.when(has, F.col("d") / F.col(f"s0_{j}")).otherwise(0.0).alias(f"h{j}") for j in range(m)],
+            steps = at.select("time", *[F.when(has, F.col("d") / F.greatest(F.col(f"s0_{j}"), F.lit(1e-300))).otherwise(0.0).alias(f"h{j}") for j in range(m)],
                               *[F.lit(0.0).alias(f"c{j}") for j in range(m)],
-                              *[F.when(has, F.col("d") * F.log(f"s0_{j}") - F.col(f"v{j}")).otherwise(0.0).alias(f"l{j}") for j in range(m)])
+                              *[F.when(has, F.col("d") * F.log(F.greatest(F.col(f"s0_{j}"), F.lit(1e-300))) - F.col(f"v{j}")).otherwise(0.0).alias(f"l{j}") for j in range(m)])
         else:
             at = at.withColumns({f"x{j}": _efron(f"s0_{j}", f"t{j}", F.col("d").cast("double")) for j in range(m)})
             steps = at.select("time", *[F.when(has, F.col(f"x{j}.h")).otherwise(0.0).alias(f"h{j}") for j in range(m)],
@@ -99,12 +95,15 @@ class CoxProblem:
                               *[F.when(has, F.col(f"x{j}.l") - F.col(f"v{j}")).otherwise(0.0).alias(f"l{j}") for j in range(m)])
         cum = running_totals(steps, [], "time", {f"ch{j}": f"h{j}" for j in range(m)}, splits=self.splits)
         arr = lambda k: F.array(*[F.col(f"{k}{j}") for j in range(m)])
-        return cut_lineage(cum.select("time", arr("ch").alias("hz"), arr("c").alias("c"), arr("l").alias("l")))
+        return cum.select("time", arr("ch").alias("hz"), arr("c").alias("c"), arr("l").alias("l")).persist()
 
     def evaluate(self, B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log partial likelihood (m,) and gradient (p, m) at coefficient columns B."""
         m = B.shape[1]
-        scored = self.data.withColumn("s", _linear(B)("vec")).persist()
+        raw = self.data.withColumn("s", _linear(B)("vec")).persist()
+        top = raw.agg(*[F.max(F.col("s")[j]).alias(str(j)) for j in range(m)]).first()
+        shift = F.array(*[F.lit(float(top[str(j)] or 0.0)) for j in range(m)])
+        scored = raw.withColumn("s", F.zip_with("s", shift, lambda x, t: x - t))
         table = self._hazard(scored, m)
         loss = table.agg(*[F.sum(F.col("l")[j]).alias(str(j)) for j in range(m)]).first()
         joined = scored.join(table, "time").select("vec", "event", "s", "hz", "c")
@@ -122,7 +121,8 @@ class CoxProblem:
         g = np.zeros(B.shape[0] * m)
         for r in sums:
             g[r["i"]] = r["v"]
-        scored.unpersist()
+        raw.unpersist()
+        table.unpersist()
         return np.array([loss[str(j)] or 0.0 for j in range(m)]) / self.n, -g.reshape(B.shape[0], m) / self.n
 
 
@@ -138,7 +138,6 @@ class CoxPath:
     coef: np.ndarray
     loss: np.ndarray
     iterations: int
-    converged: bool
 
     def table(self, spark, feature_ids: Sequence[str]) -> DataFrame:
         rows = [(l1, a, f, float(self.coef[i, j])) for j, (l1, a) in enumerate(self.grid) for i, f in enumerate(feature_ids)]
@@ -149,7 +148,8 @@ def solve(problem: CoxProblem, grid: Sequence[tuple[float, float]], factors: np.
     """Proximal gradient on all penalties together, each column with its own step length.
 
     Objective: loss + alpha (l1 sum f|b| + (1 - l1)/2 sum f b^2). A column that fails its
-    quadratic bound halves the step and retries; one evaluation serves all columns of a round.
+    quadratic bound halves the step and retries; one evaluation serves all columns of a round. Steps follow
+    the local curvature (Barzilai & Borwein 1988). Raises if a column has not settled after ``max_iter`` rounds.
     """
     f = np.ones(problem.p) if factors is None else np.asarray(factors, dtype=float)
     l1 = np.array([r * a for r, a in grid])[None, :] * f[:, None]
@@ -169,20 +169,37 @@ def solve(problem: CoxProblem, grid: Sequence[tuple[float, float]], factors: np.
         new_obj = smooth(cand, nl)
         good = active & (new_obj <= bound + 1e-12)
         moved = np.abs(delta).max(axis=0)
-        step = np.where(active & ~good, step / 2, np.where(good, step * 1.3, step))
+        turn = (delta * (ng + l2 * cand - g)).sum(axis=0)
+        longer = np.clip((delta * delta).sum(axis=0) / np.where(turn > 0, turn, np.inf), step, 100 * step)
+        step = np.where(active & ~good, step / 2, np.where(good & (turn > 0), longer, step))
         cur = np.where(good, cand, cur)
         loss, obj = np.where(good, nl, loss), np.where(good, new_obj, obj)
         g = np.where(good, ng + l2 * cand, g)
         active = active & ~(good & (moved < tol))
         if not active.any():
             break
-    return CoxPath(list(grid), cur, loss, it, not active.any())
+    if active.any():
+        raise RuntimeError(f"{int(active.sum())} of {m} penalties not converged after {max_iter} rounds")
+    return CoxPath(list(grid), cur, loss, it)
 
 
-def alpha_path(problem: CoxProblem, l1_ratio: float, n_alphas: int = 100, alpha_min_ratio: float = 0.01, factors: np.ndarray | None = None) -> list[float]:
-    """Geometric path from the smallest alpha that zeroes every penalised coefficient."""
+def start_gradient(problem: CoxProblem, factors: np.ndarray | None = None, max_iter: int = 100, tol: float = 1e-5) -> np.ndarray:
+    """Gradient where only the features without penalty are fitted; the same for every l1 ratio."""
     f = np.ones(problem.p) if factors is None else np.asarray(factors, dtype=float)
-    _, g = problem.evaluate(np.zeros((problem.p, 1)))
+    start = np.zeros((problem.p, 1))
+    if (f <= 0).any():
+        held = np.where(f > 0, 1e12, 0.0)  # so large a penalty that these stay at zero
+        start = solve(problem, [(1.0, 1.0)], held, max_iter, tol).coef
+    return problem.evaluate(start)[1]
+
+
+def alpha_path(problem: CoxProblem, l1_ratio: float, n_alphas: int = 100, alpha_min_ratio: float = 0.01, factors: np.ndarray | None = None, gradient: np.ndarray | None = None) -> list[float]:
+    """Geometric path from the smallest alpha that zeroes every penalised coefficient.
+
+    That alpha comes from the gradient after fitting the features without penalty.
+    """
+    f = np.ones(problem.p) if factors is None else np.asarray(factors, dtype=float)
+    g = start_gradient(problem, f) if gradient is None else gradient
     pen = f > 0
     top = float(np.max(np.abs(g[pen, 0]) / f[pen])) / max(l1_ratio, 1e-3) if pen.any() else 1.0
     return [float(a) for a in np.geomspace(top, top * alpha_min_ratio, n_alphas)]
@@ -193,7 +210,8 @@ def cox_elastic_net(data: DataFrame, factors: Sequence[float] | None = None, l1_
     problem = CoxProblem(data)
     f = None if factors is None else np.asarray(factors, dtype=float)
     try:
-        grid = [(r, a) for r in l1_ratios for a in alpha_path(problem, r, n_alphas, alpha_min_ratio, f)]
+        g = start_gradient(problem, f, max_iter, tol)
+        grid = [(r, a) for r in l1_ratios for a in alpha_path(problem, r, n_alphas, alpha_min_ratio, f, g)]
         return solve(problem, grid, f, max_iter, tol)
     finally:
         problem.close()
@@ -281,7 +299,7 @@ def _ranker_gradient(scored: DataFrame, top: int) -> DataFrame:
     return both.select("key", "event", "s", (F.coalesce("a1", zero) + F.coalesce("a2", zero)).alias("a"), F.coalesce("l1", zero).alias("l"))
 
 
-def survival_ranker(data: DataFrame, alpha: float = 1.0, rank_ratio: float = 1.0, max_iter: int = 20, tol: float = 1e-4) -> np.ndarray:
+def survival_ranker(data: DataFrame, alpha: float = 1.0, rank_ratio: float = 1.0, max_iter: int = 1000, tol: float = 1e-4) -> np.ndarray:
     """Linear survival support vector machine -> coefficients; a larger score means an earlier event.
 
     Minimises |w|^2 / 2 + alpha (rank_ratio x mean pair loss + (1 - rank_ratio) x mean regression
@@ -339,9 +357,9 @@ def survival_ranker(data: DataFrame, alpha: float = 1.0, rank_ratio: float = 1.0
             moved = float(np.abs(cand - w).max())
             w, loss, g, step = cand, nl, ng, step * 1.5
             if moved < tol:
-                break
+                return w
         else:
             step /= 2
-            if step < 1e-8:
-                break
-    return w
+            if step < 1e-12:  # no descent left at working precision
+                return w
+    raise RuntimeError(f"not converged after {max_iter} rounds")

@@ -52,7 +52,8 @@ class Fitted:
         data = _assemble(vecs, self.learner)
         out = self.model.transform(data)
         raw = "probability" if self.learner.name.startswith(("random_forest", "gradient_boosting", "multinomial")) else "rawPrediction"
-        return out.select("sample_id", "label", vector_to_array(raw)[1].alias("score"), F.col("prediction").cast("int").alias("pred"))
+        kept = [c for c in ("group_weight",) if c in out.columns]
+        return out.select("sample_id", "label", *kept, vector_to_array(raw)[1].alias("score"), F.col("prediction").cast("int").alias("pred"))
 
     def weights(self) -> np.ndarray:
         m = self.model
@@ -82,6 +83,8 @@ def fit(learner: Learner, vecs: DataFrame) -> Fitted:
     w = F.lit(1.0)
     for c, v in weights.items():
         w = F.when(F.col("label") == c, F.lit(v if learner.balanced else 1.0)).otherwise(w)
+    if "group_weight" in vecs.columns:  # replicates share the weight of their group
+        w = w * F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0))
     data = _assemble(vecs, learner).withColumn("weight", w)
     return Fitted(learner, learner.make(n).fit(data))
 
@@ -105,12 +108,17 @@ def random_fourier(gamma: float, n_features: int, seed: int) -> Callable[[DataFr
     """Map vec to cosine features whose inner product approximates exp(-gamma |x - y|^2) (Rahimi & Recht 2007)."""
 
     def prepare(vecs: DataFrame) -> DataFrame:
+        drawn = []
+
         @F.pandas_udf(ArrayType(DoubleType()))
         def project(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
             X = np.stack(v.to_numpy())
-            rng = np.random.default_rng(seed)
-            W = rng.normal(scale=np.sqrt(2 * gamma), size=(X.shape[1], n_features))
-            return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(X @ W + rng.uniform(0, 2 * np.pi, n_features))))
+            if not drawn:  # once per worker
+                rng = np.random.default_rng(seed)
+                drawn.extend((rng.normal(scale=np.sqrt(2 * gamma), size=(X.shape[1], n_features)), rng.uniform(0, 2 * np.pi, n_features)))
+            return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(X @ drawn[0] + drawn[1])))
 
         return vecs.withColumn("vec", project("vec"))
 
@@ -186,48 +194,66 @@ def _score_table(preds: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
     return out
 
 
+def _classes(rows: DataFrame, by: Sequence[str]) -> dict[tuple, set]:
+    """Labels per fold; one row per fold and class reaches the driver."""
+    out: dict[tuple, set] = {}
+    for r in rows.select(*by, "label").distinct().collect():
+        out.setdefault(tuple(r[c] for c in by), set()).add(r["label"])
+    return out
+
+
 def grid_search(
     vecs: DataFrame, learner: Callable[..., Learner], grid: Mapping[str, Sequence], metrics: Sequence[str] = ("roc_auc", "balanced_accuracy"),
-    refit: str | None = None, fold_col: str = "fold", error_score: float = 0.0,
+    refit: str | None = None, fold_col: str = "fold", repeat_col: str | None = None,
 ) -> tuple[DataFrame, dict, Fitted]:
     """All parameter combinations on all folds -> (cv_results, best parameters, refitted model).
 
-    ``vecs`` carries ``fold_col``. Each fit writes its held-out predictions to the shared folder;
-    a failed fit scores ``error_score`` on its fold, as does a fold without both classes.
+    ``vecs`` carries ``fold_col`` and, for repeated folds, ``repeat_col`` with every row once per
+    repeat. Each fit writes its held-out predictions to the shared folder. A fold whose training
+    part holds one class cannot be fitted and one whose test part does has no score: it counts in no
+    mean, and a combination without any score has a null one. Every other failure ends the search.
     """
     spark, refit = vecs.sparkSession, refit or metrics[0]
     combos = param_grid(grid)
-    folds = sorted(r[0] for r in vecs.select(fold_col).distinct().collect())
+    cols = [*([repeat_col] if repeat_col else []), fold_col]
+    classes = _classes(vecs, cols)
+    folds = sorted(classes)
+    inside = lambda f: (F.col(repeat_col) == f[0]) if repeat_col else F.lit(True)
     base = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
 
-    def one(job: tuple[int, int]) -> bool:
-        i, f = job
-        try:
-            fitted = fit(learner(**combos[i]), vecs.where(F.col(fold_col) != f))
-            fitted.transform(vecs.where(F.col(fold_col) == f)).write.parquet(f"{base}/combo={i}/fold={f}")
-            return True
-        except Exception:  # noqa: BLE001 - a failed fit is a result, scored below
-            return False
+    def fits(f: tuple) -> bool:
+        rest = [classes[g] for g in folds if g[-1] != f[-1] and g[:-1] == f[:-1]]
+        return len(set().union(*rest)) > 1 if rest else False
+
+    def one(job: tuple[int, int]) -> None:
+        i, k = job
+        f = folds[k]
+        fitted = fit(learner(**combos[i]), vecs.where(inside(f) & (F.col(fold_col) != f[-1])))
+        fitted.transform(vecs.where(inside(f) & (F.col(fold_col) == f[-1]))).write.parquet(f"{base}/combo={i}/fold={k}")
 
-    jobs = [(i, f) for i in range(len(combos)) for f in folds]
+    jobs = [(i, k) for i in range(len(combos)) for k, f in enumerate(folds) if fits(f)]
+    if not jobs:
+        raise ValueError("no training fold holds both classes")
     with ThreadPool(PARALLEL_FITS) as pool:
-        ok = pool.map(inheritable_thread_target(spark)(one), jobs)
-    done = [j for j, o in zip(jobs, ok) if o]
-    rows = {(i, f, m): error_score for i, f in jobs for m in metrics}
-    if done:
-        preds = spark.read.option("basePath", base).parquet(*[f"{base}/combo={i}/fold={f}" for i, f in done])
-        for r in _score_table(preds, ["combo", "fold"], metrics).collect():
-            if r["value"] is not None:
-                rows[(r["combo"], r["fold"], r["metric"])] = r["value"]
+        pool.map(inheritable_thread_target(spark)(one), jobs)
+    preds = spark.read.option("basePath", base).parquet(*[f"{base}/combo={i}/fold={k}" for i, k in jobs])
+    scores: dict[tuple, list[float]] = {}
+    for r in _score_table(preds, ["combo", "fold"], metrics).collect():
+        if r["value"] is not None:
+            scores.setdefault((r["combo"], r["metric"]), []).append(r["value"])
     table, mean = [], {}
     for i, params in enumerate(combos):
         for m in metrics:
-            vals = [rows[(i, f, m)] for f in folds]
-            mean[(i, m)] = float(np.mean(vals))
-            table.append(({k: str(v) for k, v in params.items()}, m, mean[(i, m)], float(np.std(vals))))
-    best = max(range(len(combos)), key=lambda i: (mean[(i, refit)], -i))
+            vals = scores.get((i, m))
+            mean[(i, m)] = float(np.mean(vals)) if vals else None
+            table.append(({k: str(v) for k, v in params.items()}, m, mean[(i, m)], float(np.std(vals)) if vals else None))
+    scored = [i for i in range(len(combos)) if mean[(i, refit)] is not None]
+    if not scored:
+        raise ValueError(f"no combination has a {refit}")
+    best = max(scored, key=lambda i: (mean[(i, refit)], -i))
     results = spark.createDataFrame(table, "params map<string,string>, metric string, mean_score double, std_score double")
-    return results, combos[best], fit(learner(**combos[best]), vecs)
+    whole = vecs.where(F.col(repeat_col) == folds[0][0]) if repeat_col else vecs
+    return results, combos[best], fit(learner(**combos[best]), whole)
 
 
 @dataclass
@@ -246,42 +272,52 @@ Selector = Callable[[DataFrame, Sequence[str]], Sequence[int]]
 
 def nested_cv(
     vecs: DataFrame, feature_ids: Sequence[str], learner: Callable[..., Learner], grid: Mapping[str, Sequence], outer: DataFrame,
-    inner_k: int = 3, metrics: Sequence[str] = ("roc_auc", "balanced_accuracy"), selector: Selector | None = None, model: str = "model", seed: int = 777,
+    inner_k: int = 3, metrics: Sequence[str] = ("roc_auc", "balanced_accuracy", "average_precision"), selector: Selector | None = None, model: str = "model", seed: int = 777,
+    inner_repeats: int = 5,
 ) -> StudyTables:
     """Outer splits (sample_id, split, part in train/test): scale and select on train, search, refit, test.
 
-    A failed outer split is recorded and left out of every table.
+    With a ``group_id`` column the inner folds keep groups whole; a ``group_weight`` column
+    weighs training rows and test scores. An outer split whose training rows hold one class is
+    listed in ``failures`` and has null scores; any other failure ends the study.
     """
-    from cohortia.operators.splits import fold_assign
+    from cohortia.operators.splits import fold_assign, repeated_stratified_group_kfold
 
     spark = vecs.sparkSession
     base = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}"
+    extra = [c for c in ("group_id", "group_weight") if c in vecs.columns]
+    classes = _classes(vecs.select("sample_id", "label").join(outer.where("part = 'train'"), "sample_id"), ["split"])
     splits = sorted(r[0] for r in outer.select("split").distinct().collect())
-    cv_parts, failures, done = None, [], []
-    for s in splits:
-        try:
-            part = vecs.join(outer.where(F.col("split") == s).select("sample_id", "part"), "sample_id")
-            train = part.where("part = 'train'").select("sample_id", "vec", "label")
-            mean, std = vector_moments(train)
-            scaled = scale_vectors(train, mean, std)
-            keep = list(selector(scaled, feature_ids)) if selector else list(range(len(feature_ids)))
-            folds = fold_assign(scale_vectors(train, mean, std, keep), inner_k, ["label"], 1, seed).drop("repeat").persist()
-            cv, best, fitted = grid_search(folds, learner, grid, metrics)
-            test = scale_vectors(part.where("part = 'test'").select("sample_id", "vec", "label"), mean, std, keep)
-            fitted.transform(test).withColumn("split", F.lit(int(s))).write.parquet(f"{base}/predictions/s={s}")
-            model_weights(fitted, [feature_ids[i] for i in keep], vecs).withColumn("split", F.lit(int(s))).coalesce(1).write.parquet(f"{base}/weights/s={s}")
-            cv = cv.withColumn("split", F.lit(int(s)))
-            cv_parts = cv if cv_parts is None else cv_parts.unionByName(cv)
-            folds.unpersist()
-            done.append(s)
-        except Exception as e:  # noqa: BLE001 - one bad split must not end the study
-            failures.append(f"split {s}: {type(e).__name__}: {str(e)[:200]}")
+    done = [s for s in splits if len(classes.get((s,), ())) > 1]
+    failures = [f"split {s}: training rows hold a single class" for s in splits if s not in done]
     if not done:
-        raise RuntimeError("every outer split failed: " + "; ".join(failures[:3]))
+        raise ValueError("no outer split holds both classes in its training rows")
+    cv_parts = None
+    for s in done:
+        part = vecs.join(outer.where(F.col("split") == s).select("sample_id", "part"), "sample_id")
+        train = part.where("part = 'train'")
+        mean, std = vector_moments(train)
+        scaled = scale_vectors(train, mean, std)
+        keep = list(selector(scaled, feature_ids)) if selector else list(range(len(feature_ids)))
+        chosen = scale_vectors(train, mean, std, keep).select("sample_id", "vec", "label", *extra)
+        folds = repeated_stratified_group_kfold(chosen, inner_k, inner_repeats, seed) if "group_id" in extra else fold_assign(chosen, inner_k, ["label"], inner_repeats, seed)
+        folds = folds.persist()
+        cv, _, fitted = grid_search(folds, learner, grid, metrics, repeat_col="repeat")
+        test = scale_vectors(part.where("part = 'test'").select("sample_id", "vec", "label", *extra), mean, std, keep)
+        fitted.transform(test).withColumn("split", F.lit(int(s))).write.parquet(f"{base}/predictions/s={s}")
+        model_weights(fitted, [feature_ids[i] for i in keep], vecs).withColumn("split", F.lit(int(s))).coalesce(1).write.parquet(f"{base}/weights/s={s}")
+        cv = cv.withColumn("split", F.lit(int(s)))
+        cv_parts = cv if cv_parts is None else cv_parts.unionByName(cv)
+        folds.unpersist()
     name, data = F.lit(model).alias("model"), F.lit("all").alias("dataset")
-    preds = spark.read.parquet(*[f"{base}/predictions/s={s}" for s in done]).select(name, data, "split", "sample_id", "label", "score", "pred", F.lit(1.0).alias("weight"))
+    preds = spark.read.parquet(*[f"{base}/predictions/s={s}" for s in done])
+    weight = F.col("group_weight") if "group_weight" in extra else F.lit(1.0)
+    preds = preds.select(name, data, "split", "sample_id", "label", "score", "pred", weight.cast("double").alias("weight"))
     weights = spark.read.parquet(*[f"{base}/weights/s={s}" for s in done]).select(name, data, "split", "feature_id", "weight")
     scores = _score_table(preds, ["model", "dataset", "split"], metrics).withColumn("stage", F.lit("te"))
+    if failures:
+        lost = [(model, "all", int(s), m, None, "te") for s in splits if s not in done for m in metrics]
+        scores = scores.unionByName(spark.createDataFrame(lost, "model string, dataset string, split int, metric string, value double, stage string"))
     return StudyTables(preds, scores, cv_parts.withColumn("model", F.lit(model)), weights, failures)
 
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions import tails
-from cohortia.operators.ordered import average_ranks, quantiles, seeded_key, seeded_rank
+from cohortia.operators.ordered import average_ranks, quantiles, seeded_key
 from cohortia.session import cut_lineage
 
 
+#: A side no larger than this may be sent to every task.
+SMALL_BYTES = 8 << 20
+
+
 def group_moments(values: DataFrame, samples: DataFrame, group: str = "label", zero_fill: bool = False, measured: DataFrame | None = None) -> DataFrame:
     """Per feature: n, mean and sample variance in group 1 and group 0.
 
@@ -72,11 +76,13 @@ def group_mean_difference(values: DataFrame, samples: DataFrame, group: str = "l
 
 
 def permutation_test(samples: DataFrame, score: str, n: int = 1000, within: str | None = None, seed: int = 777, statistic: str = "mean_diff") -> DataFrame:
-    """(true, mean_permuted, p): all permutations of binary labels in one job.
+    """(true, mean_permuted, p): all permutations of binary labels at once.
 
     Permuting binary labels means drawing which rows are positive, so permutation i calls the
-    first n1 rows of its own seeded order positive (n1 per ``within`` group). ``statistic`` is
-    the difference of means or the AUC (via average ranks). p = (#{perm >= true} + 1) / (N + 1).
+    first n1 rows of its own seeded order positive (n1 per ``within`` group). No rows are ordered for
+    that: map-side counts per first digits of the seeded key find the digits at which the n1-th
+    row lies, and only rows with exactly these digits are ranked. ``statistic`` is the difference of
+    means or the AUC (via average ranks). p = (#{perm >= true} + 1) / (N + 1).
     """
     grp = [within] if within else []
     rows = samples.select("sample_id", "label", *grp, F.col(score).cast("double").alias("v"))
@@ -84,20 +90,37 @@ def permutation_test(samples: DataFrame, score: str, n: int = 1000, within: str
         rows = average_ranks(rows, [], "v", "rk").withColumn("v", F.col("rk")).drop("rk")
     elif statistic != "mean_diff":
         raise ValueError(f"unknown statistic {statistic}")
-    n1 = rows.groupBy(*grp).agg(F.sum("label").alias("__n1"))
-    perms = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    perms = seeded_rank(perms, ["perm", *grp], seeded_key(seed, "perm", "sample_id"))
-    perms = perms.join(n1, grp) if grp else perms.withColumn("__n1", n1.scalar())
-    drawn = perms.select("perm", "v", (F.col("rank") <= F.col("__n1")).cast("int").alias("y"))
-    both = drawn.unionByName(rows.select(F.lit(0).alias("perm"), "v", F.col("label").alias("y")))
-    s1, c1 = F.sum(F.col("v") * F.col("y")), F.sum("y")
-    s, c = F.sum("v"), F.count(F.lit(1))
-    stat = (s1 / c1 - (s - s1) / (c - c1)) if statistic == "mean_diff" else (s1 - c1 * (c1 + 1) / 2) / (c1 * (c - c1))
-    per = both.groupBy("perm").agg(stat.alias("stat"))
-    folded = per.agg(F.max(F.when(F.col("perm") == 0, F.col("stat"))).alias("true"), F.avg(F.when(F.col("perm") > 0, F.col("stat"))).alias("mean_permuted"),
-                     F.collect_list(F.when(F.col("perm") > 0, F.col("stat"))).alias("all"))
-    hits = F.size(F.filter("all", lambda x: x >= F.col("true") - 1e-12))
-    return folded.select("true", "mean_permuted", ((hits + 1) / (n + 1.0)).alias("p"))
+    rows = cut_lineage(rows)
+    sizes = rows.groupBy(*grp).agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("n1"))
+    first = sizes.agg(F.max("c"), F.count(F.lit(1))).first()
+    digits = min(4, max(1, int(math.log(max(first[0] or 1, 64) / 64, 16))))  # about 64 to 1,024 rows share them
+    keyed = rows.drop("label").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    keyed = keyed.withColumn("h", seeded_key(seed, "perm", "sample_id")).withColumn("bin", F.substring("h", 1, digits))
+    bins = keyed.groupBy("perm", *grp, "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"))
+    order = Window.partitionBy("perm", *grp).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = bins.withColumns({"c0": F.coalesce(F.sum("c").over(order), F.lit(0)), "s0": F.coalesce(F.sum("s").over(order), F.lit(0.0))})
+    wanted = sizes.select(*grp, "n1")
+    before = before.join(wanted, grp) if grp else before.withColumn("n1", wanted.scalar())
+    # The last bin that starts before the n1-th row; everything before it is positive.
+    edge = before.where(F.col("c0") < F.col("n1")).groupBy("perm", *grp).agg(F.max_by(F.struct("bin", "s0", (F.col("n1") - F.col("c0")).alias("left")), "bin").alias("e"))
+    edge = cut_lineage(edge.select("perm", *[F.col(g).alias(f"__{g}") for g in grp], "e.*"))
+    small = F.broadcast(edge) if n * (first[1] or 0) * 64 <= SMALL_BYTES else edge  # one row per permutation and group
+    same = (keyed["perm"] == small["perm"]) & (keyed["bin"] == small["bin"])
+    for g in grp:
+        same = same & keyed[g].eqNullSafe(small[f"__{g}"])
+    inside = keyed.join(small, same).select(keyed["perm"], *[keyed[g] for g in grp], "v", "h", "left")
+    place = F.row_number().over(Window.partitionBy("perm", *grp).orderBy("h"))
+    rest = inside.withColumn("k", place).where(F.col("k") <= F.col("left")).groupBy("perm").agg(F.sum("v").alias("s"))
+    drawn = edge.groupBy("perm").agg(F.sum("s0").alias("s")).unionByName(rest).groupBy("perm").agg(F.sum("s").alias("s1"))
+    true = rows.agg(F.struct(F.sum(F.col("v") * F.col("label")).alias("s1"), F.sum("label").alias("c1"), F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))).scalar()
+
+    def stat(s1):
+        c1, s, c = F.col("t.c1"), F.col("t.s"), F.col("t.c")
+        return (s1 / c1 - (s - s1) / (c - c1)) if statistic == "mean_diff" else (s1 - c1 * (c1 + 1) / 2) / (c1 * (c - c1))
+
+    per = drawn.withColumn("t", true).select(stat(F.col("s1")).alias("stat"), stat(F.col("t.s1")).alias("true"))
+    hits = F.count_if(F.col("stat") >= F.col("true") - 1e-12)
+    return per.agg(F.max("true").alias("true"), F.avg("stat").alias("mean_permuted"), ((hits + 1) / (n + 1.0)).alias("p"))
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ both engines hold identical doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -96,13 +96,15 @@ def members(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("pathway_id"), _tag("F", "p_partkey").alias("feature_id"))
 
 
-PROCESS = "SELECT DISTINCT p_type AS process_id, p_brand AS pathway_id FROM part WHERE p_size >= 49"
+PROCESS = """SELECT p_type AS process_id, p_brand AS pathway_id FROM (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS k
+ FROM part GROUP BY 1, 2) AS t WHERE k <= 2"""
 
 
 def process_members(spark, d) -> DataFrame:
-    """Each brand belongs to the types of its largest parts."""
-    pt = table(spark, d, "part")
-    return pt.where("p_size >= 49").select(F.col("p_type").alias("process_id"), F.col("p_brand").alias("pathway_id")).distinct()
+    """Each brand belongs to the two types that most of its parts have."""
+    counts = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))
+    return counts.withColumn("k", place).where("k <= 2").select(F.col("p_type").alias("process_id"), F.col("p_brand").alias("pathway_id"))
 
 
 SURVIVAL = """SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderpriority AS cohort,
@@ -275,9 +277,13 @@ def cv_results(spark, d) -> DataFrame:
     )
 
 
-SETS = "SELECT event_type AS run, 'U' || user_id AS item FROM events WHERE value > 30 GROUP BY 1, 2"
+SETS = """SELECT run, item FROM (SELECT event_type AS run, 'U' || user_id AS item, sum(CAST(round(value * 100) AS BIGINT)) AS s, count(*) AS n,
+ sum(sum(CAST(round(value * 100) AS BIGINT))) OVER (PARTITION BY event_type) AS total, sum(count(*)) OVER (PARTITION BY event_type) AS size FROM events GROUP BY 1, 2) AS t WHERE s * size > total * n"""
 
 
 def selected_sets(spark, d) -> DataFrame:
-    """Features picked by each run: users with a large event of the type."""
-    return table(spark, d, "events").where("value > 30").select(F.col("event_type").alias("run"), _tag("U", "user_id").alias("item")).distinct()
+    """Features picked by each run: users whose mean event lies above the mean of the type."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    per = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum(cents).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("event_type").agg(F.sum("s").alias("total"), F.sum("n").alias("size"))
+    return per.join(whole, "event_type").where("s * size > total * n").select(F.col("event_type").alias("run"), _tag("U", "user_id").alias("item"))
