@@ -162,6 +162,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1
 
 def single_link_clusters(dist: DataFrame, cutoff: float = 0.35) -> DataFrame:
     """Single-linkage cut: connected components of pairs within ``cutoff``."""
+    dist = cut_lineage(dist.where(F.col("d") <= cutoff).select("id_a", "id_b", "d").unionByName(
+        dist.select("id_a", F.col("id_a").alias("id_b"), F.lit(None).cast("double").alias("d")).distinct()))
     edges = dist.where((F.col("id_a") < F.col("id_b")) & (F.col("d") <= cutoff)).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     return connected_components(edges, dist.select(F.col("id_a").alias("id")))
 

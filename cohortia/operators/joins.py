@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortia.operators.absent import moments, n_distinct, quantiles_with_zeros
 from cohortia.operators.ordered import first_row, weighted_quantiles
+from cohortia.session import cut_lineage
 
 
 def annotate_genes(assay: DataFrame, annotation: DataFrame, biotype: str | None = "protein_coding") -> DataFrame:
@@ -27,13 +28,16 @@ def feature_median(assay: DataFrame) -> DataFrame:
 def collapse_duplicate_genes(annotated: DataFrame) -> DataFrame:
     """Per symbol keep the feature with the highest median; the smaller id wins a tie.
 
-    Absent cells are zeros. Medians are taken only where a symbol has several features.
+    Absent cells are zeros. Medians are taken only where a symbol has several features, from counts
+    per value that are written once; the assay itself is read for them, for its samples and
+    for the result.
     """
-    names = annotated.groupBy("symbol").agg(F.collect_set("feature_id").alias("ids"))  # a symbol has few features
+    counted = cut_lineage(annotated.groupBy("symbol", "feature_id", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    names = counted.groupBy("symbol").agg(F.collect_set("feature_id").alias("ids"))  # a symbol has few features
     several = names.where(F.size("ids") > 1).select("symbol", F.explode("ids").alias("feature_id"))
-    per = annotated.join(several, ["symbol", "feature_id"], "left_semi").groupBy("feature_id", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    per = counted.join(several, ["symbol", "feature_id"], "left_semi").groupBy("feature_id", "value").agg(F.sum("n").alias("n"))
     zeros = per.groupBy("feature_id").agg(F.sum("n").alias("c")).select("feature_id", F.lit(0.0).alias("value"), (n_distinct(annotated) - F.col("c")).alias("n"))
-    counts = per.where(F.col("value").isNotNull()).unionByName(zeros).groupBy("feature_id", "value").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(per.where(F.col("value").isNotNull()).unionByName(zeros).groupBy("feature_id", "value").agg(F.sum("n").alias("n")))
     med = weighted_quantiles(counts, ["feature_id"], "value", "n", {"median": 0.5})
     best = several.join(med, "feature_id", "left").groupBy("symbol").agg(
         F.min_by("feature_id", F.struct(-F.coalesce("median", F.lit(float("-inf"))), F.col("feature_id"))).alias("best"))
@@ -46,15 +50,9 @@ def common_ids(*dfs: DataFrame, key: str = "sample_id") -> DataFrame:
 
 
 def align_samples(*tables: DataFrame, key: str = "sample_id") -> list[DataFrame]:
-    """Every table restricted to the keys present in all of them."""
-    out = []
-    for i, t in enumerate(tables):
-        cur = t
-        for j, other in enumerate(tables):
-            if i != j:
-                cur = cur.join(other.select(key).distinct(), key, "left_semi")
-        out.append(cur.select(*t.columns))
-    return out
+    """Every table restricted to the keys present in all of them; the common keys are written once."""
+    common = cut_lineage(reduce(lambda a, b: a.join(b, key, "left_semi"), [t.select(key).distinct() for t in tables]))
+    return [t.join(common, key, "left_semi").select(*t.columns) for t in tables]
 
 
 def attach_patient_outcome(samples: DataFrame, clinical: DataFrame, sample_col: str = "sample_id", patient_col: str = "patient_id", length: int = 12) -> DataFrame:

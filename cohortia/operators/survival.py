@@ -93,7 +93,7 @@ def cox_partial_loglik(samples: DataFrame, score: str = "score", by: Sequence[st
 def _two_groups(samples: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
     g = F.col(group).cast("int")
     rows = samples.where(g.isin(0, 1))
-    cells = _times(rows, by, n1=g, d1=g * F.col("event").cast("int"))
+    cells = cut_lineage(_times(rows, by, n1=g, d1=g * F.col("event").cast("int")))  # one row per distinct time
     return _at_risk(cells, by, r="n", r1="n1").where("d > 0")
 
 

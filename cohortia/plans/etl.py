@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortia.operators import clinical as C
 from cohortia.operators import joins as J
+from cohortia.session import cut_lineage
 from cohortia.sources.bundle import CohortBundle
 
 
@@ -21,7 +22,7 @@ def clinical_etl(raw: DataFrame, cohort: str, order: Sequence[Column]) -> DataFr
 
 def expression_etl(profile: DataFrame, annotation: DataFrame, clinical: DataFrame, biotype: str | None = "protein_coding") -> CohortBundle:
     """Expression profile -> symbol-level assay aligned with the clinical table."""
-    genes = J.collapse_duplicate_genes(J.annotate_genes(profile, annotation, biotype))
+    genes = cut_lineage(J.collapse_duplicate_genes(J.annotate_genes(profile, annotation, biotype)))
     assay, samples = J.align_samples(genes.withColumn("modality", F.lit("rna")), clinical)
     features = annotation.select(F.col("symbol").alias("feature_id")).distinct()
     kept = J.pathway_members_in_assay(features, assay)
