@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortia.catalog import tails_sql
 from cohortia.catalog.registry import register
 from cohortia.operators import cluster as C
 from cohortia.operators import graph as G
@@ -291,7 +292,7 @@ def _(spark, d):
     return P.pathway_enrichment(f.where("length > 40"), A.members(spark, d), f).drop("p")
 
 
-@register("pathway_enrichment_pvalues")
+@register("pathway_enrichment_pvalues", f"SELECT *, {tails_sql.hypergeometric_upper('overlap', 'selected', 'size', 'universe')} AS p FROM (SELECT pathway_id, count(*) AS size, count(s.feature_id) AS overlap, (SELECT count(*) FROM ({_SELECTED})) AS selected, (SELECT count(*) FROM part) AS universe FROM ({A.MEMBERS}) AS m LEFT JOIN ({_SELECTED}) AS s ON s.feature_id = m.feature_id GROUP BY 1)", rounded=["p"])
 def _(spark, d):
     f = A.features(spark, d)
     return P.pathway_enrichment(f.where("length > 40"), A.members(spark, d), f)

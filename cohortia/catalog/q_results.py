@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortia.catalog import tails_sql
 from cohortia.catalog.registry import register
 from cohortia.operators import metrics as M
 from cohortia.operators import results as R
@@ -78,7 +79,7 @@ def _(spark, d):
     return R.paired_t(A.scores(spark, d), "roc_auc").drop("p")
 
 
-@register("paired_t_pvalues")
+@register("paired_t_pvalues", f"SELECT *, {tails_sql.t_two_sided('t', '(n - 1)')} AS p FROM ({_PT})", rounded=["mean_diff", "t", "p"])
 def _(spark, d):
     return R.paired_t(A.scores(spark, d), "roc_auc")
 

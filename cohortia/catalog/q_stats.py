@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from cohortia.catalog import tails_sql
 from cohortia.catalog.registry import register
 from cohortia.operators import normalise as N
 from cohortia.operators import stats as T
@@ -45,7 +46,7 @@ def _(spark, d):
     return _welch_norm(spark, d).drop("p", "significant")
 
 
-@register("welch_t_pvalues")
+@register("welch_t_pvalues", f"SELECT *, coalesce(p < 0.05, false) AS significant FROM (SELECT *, {tails_sql.t_two_sided('t', 'df')} AS p FROM ({_FLAGSHIP}))", rounded=[*_COLS, "p"], digits=5)
 def _(spark, d):
     return T.sort_tests(_welch_norm(spark, d))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortia.catalog import tails_sql
 from cohortia.catalog.registry import register
 from cohortia.operators import survival as S
 from cohortia.sources import adapters as A
@@ -76,7 +77,14 @@ def _(spark, d):
     return S.logrank(S.risk_groups(_samples(spark, d)), "risk").drop("p")
 
 
-@register("logrank_pvalue")
+_LR_COHORT = f"""WITH m AS (SELECT cohort, time, event, CASE WHEN score >= quantile_cont(score, 0.5) OVER (PARTITION BY cohort) THEN 1 ELSE 0 END AS risk FROM (SELECT sample_id, cohort, time, event, score / 100000.0 AS score FROM ({A.SURVIVAL}))),
+ c AS (SELECT cohort, time, count(*) AS n, sum(event) AS d, sum(risk) AS n1, sum(risk * event) AS d1 FROM m GROUP BY 1, 2),
+ r AS (SELECT *, sum(n) OVER w AS r, sum(n1) OVER w AS r1 FROM c WINDOW w AS (PARTITION BY cohort ORDER BY time DESC)),
+ a AS (SELECT cohort, CAST(sum(d1) AS BIGINT) AS observed, sum(d * r1 / r) AS expected, sum(CASE WHEN r > 1 THEN d * (r1 / r) * (1 - r1 / r) * (r - d) / (r - 1) ELSE 0 END) AS variance FROM r WHERE d > 0 GROUP BY 1),
+ x AS (SELECT *, (observed - expected) * (observed - expected) / variance AS chi2 FROM a) SELECT *, {tails_sql.chi2_one('chi2')} AS p FROM x"""
+
+
+@register("logrank_pvalue", _LR_COHORT, rounded=["expected", "variance", "chi2", "p"])
 def _(spark, d):
     return S.logrank(S.risk_groups(_samples(spark, d), by=["cohort"]), "risk", ["cohort"])
 
