@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.operators.vectors import euclidean
-from cohortia.session import cut_lineage
+from cohortia.session import cut_lineage, forget
 
 PARALLEL_FITS = 4
 
@@ -150,7 +150,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         nxt = cut_lineage(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        seen, sig, cur = sig, _signature(nxt), nxt
+        seen, sig = sig, _signature(nxt)
+        forget(cur)
+        cur = nxt
         done = seen == sig
         if done:
             break

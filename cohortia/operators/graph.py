@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.operators.joins import top_features
 from cohortia.operators.vectors import nearest_k, similarity_self_join
-from cohortia.session import cut_lineage
+from cohortia.session import cut_lineage, forget
 
 
 def threshold_graph(vecs: DataFrame, cutoff: float = 0.7, block_rows: int | None = None) -> DataFrame:
@@ -43,9 +43,10 @@ def graph_propagate(edges: DataFrame, values: DataFrame, steps: int = 1, weighte
         norm = cut_lineage(norm)
     cur = values.select("sample_id", "feature_id", "value")
     for i in range(steps):
-        cur = norm.join(cur.withColumnRenamed("sample_id", "src"), "src").groupBy(F.col("dst").alias("sample_id"), "feature_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        last, cur = cur, norm.join(cur.withColumnRenamed("sample_id", "src"), "src").groupBy(F.col("dst").alias("sample_id"), "feature_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
         if i + 1 < steps:
             cur = cut_lineage(cur)
+            forget(last)
     return cur
 
 

@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from cohortia.functions.tails import _lgamma, digamma
 from cohortia.operators.ordered import bucket_splits, dominance_totals, running_totals
 from cohortia.operators.survival import martingale_residuals
-from cohortia.session import cut_lineage
+from cohortia.session import cut_lineage, forget
 
 CUT_EVERY = 10
 
@@ -248,7 +248,7 @@ def boosted_cox(data: DataFrame, stages: int = 200, rate: float = 0.05, depth: i
     base = data.select("sample_id", array_to_vector("vec").alias("features"), F.col("time").cast("double").alias("time"), F.col("event").cast("int").alias("event"))
     cur = cut_lineage(base.withColumn("score", F.lit(0.0)))
     splits = bucket_splits(cur.select("time").distinct(), "time")
-    kept = cur.persist()
+    written, kept = cur, cur.persist()
     for stage in range(1, stages + 1):
         cells = cur.groupBy("time").agg(F.sum("event").alias("d"), F.sum(F.exp("score")).alias("e"))
         at = running_totals(cells, [], "time", {"s0": "e"}, ascending=False, splits=splits).withColumn("h", F.col("d") / F.col("s0"))
@@ -256,10 +256,14 @@ def boosted_cox(data: DataFrame, stages: int = 200, rate: float = 0.05, depth: i
         res = cur.join(H, "time").withColumn("residual", F.col("event") - F.exp("score") * F.col("cumulative")).drop("cumulative")
         tree = DecisionTreeRegressor(maxDepth=depth, labelCol="residual", seed=seed).fit(res)
         nxt = tree.transform(cur).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction")
-        cur = (cut_lineage(nxt) if stage % CUT_EVERY == 0 else nxt).persist()
+        cur = cut_lineage(nxt) if stage % CUT_EVERY == 0 else nxt
+        older, written = (written, cur) if stage % CUT_EVERY == 0 else (None, written)
+        cur = cur.persist()
         cur.count()
         kept.unpersist()
         kept = cur
+        if older is not None:
+            forget(older)
     return cur.select("sample_id", "time", "event", "score")
 
 

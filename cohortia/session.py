@@ -27,12 +27,14 @@ def get_session(app: str = "cohortia", cores: str = "*", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a session whose tasks run in this process may lack the setting, as in tests; it gets a
+    temporary folder. Every other master must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cohortia.scratch.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="cohortia-")
     spark.conf.set("cohortia.scratch.dir", path)
@@ -48,4 +50,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``cut_lineage`` wrote for ``df``, once nothing reads it any more.
+
+    Loops call this for a round whose successor is written; a frame that was not cut is left alone.
+    """
+    path = df.__dict__.pop("_cut_path", None)
+    if path is not None:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
