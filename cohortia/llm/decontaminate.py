@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Members, alphabet, chunks, hash_words, mix, text_buffers
+from .tables import small_batches
 
 #: Words of a seed; expected chance occurrences of a rare one; the least share of an item's n-grams that are seeds.
 SEED, RARE, LEAST_SHARE = 3, 0.01, 0.25
@@ -70,6 +71,7 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 def word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray, int]:
     """The block's distinct word hashes, how often each occurs in ``docs``, and the words of ``docs`` in all."""
+    small_batches(docs.sparkSession)
     vocabulary = Members(np.concatenate(items.words))
     values = vocabulary.values
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Members, Words, alphabet, chunks, distinct, hash_words, mix, text_buffers
+from .tables import small_batches
 
 THRESHOLD = 0.8
 _U = np.uint64
@@ -184,6 +185,7 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a smaller passage. Null and empty texts give no rows. Repeated rows are all reported; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     listed = _templates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

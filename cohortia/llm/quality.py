@@ -85,7 +85,7 @@ def base_failed() -> Column:
 def _fences(sketched: DataFrame) -> DataFrame:
     out = []
     for r, least in RATIOS.items():
-        q = lambda p, r=r: F.kll_sketch_get_quantile_double(f"__{r}", F.lit(p))
+        q = lambda p, r=r: F.when(F.col("__n") > 0, F.kll_sketch_get_quantile_double(f"__{r}", F.lit(p)))  # noqa: E731  an empty sketch has none
         spread = F.greatest(REACH * (q(0.75) - q(0.25)), F.lit(least))
         out += [(q(0.25) - spread).alias(f"{r}_low"), (q(0.75) + spread).alias(f"{r}_high")]
     return sketched.select("lang", "source", "__n", F.struct(*out).alias("fences"))

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .hashing import Members, alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
-from .tables import cut, filesystem, fresh_dir
+from .tables import cut, filesystem, fresh_dir, small_batches
 
 WINDOW = 50
 SEGMENT_ROWS = 8192
@@ -301,6 +301,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False)
     lose words nor make others lose them; equal doc_ids do not affect each other. Every row
     comes back once, also from an empty table.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
     tag = {c: f"__x{k}" for k, c in enumerate(extra)}

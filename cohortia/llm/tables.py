@@ -14,6 +14,21 @@ from cohortia.session import cut_lineage, shared_dir
 SMALL_BYTES = 8 << 20
 
 
+#: Rows and bytes of text that travel to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts may be long, and a batch exists on both sides of the pipe.
+
+    Lowers the session's own limits where they are higher; results do not depend on them.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most or int(now) == 0:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

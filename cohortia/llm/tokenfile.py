@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import chunks, text_buffers
-from .tables import filesystem, fresh_dir
+from .tables import filesystem, fresh_dir, small_batches
 
 MAGIC = b"IDBITS01"
 BLOCK_IDS = 1 << 15
@@ -289,6 +289,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
     doc_id; only one number per file reaches the driver.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     description, vocabulary = load_tokenizer(tokenizer)
     bits = id_bits(max(vocabulary, end_id + 1))
     directory = directory or fresh_dir(spark, "ids")

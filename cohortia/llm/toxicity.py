@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Alphabet, Words, alphabet, chunks, distinct, hash_words, mix, text_buffers
+from .tables import small_batches
 
 FEATURE_BITS = 20
 #: From this score on a document counts as toxic.
@@ -105,6 +106,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     the doc_id decides. A doc_id labelled more than once is toxic if any label says so, and null
     doc_ids or labels teach nothing.
     """
+    small_batches(docs.sparkSession)
     open_rows = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(open_rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import SMALL_BYTES, cut, texts
+from .tables import SMALL_BYTES, cut, small_batches, texts
 
 #: A path wins on its host with this share of the votes; the leader always does.
 WINNING_SHARE = 0.1
@@ -290,6 +290,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     space, blocks in page order joined by a newline. A null or empty page, or one without text, gives
     "". A null url counts as a host without a name. Other columns are left out.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     winners = cut(winning_paths(path_votes(rows)))
     size = winners.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 64)).first()[0] or 0
