@@ -152,6 +152,9 @@ _TMM = f"""WITH a AS (SELECT sample_id, feature_id, sum(value) AS value FROM ({A
  t AS (SELECT l.sample_id, lib, coalesce(lf, 0.0) AS lf FROM l LEFT JOIN w ON l.sample_id = w.sample_id) SELECT sample_id, lib, pow(2, lf - (SELECT avg(lf) FROM t)) AS factor FROM t"""
 
 
+TMM_SQL = _TMM
+
+
 @register("tmm_factors", _TMM, rounded=["factor"])
 def _(spark, d):
     return N.tmm_factors(_brand_counts(spark, d))

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from cohortia.catalog import tails_sql
+from cohortia.catalog.q_encode import TMM_SQL
 from cohortia.catalog.registry import register
 from cohortia.operators import normalise as N
 from cohortia.operators import stats as T
@@ -164,7 +165,16 @@ def _(spark, d):
     return T.limma_moderated_t(_log_brand(spark, d)[1], A.samples(spark, d))
 
 
-@register("edger_two_group")
+_SCALED = f"""SELECT a.sample_id, a.feature_id, value / e * m AS value FROM (SELECT sample_id, feature_id, sum(value) AS value FROM ({A.BRAND_ASSAY}) GROUP BY 1, 2) AS a
+ JOIN (SELECT sample_id, lib * factor AS e, avg(lib * factor) OVER () AS m FROM ({TMM_SQL})) AS f ON a.sample_id = f.sample_id"""
+_EDGER = _MOM.format(src=_SCALED, samples=A.SAMPLES, **_ZERO) + f""", b AS (SELECT *, n1 + n0 - 2 AS df, (mean1 * n1 + mean0 * n0) / (n1 + n0) AS mu, (var1 * (n1 - 1) + var0 * (n0 - 1)) / (n1 + n0 - 2) AS s2 FROM v WHERE n1 > 1 AND n0 > 1),
+ w AS (SELECT *, greatest((s2 - mu) / (mu * mu), 0) AS raw FROM b WHERE mu > 0), c AS (SELECT *, sum(raw * mu) OVER () / sum(mu) OVER () AS common FROM w),
+ x AS (SELECT *, CASE WHEN raw > 4 * common THEN raw ELSE (df * raw + 10 * common) / (df + 10) END AS dispersion FROM c),
+ z AS (SELECT feature_id, mean1, mean0, dispersion, ln((mean1 + 1) / (mean0 + 1)) / ln(2) AS log_fc, ln((mean1 + 1) / (mean0 + 1)) / sqrt((1 / (mean1 + 1) + dispersion) / n1 + (1 / (mean0 + 1) + dispersion) / n0) AS z FROM x)
+ SELECT *, {tails_sql.normal_two_sided('z')} AS p FROM z"""
+
+
+@register("edger_two_group", _EDGER, rounded=["mean1", "mean0", "dispersion", "log_fc", "z", "p"], digits=5)
 def _(spark, d):
     a, _ = _log_brand(spark, d)
     return T.edger_two_group(a, A.samples(spark, d), N.tmm_factors(a))

@@ -89,6 +89,14 @@ def _(spark, d):
     return S.logrank(S.risk_groups(_samples(spark, d), by=["cohort"]), "risk", ["cohort"])
 
 
-@register("cox_two_group")
+_COX_TWO = _RISK.replace("WITH s", "WITH RECURSIVE s") + f""", c AS (SELECT time, count(*) AS n, sum(event) AS d, sum(risk) AS n1, sum(risk * event) AS d1 FROM m GROUP BY 1),
+ t AS (SELECT d, d1, r, r1 FROM (SELECT *, sum(n) OVER w AS r, sum(n1) OVER w AS r1 FROM c WINDOW w AS (ORDER BY time DESC)) WHERE d > 0),
+ newton AS (SELECT 0 AS i, CAST(0.0 AS DOUBLE) AS beta UNION ALL
+  SELECT i + 1, beta + greatest(-2.0, least(2.0, step)) FROM newton, LATERAL (SELECT sum(d1 - d * p) / sum(d * p * (1 - p)) AS step FROM (SELECT *, r1 * exp(beta) / (r - r1 + r1 * exp(beta)) AS p FROM t)) AS u WHERE i < 15),
+ e AS (SELECT beta, (SELECT sum(d * p * (1 - p)) FROM (SELECT *, r1 * exp(beta) / (r - r1 + r1 * exp(beta)) AS p FROM t)) AS info FROM newton WHERE i = 15),
+ z AS (SELECT beta AS coef, exp(beta) AS hazard_ratio, 1 / sqrt(info) AS se, beta * sqrt(info) AS z FROM e) SELECT *, {tails_sql.normal_two_sided('z')} AS p FROM z"""
+
+
+@register("cox_two_group", _COX_TWO, rounded=["coef", "hazard_ratio", "se", "z", "p"])
 def _(spark, d):
     return S.cox_two_group(S.risk_groups(_samples(spark, d)), "risk")

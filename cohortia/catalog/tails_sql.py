@@ -14,6 +14,11 @@ def t_two_sided(t: str, df: str) -> str:
     return f"2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {inner}"
 
 
+def normal_two_sided(z: str) -> str:
+    """P(|Z| >= |z|) of the standard normal."""
+    return f"2 / sqrt(2 * pi()) * {_simpson(f'abs({z})', f'(abs({z}) + 12)', 'exp(-({x}) * ({x}) / 2)')}"
+
+
 def chi2_one(x: str) -> str:
     """Upper tail of chi-square with one degree of freedom."""
     return f"2 / sqrt(2 * pi()) * {_simpson(f'sqrt({x})', f'(sqrt({x}) + 12)', 'exp(-({x}) * ({x}) / 2)')}"

@@ -18,6 +18,11 @@ def test_no_cartesian_join(spark, sf, name):
     assert "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize(("name", "most"), [("expression_etl", 6), ("collapse_duplicate_genes", 6), ("logrank", 2), ("single_link_clusters", 3), ("align_samples", 8), ("c_index", 6)])
+def test_few_scans(spark, sf, name, most):
+    assert plan(entry.queries()[name](spark, sf)).count("FileScan") <= most
+
+
 def test_flagship_reads_only_needed_columns(spark, sf):
     text = plan(entry.queries()["flagship"](spark, sf))
     scans = [line for line in text.splitlines() if "FileScan" in line and "lineitem" in line]
