@@ -72,7 +72,8 @@ def _(spark, d):
     return V.silhouette(A.vectors(spark, d))
 
 
-@register("silhouette_squared")
+@register("silhouette_squared", f"""WITH v AS ({A.VECS}), t AS (SELECT a.sample_id AS id, a.label, b.label AS other, sum(pow(list_distance(a.vec, b.vec), 2)) AS total, count(*) AS n FROM v AS a JOIN v AS b ON a.sample_id <> b.sample_id GROUP BY 1, 2, 3),
+ s AS (SELECT id, label, max(total / n) FILTER (WHERE other = label) AS a, min(total / n) FILTER (WHERE other <> label) AS b FROM t GROUP BY 1, 2) SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM s""", rounded=["silhouette"])
 def _(spark, d):
     return spark.createDataFrame([(V.silhouette_squared(A.vectors(spark, d)),)], "silhouette double")
 

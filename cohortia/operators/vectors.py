@@ -59,14 +59,16 @@ def _tiles(A: np.ndarray, B: np.ndarray, metric: str) -> Iterator[tuple[int, np.
 
 def block_pairs(
     left: DataFrame, right: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict], pd.DataFrame],
-    schema: str, extra: str | None = None, block_rows: int | None = None, metric: str = "cosine",
+    schema: str, extra: str | None = None, block_rows: int | None = None, metric: str = "cosine", half: bool = False,
 ) -> DataFrame:
     """Run ``reduce`` on every (left tile, right block) pair.
 
     Rows are hashed into blocks of about ``block_rows``, sized so a block of vectors stays below
     about 64 MB and the block pairs occupy every core. Every left block is replicated once per right block and the other way round; the
     replication factor is rows / block_rows, and each task holds one block of either side.
-    ``reduce(ids_a, ids_b, values, extra_b)`` sees a tile of similarities and returns rows.
+    ``reduce(ids_a, ids_b, values, extra_b)`` sees a tile of similarities and returns rows. ``half`` is
+    for one table against itself when both orders of a pair say the same: blocks only meet blocks of
+    the same or a larger number, and ``reduce`` gets a fifth argument that is true inside a block.
     """
     dim_row = left.select(F.size("vec").alias("n")).limit(1).first()
     dim = max(1, dim_row["n"] if dim_row else 1)
@@ -76,12 +78,16 @@ def block_pairs(
     na, nb = max(1, math.ceil(nl / rows)), max(1, math.ceil(nr / rows))
     ex = F.col(extra).cast("string") if extra else F.lit("")
 
-    def side(df: DataFrame, own: int, other: int) -> DataFrame:
-        return df.withColumns({"own": F.pmod(F.xxhash64("sample_id"), F.lit(own)).cast("int"), "partner": F.explode(F.sequence(F.lit(0), F.lit(other - 1)))})
+    def side(df: DataFrame, own: int, other: int, left_side: bool) -> DataFrame:
+        df = df.withColumn("own", F.pmod(F.xxhash64("sample_id"), F.lit(own)).cast("int"))
+        lo, hi = F.lit(0), F.lit(other - 1)
+        if half:
+            lo, hi = (F.col("own"), hi) if left_side else (lo, F.col("own"))
+        return df.withColumn("partner", F.explode(F.sequence(lo, hi)))
 
     key = F.col("sample_id").cast("string")
-    a = side(left, na, nb).select(F.col("own").alias("a_block"), F.col("partner").alias("a_with"), key.alias("a_id"), F.col("vec").alias("a_vec"))
-    b = side(right, nb, na).select(F.col("partner").alias("b_with"), F.col("own").alias("b_block"), key.alias("b_id"), F.col("vec").alias("b_vec"), ex.alias("b_ex"))
+    a = side(left, na, nb, True).select(F.col("own").alias("a_block"), F.col("partner").alias("a_with"), key.alias("a_id"), F.col("vec").alias("a_vec"))
+    b = side(right, nb, na, False).select(F.col("partner").alias("b_with"), F.col("own").alias("b_block"), key.alias("b_id"), F.col("vec").alias("b_vec"), ex.alias("b_ex"))
 
     def run(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -89,7 +95,8 @@ def block_pairs(
             A, B = np.stack(pa["a_vec"].to_numpy()).astype(float), np.stack(pb["b_vec"].to_numpy()).astype(float)
             ia, ib, eb = pa["a_id"].to_numpy(), pb["b_id"].to_numpy(), pb["b_ex"].to_numpy()
             for lo, vals in _tiles(A, B, metric):
-                out.append(reduce(ia[lo : lo + len(vals)], ib, vals, eb))
+                inner = (bool(pa["a_block"].iloc[0] == pb["b_block"].iloc[0]),) if half else ()
+                out.append(reduce(ia[lo : lo + len(vals)], ib, vals, eb, *inner))
         names = [c.split()[0] for c in schema.split(", ")]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in names})
 
@@ -108,18 +115,16 @@ def nearest_k(vecs: DataFrame, k: int = 10, other: DataFrame | None = None, bloc
         v = np.round(vals, 12)
         if same:
             v = np.where(ia[:, None] == ib[None, :], -np.inf, v)
+        by_id = np.argsort(ib.astype(str), kind="stable")
+        v, names = v[:, by_id], ib[by_id]
         kk = min(k, v.shape[1])
         kth = -np.partition(-v, kk - 1, axis=1)[:, kk - 1 : kk]
-        rows_a, rows_b, sims = [], [], []
         sure, edge = v > kth, v == kth
-        for i in range(len(v)):
-            take = np.nonzero(sure[i])[0]
-            ties = np.nonzero(edge[i])[0]
-            ties = ties[np.argsort(ib[ties].astype(str), kind="stable")][: kk - len(take)]
-            idx = np.concatenate([take, ties])
-            idx = idx[np.isfinite(v[i, idx])]
-            rows_a.append(np.repeat(ia[i], len(idx))), rows_b.append(ib[idx]), sims.append(v[i, idx])
-        return pd.DataFrame({"id_a": np.concatenate(rows_a), "id_b": np.concatenate(rows_b), "similarity": np.concatenate(sims)})
+        # Of equals at the edge the first ids fill the places left.
+        left = kk - sure.sum(axis=1, keepdims=True)
+        take = (sure | (edge & (np.cumsum(edge, axis=1) <= left))) & np.isfinite(v)
+        i, j = np.nonzero(take)
+        return pd.DataFrame({"id_a": ia[i], "id_b": names[j], "similarity": v[i, j]})
 
     cand = block_pairs(vecs, vecs if same else other, best, "id_a string, id_b string, similarity double", block_rows=block_rows)
     w = Window.partitionBy("id_a").orderBy(F.desc("similarity"), "id_b")
@@ -129,11 +134,16 @@ def nearest_k(vecs: DataFrame, k: int = 10, other: DataFrame | None = None, bloc
 def similarity_self_join(vecs: DataFrame, cutoff: float, block_rows: int | None = None) -> DataFrame:
     """(id_a, id_b, similarity) for unordered pairs with cosine above ``cutoff``, id_a < id_b."""
 
-    def above(ia, ib, vals, _):
-        i, j = np.nonzero((vals > cutoff) & (ia[:, None] < ib[None, :]))
-        return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], "similarity": vals[i, j]})
+    def above(ia, ib, vals, _, inner):
+        hit = vals > cutoff
+        if inner:
+            hit &= ia[:, None] < ib[None, :]
+        i, j = np.nonzero(hit)
+        a, b = ia[i], ib[j]
+        swap = a > b
+        return pd.DataFrame({"id_a": np.where(swap, b, a), "id_b": np.where(swap, a, b), "similarity": vals[i, j]})
 
-    return block_pairs(vecs, vecs, above, "id_a string, id_b string, similarity double", block_rows=block_rows)
+    return block_pairs(vecs, vecs, above, "id_a string, id_b string, similarity double", block_rows=block_rows, half=True)
 
 
 def mutual_nearest(vecs_a: DataFrame, vecs_b: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
