@@ -9,7 +9,7 @@ one table. ``M1`` x ``M2`` tables thus cost ``M1 * K1 + M2 * K2`` MinHash values
 Texts with equal sets are one node from the start. In every bucket each member is compared with two
 hubs (the least under two hashed orders), so no pairs are formed inside a bucket. Links confirmed so
 far join nodes to components. Where a bucket still holds several components, its members are
-compared exactly, block against block of about BLOCK nodes, but never inside one component; only
+compared exactly, block against block of at most about BLOCK nodes, but never inside one component; only
 links that join something new leave a block.
 """
 
@@ -22,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortia.session import forget
+
 from .hashing import alphabet, chunks, hash_words, mix, text_buffers, window_hashes
-from .tables import SMALL_BYTES, cut
+from .tables import SMALL_BYTES, cut, small_batches
 
 K1, M1, K2, M2 = 3, 11, 2, 8
 N_HASHES = K1 * M1 + K2 * M2
-BLOCK = 64
+#: Nodes, and bytes of their sets, that one side of an exact comparison holds.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Components from this size on have blocks of their own, which are never compared with each other.
+LARGE = 128
+HUB_STEPS = 3
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * N_HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[:N_HASHES], _SEEDS[N_HASHES:] | _U(1)
@@ -119,39 +125,53 @@ def _confirm(percent: int):
     return run
 
 
+def _held(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, set sizes and all set members in a row, of one block."""
+    at = column.offsets
+    part = column.values.slice(at[row].as_py(), at[row + 1].as_py() - at[row].as_py())
+    sets = part.field("set").to_pylist()
+    flat = np.frombuffer(b"".join(sets), _U)
+    return part.field("node").to_numpy(), part.field("comp").to_numpy(), np.array([len(x) // 8 for x in sets]), flat
+
+
+def _new_links(percent: int, one: tuple, other: tuple | None) -> list[tuple[int, int]]:
+    """Links between different components of one block, or of two, without those they imply."""
+    node, comp, counts, members = one if other is None else tuple(np.concatenate(x) for x in zip(one, other))
+    first = len(one[0])
+    starts = np.cumsum(counts) - counts
+    _, flat = np.unique(members, return_inverse=True)
+    root = {c: c for c in comp.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    seen = np.zeros(int(flat.max()) + 1, np.int32)
+    links = []
+    for i in range(first):
+        own = flat[starts[i] : starts[i] + counts[i]]
+        seen[own] = 1
+        both = np.add.reduceat(seen[flat], starts)
+        seen[own] = 0
+        close = 100 * both >= percent * (counts + counts[i] - both)
+        close[: i + 1 if other is None else first] = False
+        for j in np.flatnonzero(close):
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y:
+                root[x] = y
+                links.append((int(node[i]), int(node[j])))
+    return links
+
+
 def _compare_blocks(percent: int):
-    """Links between different components inside one pair of blocks, without those they imply."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
-        comp = table.column("comp").to_numpy()
-        sets = [np.frombuffer(s, _U) for s in table.column("set").to_pylist()]
-        counts = np.array([len(s) for s in sets])
-        starts = np.cumsum(counts) - counts
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        root = {c: c for c in comp.tolist()}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        seen = np.zeros(int(flat.max()) + 1, np.int32)
-        links = []
-        alone = bool((side == side[0]).all())
-        for i in np.flatnonzero(side == side.min()):
-            own = flat[starts[i] : starts[i] + counts[i]]
-            seen[own] = 1
-            both = np.add.reduceat(seen[flat], starts)
-            seen[own] = 0
-            close = 100 * both >= percent * (counts + counts[i] - both)
-            close &= (np.arange(len(node)) > i) if alone else (side != side.min())
-            for j in np.flatnonzero(close):
-                x, y = top(int(comp[i])), top(int(comp[j]))
-                if x != y:
-                    root[x] = y
-                    links.append((int(node[i]), int(node[j])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for k in range(batch.num_rows):
+                alone = not batch.column("held_b")[k].is_valid
+                links += _new_links(percent, _held(batch.column("held_a"), k), None if alone else _held(batch.column("held_b"), k))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -163,16 +183,17 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest chain and each is written to the shared folder.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("node"), "comp"))
+    made = state = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("node"), "comp"))
     while True:
         near = both.join(state, both.b == state.node).groupBy("a").agg(F.min("comp").alias("near"))
         new = state.join(near, state.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = new.select(F.col("node").alias("at"), F.col("comp").alias("beyond"))
         new = cut(new.join(jump, F.col("comp") == F.col("at")).select("node", "was", F.least("comp", "beyond").alias("comp")))
         moved = new.where("comp <> was").limit(1).count()
-        state = new.select("node", "comp")
+        last, state, made = made, new.select("node", "comp"), new
         if not moved:
             return state
+        forget(last)
 
 
 def _order(which: int) -> Column:
@@ -190,6 +211,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     doc_id are different texts under one name: a link of either is a link of the id. Other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signatures(size, lower), "doc_id long, n long, k1 long, k2 long, first array<long>, second array<long>"))
@@ -220,6 +242,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, lower: bo
     tied = named.join(nodes, same).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     if more.limit(1).count() or _ids_repeat(named):
         comp = components(spark, links.union(more) if not _ids_repeat(named) else links.union(more).union(tied))
+    for done in (shared, wanted, sets, links, more):  # all that follows reads comp, signed and nodes
+        forget(done)
     own = named.join(nodes, same).select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("node"))
     final = own.join(comp, "node", "left").select(F.col("doc_id").alias("__doc"), F.coalesce("comp", "node").alias("__comp"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("__doc"), "left")
@@ -234,29 +258,36 @@ def _ids_repeat(named: DataFrame) -> bool:
 def _cross_links(shared: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components so far.
 
-    In a bucket of two the only pair has been compared. Nodes are dealt to blocks: those of a large
-    component among themselves, the others with the neighbours they share a hub with. Pairs of
-    blocks that meet in such a bucket are compared once, however many buckets they meet in.
+    In a bucket of two, or of three with two hubs, every pair has been compared. Nodes are dealt to
+    blocks: those of a large component among themselves, the others with the neighbours they share
+    a hub with, directly or through other hubs. Pairs of blocks that meet in a bucket of several components are compared once,
+    however many buckets they meet in.
     """
     comp = comp.select(F.col("node").alias("__n"), "comp")
-    placed = shared.where("members > 2").join(comp, F.col("node") == F.col("__n"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.least("h1", "h2").alias("hub"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("__low"), F.max("comp").alias("__high")).where("__low <> __high").select("key")
-    open_rows = cut(placed.join(several, "key", "left_semi"))
-    nodes = open_rows.groupBy("node", "comp").agg(F.min("hub").alias("hub"))
-    large = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= BLOCK // 2).select(F.col("comp").alias("__c"), "size")
+    nodes = cut(shared.groupBy("node").agg(F.min(F.least("h1", "h2")).alias("hub"), F.first("n").alias("n")))
+    for _ in range(HUB_STEPS):  # towards one hub for all that hang together; how far only decides who shares a block
+        up = nodes.select(F.col("node").alias("__u"), F.col("hub").alias("__hub"))
+        nodes = nodes.join(up, F.col("hub") == F.col("__u"), "left").select("node", F.least("hub", "__hub").alias("hub"), "n")
+    nodes = nodes.join(comp, F.col("node") == F.col("__n"), "left").select("node", "hub", F.coalesce("comp", "node").alias("comp"), "n")
+    large = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select(F.col("comp").alias("__c"), "size")
     nodes = nodes.join(large, F.col("comp") == F.col("__c"), "left")
     nodes = nodes.withColumn("home", F.when(F.col("size").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("comp").alias("of"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("hub").alias("of"))))
-    homes = nodes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).select(F.col("home").alias("__h"), "parts")
+    homes = nodes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("parts")).select(F.col("home").alias("__h"), "parts")
     nodes = nodes.join(homes, F.col("home") == F.col("__h"))
     part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts"))
     block = F.xxhash64("home.kind", "home.of", part)
     whole = F.when(F.col("home.kind") == 0, F.col("comp"))
     nodes = cut(nodes.select("node", "comp", block.alias("block"), whole.alias("whole")))
-    met = open_rows.join(nodes.select("node", "block", "whole"), "node").select("key", "block", "whole").distinct()
+    compared = (F.col("members") == 2) | ((F.col("members") == 3) & (F.col("h1") != F.col("h2")))
+    placed = shared.where(~compared).select("key", "node").join(nodes, "node")
+    met = placed.groupBy("key", "block", "whole").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    several = met.groupBy("key").agg(F.min("low").alias("__low"), F.max("high").alias("__high")).where("__low <> __high").select("key")
+    met = cut(met.join(several, "key", "left_semi").select("key", "block", "whole"))
     other = met.select(F.col("key").alias("__k"), F.col("block").alias("block_b"), F.col("whole").alias("whole_b"))
     meetings = met.join(other, (F.col("key") == F.col("__k")) & (F.col("block") <= F.col("block_b")))
     meetings = meetings.where(~F.coalesce(F.col("whole") == F.col("whole_b"), F.lit(False)))
     meetings = meetings.select(F.col("block").alias("block_a"), "block_b").distinct()
-    sides = meetings.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("side"))
-    members = sides.join(nodes.select("node", "comp", F.col("block").alias("side")), "side").join(sets, "node")
-    return members.groupBy("block_a", "block_b").applyInArrow(_compare_blocks(percent), "a long, b long")
+    held = nodes.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "comp", "set")).alias("held"))  # bounded by the parts above
+    left, right = (held.select(F.col("block").alias(b), F.col("held").alias(h)) for b, h in (("block_a", "held_a"), ("block_b", "held_b")))
+    both = meetings.join(left, "block_a").join(right, "block_b").select("held_a", F.when(F.col("block_a") != F.col("block_b"), F.col("held_b")).alias("held_b"))
+    return both.mapInArrow(_compare_blocks(percent), "a long, b long")
