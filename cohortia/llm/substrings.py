@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .hashing import Members, alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
-from .tables import cut, filesystem, fresh_dir, small_batches
+from .tables import cut, filesystem, fresh_dir, remove, small_batches
 
 WINDOW = 50
 SEGMENT_ROWS = 8192
@@ -321,6 +321,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False)
     earlier = found.withColumn("first", first).where((F.col("first") < F.col("low")) | F.col("several")).select("seg", "h1", "h2", "first")
     cover_dir = fresh_dir(spark, "repeats")
     earlier.repartition("seg").write.partitionBy("seg").parquet(cover_dir)
+    remove(spark, sketch_dir)
     fields = [f for f in rows.schema.fields if f.name not in ("text", "__seg")]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("left", T.StringType())])
     out = rows.mapInArrow(_cover(size, cover_dir, keep_text), schema)
