@@ -9,9 +9,9 @@ def _simpson(start: str, end: str, term: str, steps: int = 2000) -> str:
 
 
 def t_two_sided(t: str, df: str) -> str:
-    """P(|T| >= |t|) of Student's t, integrated over the angle atan(T / sqrt(df))."""
-    inner = _simpson(f"atan(abs({t}) / sqrt({df}))", "pi() / 2", f"pow(greatest(cos({{x}}), 0.0), {df} - 1)")
-    return f"2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {inner}"
+    """P(|T| >= |t|) of Student's t: one less the middle, integrated over the angle atan(T / sqrt(df)), where it is smooth."""
+    inner = _simpson("0.0", f"atan(abs({t}) / sqrt({df}))", f"pow(cos({{x}}), {df} - 1)")
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {inner})"
 
 
 def normal_two_sided(z: str) -> str:
