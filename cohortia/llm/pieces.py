@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import texts
+from .tables import small_batches, texts
 
 SPACE = "▁"
 #: Strings between spaces that a worker remembers, and the longest of them.
-MEMORY, LONGEST = 400_000, 48
+MEMORY, LONGEST = 250_000, 48
 
 
 class PieceModel(NamedTuple):
@@ -80,14 +81,20 @@ class Codec:
         self.alone: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
         known = {c for s in self.strings for c in s}
-        breaks = "".join(c for c in "\n\t\r\v\f" if not any(c in s for s in self.strings if len(s) > 1))
-        self.unit = re.compile(f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + (f"|[{breaks}]+" if breaks else ""))
+        # Where no piece spans a place, no merge does: at these breaks, and between a letter and these signs.
+        spans = {pair for x in self.strings for pair in zip(x, x[1:])}
+        letter = re.compile(r"[^\W\d_]")
+        breaks = "".join(c for c in "\n\t\r\v\f" if not any(c in pair for pair in spans))
+        signs = "".join(re.escape(c) for c in string.punctuation if not any(y == c and letter.match(x) for x, y in spans))
+        word = rf"{SPACE}+[^\W\d_]+(?=[{signs}])|" if signs else ""
+        self.unit = re.compile(word + f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + (f"|[{breaks}]+" if breaks else ""))
         self.known = known
         self.spelt = [" ".join(map(str, i)) for i in self.ids]
         self.unknown = re.compile("([^" + re.escape("".join(sorted(known))) + "])")
         self.text_of = {i: s for s, i in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(model.byte_ids)}
         self.memory: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.model.byte_ids[b] for b in text.encode("utf-8"))
@@ -191,9 +198,13 @@ class Codec:
         """Per unit of the text: its ids in decimal, their number, and the string they decode to."""
         if not text:
             return []
-        memory, out = self.memory, []
+        if len(self.memory) > MEMORY:  # what was not used since the last turn is forgotten
+            self.older, self.memory = self.memory, {}
+        memory, older, out = self.memory, self.older, []
         for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)):
             known = memory.get(unit)
+            if known is None and (known := older.get(unit)) is not None:
+                memory[unit] = known
             if known is None:
                 if self.known.issuperset(unit):
                     tokens = self._tokens(unit)
@@ -205,8 +216,6 @@ class Codec:
                 back = self._surface(ids)
                 known = (line, len(ids), unit if back == unit else back)
                 if len(unit) <= LONGEST:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
                     memory[unit] = known
             out.append(known)
         return out
@@ -235,6 +244,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, with_ids: bool = True) -> D
     their names cannot clash. ``ids_sha256`` is over the decimal ids joined by one space,
     ``decoded_sha256`` over the UTF-8 of the decoded text.
     """
+    small_batches(docs.sparkSession)
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
