@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,8 @@ MAGIC = b"IDBITS01"
 BLOCK_IDS = 1 << 15
 #: Bytes of text that go to one file, and what a document counts at least.
 FILE_BYTES, UNIT_BYTES = 24 << 20, 1 << 16
+#: So many files at most, larger ones then: their manifest and cuts reach the driver.
+MAX_FILES = 50_000
 #: Bytes of text that are encoded in one call.
 CALL_BYTES = 8 << 20
 #: Words that a worker remembers, and the longest of them.
@@ -268,15 +271,15 @@ def _encoder(description: str) -> WordEncoder:
 
 
 def _range_of(values: Column, cuts: list[int]) -> Column:
-    """Number of the range between the ascending ``cuts`` that holds a value, by bisection."""
+    """Number of the range between the ascending ``cuts`` that holds a value; a null is in the first."""
+    edges = np.array(cuts, np.int64)
 
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(values <= F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64)).astype(np.int32))
 
-    return pick(0, len(cuts))
+    lowest = F.lit(cuts[0] if cuts else 0).cast("long")
+    return place(F.coalesce(values, lowest)) if cuts else F.lit(0)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, directory: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -296,14 +299,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, director
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total, n = rows.agg(F.sum(size.cast("long")), F.count(F.lit(1))).first()
-    files = 1 + int((total or 0) // file_bytes)
+    files = 1 + int((total or 0) // max(file_bytes, (total or 0) // MAX_FILES + 1))
     cuts: list[int] = []
     if files > 1:
         # A long text stands for as many rows as it has units of bytes, so that the ranges hold equal bytes.
         weighted = rows.select("doc_id", F.explode(F.sequence(F.lit(0), (size / UNIT_BYTES).cast("int"))).alias("__unit")).where(F.col("doc_id").isNotNull())
         got = weighted.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(1000, 20 * files))).first()[0]
         cuts = sorted(set(got or []))
-    dealt = rows.withColumn("__file", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range_of(F.col("doc_id"), cuts)))
+    dealt = rows.withColumn("__file", _range_of(F.col("doc_id"), cuts))
     dealt = dealt.repartitionById(len(cuts) + 1, "__file").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
