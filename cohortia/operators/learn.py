@@ -211,7 +211,8 @@ def grid_search(
     ``vecs`` carries ``fold_col`` and, for repeated folds, ``repeat_col`` with every row once per
     repeat. Each fit writes its held-out predictions to the shared folder. A fold whose training
     part holds one class cannot be fitted and one whose test part does has no score: it counts in no
-    mean, and a combination without any score has a null one. Every other failure ends the search.
+    mean, and a combination without any score has a null one; if none has a score the first is
+    taken. Every other failure ends the search.
     """
     spark, refit = vecs.sparkSession, refit or metrics[0]
     combos = param_grid(grid)
@@ -232,15 +233,14 @@ def grid_search(
         fitted.transform(vecs.where(inside(f) & (F.col(fold_col) == f[-1]))).write.parquet(f"{base}/combo={i}/fold={k}")
 
     jobs = [(i, k) for i in range(len(combos)) for k, f in enumerate(folds) if fits(f)]
-    if not jobs:
-        raise ValueError("no training fold holds both classes")
     with ThreadPool(PARALLEL_FITS) as pool:
         pool.map(inheritable_thread_target(spark)(one), jobs)
-    preds = spark.read.option("basePath", base).parquet(*[f"{base}/combo={i}/fold={k}" for i, k in jobs])
     scores: dict[tuple, list[float]] = {}
-    for r in _score_table(preds, ["combo", "fold"], metrics).collect():
-        if r["value"] is not None:
-            scores.setdefault((r["combo"], r["metric"]), []).append(r["value"])
+    if jobs:
+        preds = spark.read.option("basePath", base).parquet(*[f"{base}/combo={i}/fold={k}" for i, k in jobs])
+        for r in _score_table(preds, ["combo", "fold"], metrics).collect():
+            if r["value"] is not None:
+                scores.setdefault((r["combo"], r["metric"]), []).append(r["value"])
     table, mean = [], {}
     for i, params in enumerate(combos):
         for m in metrics:
@@ -248,9 +248,7 @@ def grid_search(
             mean[(i, m)] = float(np.mean(vals)) if vals else None
             table.append(({k: str(v) for k, v in params.items()}, m, mean[(i, m)], float(np.std(vals)) if vals else None))
     scored = [i for i in range(len(combos)) if mean[(i, refit)] is not None]
-    if not scored:
-        raise ValueError(f"no combination has a {refit}")
-    best = max(scored, key=lambda i: (mean[(i, refit)], -i))
+    best = max(scored, key=lambda i: (mean[(i, refit)], -i)) if scored else 0
     results = spark.createDataFrame(table, "params map<string,string>, metric string, mean_score double, std_score double")
     whole = vecs.where(F.col(repeat_col) == folds[0][0]) if repeat_col else vecs
     return results, combos[best], fit(learner(**combos[best]), whole)

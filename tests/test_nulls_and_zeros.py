@@ -133,8 +133,8 @@ def test_search_failures_are_errors(spark):
     with pytest.raises(Exception):
         learn.grid_search(folds, lambda C: learn.Learner("broken", lambda n: learn.logreg(C).make(n).setFeaturesCol("nothing")), {"C": [1.0]})
     single = _vecs(spark).withColumn("fold", F.col("label"))
-    with pytest.raises(ValueError, match="both classes"):
-        learn.grid_search(single, learn.logreg, {"C": [1.0]})
+    table, best, _ = learn.grid_search(single, learn.logreg, {"C": [1.0, 2.0]})
+    assert best == {"C": 1.0} and all(r.mean_score is None for r in table.collect())
 
 
 def test_study_keeps_groups_weights_and_lost_splits(spark):
