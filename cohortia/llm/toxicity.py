@@ -131,9 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
-        rows = [np.frombuffer(b, np.int32) for b in table.column("places").to_pylist()]
-        y = np.array(table.column("toxic").to_pylist(), float)
+        order = np.lexsort((table.column("doc_id").to_numpy(), table.column("order").to_numpy()))
+        y = table.column("toxic").to_numpy().astype(float)[order]
+        views = []  # of the batches as they came: the sample is not copied
+        for chunk in table.column("places").chunks:
+            _, offsets, data = chunk.buffers()
+            at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            views += [flat[a:b].view(np.int32) for a, b in zip(at, at[1:])]
+        rows = [views[k] for k in order]
         if 0 < y.sum() < len(y):
             w = fit_ftrl(rows, y, epochs)
         else:
