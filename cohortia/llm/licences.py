@@ -1,9 +1,11 @@
 """Licence scans: passages against licence templates by the Dice coefficient of their word bigrams.
 
-A passage is a line, a paragraph (lines up to a blank one) or the whole text; all are compared, whole
-texts included. Text is normalised to lower-case words of letters and digits. Two sets of a and b
-bigrams can reach a Dice coefficient t only if b lies between a * t / (2 - t) and a * (2 - t) / t, so
-templates of other sizes are never looked at, and most passages meet no template at all. The
+A passage is a line, a paragraph (lines up to one without words), the whole text, or a run of words
+wherever it lies: in the middle of a line, over several paragraphs, behind comment marks. Text is
+normalised to lower-case words of letters and digits. Two sets of a and b bigrams can reach a Dice
+coefficient t only if b lies between a * t / (2 - t) and a * (2 - t) / t, so templates of other sizes
+are never looked at, and most passages meet no template at all. The same bounds place the runs: one
+shares at least b * t / (2 - t) bigrams with its template, within (2 - t) / t times its words. The
 templates are a fixed list, given to every task; nothing is shuffled.
 """
 
@@ -20,6 +22,8 @@ from .hashing import Members, Words, alphabet, chunks, distinct, hash_words, mix
 from .tables import small_batches
 
 THRESHOLD = 0.8
+#: Bigrams held by more licences than this, and by more than half of all, tell none of them.
+LEAD_LEAST = 8
 _U = np.uint64
 _ABC = alphabet(lower=True, letters=True, digits=True)
 
@@ -123,6 +127,12 @@ class Templates:
         self.owner = owner[order]
         self.first = np.searchsorted(flat[order], self.members.values)
         self.last = np.searchsorted(flat[order], self.members.values, side="right")
+        self.words = np.diff(words.first)
+        # Bigrams that most licences have come from the leads of statements and name no licence.
+        ids = np.unique(self.names, return_inverse=True)[1]
+        pairs = distinct(np.searchsorted(self.members.values, flat) * (ids.max() + 1) + ids[owner])[0]
+        held = np.bincount(pairs // (ids.max() + 1), minlength=len(self.members.values))
+        self.telling = held <= max(LEAD_LEAST, (ids.max() + 1) // 2)
 
 
 def _best(words: Words, templates: Templates, threshold: float) -> list[tuple[int, int, float]]:
@@ -166,24 +176,109 @@ def _best(words: Words, templates: Templates, threshold: float) -> list[tuple[in
     return [(k, t, d) for k, (d, t) in sorted(best.items())]
 
 
+def _repeats(x: np.ndarray) -> np.ndarray:
+    """Place of the previous equal value, -1 for a first one."""
+    order = np.argsort(x, kind="stable")
+    out = np.full(len(x), -1, np.int64)
+    same = x[order[1:]] == x[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _cluster_runs(found: np.ndarray, place: np.ndarray, at: np.ndarray, size: int, most: int, telling: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float]]:
+    """Shared bigrams, first and last bigram and Dice coefficient of the best run from every start in one stretch of a text.
+
+    ``at`` lists the bigrams shared with the template. One more shared bigram never lowers the
+    coefficient, so a best run starts where a stretch of them starts and ends where one ends.
+    """
+    least = int(np.ceil(threshold / (2 - threshold) * size - 1e-9))
+    lo = int(at[0])
+    before = _repeats(found[lo : int(at[-1]) + 1]) + lo
+    before[before < lo] = -1
+    fresh, tells = before[at - lo], telling[place[at]]
+    starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    streak = np.repeat(starts, np.diff(starts, append=len(at)))
+    starts = np.flatnonzero((at - at[streak]) % most == 0)
+    stops = np.searchsorted(at, at[starts] + most, side="left")
+    for i, j in zip(starts[stops - starts >= least], stops[stops - starts >= least]):
+        both = np.cumsum(fresh[i:j] < at[i])
+        if both[-1] < least:
+            continue
+        words = np.cumsum(before[at[i] - lo : at[j - 1] - lo + 1] < at[i])[at[i:j] - at[i]]
+        dice = np.where(np.cumsum(tells[i:j]) > 0, 2.0 * both / (words + size), 0.0)
+        k = len(dice) - 1 - int(dice[::-1].argmax())  # of equal runs the longest
+        if dice[k] >= threshold:
+            yield int(both[k]), int(at[i]), int(at[i + k]), float(dice[k])
+
+
+def _runs(words: Words, templates: Templates, threshold: float) -> list[tuple[int, int, int, int, float]]:
+    """Text, first and last word, template and Dice coefficient of licences wherever they lie; of overlapping runs the one that shares most with its template."""
+    if len(words.hashes) < 2:
+        return []
+    found = bigrams(words.hashes)
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    place = templates.members.find(found)
+    place[text[1:] != text[:-1]] = -1
+    at = np.flatnonzero(place >= 0)
+    n = templates.last[place[at]] - templates.first[place[at]]
+    owner = templates.owner[np.repeat(templates.first[place[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    at = np.repeat(at, n)
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    least = np.ceil(low * templates.size - 1e-9).astype(np.int64)
+    most = np.ceil(high * np.maximum(templates.words - 1, 1)).astype(np.int64)
+    group = text[at] * len(templates.names) + owner
+    # Texts without enough of a template go first, by counts alone.
+    values, inverse, total = np.unique(group, return_inverse=True, return_counts=True)
+    keep = (total >= least[values % len(templates.names)])[inverse]
+    at, owner, group = at[keep], owner[keep], group[keep]
+    order = np.lexsort((at, group))
+    at, owner, group = at[order], owner[order], group[order]
+    # Then whatever lies in no window with enough of it; the rest falls into stretches.
+    first = np.flatnonzero(np.arange(len(at)) + least[owner] <= len(at))
+    last = first + least[owner[first]] - 1
+    near = (group[last] == group[first]) & (at[last] - at[first] < most[owner[first]])
+    inside = np.bincount(first[near], minlength=len(at) + 1) - np.bincount(last[near] + 1, minlength=len(at) + 1)
+    keep = np.cumsum(inside[:-1]) > 0
+    at, owner, group = at[keep], owner[keep], group[keep]
+    if not len(at):
+        return []
+    cuts = np.flatnonzero((group[1:] != group[:-1]) | (np.diff(at) >= most[owner[1:]])) + 1
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(at)]):
+        t = int(owner[a])
+        for both, i, j, dice in _cluster_runs(found, place, at[a:b], int(templates.size[t]), int(most[t]), templates.telling, threshold):
+            out.append((-both, -dice, t, i, j + 1, int(text[i])))
+    taken: dict[int, list[tuple[int, int]]] = {}
+    best = []
+    for _, dice, t, i, j, k in sorted(out):
+        if all(j < x or i > y for x, y in taken.setdefault(k, [])):
+            taken[k].append((i, j))
+            best.append((k, i, j, t, -dice))
+    return sorted(best)
+
+
 def _passages(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Kind, byte offsets and text number of lines, paragraphs and whole texts."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     ends = np.flatnonzero(data[lo:hi] == 10) + lo
-    blank = ends[1:][np.diff(ends) == 1] if len(ends) else ends
-    for kind, cuts in (("line", ends + 1), ("paragraph", blank + 1)):
+    lines = distinct(np.concatenate([offsets, ends + 1]))[0]
+    # A line without words is blank: white space, comment marks or a carriage return end a paragraph too.
+    blank = lines[1:][np.diff(hash_words(data, lines, _ABC).first) == 0]
+    for kind, cuts in (("line", ends + 1), ("paragraph", blank)):
         edges = distinct(np.concatenate([offsets, cuts]))[0]
         yield kind, edges, np.searchsorted(offsets, edges[:-1], side="right") - 1
     yield "text", offsets, np.arange(len(offsets) - 1)
 
 
 def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, passage (line, paragraph or text), first_byte, licence and dice of every licensed passage.
+    """doc_id, passage (line, paragraph, text or run), first_byte, licence and dice of every licensed passage.
 
     Each passage gets its best template, of equals the first listed; a document of one line is
     reported as line only, and a paragraph or text only where it does better than the same bytes as
-    a smaller passage. Null and empty texts give no rows. Repeated rows are all reported; other
-    columns are ignored.
+    a smaller passage. A run is any stretch of words that reaches the threshold, so a licence is
+    found wherever it lies; runs of one text do not overlap, and one that is exactly the words of
+    another passage is not repeated. Null and empty texts give no rows. Repeated rows are all
+    reported; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     listed = _templates()
@@ -205,6 +300,11 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                             seen.add(span)
                             rows.append(a + int(owner[k]))
                             out.append((kind, int(edges[k] - offsets[a + owner[k]]), templates.names[t], dice))
+                # The last passages are the whole texts, whose words the runs are made of.
+                for k, i, j, t, dice in _runs(words, templates, threshold):
+                    if (k, int(words.start[i]), int(words.start[j])) not in seen:
+                        rows.append(a + k)
+                        out.append(("run", int(words.start[i] - offsets[a + k]), templates.names[t], dice))
             columns = list(zip(*out)) if out else [[]] * 4
             kinds = [pa.string(), pa.int64(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "passage", "first_byte", "licence", "dice"])

@@ -103,6 +103,49 @@ def test_licence_over_lines(make):
     assert licences.scan_licences(make([])).count() == 0
 
 
+def test_licences_wherever_they_lie(make):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"p{rng.randrange(10**6)}" for _ in range(n))
+    mit, bsd = licences._MIT_BODY, f"{licences._BSD_HEAD}\n\n{licences._BSD_NAMES}\n\n{licences._BSD_TAIL}"
+    parts = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    statement = "This project is licensed under the MIT License, see the LICENSE file for details, and now for something else."
+    commented = "\r\n".join("# " + " ".join(mit.split()[k : k + 9]) for k in range(0, 200, 9))
+    texts = {
+        1: (f"{prose(300)}\n\n{parts}\n\n{prose(300)}", [("run", "MIT")]),
+        2: (f"{prose(40)}\n\n{bsd}\n\n{prose(40)}\n\n{parts}\n\n{prose(5)}\n\n{parts}", [("run", "BSD-3-Clause"), ("run", "MIT"), ("run", "MIT")]),
+        3: (f"{prose(9)} {statement} {prose(40)}", [("run", "MIT")]),
+        4: (f"# {prose(200)}\r\n#\r\n{commented}\r\n#  \r\n# {prose(200)}", [("paragraph", "MIT")]),
+        5: (f"{prose(9)} This project is licensed under the Zebra License, as is this: This project is licensed under the", []),
+        6: (f"{prose(90)} {mit[:500]} {prose(90)}", []),
+        7: (f"{prose(20)}\nReleased under the MIT License.\n{prose(20)}", [("line", "MIT")]),
+    }
+    got = licences.scan_licences(make([(k, t) for k, (t, _) in texts.items()])).collect()
+    for k, (text, want) in texts.items():
+        assert sorted((r.passage, r.licence) for r in got if r.doc_id == k) == want, k
+        assert all(r.dice > 0.99 for r in got if r.doc_id == k)
+    assert {r.first_byte for r in got if r.doc_id in (1, 3)} == {texts[1][0].index("Permission"), texts[3][0].index("This project")}
+
+
+def test_runs_against_every_window(make):
+    rng = random.Random(7)
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    listed = [t for t in licences._templates() if t[0] == "MIT" and len(t[1].split()) < 8]
+    rows = []
+    for k in range(150):
+        part = rng.choice(listed)[1].split()
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = rng.choice(["other", "the", "MIT", "under"])
+        rows.append((k, " ".join([*(f"a{j}" for j in range(rng.randrange(9))), *part, *(f"b{j}" for j in range(rng.randrange(9)))])))
+    got = {}
+    for r in licences.scan_licences(make(rows)).where("licence = 'MIT'").collect():
+        got[r.doc_id] = max(got.get(r.doc_id, 0), round(r.dice, 9))
+    for k, text in rows:
+        w = words(text)
+        runs = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        best = max((dice(run, t) for run in runs for _, t in listed if "mit" in run.split()), default=0)
+        assert got.get(k, 0) == (round(best, 9) if best >= licences.THRESHOLD else 0), text
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
