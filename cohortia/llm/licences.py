@@ -6,12 +6,14 @@ normalised to lower-case words of letters and digits. Two sets of a and b bigram
 coefficient t only if b lies between a * t / (2 - t) and a * (2 - t) / t, so templates of other sizes
 are never looked at, and most passages meet no template at all. The same bounds place the runs: one
 shares at least b * t / (2 - t) bigrams with its template, within (2 - t) / t times its words. The
-templates are a fixed list, given to every task; nothing is shuffled.
+templates are a list read on the driver (``templates``: the files of ``licence_texts``, notices and
+statements, or the caller's own) and given to every task; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +71,37 @@ compile, sell, or distribute this software, either in source code form or as a c
 non-commercial, and by any means."""
 
 
+_AGPL_13 = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License,
+if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network
+(if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the
+Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This
+Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is
+incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine
+any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the
+resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined
+will remain governed by version 3 of the GNU General Public License. """
+LEADS = ("Licensed under", "Licensed under the", "Licensed under the terms of the", "Released under", "Released under the", "Distributed under the")
+LEADS += ("Distributed under the terms of the", "Available under the", "This work is licensed under the", "This work is licensed under a")
+LEADS += ("This project is licensed under the", "This software is licensed under the", "This software is released under the")
+
+
+CC_WORDS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+CC_ENDS = {"3.0": "Unported", "4.0": "International"}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Licence id and whole text of every file of ``licence_texts``; AGPL-3.0 is made from GPL-3.0."""
+    files = sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name)
+    out = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files if f.name.endswith(".txt")]
+    gpl = dict(out)["GPL-3.0"]
+    # Title, name and section 13 differ; without a text of its own an AGPL would be called a GPL.
+    agpl = gpl[: gpl.index("  13. Use with")] + _AGPL_13 + gpl[gpl.index("  14. Revised Versions") :]
+    agpl = agpl.replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace(_AGPL_13, "\0").replace("GNU General Public", "GNU Affero General Public")
+    return [*out, ("AGPL-3.0", agpl.replace("\0", _AGPL_13))]
+
+
 def _templates() -> list[tuple[str, str]]:
-    """Licence id and template text: full texts and notices, and one-line statements made from names."""
+    """Licence id and template text: full texts, notices, one-line statements made from names and SPDX lines."""
     out = [
         ("MIT", _MIT_BODY),
         ("MIT", "MIT License " + _MIT_BODY),
@@ -99,11 +130,16 @@ def _templates() -> list[tuple[str, str]]:
             names[key] = [f"{name}, version {version}", f"{name} v{version}", f"{name} version {version}.0"]
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         for version in ("3.0", "4.0"):
-            names[f"CC-{kind}-{version}"] = [f"CC {kind} {version}", f"Creative Commons {kind} {version}"]
+            whole = f"Creative Commons {'-'.join(CC_WORDS[k] for k in kind.split('-'))} {version}"
+            names[f"CC-{kind}-{version}"] = [f"CC {kind} {version}", f"Creative Commons {kind} {version}", whole, f"{whole} {CC_ENDS[version]} License"]
     names["CC0-1.0"] = ["CC0 1.0", "CC0 1.0 Universal"]
     for key, known in names.items():
         for name in known:
-            out += [(key, f"{lead} {name}") for lead in ("Licensed under", "Licensed under the", "Released under the", "This work is licensed under the", "This project is licensed under the")]
+            out += [(key, f"{lead} {name}") for lead in LEADS]
+    out += full_texts()
+    for key in dict.fromkeys(k for k, _ in out):
+        gnu_like = key.startswith(("GPL", "LGPL", "AGPL", "GFDL"))
+        out += [(key, f"SPDX-License-Identifier: {key}{form}") for form in (("", "-only", "-or-later") if gnu_like else ("",))]
     return out
 
 
@@ -270,21 +306,22 @@ def _passages(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, np.n
     yield "text", offsets, np.arange(len(offsets) - 1)
 
 
-def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licences(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, passage (line, paragraph, text or run), first_byte, licence and dice of every licensed passage.
 
     Each passage gets its best template, of equals the first listed; a document of one line is
     reported as line only, and a paragraph or text only where it does better than the same bytes as
     a smaller passage. A run is any stretch of words that reaches the threshold, so a licence is
     found wherever it lies; runs of one text do not overlap, and one that is exactly the words of
-    another passage is not repeated. Null and empty texts give no rows. Repeated rows are all
+    another passage is not repeated. ``templates`` are pairs of licence id and text (the built-in
+    table if none are given); one licence may have several. Null and empty texts give no rows. Repeated rows are all
     reported; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    listed = _templates()
+    listed = _templates() if templates is None else list(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(listed)
+        table = Templates(listed)
         for batch in batches:
             ids = batch.column("doc_id")
             data, offsets = text_buffers(batch.column("text"))
@@ -293,18 +330,18 @@ def scan_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 seen: set[tuple[int, int, int]] = set()
                 for kind, edges, owner in _passages(data, offsets[a : b + 1]):
                     words = hash_words(data, edges, _ABC)
-                    for k, t, dice in _best(words, templates, threshold):
+                    for k, t, dice in _best(words, table, threshold):
                         # Without the line end, so that a line and a paragraph of one line are the same passage.
                         span = (int(owner[k]), int(words.start[words.first[k]]), int(words.start[words.first[k + 1] - 1]))
                         if span not in seen:
                             seen.add(span)
                             rows.append(a + int(owner[k]))
-                            out.append((kind, int(edges[k] - offsets[a + owner[k]]), templates.names[t], dice))
+                            out.append((kind, int(edges[k] - offsets[a + owner[k]]), table.names[t], dice))
                 # The last passages are the whole texts, whose words the runs are made of.
-                for k, i, j, t, dice in _runs(words, templates, threshold):
+                for k, i, j, t, dice in _runs(words, table, threshold):
                     if (k, int(words.start[i]), int(words.start[j])) not in seen:
                         rows.append(a + k)
-                        out.append(("run", int(words.start[i] - offsets[a + k]), templates.names[t], dice))
+                        out.append(("run", int(words.start[i] - offsets[a + k]), table.names[t], dice))
             columns = list(zip(*out)) if out else [[]] * 4
             kinds = [pa.string(), pa.int64(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", "passage", "first_byte", "licence", "dice"])

@@ -126,6 +126,32 @@ def test_licences_wherever_they_lie(make):
     assert {r.first_byte for r in got if r.doc_id in (1, 3)} == {texts[1][0].index("Permission"), texts[3][0].index("This project")}
 
 
+def test_whole_licence_texts_and_spdx_lines(make):
+    whole = dict(licences.full_texts())
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= whole.keys()
+    texts = [(k, t) for k, t in whole.items()]
+    docs = [(k, t) for k, (_, t) in enumerate(texts)] + [(100 + k, f"Our notes on this.\n\n{t}\n\nMore notes.") for k, (_, t) in enumerate(texts)]
+    ids = ["MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-3-Clause", "CC-BY-SA-4.0", "MPL-2.0"]
+    docs += [(200 + k, f"/* SPDX-License-Identifier: {i} */\nint main() {{}}") for k, i in enumerate(ids)] + [(300, "SPDX-License-Identifier: Zebra-1.0")]
+    said = ["Distributed under the terms of the MIT License", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Available under the Apache License, Version 2.0"]
+    docs += [(400 + k, f"Well. {s}, which we like and which many others like as well.") for k, s in enumerate(said)]
+    got = licences.scan_licences(make(docs)).collect()
+    for k, (name, _) in enumerate(texts):
+        assert name in {r.licence for r in got if r.doc_id == k and r.passage == "text" and r.dice > 0.99}
+        best = max((r for r in got if r.doc_id == 100 + k and r.passage in ("text", "run")), key=lambda r: r.dice)
+        assert best.licence == name and best.dice > 0.95
+    for k, i in enumerate(ids):
+        assert {r.licence for r in got if r.doc_id == 200 + k} == {i.removesuffix("-or-later")}
+    assert not [r for r in got if r.doc_id == 300]
+    assert [{r.licence for r in got if r.doc_id == 400 + k} for k in range(3)] == [{"MIT"}, {"CC-BY-SA-4.0"}, {"Apache-2.0"}]
+
+
+def test_own_templates(make):
+    mine = [("House-1", "You may read this text in our house on any day but Sunday")]
+    docs = make([(1, f"Intro words here. {mine[0][1]}. More words there."), (2, "Released under the MIT License.")])
+    assert [(r.doc_id, r.licence) for r in licences.scan_licences(docs, templates=mine).collect()] == [(1, "House-1")]
+
+
 def test_runs_against_every_window(make):
     rng = random.Random(7)
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
