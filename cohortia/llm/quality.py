@@ -2,8 +2,9 @@
 
 Every document gets a few counts, made by array expressions inside the JVM. Mergeable sketches
 of the ratios are built per (lang, source), merged up to the language and to all documents for
-groups too small to speak for themselves, and give fences around the bulk of each group. A join
-on the group brings the fences back to the documents.
+groups too small to speak for themselves, and give fences around the bulk of each group: as far out
+as the quartile range or the outer quantiles say. A join on the group brings the fences back to the
+documents.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Ratios that are judged, with the least distance of a fence from the median: below it a
-#: difference does not matter, however even the group is.
+#: Ratios that are judged, with the distance of a fence from the quartiles where nothing can be learnt:
+#: the quartiles and the outer quantiles of the group, its language and the whole are all the same value.
 RATIOS = {"chars_per_word": 3.0, "symbols_per_word": 0.25, "dup_lines": 0.4, "repeat_words": 0.25}
 #: Fences lie this many quartile ranges outside the quartiles.
 REACH = 3.0
+#: And no nearer than the range between this quantile and its counterpart, which lies inside them.
+OUTER = 0.1
 #: A group with fewer documents is judged by its language, a language with fewer by all.
 LEAST_GROUP = 50
 KLL_K = 400
@@ -82,17 +85,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _fences(sketched: DataFrame) -> DataFrame:
+def _bulk(sketched: DataFrame) -> DataFrame:
+    """Per ratio the outer quantiles and the quartiles of a group."""
     out = []
-    for r, least in RATIOS.items():
+    for r in RATIOS:
         q = lambda p, r=r: F.when(F.col("__n") > 0, F.kll_sketch_get_quantile_double(f"__{r}", F.lit(p)))  # noqa: E731  an empty sketch has none
-        spread = F.greatest(REACH * (q(0.75) - q(0.25)), F.lit(least))
-        out += [(q(0.25) - spread).alias(f"{r}_low"), (q(0.75) + spread).alias(f"{r}_high")]
-    return sketched.select("lang", "source", "__n", F.struct(*out).alias("fences"))
+        out.append(F.struct(*[q(p).alias(n) for n, p in (("p_low", OUTER), ("q_low", 0.25), ("q_high", 0.75), ("p_high", 1 - OUTER))]).alias(r))
+    return sketched.select("lang", "source", "__n", F.struct(*out).alias("bulk"))
+
+
+def _fences(own: Column, lang: Column, total: Column) -> Column:
+    """Fences of one group, and for each ratio what decided their distance.
+
+    The distance is REACH quartile ranges, or the outer range if that is larger. A group whose
+    outer range is 0 takes that of its language or of the whole; the constants of RATIOS are left
+    for a ratio that is one value throughout. ``lang`` may be null.
+    """
+    out = []
+    for r, least in RATIOS.items():
+        ways = [("quartiles", REACH * (own[r].q_high - own[r].q_low))]
+        ways += [(name, b[r].p_high - b[r].p_low) for name, b in (("group", own), ("language", lang), ("whole", total))] + [("constant", F.lit(least))]
+        # The first of the outer ranges above 0 bounds the quartile range from below.
+        outer = F.coalesce(*[F.when(w > 0, F.struct(w.alias("d"), F.lit(n).alias("by"))) for n, w in ways[1:]])
+        reach = F.when(ways[0][1] >= outer.d, F.struct(ways[0][1].alias("d"), F.lit(ways[0][0]).alias("by"))).otherwise(outer)
+        out += [F.least(own[r].p_low, own[r].q_low - reach.d).alias(f"{r}_low"), F.greatest(own[r].p_high, own[r].q_high + reach.d).alias(f"{r}_high"), reach.by.alias(f"{r}_by")]
+    return F.when(own.isNotNull(), F.struct(*out))
 
 
 def adaptive_fences(ratios: DataFrame) -> DataFrame:
-    """Fences per (lang, source), taken from the smallest group that holds LEAST_GROUP documents.
+    """Fences per (lang, source), taken from the smallest group that holds LEAST_GROUP documents, and what decided their distance.
 
     One sketch per ratio and (lang, source) is built in a single aggregation; those of a
     language, and of all, are merges of these small sketches and see no document again.
@@ -102,17 +123,19 @@ def adaptive_fences(ratios: DataFrame) -> DataFrame:
         *[F.kll_sketch_agg_double(r, F.lit(KLL_K)).alias(f"__{r}") for r in RATIOS],
     )
     merged = [F.sum("__n").alias("__n"), *[F.kll_merge_agg_double(f"__{r}", F.lit(KLL_K)).alias(f"__{r}") for r in RATIOS]]
-    lang = _fences(own.groupBy("lang").agg(*merged).withColumn("source", F.lit(None).cast("string")))
-    total = _fences(own.agg(*merged).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
-    small = lambda d, tag: d.select(F.col("lang").alias(f"__lang_{tag}"), F.col("__n").alias(f"__n_{tag}"), F.col("fences").alias(f"__f_{tag}"))
+    lang = _bulk(own.groupBy("lang").agg(*merged).withColumn("source", F.lit(None).cast("string")))
+    total = _bulk(own.agg(*merged).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    small = lambda d, tag: d.select(F.col("lang").alias(f"__lang_{tag}"), F.col("__n").alias(f"__n_{tag}"), F.col("bulk").alias(f"__b_{tag}"))
     joined = (
-        _fences(own)
+        _bulk(own)
         .join(small(lang, "l"), F.col("lang").eqNullSafe(F.col("__lang_l")), "left")
         .withColumn("__all", F.lit(1))
         .join(small(total, "a").withColumn("__all", F.lit(1)).drop("__lang_a"), "__all", "left")
     )
-    chosen = F.when(F.col("__n") >= LEAST_GROUP, F.col("fences")).when(F.col("__n_l") >= LEAST_GROUP, F.col("__f_l")).otherwise(F.col("__f_a"))
-    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), chosen.alias("__f"))
+    lang_bulk = F.when(F.col("__n_l") >= LEAST_GROUP, F.col("__b_l"))
+    chosen = F.when(F.col("__n") >= LEAST_GROUP, F.col("bulk")).otherwise(F.coalesce(lang_bulk, F.col("__b_a")))
+    joined = joined.select("*", lang_bulk.alias("__lang_bulk"), chosen.alias("__own_bulk"))
+    return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), _fences(F.col("__own_bulk"), F.col("__lang_bulk"), F.col("__b_a")).alias("__f"))
 
 
 def adaptive_filter(counts: DataFrame) -> DataFrame:

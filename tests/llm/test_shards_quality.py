@@ -66,6 +66,22 @@ def test_fences_follow_the_group(spark, make):
     assert not any(r.kept for r in quality.adaptive_filter(quality.base_counts(make([(1, "too few"), (2, None)]))).collect())
 
 
+def test_distances_are_learnt(spark):
+    # 100 even texts of 4.8 to 5.2 characters a word, one of 6.5; half of the other group holds symbols, one text more of them.
+    rows = [(k, "en", "even", 100, 480 + k % 41, 0) for k in range(100)] + [(500, "en", "even", 100, 650, 0)]
+    rows += [(1000 + k, "en", "code", 100, 500, 40 * (k % 2)) for k in range(100)] + [(1500, "en", "code", 100, 500, 70), (1501, "en", "code", 100, 500, 900)]
+    # 15 of 100 texts repeat some words: the quartile range is 0, the outer one is not.
+    rows += [(2000 + k, "de", "list", 100, 500, 10 if k < 15 else 0) for k in range(100)] + [(2500, "de", "list", 100, 500, 24)]
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long")
+    counts = counts.selectExpr("*", "10L as n_lines", "0L as n_dup_lines", "0L as n_repeat_words")
+    got = {r.doc_id for r in quality.adaptive_filter(counts).where("not kept").collect()}
+    assert got == {500, 1501, 2500}
+    ratios = quality._ratios(counts)
+    by = {r["__source"]: r["__f"] for r in quality.adaptive_fences(ratios).collect()}
+    assert by["even"].chars_per_word_by == "quartiles" and by["code"].symbols_per_word_by == "quartiles"
+    assert by["list"].symbols_per_word_by == "group" and by["list"].dup_lines_by == "constant"
+
+
 def test_main_path_stays_in_the_jvm(make, odd_rows):
     docs = make(odd_rows)
     for df in (quality.adaptive_filter(quality.base_counts(docs)), shards.stratified_shards(docs, 4)):
