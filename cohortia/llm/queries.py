@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortia.catalog.registry import register
 
-from . import decontaminate, licences, minhash, pieces, quality, shards, substrings, tokenfile, toxicity, webpages
+from . import decontaminate, licences, minhash, pieces, quality, shards, spelling, substrings, tokencounts, tokenfile, toxicity, webpages, whitening
 from .tables import cut, read
 
 
@@ -132,3 +132,64 @@ def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, one row per document and item."""
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op11_digest_counts")
+def op11_digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by way of digests; the cache is empty at first, so each distinct text is encoded once."""
+    return tokencounts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@register("op12_whitened")
+def op12_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their eight leading components, each of variance one."""
+    rows = read(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 7),
+octets AS (
+  SELECT run, times, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b
+  FROM (SELECT doc_id, run, count(*) AS times FROM low GROUP BY ALL)
+),
+summed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM octets, bits
+),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM summed
+),
+vocabulary AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2),
+cuts AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocabulary v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocabulary v ON c.rest = v.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS top, max(other_n) AS top_n FROM near GROUP BY word
+),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON b.word = v.word
+),
+ways AS (
+  SELECT word, word AS here, 0 AS step FROM forms
+  UNION ALL SELECT w.word, f.form, step + 1 FROM ways w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(here, step) AS root FROM ways GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
+
+
+@register("op13_spelling_variants", VARIANTS_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, and the form each is a variant of."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))

@@ -43,10 +43,21 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared folder that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this name? Asked of the file system Spark reads it with."""
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
