@@ -20,25 +20,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
+from cohortia.session import forget
 
 from .hashing import Members, alphabet, chunks, distinct, hash_words, text_buffers, window_hashes
-from .tables import cut, filesystem, fresh_dir, remove, small_batches
+from .segments import SEGMENT_ROWS, facts_of, folders, keep_facts, runs, segmented
+from .tables import cut, fresh_dir, remove, small_batches
 
 WINDOW = 50
-SEGMENT_ROWS = 8192
 #: Windows of a segment that are sketched at once; more come as further lists of that segment.
 SEGMENT_WINDOWS = 2_000_000
 SKETCH_ROWS, COUNTERS, BLOCK_BITS = 2, 4, 20
 #: Bytes that one word takes at the least on average; only sizes the sketch.
 WORD_BYTES = 6
 _U = np.uint64
-_DOC_BITS = 24
+#: A counter and the place of a row in its segment share 64 bits.
+_DOC_BITS = (SEGMENT_ROWS - 1).bit_length()
+MAX_COUNTERS = 1 << (64 - _DOC_BITS)
 
 
 def encode_sorted(values: np.ndarray) -> bytes:
@@ -66,29 +67,6 @@ def decode_sorted(data: bytes) -> np.ndarray:
     return (high << (8 * width)) + np.frombuffer(data, f"<u{width}", n, 5) if width else high
 
 
-def _segmented(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__seg``, a number per run of rows of one file; writes ``docs`` first if it is no file scan."""
-
-    def name(df: DataFrame) -> DataFrame:
-        run = F.floor(F.col("_metadata.row_index") / SEGMENT_ROWS)
-        return df.select("*", F.xxhash64(F.col("_metadata.file_path"), run).alias("__seg"))
-
-    try:
-        return name(docs)
-    except AnalysisException:
-        return name(cut(docs))
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Parts of the batches that belong to one segment."""
-    for batch in batches:
-        seg = batch.column("__seg").to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(np.diff(seg)) + 1), len(seg)]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                yield int(seg[a]), batch.slice(a, b - a)
-
-
 def _windows(part: pa.RecordBatch, size: int) -> Iterator[tuple]:
     """Per chunk of rows: first row, words, text number and first word of its windows, their hashes."""
     data, offsets = text_buffers(part.column("text"))
@@ -121,7 +99,7 @@ def _sketch(size: int, width: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, slots, docs, held, n = None, [], [], 0, 0
-        for seg, part in _runs(batches):
+        for seg, part in runs(batches):
             if slots and (seg != now or held > SEGMENT_WINDOWS):
                 yield from lists(now, slots, docs)
                 slots, docs, held, n = [], [], 0, 0
@@ -166,16 +144,8 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"row": pa.array([table.column("row")[0].as_py()] * n, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int64()), "seg": pa.array(segs, pa.int64()), "hot": pa.array(hot, pa.binary())})
 
 
-def _known(directory: str, seg: int) -> pa.Table | None:
-    """What the shared folder holds about a segment."""
-    system, base = filesystem(f"{directory}/seg={seg}")
-    if system.get_file_info(base).type.name == "NotFound":
-        return None
-    return ds.dataset(base, filesystem=system, format="parquet").to_table()
-
-
-def _hot_slots(directory: str, seg: int) -> list[Members]:
-    table, found = _known(directory, seg), [[] for _ in range(SKETCH_ROWS)]
+def _hot_slots(directory: str, count: int, seg: int) -> list[Members]:
+    table, found = facts_of(directory, count, seg), [[] for _ in range(SKETCH_ROWS)]
     if table is not None:
         for row, block, hot in zip(table.column("row").to_pylist(), table.column("block").to_pylist(), table.column("hot").to_pylist()):
             found[row].append(decode_sorted(hot) + (block << BLOCK_BITS))
@@ -187,7 +157,7 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h >> _U(32)).astype(np.uint32).view(np.int32)
 
 
-def _candidates(size: int, width: int, directory: str) -> Callable:
+def _candidates(size: int, width: int, directory: str, count: int) -> Callable:
     """Distinct candidate windows of each segment: smallest doc_id, and whether there are several."""
 
     def rows(seg: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +172,11 @@ def _candidates(size: int, width: int, directory: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, found = None, [], []
-        for seg, part in _runs(batches):
+        for seg, part in runs(batches):
             if seg != now:
                 if found:
                     yield from rows(now, found)
-                now, members, found = seg, _hot_slots(directory, seg), []
+                now, members, found = seg, _hot_slots(directory, count, seg), []
             ids = part.column("doc_id")
             named = ~ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -222,16 +192,16 @@ def _candidates(size: int, width: int, directory: str) -> Callable:
     return run
 
 
-def _cover(size: int, directory: str, keep_text: bool) -> Callable:
+def _cover(size: int, directory: str, count: int, keep_text: bool) -> Callable:
     """The final pass: counts per document and what is left of it."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, member, table = None, None, None
-        for seg, part in _runs(batches):
+        for seg, part in runs(batches):
             if seg != now:
-                now, known = seg, _known(directory, seg)
-                if known is None or not known.num_rows:
+                now, known = seg, facts_of(directory, count, seg)
+                if known is None:
                     member = None
                 else:
                     known = known.sort_by("h1")
@@ -246,8 +216,7 @@ def _cover(size: int, directory: str, keep_text: bool) -> Callable:
             raw = part.column("text").cast(pa.binary()).to_pylist()
             n_words, n_removed, left = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), []
             for a, b, words, text, at, hashes in _windows(part, size):
-                count = np.diff(words.first)
-                n_words[a:b] = count
+                n_words[a:b] = np.diff(words.first)
                 gone = np.zeros(len(words.hashes) + 1, np.int64)
                 if member is not None and len(text):
                     place = member.find(hashes[0])
@@ -291,7 +260,7 @@ def _without(value: bytes, start: np.ndarray, mask: np.ndarray) -> bytes:
     return b"".join(out).rstrip() if mask[-1] else b"".join(out)
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False, counters: int | None = None) -> DataFrame:
     """Drop every word covered by a window whose words also start in a document of smaller doc_id.
 
     Words are runs without white space (0x20, 0x09-0x0D), compared unchanged; windows are judged
@@ -299,32 +268,37 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False)
     space; with ``keep_text`` all columns of ``docs`` instead, ``text`` without the removed words, plus
     n_words and n_removed. A null or empty text has no words. Rows with a null doc_id neither
     lose words nor make others lose them; equal doc_ids do not affect each other. Every row
-    comes back once, also from an empty table.
+    comes back once, also from an empty table. ``counters`` is the least width of a row of the sketch,
+    by default COUNTERS per window; it decides how many windows are grouped exactly, never the result.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
     tag = {c: f"__x{k}" for k, c in enumerate(extra)}
-    rows = _segmented(docs)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__seg", *[F.col(f"`{c}`").alias(t) for c, t in tag.items()])
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(t) for c, t in tag.items()]]
+    rows = segmented(docs, columns).drop("__at")
     scan = rows.select("doc_id", "text", "__seg")
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = 1 + (total // WORD_BYTES * COUNTERS >> BLOCK_BITS)
-    width = int(blocks << BLOCK_BITS)
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    blocks = 1 + ((counters or (total or 0) // WORD_BYTES * COUNTERS) >> BLOCK_BITS)
+    width, count = int(blocks << BLOCK_BITS), folders(n_rows)
+    if width > MAX_COUNTERS:
+        raise ValueError(f"a sketch of {width} counters a row; a counter and a row of a segment fit 64 bits up to {MAX_COUNTERS}")
     lists = rows.select("text", "__seg").mapInArrow(_sketch(size, width), "row int, block long, seg long, once binary, more binary")
     hot = lists.groupBy("row", "block").applyInArrow(_merge, "row int, block long, seg long, hot binary")
     sketch_dir = fresh_dir(spark, "hot-counters")
-    hot.repartition("seg").write.partitionBy("seg").parquet(sketch_dir)
-    found = scan.mapInArrow(_candidates(size, width, sketch_dir), "h1 long, h2 int, seg long, low long, several boolean")
-    # One row per segment and window: the group of a window is no larger than the number of segments.
-    first = F.min("low").over(Window.partitionBy("h1", "h2"))
-    earlier = found.withColumn("first", first).where((F.col("first") < F.col("low")) | F.col("several")).select("seg", "h1", "h2", "first")
-    cover_dir = fresh_dir(spark, "repeats")
-    earlier.repartition("seg").write.partitionBy("seg").parquet(cover_dir)
+    keep_facts(hot, sketch_dir, count)
+    found = cut(scan.mapInArrow(_candidates(size, width, sketch_dir, count), "h1 long, h2 int, seg long, low long, several boolean"))
     remove(spark, sketch_dir)
+    # One row per segment and window. The least doc_id is summed up before it is joined, so a window of all segments fills no task.
+    firsts = found.groupBy("h1", "h2").agg(F.min("low").alias("first"), F.max("low").alias("last"), F.max("several").alias("any"))
+    firsts = firsts.where((F.col("first") < F.col("last")) | F.col("any")).select("h1", "h2", "first")
+    earlier = found.join(firsts, ["h1", "h2"]).where((F.col("first") < F.col("low")) | F.col("several")).select("seg", "h1", "h2", "first")
+    cover_dir = fresh_dir(spark, "repeats")
+    keep_facts(earlier, cover_dir, count)
+    forget(found)
     fields = [f for f in rows.schema.fields if f.name not in ("text", "__seg")]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("left", T.StringType())])
-    out = rows.mapInArrow(_cover(size, cover_dir, keep_text), schema)
+    out = rows.mapInArrow(_cover(size, cover_dir, count, keep_text), schema)
     if not keep_text:
         return out.select("doc_id", "n_words", "n_removed", F.col("left").alias("kept_sha256"))
     named = {"doc_id": F.col("doc_id"), "text": F.col("left"), **{c: F.col(t) for c, t in tag.items()}}

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from cohortia.llm import substrings
+from cohortia.llm import segments, substrings
 
 
 def brute(rows, size):
@@ -43,12 +43,26 @@ def sample():
 def test_against_all_windows(make, monkeypatch, counters):
     # With hardly any counters the sketch lets everything through; the exact pass decides.
     monkeypatch.setattr(substrings, "COUNTERS", counters)
-    monkeypatch.setattr(substrings, "SEGMENT_ROWS", 16)
+    monkeypatch.setattr(segments, "SEGMENT_ROWS", 16)
+    monkeypatch.setattr(segments, "SEGMENTS_PER_FOLDER", 2)
     rows = sample()
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(make(rows), size=8).collect()), key=str)
     assert got == brute(rows, 8)
 
 
+@pytest.mark.parametrize("counters", [(1 << 41) + 5, substrings.MAX_COUNTERS - (1 << 20)])
+def test_sketches_wider_than_small_inputs_need(make, counters):
+    """Above 2^40 counters (1.6 TB of text) as below: no repeat is lost."""
+    rows = sample()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(make(rows), size=8, counters=counters).collect()), key=str)
+    assert got == brute(rows, 8)
+
+
+def test_sketches_that_do_not_fit_are_refused(make):
+    with pytest.raises(ValueError, match="64 bits"):
+        substrings.remove_repeats(make(sample()), size=8, counters=substrings.MAX_COUNTERS)
+
+
 def test_kept_text_and_columns(make):
     shared = " ".join(f"s{k}" for k in range(12))
     docs = make([(1, f"start {shared} end"), (2, f"  other\n{shared}\nlast line"), (3, None), (4, shared)])
