@@ -24,6 +24,37 @@ def test_shards_hold_the_mixture(spark, monkeypatch, n, k):
     assert sorted(again) == sorted(got)
 
 
+def interleaved(rows, seed_order, k):
+    """Shard and slot recomputed: rank within the source along the seeded order, sorted by fractional rank."""
+    by = {}
+    for r in sorted(rows, key=seed_order):
+        by.setdefault(r[1], []).append(r)
+    line = sorted((int((i + 0.5) / len(rs) * (1 << 40)), r[1] or "", r[1] is None, seed_order(r), r) for rs in by.values() for i, r in enumerate(rs))
+    n, out = len(line), {}
+    for p, (*_, r) in enumerate(line):
+        s = p * k // n
+        out[r[0]] = (s, p - -(-s * n // k))
+    return out
+
+
+@pytest.mark.parametrize("parts", [None, 5, 40_000, 3 << 23, 1 << 31])
+def test_interleaving_recomputed_with_any_number_of_parts(spark, parts):
+    """Parts above 2^23 stand for tables of more than 1.7e10 rows."""
+    rows = [(k, None if k % 11 == 0 else "hot" if k % 3 == 0 else f"s{k % 5}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col("doc_id").cast("string")), 4).alias("h")).collect()}
+    want = interleaved(rows, lambda r: (hashes[r[0]], r[0]), 7)
+    got = {r.doc_id: (r.shard, r.slot) for r in shards.stratified_shards(df, 7, parts=parts).collect()}
+    assert got == want
+
+
+def test_shard_columns_of_the_input_give_way(spark):
+    df = spark.createDataFrame([(1, "a", 9, "x"), (2, "a", 9, "y")], "doc_id long, source string, shard int, slot string")
+    got = shards.stratified_shards(df, 1)
+    assert got.columns == ["doc_id", "source", "shard", "slot"]
+    assert {(r.shard, r.slot) for r in got.collect()} == {(0, 0), (0, 1)}
+
+
 def test_shards_of_odd_rows(spark, make, odd_rows):
     docs = make(odd_rows).withColumnRenamed("lang", "shard0").withColumnRenamed("n_chars", "__h0")
     got = shards.stratified_shards(docs, 3).collect()
