@@ -7,7 +7,7 @@ both engines hold identical doubles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -96,15 +96,12 @@ def members(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("pathway_id"), _tag("F", "p_partkey").alias("feature_id"))
 
 
-PROCESS = """SELECT p_type AS process_id, p_brand AS pathway_id FROM (SELECT p_type, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS k
- FROM part GROUP BY 1, 2) AS t WHERE k <= 2"""
+PROCESS = "SELECT DISTINCT p_type AS process_id, p_brand AS pathway_id FROM part"
 
 
 def process_members(spark, d) -> DataFrame:
-    """Each brand belongs to the two types that most of its parts have."""
-    counts = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))
-    return counts.withColumn("k", place).where("k <= 2").select(F.col("p_type").alias("process_id"), F.col("p_brand").alias("pathway_id"))
+    """Each brand belongs to every type that one of its parts has."""
+    return table(spark, d, "part").select(F.col("p_type").alias("process_id"), F.col("p_brand").alias("pathway_id")).distinct()
 
 
 SURVIVAL = """SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderpriority AS cohort,
