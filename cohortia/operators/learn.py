@@ -1,8 +1,10 @@
 """Learners on dense vectors, grid search and nested cross-validation.
 
-Input rows are (sample_id, vec ARRAY<DOUBLE>, label). Models are Spark ML estimators; every
+Input rows are (sample_id, vec ARRAY<DOUBLE>, label). Linear models are solved by ``batched``: all
+combinations, folds and outer splits of a search at once. The others are Spark ML estimators; every
 fit is a distributed job, and a small thread pool keeps several fits in flight. Predictions of
-all fits go to one table, so the metrics of a whole search are one query.
+all fits go to one table, so the metrics of a whole search are one query. A fit that does not
+settle within its steps is an error.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -25,21 +27,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from cohortia.operators import batched as B
 from cohortia.operators import metrics as M
-from cohortia.session import shared_dir
+from cohortia.session import cut_lineage, shared_dir
 
 PARALLEL_FITS = 4
 MAX_PCA_DIM = 65535
 
 
+@dataclass(frozen=True)
+class Linear:
+    """What ``batched`` needs to know of a linear model."""
+
+    loss: str
+    C: float
+    l1_ratio: float = 0.0
+    max_iter: int = 500
+
+
 @dataclass(frozen=True)
 class Learner:
-    """A named estimator factory: ``make(n_rows)`` builds the Spark estimator."""
+    """A named model: ``linear`` if ``batched`` solves it, else ``make(n_rows)`` builds the Spark estimator."""
 
     name: str
-    make: Callable[[int], Estimator]
+    make: Callable[[int], Estimator] | None = None
     balanced: bool = True
     prepare: Callable[[DataFrame], DataFrame] | None = None
+    linear: Linear | None = None
+
+
+@dataclass(frozen=True)
+class LinearFitted:
+    """A solved linear model; the score is the margin."""
+
+    learner: Learner
+    coef: np.ndarray
+    intercept: float
+
+    def transform(self, vecs: DataFrame) -> DataFrame:
+        coef, intercept = self.coef, self.intercept
+
+        @F.pandas_udf(DoubleType())
+        def margin(v: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(v.to_numpy()) @ coef + intercept if len(v) else [], dtype=float)
+
+        df = self.learner.prepare(vecs) if self.learner.prepare else vecs
+        kept = [c for c in ("group_weight",) if c in vecs.columns]
+        return df.select("sample_id", "label", *kept, margin("vec").alias("score")).withColumn("pred", (F.col("score") > 0).cast("int"))
+
+    def weights(self) -> np.ndarray:
+        return self.coef
 
 
 @dataclass(frozen=True)
@@ -76,7 +113,25 @@ def class_weights(vecs: DataFrame) -> tuple[dict[int, float], int]:
     return {c: n / (len(counts) * m) for c, m in counts.items()}, n
 
 
-def fit(learner: Learner, vecs: DataFrame) -> Fitted:
+def _rows(vecs: DataFrame, folds) -> DataFrame:
+    """Rows as ``batched`` reads them; replicates share the weight of their group."""
+    weight = F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0)) if "group_weight" in vecs.columns else F.lit(1.0)
+    return vecs.select("sample_id", "vec", "label", weight.alias("weight"), folds.cast("array<int>").alias("folds"))
+
+
+def fit(learner: Learner, vecs: DataFrame) -> Fitted | LinearFitted:
+    if learner.linear:
+        m = learner.linear
+        df = learner.prepare(vecs) if learner.prepare else vecs
+        problem = B.Problem(_rows(df, F.array(F.lit(0))), m.loss, learner.balanced)
+        try:
+            fits = B.Fits.of([(0, B.TEST, m.C, m.l1_ratio)])
+            if not problem.fittable(fits).all():
+                raise ValueError("training rows hold a single class")
+            w, b = problem.original(*B.solve(problem, fits, m.max_iter))
+        finally:
+            problem.close()
+        return LinearFitted(learner, w[:, 0], float(b[0]))
     weights, n = class_weights(vecs)
     if len(weights) < 2:
         raise ValueError("training rows hold a single class")
@@ -86,22 +141,26 @@ def fit(learner: Learner, vecs: DataFrame) -> Fitted:
     if "group_weight" in vecs.columns:  # replicates share the weight of their group
         w = w * F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0))
     data = _assemble(vecs, learner).withColumn("weight", w)
-    return Fitted(learner, learner.make(n).fit(data))
+    estimator = learner.make(n)
+    model = estimator.fit(data)
+    if isinstance(estimator, LogisticRegression) and model.summary.totalIterations >= estimator.getMaxIter():
+        raise B.NotConverged(f"{learner.name} has not settled after {estimator.getMaxIter()} steps")
+    return Fitted(learner, model)
 
 
-def logreg(C: float = 1.0, l1_ratio: float = 0.0, balanced: bool = True, max_iter: int = 100) -> Learner:
-    """Penalised logistic regression; the summed loss weight C becomes regParam = 1 / (C n)."""
-    return Learner("logreg", lambda n: LogisticRegression(
-        regParam=1.0 / (C * n), elasticNetParam=l1_ratio, weightCol="weight", standardization=False, maxIter=max_iter, tol=1e-6), balanced)
+def logreg(C: float = 1.0, l1_ratio: float = 0.0, balanced: bool = True, max_iter: int = 500) -> Learner:
+    """Logistic regression with an L2 and an L1 part; C weighs the summed loss against them."""
+    return Learner("logreg", balanced=balanced, linear=Linear("logistic", C, l1_ratio, max_iter))
 
 
-def multinomial(C: float = 1.0, max_iter: int = 100) -> Learner:
+def multinomial(C: float = 1.0, max_iter: int = 500) -> Learner:
     return Learner("multinomial", lambda n: LogisticRegression(
         regParam=1.0 / (C * n), family="multinomial", weightCol="weight", standardization=False, maxIter=max_iter), False)
 
 
-def linear_svm(C: float = 1.0, balanced: bool = True, max_iter: int = 50) -> Learner:
-    return Learner("linear_svm", lambda n: LinearSVC(regParam=1.0 / (C * n), weightCol="weight", standardization=False, maxIter=max_iter), balanced)
+def linear_svm(C: float = 1.0, balanced: bool = True, max_iter: int = 500) -> Learner:
+    """Linear support vector machine with the squared hinge, whose optimum is unique."""
+    return Learner("linear_svm", balanced=balanced, linear=Linear("squared_hinge", C, 0.0, max_iter))
 
 
 def random_fourier(gamma: float, n_features: int, seed: int) -> Callable[[DataFrame], DataFrame]:
@@ -127,8 +186,7 @@ def random_fourier(gamma: float, n_features: int, seed: int) -> Callable[[DataFr
 
 def kernel_svm(C: float = 1.0, gamma: float = 0.1, n_features: int = 200, seed: int = 42) -> Learner:
     """RBF support vector machine as random Fourier features under a linear one."""
-    base = linear_svm(C)
-    return Learner("kernel_svm", base.make, True, random_fourier(gamma, n_features, seed))
+    return Learner("kernel_svm", prepare=random_fourier(gamma, n_features, seed), linear=linear_svm(C).linear)
 
 
 def random_forest(trees: int = 100, depth: int = 5, seed: int = 42, balanced: bool = True) -> Learner:
@@ -202,20 +260,99 @@ def _classes(rows: DataFrame, by: Sequence[str]) -> dict[tuple, set]:
     return out
 
 
+def _ranked(spark, combos: Sequence[dict], scores: Mapping[tuple[int, str], list[float]], metrics: Sequence[str], refit: str) -> tuple[list[tuple], int]:
+    """The search log and the best combination: largest mean of ``refit``, the first of equals, or of all if none has a score."""
+    table, mean = [], {}
+    for i, params in enumerate(combos):
+        for m in metrics:
+            vals = scores.get((i, m))
+            mean[(i, m)] = float(np.mean(vals)) if vals else None
+            table.append(({k: str(v) for k, v in params.items()}, m, mean[(i, m)], float(np.std(vals)) if vals else None))
+    scored = [i for i in range(len(combos)) if mean[(i, refit)] is not None]
+    return table, max(scored, key=lambda i: (mean[(i, refit)], -i)) if scored else 0
+
+
+CV_RESULTS = "params map<string,string>, metric string, mean_score double, std_score double"
+
+
+def _all_linear(learners: Sequence[Learner]) -> bool:
+    """May these be solved together: one loss, no mapping of the vectors?"""
+    same = {(m.linear.loss, m.balanced) for m in learners if m.linear and not m.prepare}
+    return len(same) == 1 and all(m.linear and not m.prepare for m in learners)
+
+
+def _inner_scores(problem: B.Problem, learners: Sequence[Learner], places: Sequence[tuple[int, int]], metrics: Sequence[str]) -> dict[tuple[int, int, str], float]:
+    """Score per (place, combination, metric); a place is a slot and the fold it leaves out. All fits in one solve."""
+    jobs = [(p, i) for p in range(len(places)) for i in range(len(learners))]
+    fits = B.Fits.of([(*places[p], learners[i].linear.C, learners[i].linear.l1_ratio) for p, i in jobs])
+    able = np.flatnonzero(problem.fittable(fits))
+    if not len(able):
+        return {}
+    fits = fits.take(able)
+    w, b = B.solve(problem, fits, max(m.linear.max_iter for m in learners))
+    preds = problem.scores(fits, w, b).drop("weight")
+    out = {}
+    for r in _score_table(preds, ["fit"], metrics).collect():
+        if r["value"] is not None:
+            p, i = jobs[able[r["fit"]]]
+            out[(p, i, r["metric"])] = r["value"]
+    return out
+
+
+def _search_linear(vecs: DataFrame, learners: Sequence[Learner], combos: Sequence[dict], metrics: Sequence[str], refit: str, fold_col: str, repeat_col: str | None) -> tuple[list[tuple], int]:
+    values = sorted(r[0] for r in vecs.select(fold_col).distinct().collect())
+    fold = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(fold_col)).cast("int") - 1
+    if repeat_col is None:
+        rows, slots = _rows(vecs, F.array(fold)), 1
+    else:  # every row once, with its fold of every repeat
+        repeats = sorted(r[0] for r in vecs.select(repeat_col).distinct().collect())
+        slots = len(repeats)
+        own = [c for c in ("vec", "label", "group_weight") if c in vecs.columns]
+        at = F.map_from_entries(F.collect_list(F.struct(F.col(repeat_col), fold)))
+        once = vecs.groupBy("sample_id").agg(*[F.first(c).alias(c) for c in own], at.alias("at"))
+        rows = _rows(once, F.array(*[F.coalesce(F.try_element_at("at", F.lit(r)), F.lit(B.ABSENT)) for r in repeats]))
+    m = learners[0]
+    problem = B.Problem(rows, m.linear.loss, m.balanced)
+    try:
+        places = [(s, f) for s in range(slots) for f in range(len(values))]
+        got = _inner_scores(problem, learners, places, metrics)
+    finally:
+        problem.close()
+    scores: dict[tuple, list[float]] = {}
+    for (_, i, name), v in sorted(got.items()):
+        scores.setdefault((i, name), []).append(v)
+    return _ranked(vecs.sparkSession, combos, scores, metrics, refit)
+
+
 def grid_search(
     vecs: DataFrame, learner: Callable[..., Learner], grid: Mapping[str, Sequence], metrics: Sequence[str] = ("roc_auc", "balanced_accuracy"),
     refit: str | None = None, fold_col: str = "fold", repeat_col: str | None = None,
-) -> tuple[DataFrame, dict, Fitted]:
+) -> tuple[DataFrame, dict, Fitted | LinearFitted]:
     """All parameter combinations on all folds -> (cv_results, best parameters, refitted model).
 
     ``vecs`` carries ``fold_col`` and, for repeated folds, ``repeat_col`` with every row once per
-    repeat. Each fit writes its held-out predictions to the shared folder. A fold whose training
+    repeat. Linear models of one loss are solved all at once; for others each fit writes its held-out
+    predictions to the shared folder. A fold whose training
     part holds one class cannot be fitted and one whose test part does has no score: it counts in no
     mean, and a combination without any score has a null one; if none has a score the first is
     taken. Every other failure ends the search.
     """
     spark, refit = vecs.sparkSession, refit or metrics[0]
     combos = param_grid(grid)
+    learners = [learner(**c) for c in combos]
+    if _all_linear(learners):
+        table, best = _search_linear(vecs, learners, combos, metrics, refit, fold_col, repeat_col)
+    else:
+        table, best = _search_single(vecs, learners, combos, metrics, refit, fold_col, repeat_col)
+    whole = vecs
+    if repeat_col:
+        whole = vecs.where(F.col(repeat_col) == vecs.agg(F.min(repeat_col)).first()[0])
+    return spark.createDataFrame(table, CV_RESULTS), combos[best], fit(learners[best], whole)
+
+
+def _search_single(vecs: DataFrame, learners: Sequence[Learner], combos: Sequence[dict], metrics: Sequence[str], refit: str, fold_col: str, repeat_col: str | None) -> tuple[list[tuple], int]:
+    """A fit of its own for every combination and fold."""
+    spark = vecs.sparkSession
     cols = [*([repeat_col] if repeat_col else []), fold_col]
     classes = _classes(vecs, cols)
     folds = sorted(classes)
@@ -229,7 +366,7 @@ def grid_search(
     def one(job: tuple[int, int]) -> None:
         i, k = job
         f = folds[k]
-        fitted = fit(learner(**combos[i]), vecs.where(inside(f) & (F.col(fold_col) != f[-1])))
+        fitted = fit(learners[i], vecs.where(inside(f) & (F.col(fold_col) != f[-1])))
         fitted.transform(vecs.where(inside(f) & (F.col(fold_col) == f[-1]))).write.parquet(f"{base}/combo={i}/fold={k}")
 
     jobs = [(i, k) for i in range(len(combos)) for k, f in enumerate(folds) if fits(f)]
@@ -241,17 +378,7 @@ def grid_search(
         for r in _score_table(preds, ["combo", "fold"], metrics).collect():
             if r["value"] is not None:
                 scores.setdefault((r["combo"], r["metric"]), []).append(r["value"])
-    table, mean = [], {}
-    for i, params in enumerate(combos):
-        for m in metrics:
-            vals = scores.get((i, m))
-            mean[(i, m)] = float(np.mean(vals)) if vals else None
-            table.append(({k: str(v) for k, v in params.items()}, m, mean[(i, m)], float(np.std(vals)) if vals else None))
-    scored = [i for i in range(len(combos)) if mean[(i, refit)] is not None]
-    best = max(scored, key=lambda i: (mean[(i, refit)], -i)) if scored else 0
-    results = spark.createDataFrame(table, "params map<string,string>, metric string, mean_score double, std_score double")
-    whole = vecs.where(F.col(repeat_col) == folds[0][0]) if repeat_col else vecs
-    return results, combos[best], fit(learner(**combos[best]), whole)
+    return _ranked(spark, combos, scores, metrics, refit)
 
 
 @dataclass
@@ -279,10 +406,7 @@ def nested_cv(
     weighs training rows and test scores. An outer split whose training rows hold one class is
     listed in ``failures`` and has null scores; any other failure ends the study.
     """
-    from cohortia.operators.splits import fold_assign, repeated_stratified_group_kfold
-
     spark = vecs.sparkSession
-    base = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}"
     extra = [c for c in ("group_id", "group_weight") if c in vecs.columns]
     classes = _classes(vecs.select("sample_id", "label").join(outer.where("part = 'train'"), "sample_id"), ["split"])
     splits = sorted(r[0] for r in outer.select("split").distinct().collect())
@@ -290,6 +414,84 @@ def nested_cv(
     failures = [f"split {s}: training rows hold a single class" for s in splits if s not in done]
     if not done:
         raise ValueError("no outer split holds both classes in its training rows")
+    combos = param_grid(grid)
+    learners = [learner(**c) for c in combos]
+    run = _nested_linear if _all_linear(learners) else _nested_single
+    preds, weights, cv = run(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra)
+    name, data = F.lit(model).alias("model"), F.lit("all").alias("dataset")
+    weight = F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0)) if "group_weight" in preds.columns else F.lit(1.0)
+    preds = preds.select(name, data, "split", "sample_id", "label", "score", "pred", weight.alias("weight"))
+    weights = weights.select(name, data, "split", "feature_id", "weight")
+    scores = _score_table(preds, ["model", "dataset", "split"], metrics).withColumn("stage", F.lit("te"))
+    if failures:
+        lost = [(model, "all", int(s), m, None, "te") for s in splits if s not in done for m in metrics]
+        scores = scores.unionByName(spark.createDataFrame(lost, "model string, dataset string, split int, metric string, value double, stage string"))
+    return StudyTables(preds, scores, cv.withColumn("model", F.lit(model)), weights, failures)
+
+
+def _inner_folds(rows: DataFrame, k: int, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Repeated stratified folds of training rows, of each split in ``by`` apart; groups stay whole if there are any."""
+    from cohortia.operators.splits import fold_assign, repeated_stratified_group_kfold
+
+    if "group_id" in rows.columns:
+        return repeated_stratified_group_kfold(rows, k, repeats, seed, by)
+    return fold_assign(rows, k, [*by, "label"], repeats, seed)
+
+
+def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions, weights and search log of all splits: one solve for all inner fits, one for the refits.
+
+    A slot is a repeat of an outer split; its test rows wait in the first one.
+    """
+    spark, combos = vecs.sparkSession, param_grid(grid)
+    place = F.array_position(F.array(*[F.lit(s) for s in done]), F.col("split")).cast("int") - 1
+    parts = outer.where(F.col("split").isin(done)).select("sample_id", place.alias("split"), "part")
+    cols = ["sample_id", "label", *[c for c in extra if c == "group_id"]]
+    train = vecs.select(*cols).join(parts.where("part = 'train'").drop("part"), "sample_id")
+    folds = _inner_folds(train, inner_k, inner_repeats, seed, ["split"])
+    cells = folds.select("sample_id", (F.col("split") * inner_repeats + F.col("repeat")).alias("slot"), "fold")
+    tests = parts.where("part = 'test'").select("sample_id", (F.col("split") * inner_repeats).alias("slot"), F.lit(B.TEST).alias("fold"))
+    slots = len(done) * inner_repeats
+    per = cells.unionByName(tests).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "fold"))).alias("at"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.coalesce(F.try_element_at("at", s), F.lit(B.ABSENT)))
+    rows = cut_lineage(_rows(vecs.join(per, "sample_id"), at))
+    keep = {}
+    if selector:
+        for u, s in enumerate(done):
+            part = vecs.join(outer.where((F.col("split") == s) & (F.col("part") == "train")).select("sample_id"), "sample_id")
+            keep[u] = list(selector(scale_vectors(part, *vector_moments(part)), feature_ids))
+    m = learners[0]
+    problem = B.Problem(rows, m.linear.loss, m.balanced, np.repeat(np.arange(len(done)), inner_repeats), True, keep)
+    try:
+        places = [(s, f) for s in range(slots) for f in range(inner_k)]
+        got = _inner_scores(problem, learners, places, metrics)
+        log, best = [], []
+        for u, s in enumerate(done):
+            scores: dict[tuple, list[float]] = {}
+            for (p, i, name), v in sorted(got.items()):
+                if places[p][0] // inner_repeats == u:
+                    scores.setdefault((i, name), []).append(v)
+            table, b = _ranked(spark, combos, scores, metrics, metrics[0])
+            log += [(*t, int(s)) for t in table]
+            best.append(learners[b].linear)
+        fits = B.Fits.of([(u * inner_repeats, B.TEST, x.C, x.l1_ratio) for u, x in enumerate(best)])
+        w, b = B.solve(problem, fits, max(x.max_iter for x in best))
+        kind = dict(vecs.dtypes)
+        scored = problem.scores(fits, w, b, f"sample_id {kind['sample_id']}, label int, weight double")
+        split = F.element_at(F.array(*[F.lit(int(s)) for s in done]), F.col("fit") + 1)
+        w, _ = problem.seen(fits, w, b)
+        preds = cut_lineage(scored.select(split.alias("split"), "sample_id", F.col("label").cast(kind["label"]).alias("label"), "score", "pred", F.col("weight").alias("group_weight")))
+    finally:
+        problem.close()
+    named = [(int(s), f, float(w[i, u])) for u, s in enumerate(done) for i, f in enumerate(feature_ids) if w[i, u] != 0]
+    weights = spark.createDataFrame(named, "split int, feature_id string, weight double")
+    return preds, weights, spark.createDataFrame(log, f"{CV_RESULTS}, split int")
+
+
+def _nested_single(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for models that are fitted one by one."""
+    spark = vecs.sparkSession
+    base = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}"
     cv_parts = None
     for s in done:
         part = vecs.join(outer.where(F.col("split") == s).select("sample_id", "part"), "sample_id")
@@ -298,8 +500,7 @@ def nested_cv(
         scaled = scale_vectors(train, mean, std)
         keep = list(selector(scaled, feature_ids)) if selector else list(range(len(feature_ids)))
         chosen = scale_vectors(train, mean, std, keep).select("sample_id", "vec", "label", *extra)
-        folds = repeated_stratified_group_kfold(chosen, inner_k, inner_repeats, seed) if "group_id" in extra else fold_assign(chosen, inner_k, ["label"], inner_repeats, seed)
-        folds = folds.persist()
+        folds = _inner_folds(chosen, inner_k, inner_repeats, seed).persist()
         cv, _, fitted = grid_search(folds, learner, grid, metrics, repeat_col="repeat")
         test = scale_vectors(part.where("part = 'test'").select("sample_id", "vec", "label", *extra), mean, std, keep)
         fitted.transform(test).withColumn("split", F.lit(int(s))).write.parquet(f"{base}/predictions/s={s}")
@@ -307,16 +508,9 @@ def nested_cv(
         cv = cv.withColumn("split", F.lit(int(s)))
         cv_parts = cv if cv_parts is None else cv_parts.unionByName(cv)
         folds.unpersist()
-    name, data = F.lit(model).alias("model"), F.lit("all").alias("dataset")
     preds = spark.read.parquet(*[f"{base}/predictions/s={s}" for s in done])
-    weight = F.col("group_weight") if "group_weight" in extra else F.lit(1.0)
-    preds = preds.select(name, data, "split", "sample_id", "label", "score", "pred", weight.cast("double").alias("weight"))
-    weights = spark.read.parquet(*[f"{base}/weights/s={s}" for s in done]).select(name, data, "split", "feature_id", "weight")
-    scores = _score_table(preds, ["model", "dataset", "split"], metrics).withColumn("stage", F.lit("te"))
-    if failures:
-        lost = [(model, "all", int(s), m, None, "te") for s in splits if s not in done for m in metrics]
-        scores = scores.unionByName(spark.createDataFrame(lost, "model string, dataset string, split int, metric string, value double, stage string"))
-    return StudyTables(preds, scores, cv_parts.withColumn("model", F.lit(model)), weights, failures)
+    weights = spark.read.parquet(*[f"{base}/weights/s={s}" for s in done])
+    return preds, weights, cv_parts
 
 
 # --- latent representations --------------------------------------------------------------

@@ -29,12 +29,12 @@ def repeated_stratified_kfold(samples: DataFrame, k: int = 4, repeats: int = 25,
     return fold_assign(samples, k, ["label"], repeats, seed)
 
 
-def repeated_stratified_group_kfold(samples: DataFrame, k: int = 4, repeats: int = 25, seed: int = 777) -> DataFrame:
-    """Whole groups share a fold; a group counts towards its majority class, the smaller label on a tie."""
-    per = samples.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = per.groupBy("group_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-    folds = fold_assign(groups, k, ["label"], repeats, seed, "group_id").select("group_id", "repeat", "fold")
-    return samples.join(folds, "group_id").select(*samples.columns, "repeat", "fold")
+def repeated_stratified_group_kfold(samples: DataFrame, k: int = 4, repeats: int = 25, seed: int = 777, by: Sequence[str] = ()) -> DataFrame:
+    """Whole groups share a fold; a group counts towards its majority class, the smaller label on a tie. Each value of ``by`` apart."""
+    per = samples.groupBy(*by, "group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = per.groupBy(*by, "group_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+    folds = fold_assign(groups, k, [*by, "label"], repeats, seed, "group_id").select(*by, "group_id", "repeat", "fold")
+    return samples.join(folds, [*by, "group_id"]).select(*samples.columns, "repeat", "fold")
 
 
 def _holdout(rows: DataFrame, by: Sequence[str], test: float, key: Column) -> DataFrame:
