@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tables import cut, filesystem
 
 SEGMENT_ROWS = 8192
-SEGMENTS_PER_FOLDER = 64
+SEGMENTS_PER_FOLDER = 4
 ROW_GROUP_BYTES = 1 << 20
 
 
