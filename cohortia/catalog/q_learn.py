@@ -222,7 +222,7 @@ def _(spark, d):
     x = _patients(spark, d)
     long = x.select("sample_id", F.posexplode("vec").alias("i", "value")).select("sample_id", F.element_at(F.array(*[F.lit(f) for f in _FEATS]), F.col("i") + 1).alias("feature_id"), "value", F.lit("clinical").alias("modality"))
     b = CohortBundle(long, x.select("sample_id", "group_id", "time", "event"), long.select("feature_id").distinct())
-    return studies.survival_study(b, (0.5,), 5, 2, inner_k=2)["split_scores"]  # a penalty may well select no feature
+    return studies.survival_study(b, (0.5,), 5, 2, inner_k=2, inner_repeats=1)["split_scores"]  # a penalty may well select no feature
 
 
 @register("model_comparison", f"""WITH s AS (SELECT * FROM ({A.SCORES}) WHERE metric = 'roc_auc'), r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY value DESC) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0 AS rank,

@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -28,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortia.operators import batched as B
+from cohortia.operators import components as C
 from cohortia.operators import metrics as M
 from cohortia.session import cut_lineage, shared_dir
 
 PARALLEL_FITS = 4
-MAX_PCA_DIM = 65535
 
 
 @dataclass(frozen=True)
@@ -522,47 +521,39 @@ class Latent:
     loadings: np.ndarray  # features x components
     variance: np.ndarray  # share per component
     mean: np.ndarray
+    absent: np.ndarray | None = None  # what an absent cell of a sparse assay counts as, per feature
 
 
 def pca(vecs: DataFrame, k: int | None = None, variance: float = 0.95) -> Latent:
-    """Centred principal components; without k the fewest reaching ``variance``.
-
-    Spark builds the d x d covariance on the driver, so d is limited: filter features first.
-    """
+    """Centred principal components; without k the fewest reaching ``variance``. Any number of dimensions."""
     mean, _ = vector_moments(vecs)
-    d = len(mean)
-    if d > MAX_PCA_DIM:
-        raise ValueError(f"{d} dimensions exceed {MAX_PCA_DIM}; filter features first")
-    centred = scale_vectors(vecs.select("sample_id", "vec"), mean, np.ones(d)).withColumn("features", array_to_vector("vec"))
-    model = PCA(k=k or d, inputCol="features", outputCol="pc").fit(centred)
-    share = model.explainedVariance.toArray()
-    kk = k or int(np.searchsorted(np.cumsum(share), variance - 1e-12) + 1)
-    kk = min(kk, d)
-    L = model.pc.toArray()[:, :kk]
-    # A component's sign is arbitrary: make its largest loading positive.
-    sign = np.sign(L[np.abs(L).argmax(axis=0), np.arange(kk)])
-    L = L * np.where(sign == 0, 1.0, sign)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(v.to_numpy()) @ L)) if len(v) else pd.Series([], dtype=object)
-
-    return Latent(centred.select("sample_id", project("vec").alias("vec")), L, share[:kk], mean)
+    rows = C.Rows(vecs.select("sample_id", F.col("vec").cast("array<double>").alias("vec")), len(mean), mean)
+    share, loadings = C.principal(rows, k, variance)
+    return Latent(C.project(rows, loadings), loadings, share, mean)
 
 
 def joint_latent(assays: Mapping[str, DataFrame], k: int) -> tuple[Latent, DataFrame, list[str]]:
     """Joint representation of several modalities: PCA of the concatenated standardised features.
 
-    Returns the latent, the standardised long assay and the feature order.
+    An absent cell is a zero that is standardised like any other, one value per feature, and is never
+    written; a null cell counts as the mean. Returns the latent, the given cells of the standardised long assay and the feature order.
     """
-    from cohortia.operators.encode import standardise
+    from cohortia.operators.encode import standardise, standardised_zero
     from cohortia.operators.joins import concat_modalities
-    from cohortia.sources.readers import feature_index, matrix_to_vectors
+    from cohortia.sources.readers import feature_index
 
-    assay = standardise(concat_modalities(assays))
+    raw = concat_modalities(assays)
+    assay = standardise(raw)
     index = feature_index(assay)
-    ids = [r["feature_id"] for r in index.orderBy("index").collect()]
-    return pca(matrix_to_vectors(assay, index), min(k, len(ids))), assay, ids
+    zeros = cut_lineage(standardised_zero(raw).join(index, "feature_id").withColumnRenamed("value", "zero"))
+    found = zeros.orderBy("index").collect()  # one row per feature
+    ids, absent = [r["feature_id"] for r in found], np.array([r["zero"] for r in found])
+    cells = assay.join(zeros, "feature_id").select("sample_id", "index", (F.coalesce("value", F.lit(0.0)) - F.col("zero")).alias("val"))
+    packed = F.array_sort(F.collect_list(F.struct("index", "val")))
+    table = cells.groupBy("sample_id").agg(packed.alias("c")).select("sample_id", F.col("c.index").alias("idx"), F.col("c.val").alias("val"))
+    rows = C.Rows(table, len(ids), np.zeros(len(ids)), absent)
+    share, loadings = C.principal(rows, min(k, len(ids)), 1.0)
+    return Latent(C.project(rows, loadings), loadings, share, np.zeros(len(ids)), absent), assay, ids
 
 
 def reconstruct(latent: Latent, feature_ids: Sequence[str]) -> DataFrame:

@@ -90,9 +90,9 @@ def response_study(
 
 def survival_study(
     bundle: CohortBundle, l1_ratios: Sequence[float] = (0.5,), n_alphas: int = 100, n_splits: int = 100, test: float = 0.25, inner_k: int = 4,
-    factors: Sequence[float] | None = None, max_iter: int = 100, by_group: bool = False, seed: int = 777,
+    factors: Sequence[float] | None = None, max_iter: int = 100, by_group: bool = False, seed: int = 777, inner_repeats: int = 5,
 ) -> dict[str, DataFrame]:
-    """Penalised Cox over hold-out splits: path on train, penalty by inner C-index, risk scores on test."""
+    """Penalised Cox over hold-out splits: path on train, penalty by inner C-index over repeated folds, risk scores on test."""
     vecs, ids = bundle_vectors(bundle, ["time", "event", *(["group_id"] if by_group else [])])
     vecs = cut_lineage(vecs)
     factors = factors if factors is not None else penalty_factors(bundle, ids)
@@ -108,7 +108,7 @@ def survival_study(
         train = cut_lineage(learn.scale_vectors(train, mean, std))
         path = hazard.cox_elastic_net(train, factors, l1_ratios, n_alphas, max_iter=max_iter)
         paths.append(path)
-        best = _best_penalty(train, path, factors, inner_k, max_iter, seed)
+        best = _best_penalty(train, path, factors, inner_k, inner_repeats, max_iter, seed)
         coef = path.coef[:, best]
         weights += [("cox", "all", s, f, float(w)) for f, w, pf in zip(ids, coef, factors or [1.0] * len(ids)) if w != 0 or pf == 0]
         scored = hazard.risk_scores(learn.scale_vectors(held, mean, std), coef).select(
@@ -124,21 +124,29 @@ def survival_study(
     }
 
 
-def _best_penalty(train: DataFrame, path: hazard.CoxPath, factors, inner_k: int, max_iter: int, seed: int) -> int:
-    """Index of the penalty with the best mean C-index over inner event-stratified folds; all penalties per fold in one solve."""
-    folds = cut_lineage(splits.repeated_survival_stratified_kfold(train, inner_k, 1, seed))
-    total = np.zeros(len(path.grid))
+def _best_penalty(train: DataFrame, path: hazard.CoxPath, factors, inner_k: int, inner_repeats: int, max_iter: int, seed: int) -> int:
+    """Index of the penalty with the best mean C-index over repeated inner event-stratified folds; all penalties per fold in one solve.
+
+    A fold without comparable pairs has no C-index and counts in no mean.
+    """
+    folds = cut_lineage(splits.repeated_survival_stratified_kfold(train, inner_k, inner_repeats, seed))
+    total, seen = np.zeros(len(path.grid)), np.zeros(len(path.grid))
     f = None if factors is None else np.asarray(factors, dtype=float)
-    for k in range(inner_k):
-        problem = hazard.CoxProblem(folds.where(F.col("fold") != k))
-        try:
-            fit = hazard.solve(problem, path.grid, f, max_iter)
-        finally:
-            problem.close()
-        scores = folds.where(F.col("fold") == k).select("sample_id", "time", "event", F.posexplode(hazard._linear(fit.coef)("vec")).alias("penalty", "score"))
-        for r in metrics.c_index(cut_lineage(scores), "score", ["penalty"]).collect():
-            total[r["penalty"]] += r["c_index"] if r["c_index"] is not None else 0.5
-    return int(np.argmax(np.round(total, 12)))
+    for r in range(inner_repeats):
+        for k in range(inner_k):
+            of_repeat = folds.where(F.col("repeat") == r)
+            problem = hazard.CoxProblem(of_repeat.where(F.col("fold") != k))
+            try:
+                fit = hazard.solve(problem, path.grid, f, max_iter)
+            finally:
+                problem.close()
+            scores = of_repeat.where(F.col("fold") == k).select("sample_id", "time", "event", F.posexplode(hazard._linear(fit.coef)("vec")).alias("penalty", "score"))
+            for row in metrics.c_index(cut_lineage(scores), "score", ["penalty"]).collect():
+                if row["c_index"] is not None:
+                    total[row["penalty"]] += row["c_index"]
+                    seen[row["penalty"]] += 1
+    mean = np.where(seen > 0, total / np.maximum(seen, 1), -np.inf)
+    return int(np.argmax(np.round(mean, 12)))
 
 
 def model_comparison(scores: DataFrame, weights: DataFrame | None = None, metric: str = "roc_auc", top: int = 15) -> dict[str, DataFrame]:
@@ -167,6 +175,11 @@ def representation_report(assays: Mapping[str, DataFrame], labels: DataFrame, k:
     spark = assay.sparkSession
     assay, scores = cut_lineage(assay), cut_lineage(latent.scores)
     recon = cut_lineage(learn.reconstruct(learn.Latent(scores, latent.loadings, latent.variance, latent.mean), ids))
+    # Every cell is judged, absent ones by what they count as; the reconstruction holds them all anyway.
+    absent = spark.createDataFrame([(f, float(v)) for f, v in zip(ids, latent.absent)], "feature_id string, zero double").join(assay.select("feature_id", "modality").distinct(), "feature_id")
+    given = assay.select("sample_id", "feature_id", F.struct(F.coalesce("value", F.lit(0.0)).alias("value")).alias("cell"))
+    assay = recon.select("sample_id", "feature_id").join(absent, "feature_id").join(given, ["sample_id", "feature_id"], "left")
+    assay = cut_lineage(assay.select("sample_id", "feature_id", "modality", F.coalesce("cell.value", "zero").alias("value")))
     m = stats.mse(assay, recon).select(F.concat(F.lit("mse_"), "modality").alias("metric"), F.col("mse").alias("value"))
     r = stats.pearson_by_feature(assay, recon).agg(F.avg("r").alias("value")).select(F.lit("mean_pearson").alias("metric"), "value")
     lab = scores.join(labels.select("sample_id", "label"), "sample_id")
