@@ -39,10 +39,23 @@ JUNK_WORDS = frozenset(
     " notification outbrain overlay pager pagination popup privacy promo promoted promotion recommended related replies reply"
     " respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toc toolbar widget widgets".split()
 )
+#: Parts of a text that may be named after what they say: a word that a text can be about, in the id or on a part as small as a
+#: paragraph, makes them boilerplate only if they are mostly links or no longer than this. A heading is never boilerplate by its name.
+SMALL_PART = 100
+SOFT_TAGS = dict.fromkeys("p pre li dt dd td th tr figcaption".split(), SMALL_PART) | dict.fromkeys("section ul ol dl table figure blockquote".split(), 200)
+CONTENT_WORDS = frozenset(
+    "banner breadcrumb breadcrumbs copyright cookie cookies disclaimer feedback footer header hidden login menu navigation notice notices notification overlay"
+    " pagination privacy promotion recommended related replies search share sharing skip social sponsor sponsored subscription tags widget widgets".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A junk word beside one of these names a part of the article, such as an entry's header.
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 PART_WORDS = frozenset("header byline tags".split())
 
+#: Items that end where a sibling begins, unless a list or table of their own was opened since.
+SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr",), ("table",))}
+SIBLINGS |= {"td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -63,13 +76,17 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
 
+#: Whether an element holds boilerplate: no, yes, or by what it turns out to hold.
+CLEAN, JUNK, SOFT = range(3)
+
+
 class _Shape:
     """Generalised name of an element and whether it holds boilerplate; remembered per tag and attributes."""
 
     def __init__(self):
-        self.memory: dict[tuple[str, str], tuple[str, bool]] = {}
+        self.memory: dict[tuple[str, str], tuple[str, int]] = {}
 
-    def __call__(self, tag: str, raw: str) -> tuple[str, bool]:
+    def __call__(self, tag: str, raw: str) -> tuple[str, int]:
         key = (tag, raw)
         known = self.memory.get(key)
         if known is None:
@@ -79,51 +96,60 @@ class _Shape:
         return known
 
     @staticmethod
-    def _find(tag: str, attributes: dict[str, str]) -> tuple[str, bool]:
+    def _find(tag: str, attributes: dict[str, str]) -> tuple[str, int]:
         classes = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})
         name = tag + "".join(f".{c}" for c in classes)
         if attributes.get("id"):
             name += "#" + re.sub(r"\d+", "#", attributes["id"])
         words = {w.lower() for w in _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
         found = words & JUNK_WORDS
-        junk = tag in JUNK_TAGS or attributes.get("role", "").lower() in JUNK_ROLES or bool(found)
-        if found and found <= PART_WORDS and words & ARTICLE_WORDS and tag not in JUNK_TAGS:
-            junk = False
+        given = tag in JUNK_TAGS or attributes.get("role", "").lower() in JUNK_ROLES
+        named = bool(found) and tag not in HEADINGS
+        if found <= PART_WORDS and words & ARTICLE_WORDS and tag not in JUNK_TAGS:
+            given = named = False
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
-        if tag in ("html", "body", "article", "main"):
-            junk = False if tag in ("html", "body") else junk and "comment" in "".join(found)
-        return name.replace(">", "_"), junk or hidden
+        if tag in ("html", "body"):
+            given = named = False
+        elif tag in ("article", "main"):
+            given = named = (given or named) and "comment" in "".join(found)
+        by_class = {w.lower() for w in _WORD.findall(attributes.get("class", ""))} & JUNK_WORDS
+        soft = named and not given and tag in SOFT_TAGS and found <= CONTENT_WORDS and (not by_class or SOFT_TAGS[tag] <= SMALL_PART)
+        return name.replace(">", "_"), JUNK if hidden or given or named and not soft else SOFT if soft else CLEAN
 
 
 _shape = _Shape()
 
 
 class Block:
-    """One run of text between block-level tags."""
+    """One run of text between block-level tags, and the innermost element around it (-1: none)."""
 
-    __slots__ = ("junk", "links", "stack", "text")
+    __slots__ = ("at", "links", "text")
 
-    def __init__(self, stack: tuple[int, ...], text: str, links: int, junk: bool):
-        self.stack, self.text, self.links, self.junk = stack, text, links, junk
+    def __init__(self, at: int, text: str, links: int):
+        self.at, self.text, self.links = at, text, links
 
 
 class Page:
-    """Blocks of a page in order, and the elements around each."""
+    """Blocks of a page in order, and the elements around each: linear in the page, however deeply it is nested.
+
+    Elements are numbered as they open, so a parent comes before its children.
+    """
 
     def __init__(self, html: str):
         self.names: list[str] = []
         self.tags: list[str] = []
         self.parents: list[int] = []
-        self.junk: list[bool] = []
+        self.kinds: list[int] = []
         self.blocks: list[Block] = []
         self._read(html)
+        self._judge()
 
     def _read(self, html: str) -> None:
         stack: list[int] = []
         open_tags: list[str] = []
+        places: dict[str, list[int]] = {}  # depths at which a tag is open
         pieces: list[str] = []
         linked = 0
-        in_link = 0
 
         def flush() -> None:
             nonlocal linked
@@ -131,19 +157,22 @@ class Page:
                 text = " ".join(unescape("".join(pieces)).split())
                 pieces.clear()
                 if text:
-                    self.blocks.append(Block(tuple(stack), text, linked, bool(stack) and self.junk[stack[-1]]))
+                    self.blocks.append(Block(stack[-1] if stack else -1, text, linked))
             linked = 0
 
         def leave(depth: int) -> None:
-            nonlocal in_link
-            in_link -= open_tags[depth:].count("a")
+            for tag in open_tags[depth:]:
+                places[tag].pop()
             del stack[depth:], open_tags[depth:]
 
+        def last(tags: tuple[str, ...]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
         def add(text: str) -> None:
             nonlocal linked
             if text:
                 pieces.append(text)
-                if in_link:
+                if places.get("a"):
                     linked += len(text)
 
         at, search = 0, _TAG.search
@@ -167,8 +196,8 @@ class Page:
             if block:
                 flush()
             if slash:
-                if name in open_tags:
-                    leave(len(open_tags) - 1 - open_tags[::-1].index(name))
+                if places.get(name):
+                    leave(places[name][-1])
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
@@ -176,31 +205,44 @@ class Page:
                 continue
             if name in VOID:
                 continue
-            if block and "p" in open_tags:  # a paragraph ends where a block begins
-                leave(len(open_tags) - 1 - open_tags[::-1].index("p"))
-            if name in ("li", "dd", "dt", "tr", "td", "th"):
-                self._close_sibling(name, open_tags, leave)
-            label, junk = _shape(name, raw)
+            if block and places.get("p"):  # a paragraph ends where a block begins
+                leave(places["p"][-1])
+            if name in SIBLINGS:  # so does an item where the next one of its list begins
+                group, fence = SIBLINGS[name]
+                if last(group) > last(fence):
+                    leave(last(group))
+            label, kind = _shape(name, raw)
             self.names.append(label)
             self.tags.append(name)
             self.parents.append(stack[-1] if stack else -1)
-            self.junk.append(junk or bool(stack) and self.junk[stack[-1]])
+            self.kinds.append(kind)
             if not raw.rstrip().endswith("/"):
+                places.setdefault(name, []).append(len(open_tags))
                 stack.append(len(self.names) - 1)
                 open_tags.append(name)
-                in_link += name == "a"
         flush()
 
-    @staticmethod
-    def _close_sibling(name: str, open_tags: list[str], leave) -> None:
-        group = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-        fence = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",)}.get(name, ("tr", "table"))
-        for depth in range(len(open_tags) - 1, -1, -1):
-            if open_tags[depth] in fence:
-                return
-            if open_tags[depth] in group:
-                leave(depth)
-                return
+    def _sums(self, values: list[float]) -> list[float]:
+        """Per element the sum over the blocks inside."""
+        out = [0.0] * len(self.names)
+        for b, v in zip(self.blocks, values):
+            if b.at >= 0:
+                out[b.at] += v
+        for e in range(len(out) - 1, -1, -1):
+            if self.parents[e] >= 0:
+                out[self.parents[e]] += out[e]
+        return out
+
+    def _judge(self) -> None:
+        """Which elements hold boilerplate: by kind, by content, or because they lie in one that does."""
+        self.junk = [k == JUNK for k in self.kinds]
+        if SOFT in self.kinds:
+            size, links = self._sums([len(b.text) for b in self.blocks]), self._sums([b.links for b in self.blocks])
+            for e, kind in enumerate(self.kinds):
+                self.junk[e] = self.junk[e] or kind == SOFT and (2 * links[e] > size[e] or size[e] <= SOFT_TAGS[self.tags[e]])
+        for e, parent in enumerate(self.parents):
+            self.junk[e] = self.junk[e] or parent >= 0 and self.junk[parent]
+        self.bad = [b.at >= 0 and self.junk[b.at] for b in self.blocks]
 
     def path(self, element: int) -> str:
         out = []
@@ -209,16 +251,22 @@ class Page:
             element = self.parents[element]
         return ">".join(reversed(out))
 
+    def _at_path(self, path: str) -> list[int]:
+        """Containers of this path. Places are compared by chained hashes, and the found ones by name."""
+        wanted = 0
+        for name in path.split(">"):
+            wanted = hash((wanted, name))
+        chained = []
+        for name, parent in zip(self.names, self.parents):
+            chained.append(hash((chained[parent] if parent >= 0 else 0, name)))
+        found = [e for e, h in enumerate(chained) if h == wanted and self.tags[e] in CONTAINERS]
+        return found if found and self.path(found[0]) == path else []
+
     def scores(self) -> dict[int, float]:
         """Score of every container: prose characters inside, less a quarter of the boilerplate inside."""
-        found: dict[int, float] = {}
-        for b in self.blocks:
-            size = len(b.text)
-            bad = b.junk or 2 * b.links > size
-            for e in b.stack:
-                if self.tags[e] in CONTAINERS and not self.junk[e]:
-                    found[e] = found.get(e, 0.0) + (-0.25 * size if bad else size - b.links)
-        return found
+        worth = [-0.25 * len(b.text) if bad or 2 * b.links > len(b.text) else len(b.text) - b.links for b, bad in zip(self.blocks, self.bad)]
+        found, blocks = self._sums(worth), self._sums([1] * len(worth))
+        return {e: found[e] for e in range(len(found)) if blocks[e] and self.tags[e] in CONTAINERS and not self.junk[e]}
 
     def best(self) -> tuple[int, float] | None:
         """The best container, of equals the innermost; None for a page without text."""
@@ -228,29 +276,40 @@ class Page:
         top = max(found, key=lambda e: (found[e], e))
         return top, found[top]
 
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """Per element: is it one of ``chosen`` or inside one?"""
+        out: list[bool] = []
+        for e, parent in enumerate(self.parents):
+            out.append(e in chosen or parent >= 0 and out[parent])
+        return out
+
     def text(self, paths: list[str]) -> str:
         """Blocks inside the first path that the page has, else inside its best container."""
-        chosen: set[int] = set()
-        here = {}
-        for e in {e for b in self.blocks for e in b.stack if self.tags[e] in CONTAINERS}:
-            here.setdefault(self.path(e), set()).add(e)
         for p in paths:
-            chosen = {e for e in here.get(p, ()) if not self.junk[e]}
-            if any(not b.junk and chosen.intersection(b.stack) for b in self.blocks):
+            chosen = {e for e in self._at_path(p) if not self.junk[e]}
+            inside = self._inside(chosen) if chosen else []
+            if chosen and any(b.at >= 0 and inside[b.at] and not bad for b, bad in zip(self.blocks, self.bad)):
                 break
-            chosen = set()
-        if not chosen:
+        else:
             best = self.best()
             if best is None:
-                return "\n".join(b.text for b in self.blocks if not b.junk)
+                return "\n".join(b.text for b, bad in zip(self.blocks, self.bad) if not bad)
             chosen = {best[0]}
-        kept = [b.text for b in self.blocks if chosen.intersection(b.stack) and (not b.junk or self._headline(b, chosen))]
-        return "\n".join(kept)
-
-    def _headline(self, block: Block, chosen: set[int]) -> bool:
-        """A heading in a header inside the article is the article's own."""
-        inside = block.stack[max(block.stack.index(e) for e in chosen if e in block.stack) + 1 :]
-        return any(self.tags[e] in ("h1", "h2") for e in inside) and all(self.tags[e] in ("header", "hgroup", "h1", "h2", "div") or not self.junk[e] for e in inside)
+            inside = self._inside(chosen)
+        own = self._headlines(chosen) if any(self.bad) else []
+        return "\n".join(b.text for b, bad in zip(self.blocks, self.bad) if b.at >= 0 and inside[b.at] and (not bad or own[b.at]))
+
+    def _headlines(self, chosen: set[int]) -> list[bool]:
+        """Per element: is it in an h1 or h2 that only headers separate from the chosen element? Such a heading is the article's own."""
+        heading, plain = [], []
+        for e, parent in enumerate(self.parents):
+            if e in chosen or parent < 0:
+                heading.append(False)
+                plain.append(e in chosen)
+            else:
+                heading.append(heading[parent] or self.tags[e] in ("h1", "h2"))
+                plain.append(plain[parent] and (self.tags[e] in ("header", "hgroup", "h1", "h2", "div") or not self.junk[e]))
+        return [h and p for h, p in zip(heading, plain)]
 
 
 def path_votes(pages: DataFrame) -> DataFrame:

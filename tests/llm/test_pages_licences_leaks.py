@@ -236,3 +236,55 @@ def test_leaks_of_odd_rows(spark, make, odd_rows, leaked):
     assert decontaminate.find_leaks(make([]), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == len(odd_rows)
+
+
+PROSE = "<body><article><h1>T</h1><p>" + "Article prose goes on here. " * 20 + "</p>{}</article></body>"
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<section id='related-work'><p>" + "Prior systems did this. " * 20 + "</p></section>", True),
+        ("<h3 id='search'>Search</h3>", True),
+        ("<p class='notice'>" + "Take notice of this rather long paragraph. " * 5 + "</p>", True),
+        ("<section id='feedback'><ul><li>" + "Answers of the panel, in their own words. " * 8 + "</li></ul></section>", True),
+        ("<table id='footer-sizes'><tr><td>" + "Cells of a long table about footers. " * 8 + "</td></tr></table>", True),
+        ("<p class='notice'>We use cookies.</p>", False),
+        ("<section class='comments'>" + "<p>I do not agree with this at all.</p>" * 9 + "</section>", False),
+        ("<section id='comments'>" + "<p>I do not agree with this at all.</p>" * 9 + "</section>", False),
+        ("<section class='related'>" + "Teasers of other stories without a link. " * 9 + "</section>", False),
+        ("<section class='related'>" + "<a href='x'>Another story of this site that is linked here</a> " * 9 + "</section>", False),
+        ("<ul class='share'><li>Mail</li><li>Print</li></ul>", False),
+        ("<div class='newsletter'>" + "Get our letter every week, it costs nothing. " * 9 + "</div>", False),
+        ("<section hidden id='x'>" + "Hidden words of a hidden section. " * 9 + "</section>", False),
+        ("<div class='comments'><h3>Comments</h3><p>" + "I do not agree with this at all. " * 9 + "</p></div>", False),
+    ],
+)
+def test_names_from_content_do_not_make_boilerplate(part, kept):
+    from cohortia.llm.webpages import Page
+
+    text = Page(PROSE.format(part)).text([])
+    plain = Page(PROSE.format("")).text([])
+    assert text.startswith(plain) and (len(text) > len(plain)) == kept
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 100_000 + "deep text here</div>",
+        "<ul><li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000 + "</span>" * 50_000,
+        "<body>" + "<p>" * 100_000 + "<div>" * 50_000 + "x" + "</i>" * 100_000,
+        "<table>" * 30_000 + "<tr><td>x" * 30_000,
+        "<header>" + "<div>" * 50_000 + "<h1>t</h1>x" * 20_000,
+    ],
+)
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    from cohortia.llm.webpages import Page
+
+    began = time.process_time()
+    page = Page(html)
+    best = page.best()
+    page.text([page.path(best[0])] if best else [])
+    assert time.process_time() - began < 20
