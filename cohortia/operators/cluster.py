@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators import lloyd
 from cohortia.operators.vectors import euclidean
 from cohortia.session import cut_lineage, forget
 
-PARALLEL_FITS = 4
-
 
 def nearest_reference_distance(dist: DataFrame, reps: DataFrame | None = None, exclude_self: bool = True) -> DataFrame:
     """(id, d): least distance of each item to any other item, or to the representatives (column ``id``)."""
@@ -60,33 +57,17 @@ def _features(vecs: DataFrame) -> DataFrame:
     return vecs.select(F.col("sample_id").alias("id"), array_to_vector("vec").alias("features"))
 
 
-def kmeans(vecs: DataFrame, k: int, seed: int = 42, max_iter: int = 20) -> tuple[DataFrame, DataFrame, float]:
-    """(labels, centres, inertia) of k-means|| on the vectors."""
-    data = _features(vecs)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||", featuresCol="features", predictionCol="cluster").fit(data)
-    centres = vecs.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    return model.transform(data).select("id", "cluster"), centres, float(model.summary.trainingCost)
-
-
-def _side_by_side(spark: SparkSession, job: Callable, items: Sequence) -> list:
-    """Independent fits submitted together, so that their small stages share the cluster."""
-    with ThreadPool(PARALLEL_FITS) as pool:
-        return pool.map(inheritable_thread_target(spark)(job), list(items))
-
+def kmeans(vecs: DataFrame, k: int, seed: int = 42, max_iter: int = 300, starts: int = 10) -> tuple[DataFrame, DataFrame, float]:
+    """(labels, centres, inertia) of the best of several starts of k-means; one that does not settle is an error."""
+    centres, inertia = lloyd.best_runs(vecs, [k], starts, seed, max_iter)[k]
+    table = vecs.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
+    return lloyd.assign(vecs, {k: centres}).select("id", "cluster"), table, inertia
 
-def kmeans_elbow(vecs: DataFrame, ks: Sequence[int] = range(1, 31), seed: int = 42) -> DataFrame:
-    """Inertia per k; k = 1 is the total squared deviation from the mean."""
-    data = vecs.select("sample_id", "vec").persist()
 
-    def one(k: int) -> tuple[int, float]:
-        if k == 1:
-            whole = data.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("ss")).agg(F.sum("ss"))
-            return 1, float(whole.first()[0])
-        return int(k), kmeans(data, k, seed)[2]
-
-    rows = _side_by_side(vecs.sparkSession, one, ks)
-    data.unpersist()
-    return vecs.sparkSession.createDataFrame(rows, "k int, inertia double")
+def kmeans_elbow(vecs: DataFrame, ks: Sequence[int] = range(1, 31), seed: int = 42, max_iter: int = 300, starts: int = 10) -> DataFrame:
+    """Inertia per k, all k and starts in one solve; k = 1 is the total squared deviation from the mean."""
+    runs = lloyd.best_runs(vecs, ks, starts, seed, max_iter)
+    return vecs.sparkSession.createDataFrame([(int(k), runs[int(k)][1]) for k in ks], "k int, inertia double")
 
 
 def representatives(vecs: DataFrame, labels: DataFrame, centres: DataFrame, dist: DataFrame) -> DataFrame:
@@ -95,17 +76,23 @@ def representatives(vecs: DataFrame, labels: DataFrame, centres: DataFrame, dist
     return near.join(within_group_max(dist, labels), "cluster").select("cluster", "id", "size", "max_distance")
 
 
-def cluster_count_sweep(vecs: DataFrame, dist: DataFrame, ks: Sequence[int] = range(3, 100), cutoff: float = 0.30, seed: int = 42) -> DataFrame:
-    """For each k: how many items lie farther than ``cutoff`` from every representative."""
-    data, table = vecs.select("sample_id", "vec").persist(), dist.persist()
-
-    def one(k: int) -> tuple[int, int]:
-        labels, centres, _ = kmeans(data, k, seed)
-        return int(k), int(divergent_count(table, nearest_to_centroid(data, labels, centres), cutoff).first()["n_divergent"])
+def cluster_count_sweep(
+    vecs: DataFrame, dist: DataFrame, ks: Sequence[int] = range(3, 100), cutoff: float = 0.30, seed: int = 42, variance: float | None = 0.95, max_iter: int = 300, starts: int = 10,
+) -> DataFrame:
+    """For each k: how many items lie farther than ``cutoff`` from every representative.
 
-    rows = _side_by_side(vecs.sparkSession, one, ks)
-    data.unpersist(), table.unpersist()
-    return vecs.sparkSession.createDataFrame(rows, "k int, n_divergent bigint")
+    Clusters are those of the components that hold ``variance``; None takes the vectors as they are. All k
+    and starts share one solve, and one query judges all representatives.
+    """
+    if variance is not None:
+        from cohortia.operators.learn import pca
+
+        vecs = cut_lineage(pca(vecs, None, variance).scores)
+    runs = lloyd.best_runs(vecs, ks, starts, seed, max_iter)
+    placed = lloyd.assign(vecs, {k: c for k, (c, _) in runs.items()})
+    reps = placed.groupBy("k", "cluster").agg(F.min_by("id", F.struct(F.round("d", 9), "id")).alias("id_b")).select("k", "id_b").distinct()
+    near = dist.join(cut_lineage(reps), "id_b").groupBy("k", "id_a").agg(F.min("d").alias("d"))
+    return near.groupBy("k").agg(F.count_if(F.col("d") > cutoff).alias("n_divergent"))
 
 
 def hierarchical_clusters(vecs: DataFrame, k: int, seed: int = 42) -> DataFrame:
