@@ -217,6 +217,17 @@ def _(spark, d):
     return studies.response_study(_bundle(spark, d), "logreg", {"C": [0.01, 1.0]}, 2, 1, 2, 100)["feature_ranking"]
 
 
+@register("permutation_refit")
+def _(spark, d):
+    b = _bundle(spark, d)
+    vecs, ids = studies.bundle_vectors(b, ["label"])
+    vecs = cut_lineage(vecs)
+    t = L.nested_cv(vecs, ids, L.logreg, {"C": [0.01, 1.0]}, cut_lineage(studies.outer_splits(b.samples, 4, 1, False)), 3)
+    true = t.split_scores.where("metric = 'roc_auc'").agg(F.avg("value")).first()[0]
+    summary, perms = L.refit_permutation(vecs, {s: L.logreg(**c) for s, c in t.chosen.items()}, 4, 1, true)
+    return perms.withColumn("s", summary.select(F.struct("*")).scalar()).select("perm", "value", "s.true", "s.mean_permuted", "s.p")
+
+
 @register("survival_study")
 def _(spark, d):
     x = _patients(spark, d)

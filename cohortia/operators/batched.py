@@ -8,7 +8,8 @@ with its own line search; those that have settled leave the passes, and one that
 settle is an error.
 
 Rows are (sample_id, vec, label 0/1, weight, folds ARRAY<INT>): entry s of ``folds`` is the row's
-fold in slot s, TEST where it only waits to be scored, ABSENT where it takes no part. The
+fold in slot s, TEST where it only waits to be scored, ABSENT where it takes no part. With a column
+``labels`` ARRAY<INT>, entry s is the row's label in slot s, so every slot is a response of its own. The
 objective of a fit is sum(w loss) / sum(w) + (l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2) / (C n), with n and the
 balanced class weights taken from its own training rows; the intercept is not penalised.
 """
@@ -75,14 +76,18 @@ LOSSES: dict[str, Callable] = {"logistic": logistic, "squared_hinge": squared_hi
 
 
 def _blocks(batch: pa.RecordBatch, centre: np.ndarray, spread: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Standardised vectors, signs, weights and folds of a batch, some rows at a time, and the first row."""
+    """Standardised vectors, signs (one a row, or one a row and slot), weights and folds of a batch, some rows at a time, and the first row."""
     step = max(16, BLOCK_CELLS // max(1, width))
     for a in range(0, batch.num_rows, step):
         part = batch.slice(a, step)
         m = part.num_rows
         x = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(m, -1)
         folds = part.column("folds").flatten().to_numpy(zero_copy_only=False).reshape(m, -1)
-        y = np.where(part.column("label").to_numpy(zero_copy_only=False) > 0, 1.0, -1.0)
+        if "labels" in batch.schema.names:
+            label = part.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(m, -1)
+        else:
+            label = part.column("label").to_numpy(zero_copy_only=False)[:, None]
+        y = np.where(label > 0, 1.0, -1.0)
         yield (x - centre) / spread, y, part.column("weight").to_numpy(zero_copy_only=False), folds, a
 
 
@@ -97,7 +102,8 @@ class Problem:
     def __init__(self, rows: DataFrame, loss: str = "logistic", balanced: bool = True, unit: Sequence[int] | None = None, standardise: bool = False, keep: dict[int, Sequence[int]] | None = None):
         self.loss, self.balanced, self.passes, self.tasks = loss, balanced, 0, None
         w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
-        self.rows = rows.select("sample_id", "vec", F.col("label").cast("int").alias("label"), w.alias("weight"), "folds").persist()
+        self.own = "labels" in rows.columns
+        self.rows = rows.select("sample_id", "vec", F.col("label").cast("int").alias("label"), w.alias("weight"), "folds", *(["labels"] if self.own else [])).persist()
         s = self.rows.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("vec")).alias("s")).select("s.*").first()
         if s is None or not s["count"]:
             raise ValueError("no rows to fit")
@@ -133,9 +139,9 @@ class Problem:
                     for c in (0, 1):
                         mine = (y > 0) == bool(c)
                         for f in range(folds):
-                            in_fold = at[mine] == f
+                            in_fold = mine & (at == f)
                             n[c, 0, :, f] += in_fold.sum(axis=0)
-                            n[c, 1, :, f] += w[mine] @ in_fold
+                            n[c, 1, :, f] += w @ in_fold
                     if wide:
                         of_unit = (at[:, first] >= 0).astype(float)
                         moments[0] += of_unit.sum(axis=0)[:, None]
@@ -204,15 +210,15 @@ class Problem:
         scale = n / np.maximum(2 * rows, 1) if self.balanced else np.ones_like(rows)
         whole = (weights * scale).sum(axis=0)
         loss, centre, spread, d, k = LOSSES[self.loss], self.centre, self.spread, self.d, len(fits)
-        slot, left_out = fits.slot, fits.left_out
+        slot, left_out, own = fits.slot, fits.left_out, self.own
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             total = np.zeros((d + 2, k))
             for batch in batches:
                 for x, y, wt, folds, _ in _blocks(batch, centre, spread, max(d, k)):
-                    at = folds[:, slot]
-                    inside = ((at >= 0) & (at != left_out)) * wt[:, None] * np.where(y[:, None] > 0, scale[1], scale[0])
-                    value, slope = loss(x @ inner + b0, y[:, None])
+                    at, sign = folds[:, slot], y[:, slot] if own else y
+                    inside = ((at >= 0) & (at != left_out)) * wt[:, None] * np.where(sign > 0, scale[1], scale[0])
+                    value, slope = loss(x @ inner + b0, sign)
                     slope *= inside
                     total[:d] += x.T @ slope
                     total[d] += slope.sum(axis=0)
@@ -223,15 +229,17 @@ class Problem:
         return total[d + 1], total[:d] * self.keep[:, self.unit[fits.slot]], total[d]
 
     def scores(self, fits: Fits, inner: np.ndarray, b0: np.ndarray, columns: str = "sample_id string, label int, weight double") -> DataFrame:
-        """(fit, sample_id, label, weight, score, pred): margins of the rows each fit has left out."""
-        centre, spread, d, slot, left_out = self.centre, self.spread, self.d, fits.slot, fits.left_out
+        """(fit, sample_id, label, weight, score, pred): margins of the rows each fit has left out; the label is that of the fit's slot."""
+        centre, spread, d, slot, left_out, own = self.centre, self.spread, self.d, fits.slot, fits.left_out, self.own
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for x, _, _, folds, a in _blocks(batch, centre, spread, max(d, len(slot))):
+                for x, y, _, folds, a in _blocks(batch, centre, spread, max(d, len(slot))):
                     i, k = np.nonzero(folds[:, slot] == left_out)
                     z = (x @ inner + b0)[i, k]
                     named = [batch.column(c).slice(a, len(x)).take(pa.array(i)) for c in ("sample_id", "label", "weight")]
+                    if own:
+                        named[1] = pa.array((y[i, slot[k]] > 0).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *named, pa.array(z), pa.array((z > 0).astype(np.int32))], ["fit", "sample_id", "label", "weight", "score", "pred"])
 
         return self.rows.mapInArrow(run, f"fit int, {columns}, score double, pred int")

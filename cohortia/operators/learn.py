@@ -22,7 +22,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -112,10 +112,10 @@ def class_weights(vecs: DataFrame) -> tuple[dict[int, float], int]:
     return {c: n / (len(counts) * m) for c, m in counts.items()}, n
 
 
-def _rows(vecs: DataFrame, folds) -> DataFrame:
+def _rows(vecs: DataFrame, folds, *more: str) -> DataFrame:
     """Rows as ``batched`` reads them; replicates share the weight of their group."""
     weight = F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0)) if "group_weight" in vecs.columns else F.lit(1.0)
-    return vecs.select("sample_id", "vec", "label", weight.alias("weight"), folds.cast("array<int>").alias("folds"))
+    return vecs.select("sample_id", "vec", "label", weight.alias("weight"), folds.cast("array<int>").alias("folds"), *more)
 
 
 def fit(learner: Learner, vecs: DataFrame) -> Fitted | LinearFitted:
@@ -389,6 +389,7 @@ class StudyTables:
     cv_results: DataFrame
     split_feature_weights: DataFrame
     failures: list[str] = field(default_factory=list)
+    chosen: dict[int, dict] = field(default_factory=dict)  # outer split -> parameters of its refit
 
 
 Selector = Callable[[DataFrame, Sequence[str]], Sequence[int]]
@@ -416,7 +417,7 @@ def nested_cv(
     combos = param_grid(grid)
     learners = [learner(**c) for c in combos]
     run = _nested_linear if _all_linear(learners) else _nested_single
-    preds, weights, cv = run(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra)
+    preds, weights, cv, chosen = run(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra)
     name, data = F.lit(model).alias("model"), F.lit("all").alias("dataset")
     weight = F.coalesce(F.col("group_weight").cast("double"), F.lit(1.0)) if "group_weight" in preds.columns else F.lit(1.0)
     preds = preds.select(name, data, "split", "sample_id", "label", "score", "pred", weight.alias("weight"))
@@ -425,7 +426,7 @@ def nested_cv(
     if failures:
         lost = [(model, "all", int(s), m, None, "te") for s in splits if s not in done for m in metrics]
         scores = scores.unionByName(spark.createDataFrame(lost, "model string, dataset string, split int, metric string, value double, stage string"))
-    return StudyTables(preds, scores, cv.withColumn("model", F.lit(model)), weights, failures)
+    return StudyTables(preds, scores, cv.withColumn("model", F.lit(model)), weights, failures, chosen)
 
 
 def _inner_folds(rows: DataFrame, k: int, repeats: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
@@ -437,7 +438,7 @@ def _inner_folds(rows: DataFrame, k: int, repeats: int, seed: int, by: Sequence[
     return fold_assign(rows, k, [*by, "label"], repeats, seed)
 
 
-def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, dict]]:
     """Predictions, weights and search log of all splits: one solve for all inner fits, one for the refits.
 
     A slot is a repeat of an outer split; its test rows wait in the first one.
@@ -464,7 +465,7 @@ def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inne
     try:
         places = [(s, f) for s in range(slots) for f in range(inner_k)]
         got = _inner_scores(problem, learners, places, metrics)
-        log, best = [], []
+        log, best, chosen = [], [], {}
         for u, s in enumerate(done):
             scores: dict[tuple, list[float]] = {}
             for (p, i, name), v in sorted(got.items()):
@@ -473,6 +474,7 @@ def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inne
             table, b = _ranked(spark, combos, scores, metrics, metrics[0])
             log += [(*t, int(s)) for t in table]
             best.append(learners[b].linear)
+            chosen[int(s)] = combos[b]
         fits = B.Fits.of([(u * inner_repeats, B.TEST, x.C, x.l1_ratio) for u, x in enumerate(best)])
         w, b = B.solve(problem, fits, max(x.max_iter for x in best))
         kind = dict(vecs.dtypes)
@@ -484,14 +486,14 @@ def _nested_linear(vecs, feature_ids, learner, learners, grid, outer, done, inne
         problem.close()
     named = [(int(s), f, float(w[i, u])) for u, s in enumerate(done) for i, f in enumerate(feature_ids) if w[i, u] != 0]
     weights = spark.createDataFrame(named, "split int, feature_id string, weight double")
-    return preds, weights, spark.createDataFrame(log, f"{CV_RESULTS}, split int")
+    return preds, weights, spark.createDataFrame(log, f"{CV_RESULTS}, split int"), chosen
 
 
-def _nested_single(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _nested_single(vecs, feature_ids, learner, learners, grid, outer, done, inner_k, metrics, selector, seed, inner_repeats, extra) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, dict]]:
     """The same for models that are fitted one by one."""
     spark = vecs.sparkSession
     base = f"{shared_dir(spark)}/study-{uuid.uuid4().hex}"
-    cv_parts = None
+    cv_parts, chosen = None, {}
     for s in done:
         part = vecs.join(outer.where(F.col("split") == s).select("sample_id", "part"), "sample_id")
         train = part.where("part = 'train'")
@@ -500,7 +502,7 @@ def _nested_single(vecs, feature_ids, learner, learners, grid, outer, done, inne
         keep = list(selector(scaled, feature_ids)) if selector else list(range(len(feature_ids)))
         chosen = scale_vectors(train, mean, std, keep).select("sample_id", "vec", "label", *extra)
         folds = _inner_folds(chosen, inner_k, inner_repeats, seed).persist()
-        cv, _, fitted = grid_search(folds, learner, grid, metrics, repeat_col="repeat")
+        cv, chosen[int(s)], fitted = grid_search(folds, learner, grid, metrics, repeat_col="repeat")
         test = scale_vectors(part.where("part = 'test'").select("sample_id", "vec", "label", *extra), mean, std, keep)
         fitted.transform(test).withColumn("split", F.lit(int(s))).write.parquet(f"{base}/predictions/s={s}")
         model_weights(fitted, [feature_ids[i] for i in keep], vecs).withColumn("split", F.lit(int(s))).coalesce(1).write.parquet(f"{base}/weights/s={s}")
@@ -509,7 +511,76 @@ def _nested_single(vecs, feature_ids, learner, learners, grid, outer, done, inne
         folds.unpersist()
     preds = spark.read.parquet(*[f"{base}/predictions/s={s}" for s in done])
     weights = spark.read.parquet(*[f"{base}/weights/s={s}" for s in done])
-    return preds, weights, cv_parts
+    return preds, weights, cv_parts, chosen
+
+
+def refit_permutation(
+    vecs: DataFrame, learners: Mapping[int, Learner], k: int, repeats: int, true: float | None, n: int = 1000, metric: str = "roc_auc", seed: int = 777,
+) -> tuple[DataFrame, DataFrame]:
+    """Permutation test of a cross-validated score with every model fitted anew -> ((true, mean_permuted, p), (perm, value)).
+
+    ``learners`` maps an outer split (repeat x k + fold) to the linear learner chosen there. Labels are permuted
+    among all samples, or inside each ``group_id`` if there is one; each permutation gets stratified folds of its
+    own labels, its training rows are scaled, weighted and fitted and its test rows scored, and its value is the
+    mean over the splits, as ``true`` is. A split whose training or test rows hold one class counts in no mean, a permutation
+    without any score in no p. p = (#{value >= true} + 1) / (N + 1); null if ``true`` is.
+
+    All splits of as many permutations as fit a coefficient matrix are one solve. A row carries a fold and a label per
+    (permutation, split) of a turn only.
+    """
+    from cohortia.operators.splits import permute_labels
+
+    spark, splits = vecs.sparkSession, sorted(learners)
+    if not splits or not _all_linear([learners[s] for s in splits]):
+        raise ValueError("refits need a linear learner for every split")
+    m = learners[splits[0]]
+    extra = [c for c in ("group_id",) if c in vecs.columns]
+    drawn = permute_labels(vecs.select("sample_id", "label", *extra), n, extra[0] if extra else None, seed)
+    cells = cut_lineage(_inner_folds(drawn, k, repeats, seed, ["perm"]).select("sample_id", "perm", "repeat", "fold", F.col("label").cast("int").alias("label")))
+    d = vecs.select(F.size("vec")).first()[0]
+    turn = max(1, B.MATRIX_BYTES // (3 * 8 * (d + 1) * len(splits)))
+    kind, values = dict(vecs.dtypes)["sample_id"], []
+    for lo in range(0, n, turn):
+        perms = min(turn, n - lo)
+        mine = cells.where(F.col("perm").between(lo, lo + perms - 1))
+        at = F.map_from_entries(F.collect_list(F.struct(((F.col("perm") - lo) * repeats + F.col("repeat")).alias("slot"), F.struct("fold", "label").alias("c"))))
+        per = mine.groupBy("sample_id").agg(at.alias("at"))
+        slots = F.sequence(F.lit(0), F.lit(perms * len(splits) - 1))
+        split = F.array(*[F.lit(int(s)) for s in splits])
+
+        def cell(s: Column) -> tuple[Column, Column]:
+            of = F.get(split, (s % len(splits)).cast("int"))
+            return F.try_element_at("at", (F.floor(s / len(splits)) * repeats + F.floor(of / k)).cast("int")), of % k
+
+        def fold(s: Column) -> Column:
+            c, f = cell(s)
+            return F.when(c["fold"] == f, B.TEST).when(c.isNotNull(), 0).otherwise(B.ABSENT)
+
+        labels = F.transform(slots, lambda s: F.coalesce(cell(s)[0]["label"], F.lit(0)))
+        joined = vecs.join(per, "sample_id").withColumn("labels", labels.cast("array<int>"))
+        rows = cut_lineage(_rows(joined, F.transform(slots, fold), "labels"))
+        problem = B.Problem(rows, m.linear.loss, m.balanced, range(perms * len(splits)), True)
+        try:
+            models = [learners[s].linear for s in splits] * perms
+            fits = B.Fits.of([(i, B.TEST, x.C, x.l1_ratio) for i, x in enumerate(models)])
+            able = np.flatnonzero(problem.fittable(fits))
+            if not len(able):
+                continue
+            fits = fits.take(able)
+            w, b = B.solve(problem, fits, max(x.max_iter for x in models))
+            preds = problem.scores(fits, w, b, f"sample_id {kind}, label int, weight double")
+            got: dict[int, list[float]] = {}
+            for r in sorted(_score_table(preds, ["fit"], [metric]).collect(), key=lambda r: r["fit"]):  # one number a fit
+                if r["value"] is not None:
+                    got.setdefault(lo + int(able[r["fit"]]) // len(splits), []).append(r["value"])
+            values += [(p, float(np.mean(v))) for p, v in sorted(got.items())]
+        finally:
+            problem.close()
+    perms = spark.createDataFrame(values, "perm int, value double")
+    hits = sum(v >= true - 1e-12 for _, v in values) if true is not None else 0
+    p = (hits + 1) / (len(values) + 1) if true is not None else None
+    mean = float(np.mean([v for _, v in values])) if values else None
+    return spark.createDataFrame([(true, mean, p)], "true double, mean_permuted double, p double"), perms
 
 
 # --- latent representations --------------------------------------------------------------

@@ -69,13 +69,16 @@ def response_study(
     bundle: CohortBundle, model: str = "logreg", grid: Mapping[str, Sequence] | None = None, k: int = 4, repeats: int = 25, inner_k: int = 3,
     permutations: int = 1000, grouped: bool = False, selector: learn.Selector | None = None, seed: int = 777,
 ) -> dict[str, DataFrame]:
-    """Nested cross-validation, then every table a response report needs, each one query over the logs."""
-    vecs, ids = bundle_vectors(bundle, ["label"])
+    """Nested cross-validation, then every table a response report needs, each one query over the logs.
+
+    The permutation test refits the chosen linear models on permuted labels; with a selector, or a model that
+    is not linear, it permutes the labels of the mean scores instead.
+    """
+    vecs, ids = bundle_vectors(bundle, ["label", *(["group_id"] if grouped else [])])
     vecs = cut_lineage(vecs)
     outer = outer_splits(bundle.samples.join(vecs.select("sample_id"), "sample_id", "left_semi"), k, repeats, grouped, seed)
     t = learn.nested_cv(vecs, ids, learn.LEARNERS[model], grid or {}, cut_lineage(outer), inner_k, selector=selector, model=model, seed=seed)
     te = t.split_scores.where("metric = 'roc_auc'")
-    mean_score = t.predictions.groupBy("sample_id").agg(F.avg("score").alias("score"), F.first("label").alias("label"))
     roc = metrics.roc_curve(t.predictions)
     at = F.coalesce(-F.col("threshold"), F.lit(float("-inf")))
     return {
@@ -84,10 +87,20 @@ def response_study(
         "param_profile": results.param_score_profile(t.cv_results),
         "feature_ranking": results.feature_ranking(t.split_feature_weights, te),
         "roc_band": metrics.mean_curve_band(metrics.interp_grid(roc, ["model", "split"], "fpr", "tpr", at)),
-        "permutation": stats.permutation_test(mean_score, "score", permutations, seed=seed, statistic="auc"),
+        "permutation": _response_permutation(vecs, t, model, k, repeats, permutations, selector is None, seed),
     }
 
 
+def _response_permutation(vecs: DataFrame, t: learn.StudyTables, model: str, k: int, repeats: int, n: int, plain: bool, seed: int) -> DataFrame:
+    """(true, mean_permuted, p) of a nested cross-validation."""
+    refits = {s: learn.LEARNERS[model](**c) for s, c in t.chosen.items()}
+    if plain and all(m.linear is not None and m.prepare is None for m in refits.values()):
+        true = t.split_scores.where("metric = 'roc_auc' AND stage = 'te'").agg(F.avg("value")).first()[0]
+        return learn.refit_permutation(vecs, refits, k, repeats, true, n, seed=seed)[0]
+    mean = t.predictions.groupBy("sample_id").agg(F.avg("score").alias("score"), F.first("label").alias("label"))
+    return stats.permutation_test(mean, "score", n, seed=seed, statistic="auc")
+
+
 def survival_study(
     bundle: CohortBundle, l1_ratios: Sequence[float] = (0.5,), n_alphas: int = 100, n_splits: int = 100, test: float = 0.25, inner_k: int = 4,
     factors: Sequence[float] | None = None, max_iter: int = 100, by_group: bool = False, seed: int = 777, inner_repeats: int = 5,

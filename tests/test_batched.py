@@ -206,3 +206,59 @@ def test_nested_study_equals_its_parts(spark):
                     w, b = descend(z[fit][:, keep], y[fit], L.logreg(cc).linear)
                     each.append(auc(y[out], z[out][:, keep] @ w + b))
             assert log[s][k][0] == pytest.approx(np.mean(each), abs=1e-3)
+
+
+def _brute_permutations(spark, x, y, ids, cells, learners, k):
+    """Mean test score per permutation, every split fitted by itself on rows scaled by its own training rows."""
+    at, out = {s: i for i, s in enumerate(ids)}, {}
+    for r in cells:
+        out.setdefault(r.perm, []).append((at[r.sample_id], r.repeat, r.fold, r.label))
+    means = {}
+    for perm, rows in out.items():
+        scores = []
+        for s, m in learners.items():
+            of = [r for r in rows if r[1] == s // k]
+            tr, te = ([r for r in of if (r[2] == s % k) == held] for held in (False, True))
+            i, j = [r[0] for r in tr], [r[0] for r in te]
+            mu, sd = x[i].mean(axis=0), x[i].std(axis=0)
+            w, b = descend((x[i] - mu) / sd, np.array([r[3] for r in tr]), m.linear)
+            label = np.array([r[3] for r in te])
+            if 0 < label.sum() < len(label):
+                scores.append(auc(label, (x[j] - mu) / sd @ w + b))
+        means[perm] = np.mean(scores)
+    return means
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_refit_permutation_equals_single_fits(spark, grouped, monkeypatch):
+    x, y = rows_of(5, 48, 3)
+    vecs = frame(spark, x, y)
+    if grouped:  # pairs and threes share a group
+        vecs = vecs.withColumn("group_id", F.concat(F.lit("g"), (F.substring("sample_id", 2, 4).cast("int") * 2 / 5).cast("int").cast("string")))
+    k, repeats, n = 3, 2, 7
+    learners = {s: L.logreg(0.5 if s % 2 else 0.05) for s in range(k * repeats)}
+    monkeypatch.setattr(B, "MATRIX_BYTES", 3 * 8 * 4 * 6 * 3)  # three permutations a turn
+    summary, perms = L.refit_permutation(vecs, learners, k, repeats, 0.6, n, seed=3)
+    from cohortia.operators.splits import permute_labels
+
+    drawn = permute_labels(vecs.select("sample_id", "label", *(["group_id"] if grouped else [])), n, "group_id" if grouped else None, 3)
+    cells = L._inner_folds(drawn, k, repeats, 3, ["perm"]).collect()
+    if grouped:  # labels stay inside their group
+        count = lambda rows: sorted((r[0], r[1]) for r in rows)
+        before = count(vecs.groupBy("group_id").agg(F.sum("label")).collect())
+        assert all(count(drawn.where(F.col("perm") == p).groupBy("group_id").agg(F.sum("label")).collect()) == before for p in range(2))
+    brute = _brute_permutations(spark, x, y, [f"s{i:04d}" for i in range(48)], cells, learners, k)
+    got = {r.perm: r.value for r in perms.collect()}
+    assert got.keys() == brute.keys() and all(got[p] == pytest.approx(brute[p], abs=1e-9) for p in got)
+    s = summary.first()
+    assert s.p == (sum(v >= 0.6 - 1e-12 for v in brute.values()) + 1) / (n + 1) and s.mean_permuted == pytest.approx(np.mean(list(brute.values())))
+
+
+def test_refit_permutation_finds_signal_and_none(spark):
+    x, y = rows_of(6, 60, 3)
+    real, _ = L.refit_permutation(frame(spark, x, y), {s: L.logreg(1.0) for s in range(3)}, 3, 1, 0.9, 40)
+    assert real.first().p == pytest.approx(1 / 41) and 0.35 < real.first().mean_permuted < 0.65
+    empty, _ = L.refit_permutation(frame(spark, x, y), {0: L.logreg(1.0)}, 3, 1, None, 3)
+    assert empty.first().p is None
+    with pytest.raises(ValueError, match="linear learner"):
+        L.refit_permutation(frame(spark, x, y), {0: L.random_forest(2, 2)}, 3, 1, 0.5, 3)
