@@ -3,7 +3,9 @@
 The benchmark is the query set; it is taken in blocks of bounded size and every block is held
 against all documents, so nothing is shuffled but word counts and no passage, however often it
 was copied, gathers in one place. Seeds are the n-grams of an item that chance would hardly write:
-their expected number, from word counts over the whole corpus, is at most RARE. Copies of an
+their expected number, from word counts over the whole corpus, is at most RARE. As that rests on the
+size of the corpus, the rarest of every NEIGHBOURS n-grams in a row is one too: these depend on shares of words
+only, lie all over the item, and no edit removes more than its own neighbourhood. Copies of an
 item raise no n-gram's expected number, so a leak in a third of all documents stays a leak. Where
 seeds hit, the words around them are aligned with the item by Smith-Waterman.
 """
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .hashing import Members, alphabet, chunks, hash_words, mix, text_buffers
 from .tables import small_batches
 
-#: Words of a seed; expected chance occurrences of a rare one; the least share of an item's n-grams that are seeds.
-SEED, RARE, LEAST_SHARE = 3, 0.01, 0.25
+#: Words of a seed; expected chance occurrences of a rare one; n-grams in a row of which the rarest is always a seed.
+SEED, RARE, NEIGHBOURS = 3, 0.01, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score, as a share of a perfect copy's, from which a passage is a leak.
 THRESHOLD = 0.5
@@ -98,15 +100,17 @@ def word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, np.ndarray,
 
 
 def choose_seeds(items: Items, values: np.ndarray, counts: np.ndarray, total: int) -> list[Seeds]:
-    """Rare n-grams of every item, and always its rarest LEAST_SHARE; short items are one seed."""
+    """Rare n-grams of every item, and the rarest of any NEIGHBOURS in a row; short items are one seed."""
     found: dict[int, list[tuple]] = {}
     for k, words in enumerate(items.words):
         size = min(SEED, len(words))
         share = np.log((counts[np.searchsorted(values, words)] + 1.0) / (total + 1.0))
         sums = np.concatenate([[0.0], np.cumsum(share)])
         expected = sums[size:] - sums[:-size] + np.log(total + 1.0)
-        rank = np.argsort(np.argsort(expected, kind="stable"), kind="stable")
-        chosen = np.flatnonzero((expected <= np.log(RARE)) | (rank < max(1, LEAST_SHARE * len(expected))))
+        runs = np.lib.stride_tricks.sliding_window_view(expected, min(NEIGHBOURS, len(expected)))
+        chosen = expected <= np.log(RARE)
+        chosen[np.arange(len(runs)) + runs.argmin(axis=1)] = True
+        chosen = np.flatnonzero(chosen)
         found.setdefault(size, []).append((_grams(words, size)[chosen], np.full(len(chosen), k), chosen))
     out = []
     for size, parts in found.items():

@@ -2,9 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cohortia.llm import decontaminate, licences, webpages
+from cohortia.llm import decontaminate as D
+from cohortia.llm.hashing import hash_words, text_buffers
 
 ARTICLE = "<h1>Head &amp; line</h1><p>First  paragraph\nof words.<p>Second <b>bold</b><br>one &#x41;.</p><ul><li>x<li>y</ul>"
 TEXT = "Head & line\nFirst paragraph of words.\nSecond bold one A.\nx\ny"
@@ -288,3 +292,32 @@ def test_deep_pages_take_linear_time(html):
     best = page.best()
     page.text([page.path(best[0])] if best else [])
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("corpus_bytes", [None, 30e9, 100e12])
+def test_edited_copies_are_found_whatever_the_corpus(sf, corpus_bytes):
+    """Copies with 10, 20 and 30 % of words replaced that still reach the score, counts scaled to the size of the corpus; every pair is aligned."""
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    corpus = np.array([w for t in texts for w in re.findall(r"[a-z0-9]+", t.lower())])
+    names = [t for t in pq.read_table(f"{sf}/benchmark.parquet", columns=["text"]).column("text").to_pylist() if t][:40]
+    hashed = lambda many: hash_words(*text_buffers(pa.array(many, pa.string())), D._ABC)
+    of = lambda w, i: w.hashes[w.first[i] : w.first[i + 1]]
+    w, docs = hashed(names), hashed(texts)
+    items = D.Items(list(range(len(names))), [of(w, i) for i in range(len(names))])
+    values = np.unique(np.concatenate(items.words))
+    counts = np.array([(docs.hashes == v).sum() for v in values])
+    factor = 1 if corpus_bytes is None else corpus_bytes / sum(len(t.encode()) for t in texts)
+    finder = D.Finder(items, D.choose_seeds(items, values, (counts * factor).astype(np.int64), int(len(docs.hashes) * factor)), D.THRESHOLD)
+    rng = np.random.default_rng(11)
+    for rate in (0.1, 0.2, 0.3):
+        copies = []
+        for t in names:
+            for _ in range(3):
+                edited = [str(rng.choice(corpus)) if rng.random() < rate else x for x in re.findall(r"[a-z0-9]+", t.lower())]
+                around = [str(x) for x in rng.choice(corpus, 40)]
+                copies.append(" ".join([*around[:20], *edited, *around[20:]]))
+        words = hashed(copies)
+        true = {(c, k) for c in range(len(copies)) for k, item in enumerate(items.words) if D.align(item, of(words, c))[0] >= D.THRESHOLD * D.MATCH * len(item)}
+        got = {leak[:2] for leak in finder.leaks(words)}
+        assert got <= true and len(true) > 60
+        assert len(got) >= 0.98 * len(true)
