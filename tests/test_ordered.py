@@ -77,3 +77,17 @@ def test_dominance_totals(spark, rows_per_bucket):
     for r in got:
         assert r.c_lt == sum(n for x, y, n in raw if x > r.x and y < r.y)
         assert r.c_eq == sum(n for x, y, n in raw if x > r.x and y == r.y)
+
+
+@pytest.mark.parametrize("rows_per_part", [1 << 16, 3])
+def test_first_rows_and_ranks_are_those_of_a_whole_sort(spark, monkeypatch, rows_per_part):
+    monkeypatch.setattr(O, "ROWS_PER_PART", rows_per_part)
+    data = [(g, str(i % 290)) for i in range(300) for g in ("a", None)] + [("b", "x")]
+    df = spark.createDataFrame(data, "g string, id string").withColumn("h", O.seeded_key(5, "id"))
+    ranked = O.seeded_rank(df, ["g"], O.seeded_key(5, "id")).collect()
+    got = O.seeded_first(df, ["g"], O.seeded_key(5, "id"), F.floor(F.col("__n") * 0.25 + 0.5), 300).collect()
+    for g, n in (("a", 300), (None, 300), ("b", 1)):
+        keys = sorted(r.h for r in got if r.g == g)
+        assert len(keys) == n and sorted(r.h for r in got if r.g == g and r.first) == keys[: int(n * 0.25 + 0.5)]
+        assert [r.h for r in sorted((r for r in ranked if r.g == g), key=lambda r: r["rank"])] == keys
+        assert sorted(r["rank"] for r in ranked if r.g == g) == list(range(1, n + 1))
