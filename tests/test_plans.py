@@ -32,3 +32,42 @@ def test_flagship_reads_only_needed_columns(spark, sf):
 def test_filters_reach_the_scan(spark, sf):
     text = plan(entry.queries()["filter_protein_coding"](spark, sf))
     assert "PushedFilters: [IsNotNull(p_type), EqualTo(p_type,STANDARD)]" in text
+
+
+def test_repeated_tables_are_not_taken_for_small_ones(spark, tmp_path):
+    """A table repeated n times keeps the estimated size of one; what is counted or ranked of it must not be broadcast."""
+    from cohortia.operators import splits
+
+    path = str(tmp_path / "samples")
+    spark.range(500).selectExpr("cast(id as string) sample_id", "cast(id % 3 = 0 as int) label", "cast(id % 2 as int) event", "cast(id % 40 as string) group_id").write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (splits.permute_labels(df, 50), splits.fold_assign(df, 4, ["label"], 50)):
+        assert "BroadcastExchange" not in plan(out)
+    for out in (splits.survival_stratified_shuffle(df, 50), splits.survival_sample_from_group(df, 50)):
+        assert "HashAggregate" not in plan(out)  # the only join is with one written row per split and stratum
+
+
+def test_ranker_leaves_nothing_of_its_rounds(spark, tmp_path, monkeypatch):
+    import os
+
+    from cohortia import session
+    from cohortia.operators import hazard
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    rows = [(str(i), [float(i % 7), float(i % 3)], float(1 + i % 11), int(i % 4 > 0)) for i in range(60)]
+    hazard.survival_ranker(spark.createDataFrame(rows, "sample_id string, vec array<double>, time double, event int"), tol=0.05)
+    assert len(os.listdir(tmp_path)) == 1  # the ranked rows
+
+
+def test_permutations_are_spread_over_tasks(spark, monkeypatch):
+    from cohortia.operators import stats
+
+    monkeypatch.setattr(stats, "TASK_ROWS", 400)
+    seen = []
+    plain = type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda self, n, c: (seen.append(n), plain(self, n, c))[1])
+    df = spark.range(100).selectExpr("cast(id as string) sample_id", "cast(id < 40 as int) label", "cast(id as double) v", "id % 2 g")
+    spread = stats.permutation_test(df, "v", 50, "g").first()
+    monkeypatch.undo()
+    whole = stats.permutation_test(df, "v", 50, "g").first()
+    assert seen == [13] and spread.true == whole.true and spread.mean_permuted == pytest.approx(whole.mean_permuted) and spread.p == whole.p
