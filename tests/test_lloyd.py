@@ -64,3 +64,14 @@ def test_sweep_equals_one_k_at_a_time(spark):
     assert got[1] > got[3] == 0 or got[3] < got[1]
     by_components = {r.k: r.n_divergent for r in cluster.cluster_count_sweep(df, dist, [3], 1.0, variance=1.0).collect()}  # distances stay
     assert by_components[3] == got[3]
+
+
+@pytest.mark.parametrize("step, settles", [(1e-4, True), (0.5, False)])
+def test_runs_that_barely_move_after_the_last_pass_are_settled(spark, monkeypatch, step, settles):
+    monkeypatch.setattr(lloyd, "_pass", lambda data, shift, runs: [(c + step, np.ones(len(c)), 1.0) for c in runs])  # centres that never stand still
+    df = frame(spark, blobs())
+    if settles:
+        assert lloyd.solve(df, [(2, 0)], max_iter=5)[0][1] == 1.0
+    else:
+        with pytest.raises(NotConverged):
+            lloyd.solve(df, [(2, 0)], max_iter=5)
