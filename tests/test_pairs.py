@@ -24,3 +24,17 @@ def test_pairs_and_neighbours(spark, block_rows):
     for i in range(40):
         order = sorted((j for j in range(40) if j != i), key=lambda j: (-round(S[i, j], 12), ids[j]))[:5]
         assert [near[ids[i]][k] for k in range(1, 6)] == [ids[j] for j in order]
+
+
+def test_blocks_of_hits_are_bounded(spark, monkeypatch):
+    import pandas as pd
+
+    from cohortia.operators import vectors
+
+    df = spark.range(12000).selectExpr("cast(id as string) sample_id", "array(cast(id % 97 as double), 1.0D) vec")
+    sizes = lambda most: [r.n for r in vectors.block_pairs(df, df, lambda ia, ib, vals, _, inner: pd.DataFrame({"n": [len(ib)]}), "n int", half=True, most_rows=most).collect()]
+    assert max(sizes(2000)) < 2400 < max(sizes(None))
+    asked = []
+    monkeypatch.setattr(vectors, "block_pairs", lambda *a, **b: asked.append(b["most_rows"]))
+    vectors.similarity_self_join(df, 0.5)
+    assert asked == [vectors.HIT_ROWS]
