@@ -102,6 +102,57 @@ def test_large_scores_do_not_overflow(data):
     assert loss2 == pytest.approx(loss, rel=1e-6) and np.isfinite(g2).all()
 
 
+def test_cox_sums_do_not_depend_on_blocks(data):
+    """A time that fills whole blocks, blocks of a few rows, and sums too large for the driver give the same figures."""
+    X, t, e, df = data
+    t2 = np.where(t >= 3, 3.0, t)  # most rows share one time
+    same = df.withColumn("time", F.least("time", F.lit(3.0)))
+    B = np.array([[0.0, 0.4], [0.3, -0.2], [0.0, 0.1]])
+    for rows, times in ((df, t), (same, t2)):
+        for ties in ("breslow", "efron"):
+            p = H.CoxProblem(rows, ties, block_rows=16)
+            assert len(p.at) > 3
+            loss, g = p.evaluate(B)
+            p.close()
+            for j in range(2):
+                want_l, want_g = cox_brute(X, times, e, B[:, j], ties)
+                assert loss[j] == pytest.approx(want_l) and g[:, j] == pytest.approx(want_g)
+
+
+def test_cox_gradient_added_up_per_task(data, monkeypatch):
+    X, t, e, df = data
+    B = np.array([[0.4], [-0.2], [0.1]])
+    monkeypatch.setattr(H, "DIRECT_BYTES", 0)
+    p = H.CoxProblem(df, "efron", block_rows=16)
+    loss, g = p.evaluate(B)
+    p.close()
+    want_l, want_g = cox_brute(X, t, e, B[:, 0], "efron")
+    assert loss[0] == pytest.approx(want_l) and g[:, 0] == pytest.approx(want_g)
+
+
+def test_cox_evaluation_runs_no_shuffle(data):
+    """Each evaluation was an aggregate, two windows and a join; now the blocks of one sort serve all of them."""
+    *_, df = data
+    p = H.CoxProblem(df)
+    plans = []
+    blocks = p.blocks
+    class Seen:
+        def select(self, *c):
+            out = blocks.select(*c)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+    p.blocks = Seen()
+    p.evaluate(np.zeros((3, 2)))
+    blocks.unpersist()
+    assert len(plans) == 2 and all(x.split("InMemoryRelation")[0].count("Exchange") == 0 for x in plans)
+
+
+def test_cox_vectors_of_two_lengths_are_an_error(data):
+    *_, df = data
+    with pytest.raises(Exception, match="one length"):
+        H.cox_ridge(df.withColumn("vec", F.when(F.col("sample_id") == "3", F.slice("vec", 1, 2)).otherwise(F.col("vec"))))
+
+
 def test_unsettled_fits_are_errors(data):
     *_, df = data
     with pytest.raises(RuntimeError, match="not converged"):
