@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortia.catalog.registry import register
 from cohortia.operators import encode as E
 from cohortia.operators import normalise as N
+from cohortia.session import cut_lineage
 from cohortia.sources import adapters as A
 from cohortia.sources import readers as R
 
@@ -133,7 +134,7 @@ _FBE = f"""WITH a AS (SELECT sample_id, feature_id, sum(value) AS value FROM ({A
 
 
 def _brand_counts(spark, d):
-    return A.brand_assay(spark, d).groupBy("sample_id", "feature_id").agg(F.sum("value").alias("value"))
+    return cut_lineage(A.brand_assay(spark, d).groupBy("sample_id", "feature_id").agg(F.sum("value").alias("value")))
 
 
 @register("filter_by_expr", _FBE.format(count=600))

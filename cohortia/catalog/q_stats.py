@@ -10,6 +10,7 @@ from cohortia.catalog.registry import register
 from cohortia.operators import normalise as N
 from cohortia.operators import stats as T
 from cohortia.operators.joins import top_features
+from cohortia.session import cut_lineage
 from cohortia.sources import adapters as A
 
 _MOM = """WITH g AS (SELECT sample_id, label FROM ({samples})), n AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM g WHERE sample_id IN (SELECT sample_id FROM ({src}))),
@@ -149,7 +150,7 @@ def _(spark, d):
 
 
 def _log_brand(spark, d):
-    a = A.brand_assay(spark, d).groupBy("sample_id", "feature_id").agg(F.sum("value").alias("value"))
+    a = cut_lineage(A.brand_assay(spark, d).groupBy("sample_id", "feature_id").agg(F.sum("value").alias("value")))
     return a, N.log_cpm(a, N.tmm_factors(a))
 
 
@@ -176,5 +177,5 @@ _EDGER = _MOM.format(src=_SCALED, samples=A.SAMPLES, **_ZERO) + f""", b AS (SELE
 
 @register("edger_two_group", _EDGER, rounded=["mean1", "mean0", "dispersion", "log_fc", "z", "p"], digits=5)
 def _(spark, d):
-    a, _ = _log_brand(spark, d)
+    a = cut_lineage(A.brand_assay(spark, d).groupBy("sample_id", "feature_id").agg(F.sum("value").alias("value")))
     return T.edger_two_group(a, A.samples(spark, d), N.tmm_factors(a))

@@ -147,3 +147,37 @@ def test_study_keeps_groups_weights_and_lost_splits(spark):
     scores = {(r.split, r.metric): r.value for r in t.split_scores.collect()}
     assert scores[(1, "roc_auc")] is None and scores[(0, "roc_auc")] > 0.5
     assert {r.weight for r in t.predictions.collect()} <= {0.5, 1.5, 2.5}
+
+
+def test_count_tables_compute_their_assay_once(spark):
+    """Medians, distributions and factors read their input many times; however it is made, its rows are computed once."""
+    from cohortia.operators import joins, normalise, stats
+
+    rows = [(f"s{i % 4}", f"f{i % 3}", float(i)) for i in range(12)]
+    samples = spark.createDataFrame([(f"s{i}", i % 2) for i in range(4)], "sample_id string, label int")
+    source = spark.createDataFrame(rows, "sample_id string, feature_id string, value double").coalesce(1)
+    for job in (joins.feature_median, normalise.feature_distribution, normalise.tmm_factors,
+                lambda a: joins.collapse_duplicate_genes(a.withColumn("symbol", F.lit("g"))),
+                lambda a: stats.edger_two_group(a, samples, spark.createDataFrame([(f"s{i}", 20.0, 1.0) for i in range(4)], "sample_id string, lib double, factor double"))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        job(source.mapInArrow(count, source.schema)).collect()
+        assert seen.value == len(rows)
+
+
+def test_groups_below_a_bucket_need_no_cut(spark, monkeypatch):
+    """Many small groups are no reason to cut the axis, however many rows they have together."""
+    from cohortia.operators import ordered
+
+    rows = spark.range(400).select((F.col("id") % 40).alias("g"), F.floor(F.col("id") / 40).cast("double").alias("v"), F.lit(2).cast("long").alias("w"))
+    cut = []
+    real = ordered.bucket_splits
+    monkeypatch.setattr(ordered, "bucket_splits", lambda *a, **k: cut.append(1) or real(*a, **k))
+    got = ordered.weighted_quantiles(rows, ["g"], "v", "w", {"q": 0.5}, rows_per_bucket=20).collect()
+    assert not cut and len(got) == 40 and {r["q"] for r in got} == {4.5}
+    assert {r["q"] for r in ordered.weighted_quantiles(rows, ["g"], "v", "w", {"q": 0.5}, rows_per_bucket=4).collect()} == {4.5} and cut
