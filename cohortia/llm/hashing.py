@@ -133,8 +133,9 @@ def window_hashes(words: Words, size: int, bases: int = 1) -> tuple[np.ndarray,
 class Members:
     """Membership in a fixed set of hashes, most misses decided by a small bitmap."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = distinct(np.asarray(values, _U))[0]
+    def __init__(self, values: np.ndarray, ordered: bool = False):
+        """``ordered``: the values ascend and are distinct."""
+        self.values = values if ordered else distinct(np.asarray(values, _U))[0]
         self.bits = max(10, min(24, int(len(self.values) * 12).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.values & _U((1 << self.bits) - 1)).astype(np.int64)] = True

@@ -69,5 +69,5 @@ def facts_of(directory: str, count: int, seg: int) -> pa.Table | None:
     system, base = filesystem(f"{directory}/folder={seg % count}")
     if system.get_file_info(base).type.name == "NotFound":
         return None
-    found = ds.dataset(base, filesystem=system, format="parquet").to_table(filter=pc.field("seg") == seg)
+    found = ds.dataset(base, filesystem=system, format="parquet").to_table(filter=pc.field("seg") == seg, use_threads=False)  # threads would read ahead, each into memory of its own
     return found if found.num_rows else None

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,10 @@ from .tables import cut, fresh_dir, remove, small_batches
 WINDOW = 50
 #: Windows of a segment that are sketched at once; more come as further lists of that segment.
 SEGMENT_WINDOWS = 2_000_000
+#: Bytes of text that are hashed at once; a task's arrays take up to forty times as much.
+CHUNK_BYTES = 1 << 19
+#: Candidates of a segment that are held, sorted and sent at once.
+SEGMENT_CANDIDATES = 500_000
 SKETCH_ROWS, COUNTERS, BLOCK_BITS = 2, 4, 20
 #: Bytes that one word takes at the least on average; only sizes the sketch.
 WORD_BYTES = 6
@@ -71,25 +76,37 @@ def _windows(part: pa.RecordBatch, size: int) -> Iterator[tuple]:
     """Per chunk of rows: first row, words, text number and first word of its windows, their hashes."""
     data, offsets = text_buffers(part.column("text"))
     abc = alphabet()
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, CHUNK_BYTES):
         words = hash_words(data, offsets[a : b + 1], abc)
         text, at, hashes = window_hashes(words, size, 2)
         yield a, b, words, text, at, hashes
 
 
+def _counters(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted counters of keys (counter and row), and which of them several rows hit; empties ``keys``."""
+    key = np.concatenate(keys)
+    keys.clear()
+    key.sort()
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]  # a row raises a counter once
+    key >>= _U(_DOC_BITS)
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    first = new[:-1]
+    return key[first].view(np.int64), ~new[1:][first]
+
+
 def _sketch(size: int, width: int) -> Callable:
     """Tasks' lists of counters: seg, row and block of the sketch, counters hit once and more often."""
 
-    def lists(seg: int, slots: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc = np.concatenate(docs).astype(_U)
+    def lists(seg: int, keys: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         out = {"row": [], "block": [], "seg": [], "once": [], "more": []}
         for row in range(SKETCH_ROWS):
-            slot = np.concatenate([s[row] for s in slots])
-            slot, times = distinct(distinct(slot << _U(_DOC_BITS) | doc)[0] >> _U(_DOC_BITS))
-            slot = slot.view(np.int64)
+            slot, more = _counters(keys[row])
             blocks = distinct(slot >> BLOCK_BITS)[0]
             for block, a, b in zip(blocks, np.searchsorted(slot, blocks << BLOCK_BITS), np.searchsorted(slot, (blocks + 1) << BLOCK_BITS)):
-                own, twice = slot[a:b] - (block << BLOCK_BITS), times[a:b] > 1
+                own, twice = slot[a:b] - (block << BLOCK_BITS), more[a:b]
                 for key, value in (("row", row), ("block", int(block)), ("seg", seg), ("once", encode_sorted(own[~twice])), ("more", encode_sorted(own[twice]))):
                     out[key].append(value)
                 if len(out["row"]) >= 256:
@@ -98,23 +115,28 @@ def _sketch(size: int, width: int) -> Callable:
         yield _lists_batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, slots, docs, held, n = None, [], [], 0, 0
+        now, keys, held, n = None, [[] for _ in range(SKETCH_ROWS)], 0, 0
         for seg, part in runs(batches):
-            if slots and (seg != now or held > SEGMENT_WINDOWS):
-                yield from lists(now, slots, docs)
-                slots, docs, held, n = [], [], 0, 0
-            now = seg
+            if held and (seg != now or held > SEGMENT_WINDOWS):
+                yield from lists(now, keys)
+                held = 0
+            if seg != now:
+                now, n = seg, 0
             for a, _, _, text, _, hashes in _windows(part, size):
                 if len(text):
-                    slots.append([h % _U(width) for h in hashes])
-                    docs.append(text + a + n)
+                    doc = (text + (a + n)).astype(_U)
+                    for row in range(SKETCH_ROWS):
+                        key = hashes[row] % _U(width)
+                        key <<= _U(_DOC_BITS)
+                        key |= doc
+                        keys[row].append(key)
                     held += len(text)
                 if held > SEGMENT_WINDOWS:
-                    yield from lists(now, slots, docs)
-                    slots, docs, held = [], [], 0
+                    yield from lists(now, keys)
+                    held = 0
             n += part.num_rows
-        if slots:
-            yield from lists(now, slots, docs)
+        if held:
+            yield from lists(now, keys)
 
     return run
 
@@ -145,11 +167,17 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def _hot_slots(directory: str, count: int, seg: int) -> list[Members]:
-    table, found = facts_of(directory, count, seg), [[] for _ in range(SKETCH_ROWS)]
-    if table is not None:
-        for row, block, hot in zip(table.column("row").to_pylist(), table.column("block").to_pylist(), table.column("hot").to_pylist()):
-            found[row].append(decode_sorted(hot) + (block << BLOCK_BITS))
-    return [Members(np.concatenate(f).astype(_U) if f else np.zeros(0, _U)) for f in found]
+    table, members = facts_of(directory, count, seg), []
+    for row in range(SKETCH_ROWS):
+        lists = None if table is None else table.filter(pc.equal(table.column("row"), row)).sort_by("block")
+        data = [] if lists is None else lists.column("hot").to_pylist()
+        found, at = np.empty(sum(int.from_bytes(d[:4], "little") for d in data), _U), 0
+        for block, hot in zip(lists.column("block").to_pylist() if data else [], data):
+            part = decode_sorted(hot)
+            found[at : at + len(part)] = part + (block << BLOCK_BITS)
+            at += len(part)
+        members.append(Members(found, ordered=True))
+    return members
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -158,25 +186,28 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def _candidates(size: int, width: int, directory: str, count: int) -> Callable:
-    """Distinct candidate windows of each segment: smallest doc_id, and whether there are several."""
+    """Distinct candidate windows of each segment, SEGMENT_CANDIDATES at a time: smallest doc_id, and whether there are several."""
 
     def rows(seg: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc = (np.concatenate([f[k] for f in found]) for k in range(3))
+        found.clear()
         order = np.lexsort((doc, h2, h1))
         h1, h2, doc = h1[order], h2[order], doc[order]
         new = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         last = np.r_[new[1:], len(h1)] - 1
-        columns = [h1[new].view(np.int64), _short(h2[new]), np.full(len(new), seg), doc[new], doc[new] < doc[last]]
+        columns = [h1[new].view(np.int64), h2[new], np.full(len(new), seg), doc[new], doc[new] < doc[last]]
+        del h1, h2, doc, order
         for a in range(0, len(new), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], ["h1", "h2", "seg", "low", "several"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, found = None, [], []
+        now, members, found, held = None, [], [], 0
         for seg, part in runs(batches):
             if seg != now:
                 if found:
                     yield from rows(now, found)
-                now, members, found = seg, _hot_slots(directory, count, seg), []
+                members = []
+                now, members, held = seg, _hot_slots(directory, count, seg), 0
             ids = part.column("doc_id")
             named = ~ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -185,7 +216,11 @@ def _candidates(size: int, width: int, directory: str, count: int) -> Callable:
                 for row, member in enumerate(members):
                     keep = keep[member.find(hashes[row][keep] % _U(width)) >= 0]
                 if len(keep):
-                    found.append((hashes[0][keep], hashes[1][keep], ids[text[keep] + a]))
+                    found.append((hashes[0][keep], _short(hashes[1][keep]), ids[text[keep] + a]))
+                    held += len(keep)
+                if held > SEGMENT_CANDIDATES:  # a window of several pieces has a row for each
+                    yield from rows(now, found)
+                    held = 0
         if found:
             yield from rows(now, found)
 
@@ -200,16 +235,19 @@ def _cover(size: int, directory: str, count: int, keep_text: bool) -> Callable:
         now, member, table = None, None, None
         for seg, part in runs(batches):
             if seg != now:
+                member = table = None  # what is known of the last segment goes first
                 now, known = seg, facts_of(directory, count, seg)
                 if known is None:
                     member = None
                 else:
-                    known = known.sort_by("h1")
-                    h1, h2, first = (known.column(c).to_numpy() for c in ("h1", "h2", "first"))
-                    member = Members(h1.view(_U))
-                    order = np.argsort(h1.view(_U), kind="stable")
-                    order = order[np.searchsorted(h1.view(_U)[order], member.values)]
-                    table = h2[order], first[order]
+                    h1 = known.column("h1").to_numpy().view(_U)
+                    order = np.argsort(h1, kind="stable")
+                    h1 = h1[order]
+                    new = np.ones(len(h1), bool)
+                    np.not_equal(h1[1:], h1[:-1], out=new[1:])
+                    member, order = Members(h1[new], ordered=True), order[new]
+                    table = known.column("h2").to_numpy()[order], known.column("first").to_numpy()[order]
+                    del known, h1, order
             ids = part.column("doc_id")
             named = ~ids.is_null().to_numpy(zero_copy_only=False)
             id_values = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -289,7 +327,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, keep_text: bool = False,
     keep_facts(hot, sketch_dir, count)
     found = cut(scan.mapInArrow(_candidates(size, width, sketch_dir, count), "h1 long, h2 int, seg long, low long, several boolean"))
     remove(spark, sketch_dir)
-    # One row per segment and window. The least doc_id is summed up before it is joined, so a window of all segments fills no task.
+    # One row per window and piece of a segment. The least doc_id is summed up before it is joined, so a window of all segments fills no task.
     firsts = found.groupBy("h1", "h2").agg(F.min("low").alias("first"), F.max("low").alias("last"), F.max("several").alias("any"))
     firsts = firsts.where((F.col("first") < F.col("last")) | F.col("any")).select("h1", "h2", "first")
     earlier = found.join(firsts, ["h1", "h2"]).where((F.col("first") < F.col("low")) | F.col("several")).select("seg", "h1", "h2", "first")

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortia.llm import segments, substrings
@@ -89,3 +92,62 @@ def test_sorted_code(top):
     for n in (0, 1, 2, 50, 3000):
         values = np.unique(rng.integers(0, top, n))
         assert substrings.decode_sorted(substrings.encode_sorted(values)).tolist() == values.tolist()
+
+
+def peak_bytes(run, batches):
+    """Most bytes allocated while ``run`` works through ``batches``, its results dropped one by one."""
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, peak
+
+
+def segment_batches(batches, texts, words):
+    rng = np.random.default_rng(3)
+    for k in range(batches):
+        text = [" ".join(map(str, rng.integers(0, 10**6, words))) for _ in range(texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(k * texts, (k + 1) * texts), pa.int64()), pa.array(text), pa.array([1] * texts, pa.int64())], ["doc_id", "text", "__seg"])
+
+
+def test_a_sketch_task_holds_few_bytes_a_window():
+    batches = list(segment_batches(8, 200, 500))
+    windows = 8 * 200 * (500 - substrings.WINDOW + 1)
+    _, peak = peak_bytes(substrings._sketch(substrings.WINDOW, 4 << substrings.BLOCK_BITS), batches)
+    assert peak < 64 * windows
+
+
+def test_candidates_of_a_segment_are_sent_in_bounded_pieces(monkeypatch):
+    class All:
+        def find(self, x):
+            return np.zeros(len(x), np.int64)
+
+    monkeypatch.setattr(substrings, "_hot_slots", lambda *_: [All(), All()])
+    monkeypatch.setattr(substrings, "SEGMENT_CANDIDATES", 50_000, raising=False)
+    run = substrings._candidates(substrings.WINDOW, 1 << substrings.BLOCK_BITS, "", 1)
+    few, many = (peak_bytes(run, list(segment_batches(n, 200, 500))) for n in (4, 16))
+    assert many[0] == 4 * few[0]
+    assert many[1] < 1.5 * few[1]
+
+
+def test_pieces_of_a_segment_say_what_the_whole_says(monkeypatch):
+    class All:
+        def find(self, x):
+            return np.zeros(len(x), np.int64)
+
+    monkeypatch.setattr(substrings, "_hot_slots", lambda *_: [All(), All()])
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k + 1, None]), pa.array(["a b c d", "b c d e a b c", "b c d"]), pa.array([7] * 3)], ["doc_id", "text", "__seg"]) for k in (5, 6, 2)]
+
+    def windows(most):
+        monkeypatch.setattr(substrings, "SEGMENT_CANDIDATES", most, raising=False)
+        out = {}
+        for batch in substrings._candidates(3, 1 << substrings.BLOCK_BITS, "", 1)(iter(batches)):
+            for r in batch.to_pylist():
+                out.setdefault((r["h1"], r["h2"]), []).append((r["low"], r["several"]))
+        return out
+
+    whole, pieces = windows(1000), windows(2)
+    assert all(len(rows) == 1 for rows in whole.values()) and max(map(len, pieces.values())) > 1 and set(whole) == set(pieces)
+    for key, [(low, several)] in whole.items():
+        lows = [x for x, _ in pieces[key]]
+        assert min(lows) == low and (min(lows) < max(lows) or any(x for _, x in pieces[key])) == several
