@@ -220,3 +220,24 @@ def test_boosted_scores_order_patients(data):
     got = {r.sample_id: r.score for r in H.boosted_cox(df, 3, 0.3, 2).collect()}
     conc, tied, comp = c_brute(t, e, np.array([got[str(i)] for i in range(len(t))]))
     assert len(got) == len(t) and (conc + tied / 2) / comp > 0.6
+
+
+@pytest.mark.parametrize("most", [50, 1000])
+def test_a_forest_is_fitted_on_partitions_of_bounded_size(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 3 else f"s{k}", rng.standard_normal(3).tolist(), float(rng.integers(0, 30)), int(rng.integers(0, 2))) for k in range(400)]
+    data = spark.createDataFrame(rows, "sample_id string, vec array<double>, time double, event int").coalesce(2)
+    seen = []
+
+    class Forest(H.RandomForestRegressor):
+        def fit(self, table):
+            seen.append(([r["n"] for r in table.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()], table.count()))
+            return super().fit(table)
+
+    monkeypatch.setattr(H, "RandomForestRegressor", Forest)
+    monkeypatch.setattr(H, "TREE_ROWS", most, raising=False)
+    got = H.survival_forest(data, 3, 2).collect()
+    assert sorted((str(r["sample_id"]), r["time"], r["event"]) for r in got) == sorted((str(r[0]), r[2], r[3]) for r in rows)
+    assert seen[0][1] == 400 and len({r["score"] for r in got}) > 1
+    if most == 50:
+        assert max(seen[0][0]) <= 60 and len(seen[0][0]) >= 8
