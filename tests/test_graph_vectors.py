@@ -1,5 +1,7 @@
 """Nearest neighbours and propagation: the quick ways against plain ones."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +62,25 @@ def test_an_edge_is_one_row_of_a_step_not_one_per_dimension(spark):
     finally:
         graph.cut_lineage = real
     assert max(seen) <= 8  # 2 edges, 6 self loops
+
+
+def test_blocks_count_what_python_holds_beside_short_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1100 * 520)
+    vecs = spark.range(6000).select(F.col("id").cast("string").alias("sample_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    sizes = lambda ia, ib, vals, _: __import__("pandas").DataFrame({"a": [len(ia)], "b": [len(ib)]})
+    got = vectors.block_pairs(vecs, vecs, sizes, "a long, b long", metric="euclidean").agg(F.max("b"), F.sum(F.col("a") * F.col("b"))).first()
+    assert got[0] <= 1300 and got[1] == 6000 * 6000
+
+
+def test_a_tile_of_distances_is_made_in_little_memory():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2048, 4))
+    for _ in vectors._tiles(x[:32], x, "euclidean"):
+        pass
+    tracemalloc.start()
+    got = [d.sum() for _, d in vectors._tiles(x, x, "euclidean")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 8 * vectors.TILE_CELLS and len(got) == 2
+    plain = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(next(d for _, d in vectors._tiles(x[:50], x, "euclidean")), plain)
