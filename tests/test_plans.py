@@ -1,6 +1,7 @@
 """Plan shapes that must hold at any scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -71,3 +72,38 @@ def test_permutations_are_spread_over_tasks(spark, monkeypatch):
     monkeypatch.undo()
     whole = stats.permutation_test(df, "v", 50, "g").first()
     assert seen[0] >= 13 and spread.true == whole.true and spread.mean_permuted == pytest.approx(whole.mean_permuted) and spread.p == whole.p
+
+
+def test_latent_copies_grow_as_the_input(spark, monkeypatch):
+    """Eight times the samples and features are 64 times the cells, yet eight times the rows that are shuffled for them."""
+    from cohortia.operators import learn
+
+    monkeypatch.setattr(learn, "TASK_CELLS", 8, raising=False)
+    monkeypatch.setattr(learn, "MOST_TASKS", 16, raising=False)
+    seen = []
+    plain = type(spark.range(0)).join
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, *how: (seen.append(self.count() + other.count()), plain(self, other, *how))[1])
+    for k in (1, 8):
+        x, l = {(s, c): float(1 + s % 5 + 2 * c) for s in range(20 * k) for c in (1, 2)}, {(c, f): 0.1 * (f % 7 - c) for f in range(60 * k) for c in (1, 2)}
+        name = lambda tag, i: f"{tag}{i}" if i else None  # a key may be null
+        scores = spark.createDataFrame([(name("s", s), c, v) for (s, c), v in x.items()], "sample_id string, component int, value double")
+        loadings = spark.createDataFrame([(c, name("f", f), v) for (c, f), v in l.items()], "component int, feature_id string, loading double")
+        got = learn.latent_sensitivity(scores, loadings, 2)
+        cells = {(r.sample_id, r.feature_id): r.value for r in got.collect()}
+        assert got.count() == len(cells) == 20 * 60 * k * k
+        for s, f in ((0, 0), (0, 5), (7, 0), (20 * k - 1, 60 * k - 1)):
+            assert cells[name("s", s), name("f", f)] == pytest.approx(sum((x[s, c] * l[c, f]) ** 2 for c in (1, 2)) ** 0.5)
+    few, many = seen
+    assert few > 0 and many <= 10 * few
+
+
+def test_latent_copies_are_not_broadcast(spark):
+    from cohortia.operators import learn
+
+    scores = spark.createDataFrame([("s1", 1, 1.0), ("s2", 1, 2.0)], "sample_id string, component int, value double")
+    loadings = spark.createDataFrame([(1, "f1", 0.5)], "component int, feature_id string, loading double")
+    got = learn.latent_sensitivity(scores, loadings)
+    assert "BroadcastExchange" not in plan(got)
+    assert {tuple(r) for r in got.collect()} == {("s1", "f1", 0.5), ("s2", "f1", 1.0)}
+    assert learn.latent_sensitivity(scores.where("false"), loadings).count() == learn.latent_sensitivity(scores, loadings.where("false")).count() == 0
+    assert {r.value for r in learn.latent_sensitivity(scores, loadings.withColumn("component", F.lit(3))).collect()} == {0.0}  # no component in common
