@@ -75,3 +75,31 @@ def test_runs_that_barely_move_after_the_last_pass_are_settled(spark, monkeypatc
     else:
         with pytest.raises(NotConverged):
             lloyd.solve(df, [(2, 0)], max_iter=5)
+
+
+def test_runs_over_many_rows_get_more_passes(spark, monkeypatch):
+    """Moves fade more slowly the more rows there are: one that is above the tolerance after max_iter passes goes on."""
+    passes = []
+
+    def fading(data, shift, runs):
+        passes.append(len(runs))
+        return [((c + 0.5 ** len(passes)) * 4000, np.full(len(c), 4000.0), 1.0) for c in runs]
+
+    monkeypatch.setattr(lloyd, "_pass", fading)
+    assert lloyd.solve(frame(spark, blobs()), [(2, 0)], max_iter=5)[0][1] == 1.0 and 5 < len(passes) < 20
+    passes.clear()
+    monkeypatch.setattr(lloyd, "_pass", lambda data, shift, runs: (passes.append(1), [((c + 0.5) * 4000, np.full(len(c), 4000.0), 1.0) for c in runs])[1])
+    with pytest.raises(NotConverged):
+        lloyd.solve(frame(spark, blobs()), [(2, 0)], max_iter=5)
+    assert len(passes) == 20  # 8,000 rows are three doublings
+
+
+def test_sums_are_the_same_with_and_without_a_shuffle(spark, monkeypatch):
+    x = blobs(5)
+    df, centres = frame(spark, x).persist(), [x[:2].copy(), x[[0, 40, 80]].copy()]
+    direct = lloyd._pass(df, np.zeros(3), centres)
+    monkeypatch.setattr(lloyd, "DIRECT_BYTES", 0)
+    for (s, n, w), (s2, n2, w2), c in zip(direct, lloyd._pass(df, np.zeros(3), centres), centres):
+        assert np.allclose(s, s2) and (n == n2).all() and n.sum() == len(x) and w == pytest.approx(w2)
+        assert w == pytest.approx(((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    df.unpersist()
