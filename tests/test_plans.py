@@ -107,3 +107,20 @@ def test_latent_copies_are_not_broadcast(spark):
     assert {tuple(r) for r in got.collect()} == {("s1", "f1", 0.5), ("s2", "f1", 1.0)}
     assert learn.latent_sensitivity(scores.where("false"), loadings).count() == learn.latent_sensitivity(scores, loadings.where("false")).count() == 0
     assert {r.value for r in learn.latent_sensitivity(scores, loadings.withColumn("component", F.lit(3))).collect()} == {0.0}  # no component in common
+
+
+def test_group_draws_shuffle_rows_once(spark, monkeypatch):
+    """A group's rows meet before they are repeated for the splits; parts of a large group give the same draws."""
+    from cohortia.operators import splits
+
+    df = spark.range(400).selectExpr("cast(id as string) sample_id", "cast(id % 2 as int) event", "if(id % 3 = 0, 'big', concat('g', id % 50)) group_id")
+    seen = []
+    plain_cut = splits.cut_lineage
+    monkeypatch.setattr(splits, "cut_lineage", lambda d: (seen.append(plan(d)), plain_cut(d))[1])
+    one = splits.survival_sample_from_group(df, 20)
+    drawn = seen[-1]
+    assert "Generate explode" in drawn and "Exchange" not in drawn[: drawn.index("Generate explode")] and drawn.count("Exchange") == 1
+    rows = {tuple(r) for r in one.collect()}
+    assert len(rows) == 20 * df.select("group_id").distinct().count()
+    monkeypatch.setattr(splits, "GATHERED_ROWS", 16)
+    assert {tuple(r) for r in splits.survival_sample_from_group(df, 20).collect()} == rows
