@@ -38,3 +38,23 @@ def test_blocks_of_hits_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(vectors, "block_pairs", lambda *a, **b: asked.append(b["most_rows"]))
     vectors.similarity_self_join(df, 0.5)
     assert asked == [vectors.HIT_ROWS]
+
+
+def test_pairs_above_a_cutoff_leave_tile_by_tile_from_few_copies(spark, monkeypatch):
+    """A block travels once to each pair it is in, and a task never holds the hits of more than one tile."""
+    from cohortia.operators import vectors
+
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    df = spark.createDataFrame([(f"v{i}", [float(c) for c in r]) for i, r in enumerate(x)], "sample_id string, vec array<double>").repartition(3)
+    copies = []
+    plain = type(spark.range(0)).repartitionById
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", lambda self, n, c: (copies.append((n, self.count())), plain(self, n, c))[1])
+    got = {(r.id_a, r.id_b): r.similarity for r in vectors.similarity_self_join(df, 0.3, 100).collect()}
+    assert copies == [(6, 300 * 3)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"v{i}", f"v{j}"): u[i] @ u[j] for i in range(300) for j in range(300) if f"v{i}" < f"v{j}" and u[i] @ u[j] > 0.3}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert vectors.similarity_self_join(df.where("false"), 0.3).count() == 0
+    wrong = df.limit(5).unionByName(df.limit(1).selectExpr("'w' sample_id", "array(1D) vec"))
+    with pytest.raises(Exception, match="one length"):
+        vectors.similarity_self_join(wrong, 0.3).collect()
